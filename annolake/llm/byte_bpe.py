@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 from annolake.llm.tables import table, text_or_empty
 
 #: Entries of a memo before it is emptied: bounds a worker's memory.
-MEMO_ENTRIES = 700_000
+MEMO_ENTRIES = 200_000
 #: Bytes of text after which an output batch is closed.
 BATCH_BYTES = 16 << 20
 #: White space other than space and line feed.
@@ -47,13 +47,21 @@ class _Memo(dict):
         return value
 
 
+def read_ranks(path: str) -> dict[bytes, int]:
+    with open(path, "rb") as lines:
+        return {base64.b64decode(a): int(b) for a, b in map(bytes.split, lines)}
+
+
+def unpacked_bytes(packed: bytes, token: dict[int, bytes]) -> bytes:
+    return b"".join(map(token.__getitem__, struct.unpack(f"<{len(packed) // 4}I", packed)))
+
+
 class ByteBpe:
     def __init__(self, path: str, pattern: str):
         import ahocorasick
         import regex
 
-        with open(path, "rb") as lines:
-            self.ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, lines)}
+        self.ranks = read_ranks(path)
         self.token = {rank: token for token, rank in self.ranks.items()}
         self.pieces = regex.compile(pattern).findall
         # Only entries that merging really arrives at may take part in the walk.
@@ -131,10 +139,11 @@ class ByteBpe:
         return self.plain[first] + b"".join(map(self.spaced.__getitem__, rest))
 
     def decode(self, packed: bytes) -> bytes:
-        return b"".join(map(self.token.__getitem__, struct.unpack(f"<{len(packed) // 4}I", packed)))
+        return unpacked_bytes(packed, self.token)
 
 
 _LOADED: dict[tuple[str, str], ByteBpe] = {}
+_TOKENS: dict[str, dict[int, bytes]] = {}
 
 
 def codec(path: str, pattern: str) -> ByteBpe:
@@ -172,13 +181,20 @@ def encode(docs: DataFrame, path: str, pattern: str, text: str = "text", id_col:
     return docs.select(id_col, text_or_empty(text).alias("_text")).mapInArrow(run, f"`{id_col}` {kind}, token_ids binary, n_tokens bigint")
 
 
-def decode(encoded: DataFrame, path: str, pattern: str, out: str = "decoded") -> DataFrame:
+def tokens(path: str) -> dict[int, bytes]:
+    """All that decoding needs."""
+    if path not in _TOKENS:
+        _TOKENS[path] = {rank: token for token, rank in read_ranks(path).items()}
+    return _TOKENS[path]
+
+
+def decode(encoded: DataFrame, path: str, out: str = "decoded") -> DataFrame:
     """Appends the bytes that the ids stand for; null ids count as none."""
     frame = encoded.withColumn("token_ids", F.coalesce("token_ids", F.lit(b"")))
 
     def run(batches):
-        c = codec(path, pattern)
-        yield from _mapped(batches, "token_ids", [pa.field(out, pa.binary())], lambda ids: (c.decode(ids),))
+        own = tokens(path)
+        yield from _mapped(batches, "token_ids", [pa.field(out, pa.binary())], lambda ids: (unpacked_bytes(ids, own),))
 
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in frame.schema)
     return frame.mapInArrow(run, f"{fields}, `{out}` binary")
@@ -192,5 +208,5 @@ def vocabulary(name: str = "byte_bpe_multi_50k.tiktoken") -> tuple[str, str]:
 
 def op2_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     path, pattern = vocabulary()
-    both = decode(encode(table(spark, sf_dir, "documents"), path, pattern), path, pattern)
+    both = decode(encode(table(spark, sf_dir, "documents"), path, pattern), path)
     return both.select("doc_id", "n_tokens", F.sha2("token_ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))

@@ -2,14 +2,16 @@
 
 from __future__ import annotations
 
-from annolake.llm import byte_bpe, chat_format, html_extract, license_scan, line_dedup, voronoi_knn
+from annolake.llm import byte_bpe, chat_format, decontaminate, html_extract, license_scan, line_dedup, quality, voronoi_knn
 
 QUERIES = {
     "op1_html_extract": html_extract.op1_html_extract,
     "op2_byte_bpe": byte_bpe.op2_byte_bpe,
+    "op3_quality": quality.op3_quality,
     "op4_chat_format": chat_format.op4_chat_format,
     "op5_license_scan": license_scan.op5_license_scan,
     "op7_line_dedup": line_dedup.op7_line_dedup,
+    "op9_decontaminate": decontaminate.op9_decontaminate,
     "op10_topk_search": voronoi_knn.op10_topk_search,
 }
 

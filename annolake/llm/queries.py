@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from annolake.llm import byte_bpe, chat_format, decontaminate, html_extract, license_scan, line_dedup, quality, voronoi_knn
+from annolake.llm import byte_bpe, chat_format, decontaminate, html_extract, jaccard_join, license_scan, line_dedup, quality, substring_dedup, voronoi_knn
 
 QUERIES = {
     "op1_html_extract": html_extract.op1_html_extract,
@@ -10,7 +10,9 @@ QUERIES = {
     "op3_quality": quality.op3_quality,
     "op4_chat_format": chat_format.op4_chat_format,
     "op5_license_scan": license_scan.op5_license_scan,
+    "op6_substring_dedup": substring_dedup.op6_substring_dedup,
     "op7_line_dedup": line_dedup.op7_line_dedup,
+    "op8_jaccard_join": jaccard_join.op8_jaccard_join,
     "op9_decontaminate": decontaminate.op9_decontaminate,
     "op10_topk_search": voronoi_knn.op10_topk_search,
 }

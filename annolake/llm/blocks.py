@@ -4,28 +4,35 @@ that many documents share is one row from each block, and texts are shuffled onl
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import uuid
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from annolake.llm.tables import checkpoint_dir
+
+#: Of the compression; higher ones cost more time than the shuffled bytes are worth.
+LEVEL = 5
+
 
 def block_of(id_col: str | Column, count: int) -> Column:
     return F.pmod(F.xxhash64(id_col), F.lit(count)).cast("int")
 
 
-def packed(docs: DataFrame, id_col: str, count: int) -> DataFrame:
-    """(b int, chunk binary): the rows of each input batch by block, as compressed Arrow."""
+def packed(docs: DataFrame, id_col: str, count: int, prepare: Callable[[pa.RecordBatch], pa.RecordBatch] | None = None) -> DataFrame:
+    """(b int, chunk binary): the rows of each input batch by block, as compressed Arrow; ``prepare`` may change them first, row by row."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        options = pa.ipc.IpcWriteOptions(compression="zstd")
+        options = pa.ipc.IpcWriteOptions(compression=pa.Codec("zstd", compression_level=LEVEL))
         for batch in batches:
             b = np.asarray(batch.column(0))
             order = np.argsort(b, kind="stable")
             starts = np.nonzero(np.r_[True, b[order][1:] != b[order][:-1]])[0] if len(b) else []
             rows, blocks, chunks = batch.select(batch.schema.names[1:]), [], []
+            rows = prepare(rows) if prepare else rows
             for start, end in zip(starts, [*starts[1:], len(b)], strict=True):
                 part = rows.take(pa.array(order[start:end]))
                 sink = pa.BufferOutputStream()
@@ -43,3 +50,12 @@ def unpacked(chunks: pa.Table) -> Iterator[pa.RecordBatch]:
         for chunk in column:
             with pa.ipc.open_stream(chunk.as_buffer()) as reader:
                 yield from reader
+
+
+def kept(chunks: DataFrame, count: int, label: str) -> DataFrame:
+    """Writes chunks once as a table bucketed by block in the shared folder; reading it by block needs no further shuffle."""
+    spark = chunks.sparkSession
+    name = f"{label}_{uuid.uuid4().hex}"
+    path = f"{checkpoint_dir(spark).rstrip('/')}/{name}"
+    chunks.repartition(count, "b").write.bucketBy(count, "b").format("parquet").option("compression", "none").option("path", path).saveAsTable(name)
+    return spark.table(name)

@@ -168,17 +168,19 @@ def _mapped(batches: Iterator[pa.RecordBatch], column: str, put: list[pa.Field],
             yield pa.RecordBatch.from_arrays(arrays, names=[*part.schema.names, *(f.name for f in put)])
 
 
-def encode(docs: DataFrame, path: str, pattern: str, text: str = "text", id_col: str = "doc_id") -> DataFrame:
-    """(id, token_ids binary, n_tokens long) for each row."""
+def encode(docs: DataFrame, path: str, pattern: str, text: str = "text", id_col: str = "doc_id", keep_digest: bool = False) -> DataFrame:
+    """(id, token_ids binary, n_tokens long) for each row; with ``keep_digest`` the text's SHA-256 in front of the ids."""
+    digest = ["text_sha256"] if keep_digest else []
 
     def run(batches):
         c = codec(path, pattern)
         fields = [pa.field("token_ids", pa.binary()), pa.field("n_tokens", pa.int64())]
         for out in _mapped(batches, "_text", fields, lambda t: (ids := c.encode(t), len(ids) // 4)):
-            yield out.select([id_col, "token_ids", "n_tokens"])
+            yield out.select([id_col, *digest, "token_ids", "n_tokens"])
 
     kind = docs.schema[id_col].dataType.simpleString()
-    return docs.select(id_col, text_or_empty(text).alias("_text")).mapInArrow(run, f"`{id_col}` {kind}, token_ids binary, n_tokens bigint")
+    more = [F.sha2(text_or_empty(text), 256).alias("text_sha256")] if keep_digest else []
+    return docs.select(id_col, *more, text_or_empty(text).alias("_text")).mapInArrow(run, f"`{id_col}` {kind}, {'text_sha256 string, ' * keep_digest}token_ids binary, n_tokens bigint")
 
 
 def tokens(path: str) -> dict[int, bytes]:

@@ -109,7 +109,6 @@ def joined_lines(lines: Column) -> Column:
         line = strip(raw)
         text, spans = acc["text"], acc["spans"]
         glue = text.rlike(r"\p{L}-$") & line.rlike(r"^\p{L}")
-        before = F.when(text == "", text).when(glue, F.expr("''")).otherwise(text)
         before = F.when(text == "", F.lit("")).when(glue, F.substring(text, F.lit(1), F.length(text) - 1)).otherwise(F.concat(text, F.lit(" ")))
         # the hyphen leaves the last line that has a text
         last = F.array_max(F.transform(spans, lambda s, i: F.when(s["end"] > s["start"], i)))
@@ -138,7 +137,7 @@ def sentence_ends(text: Column) -> Column:
     """Places behind each sentence end."""
     gaps = F.split(text, SENTENCE_END, -1)
     lens = F.transform(F.slice(gaps, F.lit(1), F.size(gaps) - 1), lambda g: F.length(g) + 1)
-    sums = F.aggregate(lens, F.array().cast("array<int>"), lambda a, n: F.concat(a, F.array(n + F.coalesce(F.element_at(a, -1), F.lit(0)))))
+    sums = F.aggregate(lens, F.array().cast("array<int>"), lambda a, n: F.concat(a, F.array(n + F.coalesce(F.try_element_at(a, F.lit(-1)), F.lit(0)))))
     return F.when(F.size(gaps) > 1, sums).otherwise(F.array().cast("array<int>"))
 
 
@@ -171,8 +170,8 @@ def located(text: Column, wanted: Column, near: Column) -> Column:
     letters = F.filter(F.transform(F.split(text, ""), lambda c, i: F.struct(c.alias("c"), i.alias("i"))), lambda s: ~s["c"].rlike(f"^{SPACE}$") & (s["c"] != ""))
     bare, needle = without_space(text), without_space(wanted)
     places = F.filter(F.sequence(F.lit(1), F.length(bare) - F.length(needle) + 1), lambda p: F.substring(bare, p, F.length(needle)) == needle)
-    nearest = F.array_min(F.transform(places, lambda p: F.struct(F.abs(F.element_at(letters, p)["i"] - near).alias("d"), p.alias("p"))))["p"]
-    found = F.struct(F.element_at(letters, nearest)["i"].alias("start"), (F.element_at(letters, nearest + F.length(needle) - 1)["i"] + 1).alias("end"))
+    nearest = F.array_min(F.transform(places, lambda p: F.struct(F.abs(F.try_element_at(letters, p)["i"] - near).alias("d"), p.alias("p"))))["p"]
+    found = F.struct(F.try_element_at(letters, nearest)["i"].alias("start"), (F.try_element_at(letters, nearest + F.length(needle) - 1)["i"] + 1).alias("end"))
     return F.when((F.length(needle) > 0) & (F.length(needle) <= F.length(bare)) & nearest.isNotNull(), found)
 
 
@@ -289,7 +288,7 @@ def marked_sentence(sentence: Column, runs: Column) -> Column:
     found = F.array_sort(F.filter(found, lambda s: s["start"] >= 0))
 
     def step(acc: Column, s: Column) -> Column:
-        last = F.element_at(acc, -1)
+        last = F.try_element_at(acc, F.lit(-1))
         end = s["start"] + s["n"]
         joins = (F.size(acc) > 0) & (strip(F.substring(sentence, last["end"] + 1, F.greatest(s["start"] - last["end"], F.lit(0)))) == "")
         grown = F.concat(F.slice(acc, F.lit(1), F.size(acc) - 1), F.array(F.struct(last["start"].alias("start"), F.greatest(last["end"], end).alias("end"))))
@@ -314,7 +313,7 @@ def region(source: Column) -> Column:
     pairs = F.transform(lines, lambda x: F.struct(strip(F.substring_index(x, ":", 1)).alias("k"), strip(F.substring(x, F.instr(x, ":") + 1, F.length(x))).alias("v")))
 
     def value(key: str) -> Column:
-        return F.element_at(F.filter(pairs, lambda p: p["k"] == key), -1)["v"]
+        return F.try_element_at(F.filter(pairs, lambda p: p["k"] == key), F.lit(-1))["v"]
 
     page = F.when(value("page").rlike(r"^\d+$"), value("page")).try_cast("int")
     parts = F.split(value("rect"), " +")
@@ -430,7 +429,7 @@ def wrapped(paragraph: Column, width: float, widths: dict[str, float], default:
     zero = F.array().cast("array<string>")
 
     def step(lines: Column, chunk: Column) -> Column:
-        last = F.element_at(lines, -1)
+        last = F.try_element_at(lines, F.lit(-1))
         joined = F.concat(last, chunk)
         fits = (F.size(lines) > 0) & (measured(F.rtrim(joined), widths, default) <= width)
         return F.when(fits, F.concat(F.slice(lines, F.lit(1), F.size(lines) - 1), F.array(joined))).otherwise(F.concat(lines, F.array(chunk)))

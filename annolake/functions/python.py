@@ -4,9 +4,12 @@ from __future__ import annotations
 
 import pandas as pd
 from pyspark.sql import functions as F
+from pyspark.sql import types as ST
 
+ALIGNMENT = ST.StructType([ST.StructField(n, ST.IntegerType()) for n in ("distance", "start", "end")])
 
-@F.pandas_udf("string")
+
+@F.pandas_udf(ST.StringType())
 def nfc(text: pd.Series) -> pd.Series:
     """Canonical composition."""
     return text.str.normalize("NFC")
@@ -41,7 +44,7 @@ def fitting_alignment(quote: str, window: str) -> tuple[int, int, int, list[int]
     return int(table[m, end]), j, end, places
 
 
-@F.pandas_udf("struct<distance:int,start:int,end:int>")
+@F.pandas_udf(ALIGNMENT)
 def aligned(quote: pd.Series, window: pd.Series) -> pd.DataFrame:
     """Edit distance of a text to the nearest stretch of another, with the stretch."""
     rows = [fitting_alignment(q, w)[:3] if q is not None and w is not None else (None, None, None) for q, w in zip(quote, window, strict=True)]

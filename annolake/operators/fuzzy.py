@@ -25,7 +25,7 @@ def candidate_windows(quotes: DataFrame, sources: DataFrame) -> DataFrame:
     pieces = F.transform(F.split("source", F.concat(F.lit(r"\Q"), F.col("word"), F.lit(r"\E"))), lambda p: F.length(p))
     placed = joined.select("quote_id", "quote", "source", "rank", "word", F.posexplode(pieces).alias("k", "n"))
     sums = F.sum(F.col("n") + F.length("word")).over(W.partitionBy("quote_id", "rank").orderBy("k").rowsBetween(W.unboundedPreceding, W.currentRow))
-    at = placed.withColumn("at", sums - F.length("word")).where(F.col("k") < F.max("k").over(W.partitionBy("quote_id", "rank")))
+    at = placed.withColumn("at", sums - F.length("word")).withColumn("_last", F.max("k").over(W.partitionBy("quote_id", "rank"))).where(F.col("k") < F.col("_last"))
     start = F.greatest(F.lit(0), F.col("at") - (F.instr("quote", F.col("word")) - 1) - SLACK)
     spots = at.withColumn("from", start.cast("int")).withColumn("_b", F.floor(F.col("from") / SLACK))
     distinct = spots.withColumn("_n", F.row_number().over(W.partitionBy("quote_id", "_b").orderBy("rank", "k"))).where(F.col("_n") == 1)

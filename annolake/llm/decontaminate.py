@@ -136,11 +136,12 @@ def _hits(items: Items, min_score: float):
             group = np.nonzero(new)[0]
             last = np.concatenate([group[1:], [len(item)]]) - 1
             count = last - group + 1
-            begin = np.maximum(start[group] - length[group] // 2, firsts[doc[group]])
-            end = np.minimum(start[last] + length[group] * 3 // 2 + 1, firsts[doc[group] + 1] - N)
+            item, first, length, doc = item[group], start[group], length[group], doc[group]
+            begin = np.maximum(first - length // 2, firsts[doc])
+            end = np.minimum(start[last] + length * 3 // 2 + 1, firsts[doc + 1] - N)
             out: dict[tuple[int, int], tuple] = {}
-            for i in np.unique(item[group]):
-                mine = np.nonzero(item[group] == i)[0]
+            for i in np.unique(item):
+                mine = np.nonzero(item == i)[0]
                 mine = mine[np.argsort(end[mine] - begin[mine])]
                 for part in np.array_split(mine, math.ceil(len(mine) / 64)):  # passages of like length together
                     wide = int((end[part] - begin[part]).max())
@@ -151,8 +152,8 @@ def _hits(items: Items, min_score: float):
                     for j, g in enumerate(part):
                         share = float(score[j]) / (MATCH * len(items.words[i]))
                         if share >= min_score:
-                            first = int(begin[g]) + wide - int(start_back[j]) - int(firsts[doc[g]])
-                            found = (share, first, int(begin[g]) + int(stop[j]) - int(firsts[doc[g]]), int(count[g]))
+                            base = int(begin[g]) - int(firsts[doc[g]])
+                            found = (share, base + wide - int(start_back[j]), base + int(stop[j]), int(count[g]))
                             key = (int(doc[g]), int(i))
                             if key not in out or (found[0], -found[1]) > (out[key][0], -out[key][1]):
                                 out[key] = found

@@ -29,7 +29,7 @@ from annolake.llm.tables import block_count, table, text_or_empty
 
 LENGTH, GRAM = 100, 32
 #: Places of a key from which it is dealt by window, and bytes of different stretches that one suffix array takes.
-HOT, ARRAY_BYTES = 20_000, 1 << 20
+HOT, ARRAY_BYTES = 8_000, 1 << 20
 #: Bytes of text that are hashed together; small, so that the arrays stay in a core's cache.
 _SPAN = 1 << 17
 _NO_ID = 2**63 - 1
@@ -195,16 +195,15 @@ def repeats(pieces: list[bytes], places: list[tuple[int, int]], length: int) ->
     sizes = np.array([len(p) for p in pieces])
     data = np.frombuffer(b"\xff".join(pieces) + b"\xff", np.uint8)  # 0xff is in no UTF-8 text
     first = np.concatenate([[0], np.cumsum(sizes + 1)[:-1]])
-    order = suffix_array(data, length)
-    shared = common_prefixes(data, order, length)
+    window = np.zeros(len(data) + 1, np.int8)
+    window[first] += 1
+    window[first + sizes - length + 1] -= 1
+    order = suffix_array(data, length, np.cumsum(window[:-1]) > 0)
+    group = np.cumsum(common_prefixes(data, order, length) < length)
     owner = np.searchsorted(first, order, "right") - 1
     offset = order - first[owner]
-    window = offset + length <= sizes[owner]
-    group = np.cumsum(shared < length)[window]
-    owner, offset = owner[window], offset[window]
     doc, start = np.array([d for d, _ in places], np.int64)[owner], np.array([s for _, s in places], np.int64)[owner] + offset
     by = np.lexsort((start, doc, group))
-    later = np.ones(len(by), bool)
     g, d, s = group[by], doc[by], start[by]
     head = np.searchsorted(g, g)  # the earliest place of each window's group
     later = (d != d[head]) | (s != s[head])

@@ -33,19 +33,30 @@ def small_suffixes(data: np.ndarray) -> np.ndarray:
     return small
 
 
-def suffix_array(data: np.ndarray, depth: int) -> np.ndarray:
-    """Places of all suffixes of ``data`` (uint8) in the order of their first ``depth`` bytes."""
+def suffix_array(data: np.ndarray, depth: int, wanted: np.ndarray | None = None) -> np.ndarray:
+    """Places of the suffixes of ``data`` (uint8) in the order of their first ``depth`` bytes; of those that ``wanted`` marks, if given.
+
+    A large suffix is placed by its successor, so from each wanted one the successors up to the next small suffix are sorted along.
+    """
     n = len(data)
     if not n:
         return np.zeros(0, np.int64)
     count = -(-depth // 8)
-    words = _words(data, 8 * count)
     small = small_suffixes(data)
-    direct = np.nonzero(small)[0]
+    needed = np.ones(n, bool)
+    if wanted is not None:
+        place = np.arange(n)
+        last_wanted = np.maximum.accumulate(np.where(wanted, place, -1))
+        last_small = np.maximum.accumulate(np.where(small, place, -1))
+        needed = last_wanted > np.concatenate([[-1], last_small[:-1]])
+    words = _words(data, 8 * count)
+    direct = np.nonzero(small & needed)[0]
     direct = direct[np.lexsort([words[direct + 8 * k] for k in range(count - 1, -1, -1)])]
-    starts = np.concatenate([[0], np.cumsum(np.bincount(data, minlength=256))])
-    large_count = np.bincount(data[~small], minlength=256)
-    order = np.full(n, -1, np.int64)
+    del words
+    large = needed & ~small
+    starts = np.concatenate([[0], np.cumsum(np.bincount(data[needed], minlength=256))])
+    large_count = np.bincount(data[large], minlength=256)
+    order = np.full(starts[256], -1, np.int64)
     first = data[direct]
     split = np.searchsorted(first, np.arange(257))
     for c in range(256):  # small suffixes stand at the end of their bucket
@@ -55,7 +66,7 @@ def suffix_array(data: np.ndarray, depth: int) -> np.ndarray:
     def hand(places: np.ndarray, above: int, same: int | None) -> np.ndarray:
         """Puts the predecessors of ``places`` that are large into their buckets; those of bucket ``same`` are returned."""
         before = places[places > 0] - 1
-        before = before[~small[before]]
+        before = before[large[before]]
         key = data[before]
         if same is not None:
             again = before[key == same]
@@ -73,8 +84,9 @@ def suffix_array(data: np.ndarray, depth: int) -> np.ndarray:
         return before
 
     last = n - 1  # successor: the empty suffix, which stands before all
-    order[head[data[last]]] = last
-    head[data[last]] += 1
+    if large[last]:
+        order[head[data[last]]] = last
+        head[data[last]] += 1
     for c in range(256):
         if starts[c] == starts[c + 1]:
             continue
@@ -84,7 +96,7 @@ def suffix_array(data: np.ndarray, depth: int) -> np.ndarray:
             hand(order[at:end], c, c)
             at = end
         hand(order[starts[c] : starts[c + 1]], c, None)
-    return order
+    return order if wanted is None else order[wanted[order]]
 
 
 def common_prefixes(data: np.ndarray, order: np.ndarray, most: int) -> np.ndarray:

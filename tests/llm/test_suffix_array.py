@@ -26,3 +26,16 @@ def test_long_runs_and_zero_bytes():
     order, text = suffix_array(data, 104), data.tobytes()
     keys = [text[i : i + 104] for i in order]
     assert keys == sorted(keys)
+
+
+def test_a_part_of_the_suffixes():
+    r = np.random.default_rng(0)
+    for alphabet in (1, 2, 4, 256):
+        for n in (1, 2, 30, 300):
+            data = r.integers(0, alphabet, n).astype(np.uint8)
+            for share in (0.0, 0.2, 0.8):
+                wanted = r.random(n) < share
+                text, order = data.tobytes(), suffix_array(data, 16, wanted)
+                assert sorted(order.tolist()) == np.nonzero(wanted)[0].tolist()
+                keys = [text[i : i + 16] for i in order]
+                assert keys == sorted(keys)

@@ -31,7 +31,7 @@ def _boxes(spark, sf_dir):
 def page_points(spark, sf_dir):
     b, n = _boxes(spark, sf_dir), lambda x: F.lit(float(x))
     p, q = G.to_page_point(F.col("x0"), F.col("y0"), n(1404), n(226)), G.to_pdf_point(F.col("x0"), F.col("y0"), n(1404), n(1872), n(226))
-    fit = G.page_fit(n(400), n(600), F.col("x0") + 1, F.col("y0") + 1)
+    fit = G.page_fit(n(400), n(600), G.rect(n(0), n(0), F.col("x0") + 1, F.col("y0") + 1))
     return b.select("vec_id", F.round(p["x"], 6).alias("px"), F.round(p["y"], 6).alias("py"), F.round(q["y"], 6).alias("pdf_y"), F.round(fit["scale"], 9).alias("scale"))
 
 

@@ -11,9 +11,11 @@ import struct
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as ST
+from pyspark.sql.pandas.types import to_arrow_schema
 
 # Fixed values of the format.
 HEADER_BYTES = 43
@@ -23,12 +25,19 @@ GLYPH_ITEM, LINE_ITEM, IMAGE_ITEM = 1, 3, 7
 POINT_V1, POINT_V2 = np.dtype([("v", "<f4", 6)]), np.dtype([("x", "<f4"), ("y", "<f4"), ("speed", "<u2"), ("width", "<u2"), ("direction", "u1"), ("pressure", "u1")])
 ANCHOR_TOP, ANCHOR_BOTTOM = "0:281474976710654", "0:281474976710655"
 
-POINT = "struct<x:double,y:double,speed:int,width:int,direction:int,pressure:int>"
-RECT = "struct<x:double,y:double,width:double,height:double>"
-RGB = "struct<r:int,g:int,b:int>"
-SCENE = f"""page_id string, kind string, ord int, layer_id string, id string, name string, visible boolean, anchor_id string, origin_x double,
-  pen int, color int, brush double, points array<{POINT}>, rgba {RGB}, text string, rects array<{RECT}>, pos_x double, pos_y double, width double, height double,
-  runs array<struct<id:string,text:string,deleted:int>>, styles map<string,int>, error string"""
+def _struct(**kinds: ST.DataType) -> ST.StructType:
+    return ST.StructType([ST.StructField(k, v) for k, v in kinds.items()])
+
+
+_S, _I, _D = ST.StringType(), ST.IntegerType(), ST.DoubleType()
+POINT = _struct(x=_D, y=_D, speed=_I, width=_I, direction=_I, pressure=_I)
+RECT = _struct(x=_D, y=_D, width=_D, height=_D)
+RGB = _struct(r=_I, g=_I, b=_I)
+RUN = _struct(id=_S, text=_S, deleted=_I)
+SCENE = _struct(
+    page_id=_S, kind=_S, ord=_I, layer_id=_S, id=_S, name=_S, visible=ST.BooleanType(), anchor_id=_S, origin_x=_D, pen=_I, color=_I, brush=_D, points=ST.ArrayType(POINT), rgba=RGB,
+    text=_S, rects=ST.ArrayType(RECT), pos_x=_D, pos_y=_D, width=_D, height=_D, runs=ST.ArrayType(RUN), styles=ST.MapType(_S, _I), error=_S,
+)
 
 
 class BrokenBlock(ValueError):
@@ -274,18 +283,18 @@ def scene_rows(page: str, data: bytes) -> Iterator[dict]:
                 yield {"page_id": page, "ord": ord_} | row
 
 
-_COLUMNS = [c.split()[0] for c in SCENE.replace("\n", " ").split(", ")]
-
-
-def _frames(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    for frame in frames:
-        for page, content in zip(frame.page_id, frame.content, strict=True):
-            yield pd.DataFrame(list(scene_rows(page, content or b"")), columns=_COLUMNS)
+def _batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    schema = to_arrow_schema(SCENE)
+    for batch in batches:
+        for page, content in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+            rows = list(scene_rows(page, content.as_py() or b""))
+            if rows:
+                yield pa.RecordBatch.from_pylist([r | {"styles": list(r["styles"].items())} if "styles" in r else r for r in rows], schema=schema)
 
 
 def parsed(pages: DataFrame) -> DataFrame:
     """Scene rows of (page_id, content binary); a page without content is an empty scene."""
-    return pages.select("page_id", "content").mapInPandas(_frames, SCENE)
+    return pages.select("page_id", "content").mapInArrow(_batches, SCENE)
 
 
 def scan(spark: SparkSession, path: str) -> DataFrame:

@@ -4,7 +4,6 @@ that many documents share is one row from each block, and texts are shuffled onl
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -12,8 +11,6 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from annolake.llm.tables import checkpoint_dir
-
 #: Of the compression; higher ones cost more time than the shuffled bytes are worth.
 LEVEL = 5
 
@@ -50,12 +47,3 @@ def unpacked(chunks: pa.Table) -> Iterator[pa.RecordBatch]:
         for chunk in column:
             with pa.ipc.open_stream(chunk.as_buffer()) as reader:
                 yield from reader
-
-
-def kept(chunks: DataFrame, count: int, label: str) -> DataFrame:
-    """Writes chunks once as a table bucketed by block in the shared folder; reading it by block needs no further shuffle."""
-    spark = chunks.sparkSession
-    name = f"{label}_{uuid.uuid4().hex}"
-    path = f"{checkpoint_dir(spark).rstrip('/')}/{name}"
-    chunks.repartition(count, "b").write.bucketBy(count, "b").format("parquet").option("compression", "none").option("path", path).saveAsTable(name)
-    return spark.table(name)

@@ -6,21 +6,26 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from annolake.llm.tables import materialise
+from annolake.llm.tables import Scratch
 
 
 def components(links: DataFrame, left: str = "x", right: str = "y") -> DataFrame:
     """(node, label): the smallest node of each component that has a link. Only counts reach the driver; each round is a table in
     the shared folder, so a lost executor costs no earlier round."""
+    scratch, old = Scratch(links.sparkSession), Scratch(links.sparkSession)
     ways = links.select(F.col(left).alias("node"), F.col(right).alias("to")).where(F.col(left) != F.col(right))
-    both = materialise(ways.unionByName(ways.select(F.col("to").alias("node"), F.col("node").alias("to"))).distinct(), "links")
-    labels = materialise(both.groupBy("node").agg(F.least(F.col("node"), F.min("to")).alias("label")), "labels")
+    both = scratch.write(ways.unionByName(ways.select(F.col("to").alias("node"), F.col("node").alias("to"))).distinct(), "links")
+    labels = old.write(both.groupBy("node").agg(F.least(F.col("node"), F.min("to")).alias("label")), "labels")
     while True:
         near = both.join(labels.withColumnRenamed("node", "to"), "to").groupBy("node").agg(F.min("label").alias("near"))
         least = labels.join(near, "node", "left").select("node", "label", F.least("label", F.coalesce("near", "label")).alias("next"))
         of = labels.select(F.col("node").alias("next"), F.col("label").alias("jump"))
-        moved = materialise(least.join(of, "next", "left").select("node", "label", F.least("next", F.coalesce("jump", "next")).alias("next")), "labels")
+        new = Scratch(links.sparkSession)
+        moved = new.write(least.join(of, "next", "left").select("node", "label", F.least("next", F.coalesce("jump", "next")).alias("next")), "labels")
         changed = moved.where(F.col("next") != F.col("label")).limit(1).count()
         labels = moved.select("node", F.col("next").alias("label"))
+        old.clear()
         if not changed:
+            scratch.clear()
             return labels
+        old = new

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-import math
+import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -33,15 +33,39 @@ def checkpoint_dir(spark: SparkSession) -> str:
     return named
 
 
-def materialise(df: DataFrame, label: str) -> DataFrame:
-    """Writes a table to the shared folder and reads it back: it cuts lineage, it outlives executors and,
-    unlike a cached table, it costs no executor memory."""
-    import uuid
+class Scratch:
+    """Tables written once to the shared folder and read back: they cut lineage, they outlive executors and, unlike cached tables, cost no
+    executor memory. Those that nothing reads any more are deleted by `clear`."""
+
+    def __init__(self, spark: SparkSession):
+        self.spark, self.done = spark, []
+
+    def path(self, label: str) -> str:
+        return f"{checkpoint_dir(self.spark).rstrip('/')}/{label}-{uuid.uuid4().hex}"
 
-    path = f"{checkpoint_dir(df.sparkSession).rstrip('/')}/{label}-{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    def write(self, df: DataFrame, label: str, keep: bool = False) -> DataFrame:
+        """``keep``: what is returned is read later, so `clear` leaves it."""
+        path = self.path(label)
+        df.write.option("compression", "zstd").parquet(path)
+        if not keep:
+            self.done.append(path)
+        return self.spark.read.schema(df.schema).parquet(path)
 
+    def bucketed(self, df: DataFrame, count: int, column: str, label: str) -> DataFrame:
+        """A table dealt by ``column`` once; reading it by that column needs no further shuffle."""
+        path, name = self.path(label), f"{label}_{uuid.uuid4().hex}"
+        df.repartition(count, column).write.bucketBy(count, column).format("parquet").option("compression", "none").option("path", path).saveAsTable(name)
+        self.done.append(path)
+        return self.spark.table(name)
 
-def ceil_share(n: int, share_percent: int) -> int:
-    return math.ceil(n * share_percent / 100)
+    def clear(self) -> None:
+        jvm, conf = self.spark._jvm, self.spark._jsc.hadoopConfiguration()
+        for path in self.done:
+            folder = jvm.org.apache.hadoop.fs.Path(path)
+            folder.getFileSystem(conf).delete(folder, True)
+        self.done.clear()
+
+
+def materialise(df: DataFrame, label: str) -> DataFrame:
+    """A table that stays."""
+    return Scratch(df.sparkSession).write(df, label, keep=True)

@@ -5,7 +5,8 @@ few of each (the prefix); so a node whose prefix tokens stand nowhere else goes
 left under a second one, with prefixes long enough that several tokens must be shared. Under a third order, rare tokens
 first, what is left in the second prefix gives the pairs: candidates of one token. In a token's group every node is first paired with one central node only; a candidate pair must pass the
 prefix test under the first and the second order as well before its sets are compared. Nodes that these links leave in different components of a group are then paired with
-each other, so no link between components is missed, and pairs within a component, which can change nothing, are never made.
+each other, so no link between components is missed, and pairs within a component, which can change nothing, are never made. Where many nodes share a token they are compared in blocks by matrix products,
+and only links leave the task.
 
 Cases: null or empty text, and text without words, has an empty set, is linked with nothing and is its own component; fewer than five words are one shingle; rows
 repeated with one id are one document: what one of them is linked with, all are; a null id takes no part and has a null component; an empty table
@@ -24,11 +25,13 @@ from pyspark.sql import functions as F
 
 from annolake.llm.blocks import block_of, packed, unpacked
 from annolake.llm.components import components
-from annolake.llm.tables import block_count, materialise, table, text_or_empty
+from annolake.llm.tables import Scratch, block_count, table, text_or_empty
 
 WORDS, PERCENT = 5, 80
 #: Tokens that two similar sets must share in the longer prefixes: one in so many of the set, and one at least.
-MORE = 10
+MORE = 7
+#: Nodes of a token from which they are compared in blocks, and the nodes of a block.
+LARGE, BLOCK = 64, 1024
 _MEMO = 400_000
 _A, _B = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93)
 
@@ -53,11 +56,18 @@ def shingles(text: str, size: int = WORDS) -> np.ndarray:
         return np.zeros(0, np.uint64)
     h = np.fromiter(map(_HASHES.__getitem__, words), np.uint64, len(words))
     n = min(size, len(words))
-    out = np.zeros(len(words) - n + 1, np.uint64)
-    for k in range(n):
-        out = (out ^ h[k : k + len(out)]) * _A
-        out ^= out >> np.uint64(32)
-    return np.unique(out * _B)
+    out = h[: len(words) - n + 1].copy()
+    for k in range(1, n):
+        out *= _A
+        out ^= h[k : k + len(out)]
+    out ^= out >> np.uint64(32)
+    out *= _B
+    out ^= out >> np.uint64(29)
+    out.sort()
+    new = np.empty(len(out), bool)
+    new[0] = True
+    np.not_equal(out[1:], out[:-1], out=new[1:])
+    return out[new]
 
 
 def least(n: int, percent: int) -> int:
@@ -175,35 +185,100 @@ def _candidates(size: int, percent: int):
     return run
 
 
+def _among(a: np.ndarray, b: np.ndarray) -> int:
+    """Tokens that two sorted sets share."""
+    if len(a) > len(b):
+        a, b = b, a
+    return int((b[np.minimum(np.searchsorted(b, a), len(b) - 1)] == a).sum())
+
+
 def similar(a: np.ndarray, b: np.ndarray, percent: int = PERCENT) -> bool:
     """All filters, then the exact test."""
     if not len(a) or not len(b) or min(len(a), len(b)) * 100 < percent * max(len(a), len(b)):
         return False
-    if not np.isin(first_prefix(a, percent), first_prefix(b, percent), assume_unique=True).any():
+    if not _among(first_prefix(a, percent), first_prefix(b, percent)):
         return False
-    if np.isin(second_prefix(a, percent), second_prefix(b, percent), assume_unique=True).sum() < min(more(len(a)), more(len(b))):
+    if _among(np.sort(second_prefix(a, percent)), np.sort(second_prefix(b, percent))) < min(more(len(a)), more(len(b))):
         return False
-    both = len(np.intersect1d(a, b, assume_unique=True))
+    both = _among(a, b)
     return 100 * both >= percent * (len(a) + len(b) - both)
 
 
-def _verified(size: int, percent: int):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+class _Sets(dict):
+    """Sets of the nodes that a worker has met lately, up to so many tokens."""
+
+    def __init__(self, size: int, most: int = 12_000_000):
+        super().__init__()
         import zstandard
 
-        press = zstandard.ZstdDecompressor()
-        last: tuple[int | None, np.ndarray | None] = (None, None)
+        self.size, self.most, self.held, self.press = size, most, 0, zstandard.ZstdDecompressor()
+
+    def of(self, node: int, body: pa.Scalar) -> np.ndarray:
+        if node not in self:
+            if self.held > self.most:
+                self.clear()
+                self.held = 0
+            self[node] = shingles(self.press.decompress(body.as_py()).decode("utf-8", "surrogatepass"), self.size)
+            self.held += len(self[node])
+        return self[node]
+
+
+_SETS: dict[int, _Sets] = {}
+
+
+def _sets(size: int) -> _Sets:
+    return _SETS.setdefault(size, _Sets(size))
+
+
+def _verified(size: int, percent: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sets = _Sets(size)
         for batch in batches:
-            keep = []
-            for x, y, bx, by in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2), batch.column(3), strict=True):
-                if last[0] != y:
-                    last = (y, shingles(press.decompress(by.as_py()).decode("utf-8", "surrogatepass"), size))
-                keep.append(similar(shingles(press.decompress(bx.as_py()).decode("utf-8", "surrogatepass"), size), last[1], percent))
+            pairs = zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2), batch.column(3), strict=True)
+            keep = [similar(sets.of(x, bx), sets.of(y, by), percent) for x, y, bx, by in pairs]
             yield batch.select(["x", "y"]).filter(pa.array(keep, pa.bool_()))
 
     return run
 
 
+def overlaps(left: list[np.ndarray], right: list[np.ndarray]) -> np.ndarray:
+    """Shared tokens of each set on the left with each on the right: products of 0/1 matrices over a few thousand tokens at a time."""
+    tokens = np.concatenate([*left, *right])
+    owner = np.repeat(np.arange(len(left) + len(right)), [len(s) for s in (*left, *right)])
+    _, column, times = np.unique(tokens, return_inverse=True, return_counts=True)
+    several = times > 1
+    place = np.cumsum(several) - 1
+    keep = several[column]
+    owner, column = owner[keep], place[column[keep]]
+    order = np.argsort(column, kind="stable")
+    owner, column = owner[order], column[order]
+    out = np.zeros((len(left), len(right)), np.float32)
+    for low in range(0, int(several.sum()), 2048):
+        a, b = np.searchsorted(column, (low, low + 2048))
+        some = np.zeros((len(left) + len(right), 2048), np.float32)
+        some[owner[a:b], column[a:b] - low] = 1
+        out += some[: len(left)] @ some[len(left) :].T
+    return out.astype(np.int64)
+
+
+def _dense(size: int, percent: int):
+    """Links between different components in two blocks of one token's nodes (or within one block)."""
+
+    def run(key: tuple[pa.Scalar, ...], rows: pa.Table) -> pa.Table:
+        sets, i, j = _sets(size), key[1].as_py(), key[2].as_py()
+        node, label, block = (np.asarray(rows.column(c), dtype=np.int64) for c in ("node", "label", "block"))
+        own = [sets.of(n, body) for n, body in zip(node.tolist(), (x for c in rows.column("body").chunks for x in c), strict=True)]
+        a, b = np.nonzero(block == i)[0], np.nonzero(block == j)[0]
+        n = np.array([len(s) for s in own], np.int64)
+        both = overlaps([own[k] for k in a], [own[k] for k in b])
+        linked = (100 * both >= percent * (n[a][:, None] + n[b][None, :] - both)) & (label[a][:, None] != label[b][None, :])
+        x, y = np.nonzero(linked)
+        x, y = node[a][x], node[b][y]
+        return pa.table({"x": pa.array(np.minimum(x, y)), "y": pa.array(np.maximum(x, y))})
+
+    return run
+
+
 def _links(pairs: DataFrame, bodies: DataFrame, size: int, percent: int) -> DataFrame:
     """The pairs (x, y) whose sets are similar."""
     left = pairs.join(bodies.select(F.col("node").alias("x"), F.col("body").alias("bx")), "x")
@@ -213,12 +288,12 @@ def _links(pairs: DataFrame, bodies: DataFrame, size: int, percent: int) -> Data
 
 def near_duplicates(docs: DataFrame, percent: int = PERCENT, size: int = WORDS, id_col: str = "doc_id", text: str = "text") -> DataFrame:
     """(doc_id, n_shingles, component_id) for each row of documents."""
-    count = block_count(docs.sparkSession, 2)
+    scratch, count = Scratch(docs.sparkSession), block_count(docs.sparkSession, 2)
     rows = docs.select(F.col(id_col).cast("long").alias("doc"), text_or_empty(text).alias("text"))
-    members = materialise(rows.mapInArrow(_digests(size), "doc bigint, n bigint, digest binary"), "members")
+    members = scratch.write(rows.mapInArrow(_digests(size), "doc bigint, n bigint, digest binary"), "members", keep=True)
     nodes = members.where(F.col("digest").isNotNull() & F.col("doc").isNotNull()).groupBy("digest").agg(F.min("doc").alias("node"))
-    nodes = materialise(nodes, "nodes")
-    chunks = packed(rows.where(F.col("doc").isNotNull()), "doc", count).repartition(count, "b")
+    nodes = scratch.write(nodes, "nodes", keep=True)
+    chunks = scratch.bucketed(packed(rows.where(F.col("doc").isNotNull()), "doc", count), count, "b", "texts")
 
     def step(n: int, v: DataFrame, *rest) -> DataFrame:
         return v.select("b", F.lit(n).alias("step"), "v", *(rest or (F.lit(0).cast("long").alias("times"),)))
@@ -226,31 +301,37 @@ def near_duplicates(docs: DataFrame, percent: int = PERCENT, size: int = WORDS,
     def shared(n: int, told: DataFrame) -> DataFrame:
         found = chunks.groupBy("b").cogroup(told.groupBy("b")).applyInArrow(_tokens(n, size, percent), "b int, v bigint, n bigint")
         several = found.withColumn("times", F.sum("n").over(W.partitionBy("v"))).where(F.col("times") > 1)
-        return materialise(step(n, several, F.col("times").cast("long").alias("times")), f"shared-{n}")
+        return scratch.write(step(n, several, F.col("times").cast("long").alias("times")), f"shared-{n}")
 
     told = step(0, nodes.select(block_of("node", count).alias("b"), F.col("node").alias("v")).distinct())
     told = told.unionByName(shared(1, told))
     told = told.unionByName(shared(2, told))
     found = chunks.groupBy("b").cogroup(told.groupBy("b")).applyInArrow(_candidates(size, percent), "token bigint, node bigint, n bigint, centre double, body binary")
-    found = materialise(found, "candidates")
+    found = scratch.write(found, "candidates")
     tokens = found.where(F.col("token").isNotNull()).drop("body").distinct()
     bodies = found.where(F.col("token").isNull()).select("node", "body")
 
     centres = tokens.groupBy("token").agg(F.max(F.struct("centre", "n", "node")).alias("c")).select("token", F.col("c.node").alias("y"), F.col("c.n").alias("m"))
     fits = F.least("n", "m") * 100 >= F.greatest("n", "m") * percent
-    first = materialise(tokens.join(centres, "token").where((F.col("node") != F.col("y")) & fits).select(F.col("node").alias("x"), "y").distinct(), "pairs")
-    links = materialise(_links(first, bodies, size, percent), "links")
+    first = scratch.write(tokens.join(centres, "token").where((F.col("node") != F.col("y")) & fits).select(F.col("node").alias("x"), "y").distinct(), "pairs")
+    links = scratch.write(_links(first, bodies, size, percent), "links")
     labels = components(links)
 
-    # groups that still have several components: pairs across them
+    # groups that still have several components: pairs across them; of a large group in blocks, with no row for a pair
     placed = tokens.join(labels, "node", "left").select("token", "node", "n", F.coalesce("label", "node").alias("label"))
-    mixed = placed.groupBy("token").agg(F.min("label").alias("low"), F.max("label").alias("high")).where(F.col("low") < F.col("high")).select("token")
-    open_ = materialise(placed.join(mixed, "token"), "open")
-    other = open_.select("token", F.col("node").alias("y"), F.col("n").alias("m"), F.col("label").alias("other"))
-    across = open_.withColumnRenamed("node", "x").join(other, "token").where((F.col("label") < F.col("other")) & fits).select("x", "y").distinct()
+    mixed = placed.groupBy("token").agg(F.min("label").alias("low"), F.max("label").alias("high"), F.count("*").alias("members")).where(F.col("low") < F.col("high")).select("token", "members")
+    open_ = scratch.write(placed.join(mixed, "token"), "open")
+    few = open_.where(F.col("members") < LARGE)
+    other = few.select("token", F.col("node").alias("y"), F.col("n").alias("m"), F.col("label").alias("other"))
+    across = few.withColumnRenamed("node", "x").join(other, "token").where((F.col("label") < F.col("other")) & fits).select("x", "y").distinct()
     across = across.join(first, ["x", "y"], "left_anti").join(first.select(F.col("x").alias("y"), F.col("y").alias("x")), ["x", "y"], "left_anti")
-    joined = _links(across, bodies, size, percent).unionByName(labels.select(F.col("node").alias("x"), F.col("label").alias("y")))
+    blocks = F.ceil(F.col("members") / BLOCK).cast("int")
+    many = open_.where(F.col("members") >= LARGE).withColumn("block", F.pmod(F.xxhash64("node"), blocks).cast("int"))
+    many = many.withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1))).select("token", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "node", "label")
+    dense = many.join(bodies, "node").groupBy("token", "i", "j").applyInArrow(_dense(size, percent), "x bigint, y bigint").distinct()
+    joined = _links(across, bodies, size, percent).unionByName(dense).unionByName(labels.select(F.col("node").alias("x"), F.col("label").alias("y")))
     final = components(joined)
+    scratch.clear()
 
     named = nodes.join(final, "node", "left").select("digest", F.coalesce("label", "node").alias("label"))
     # one id with several sets: its rows are one document

@@ -55,6 +55,15 @@ def test_components_match_brute_force(spark):
         assert got == brute(rows)
 
 
+def test_large_groups_in_blocks(spark, monkeypatch):
+    monkeypatch.setattr(J, "LARGE", 3)
+    monkeypatch.setattr(J, "BLOCK", 4)
+    rows = made(5)
+    frame = spark.createDataFrame(rows, "doc_id long, text string")
+    got = sorted(((x["doc_id"], x["n_shingles"], x["component_id"]) for x in J.near_duplicates(frame).collect()), key=repr)
+    assert got == brute(rows)
+
+
 def test_links_at_the_very_threshold_and_chains(spark):
     # sets of 90 with 80 in common: 80/100; a chain whose ends are not similar
     words = [f"t{i}" for i in range(200)]

@@ -6,7 +6,7 @@ left under a second one, with prefixes long enough that several tokens must be s
 first, what is left in the second prefix gives the pairs: candidates of one token. In a token's group every node is first paired with one central node only; a candidate pair must pass the
 prefix test under the first and the second order as well before its sets are compared. Nodes that these links leave in different components of a group are then paired with
 each other, so no link between components is missed, and pairs within a component, which can change nothing, are never made. Where many nodes share a token they are compared in blocks by matrix products,
-and only links leave the task.
+and only links that connect them leave the task.
 
 Cases: null or empty text, and text without words, has an empty set, is linked with nothing and is its own component; fewer than five words are one shingle; rows
 repeated with one id are one document: what one of them is linked with, all are; a null id takes no part and has a null component; an empty table
@@ -261,8 +261,30 @@ def overlaps(left: list[np.ndarray], right: list[np.ndarray]) -> np.ndarray:
     return out.astype(np.int64)
 
 
+def spanning(linked: np.ndarray, same: bool) -> tuple[np.ndarray, np.ndarray]:
+    """Of the links between rows and columns (which are the same nodes, if ``same``) as many as keep everything connected: fewer than nodes."""
+    rows, columns = linked.shape
+    left = np.zeros(rows, bool)
+    right = left if same else np.zeros(columns, bool)
+    xs, ys = [], []
+    for start in np.nonzero(linked.any(1))[0].tolist():
+        if left[start]:
+            continue
+        left[start] = True
+        ahead = [(start, True)]
+        while ahead:
+            at, is_row = ahead.pop()
+            new = np.nonzero(linked[at] & ~right)[0] if is_row else np.nonzero(linked[:, at] & ~left)[0]
+            (right if is_row else left)[new] = True
+            xs.append(np.full(len(new), at) if is_row else new)
+            ys.append(new if is_row else np.full(len(new), at))
+            ahead += [(n, same or not is_row) for n in new.tolist()]
+    none = np.zeros(0, np.int64)
+    return np.concatenate([none, *xs]), np.concatenate([none, *ys])
+
+
 def _dense(size: int, percent: int):
-    """Links between different components in two blocks of one token's nodes (or within one block)."""
+    """Links between different components in two blocks of one token's nodes (or within one block), as many as connect them."""
 
     def run(key: tuple[pa.Scalar, ...], rows: pa.Table) -> pa.Table:
         sets, i, j = _sets(size), key[1].as_py(), key[2].as_py()
@@ -272,7 +294,7 @@ def _dense(size: int, percent: int):
         n = np.array([len(s) for s in own], np.int64)
         both = overlaps([own[k] for k in a], [own[k] for k in b])
         linked = (100 * both >= percent * (n[a][:, None] + n[b][None, :] - both)) & (label[a][:, None] != label[b][None, :])
-        x, y = np.nonzero(linked)
+        x, y = spanning(linked, i == j)
         x, y = node[a][x], node[b][y]
         return pa.table({"x": pa.array(np.minimum(x, y)), "y": pa.array(np.maximum(x, y))})
 

@@ -1,6 +1,7 @@
 import random
 import re
 
+import numpy as np
 from annolake.llm import jaccard_join as J
 
 
@@ -75,3 +76,32 @@ def test_links_at_the_very_threshold_and_chains(spark):
 
 def test_an_empty_table(spark):
     assert J.near_duplicates(spark.createDataFrame([], "doc_id long, text string")).count() == 0
+
+
+def test_spanning_links_connect_the_same_nodes():
+    def groups(nodes, pairs):
+        up = {n: n for n in nodes}
+
+        def find(x):
+            while up[x] != x:
+                x = up[x]
+            return x
+
+        for x, y in pairs:
+            up[find(x)] = find(y)
+        out = {}
+        for n in nodes:
+            out.setdefault(find(n), set()).add(n)
+        return sorted(map(sorted, out.values()))
+
+    r = np.random.default_rng(1)
+    for n, m, share in ((1, 1, 1.0), (5, 8, 0.2), (30, 20, 0.05), (30, 30, 0.5), (12, 12, 0.0)):
+        linked = r.random((n, m)) < share
+        names = [("x", i) for i in range(n)] + [("y", i) for i in range(m)]
+        xs, ys = J.spanning(linked, False)
+        assert len(xs) < n + m and all(linked[x, y] for x, y in zip(xs, ys))
+        assert groups(names, [(("x", x), ("y", y)) for x, y in zip(xs.tolist(), ys.tolist())]) == groups(names, [(("x", x), ("y", y)) for x, y in np.argwhere(linked).tolist()])
+        if n == m:
+            both = linked | linked.T
+            xs, ys = J.spanning(both, True)
+            assert len(xs) < max(n, 2) and groups(range(n), zip(xs.tolist(), ys.tolist())) == groups(range(n), np.argwhere(both).tolist())

@@ -1,9 +1,11 @@
-"""Benchmark decontamination: rare n-gram seeds, then Smith-Waterman alignment of words.
+"""Benchmark decontamination: seeds of two words with gaps, counted, then Smith-Waterman alignment of words.
 
-A first pass counts in how many places the corpus has each n-gram of the test items; of an item's n-grams the rarer ones (up to its third
-quartile of counts, ties included, so an item that is copied everywhere keeps its seeds) are its seeds. A second pass finds the seeds in each document
-and aligns the item with the passages around them; a passage whose score reaches ``min_score`` of a full match is contaminated. Words are
-ASCII-lower-cased and split at ASCII white space and punctuation.
+A passage is contaminated if its alignment with an item of L words scores at least ``min_score`` of a full match. Between two matched words that follow each other in
+an alignment, a - 1 words of the item and b - 1 of the passage cost max(a, b) - 1 at least; so at least min_score * L - 1 of its steps have a and b of 1 or 2, each from a
+word of the item of its own. Such steps are the seeds: two words of the item, next to each other or with one between, found so in the document. As many words
+of an item as that number allows are left out as first words of seeds, those with the most seeds in the corpus (counted by a first pass), and where as many seeds as must still be there
+lie close enough to be of one alignment, the item is aligned with the passage around them. So no passage that reaches ``min_score`` is missed, whatever its edits and however often it stands
+in the corpus (if min_score * L is above 1; below, a seed is still asked for). Words are ASCII-lower-cased and split at ASCII white space and punctuation.
 
 The items are a bounded side: they are taken in chunks of at most ``CHUNK_BYTES`` of text, whatever their number, and each chunk is one pass. Documents
 are never shuffled; a passage that a third of them share is found in each where it stands.
@@ -26,13 +28,14 @@ from pyspark.sql import functions as F
 
 from annolake.llm.tables import table, text_or_empty
 
-#: Words of a seed; least score for a hit, as a share of the item's full score; scores of a pair of words.
+#: Fewest words of an item; least score for a hit, as a share of the item's full score; scores of a pair of words.
 N, MIN_SCORE = 4, 0.5
 MATCH, MISMATCH, GAP = 2, -1, -1
 CHUNK_BYTES = 32 << 20
+#: Of the seeds that an alignment must have, one in so many is still asked for when the frequent ones are left out.
+KEPT = 3
 #: Bytes of text that are looked up together.
 _SPAN = 1 << 20
-_MIX = np.uint64(0x9E3779B97F4A7C15)
 _TABLE = bytes(c + 32 if 65 <= c <= 90 else c if c >= 128 or chr(c).isalnum() else 32 for c in range(256))
 
 
@@ -40,16 +43,10 @@ def words(text: str) -> list[bytes]:
     return text.encode("utf-8", "surrogatepass").translate(_TABLE).split()
 
 
-def _grams(ids: np.ndarray) -> np.ndarray:
-    """A 64-bit key for each N-gram; with a word 0 (unknown or a border) in it the key is 0."""
-    n = max(0, len(ids) - N + 1)
-    key, known = np.zeros(n, np.uint64), np.ones(n, bool)
-    for k in range(N):
-        part = ids[k : k + n]
-        key = (key * _MIX) ^ (part + np.uint64(k + 1))
-        key ^= key >> np.uint64(29)
-        known &= part > 0
-    return np.where(known, key | np.uint64(1), np.uint64(0))
+def _pairs(ids: np.ndarray, apart: int) -> np.ndarray:
+    """A key for each word and the one so many behind it; 0 if one of the two is 0 (unknown or a border)."""
+    one, two = ids[:-apart], ids[apart:]
+    return np.where((one > 0) & (two > 0), (one << np.uint64(32)) | two, np.uint64(0))
 
 
 class Items:
@@ -63,16 +60,24 @@ class Items:
             if len(own) >= N:
                 self.ids.append(item)
                 self.words.append(np.array(own, np.uint64))
-        self.grams = [_grams(w) for w in self.words]
-        self.all_grams = np.unique(np.concatenate([np.zeros(0, np.uint64), *self.grams]))
-
-    def seeded(self, counts: dict[int, int]) -> None:
-        """Keeps of each item's n-grams those that are seeds: (gram, item, place), sorted by gram."""
-        found = []
-        for i, grams in enumerate(self.grams):
-            often = np.array([counts.get(int(g), 0) for g in grams])
-            rare = often <= np.quantile(often, 0.75)
-            found.append(np.stack([grams[rare], np.full(rare.sum(), i, np.uint64), np.nonzero(rare)[0].astype(np.uint64)], 1))
+        self.pairs = [(_pairs(w, 1), _pairs(w, 2)) for w in self.words]
+        self.all_pairs = np.unique(np.concatenate([np.zeros(0, np.uint64), *(p for both in self.pairs for p in both)]))
+
+    def seeded(self, counts: dict[int, int], min_score: float) -> None:
+        """Keeps the seeds: (pair, item, place), sorted by pair; and for each item how many a passage must have, and how far they lie apart in where the item would begin."""
+        found, self.least, self.drift = [], [], []
+        for i, (near, far) in enumerate(self.pairs):
+            full = len(self.words[i])
+            steps = max(1, math.ceil(min_score * full - 1e-9) - 1)
+            least = min(max(1, steps // KEPT), full - 1)
+            often = np.array([counts.get(int(p), 0) for p in near])
+            often[: len(far)] += [counts.get(int(p), 0) for p in far]
+            kept = np.sort(np.argsort(often, kind="stable")[: max(1, len(often) - (steps - least))]).astype(np.uint64)
+            for pairs in (near, far):
+                own = kept[kept < len(pairs)]
+                found.append(np.stack([pairs[own], np.full(len(own), i, np.uint64), own], 1))
+            self.least.append(least)
+            self.drift.append(max(0, math.floor(2 * full * (1 - min_score) + 1e-9)))
         table_ = np.concatenate([np.zeros((0, 3), np.uint64), *found])
         self.seeds = table_[np.argsort(table_[:, 0], kind="stable")]
 
@@ -116,29 +121,43 @@ def align(item: np.ndarray, passages: np.ndarray) -> tuple[np.ndarray, np.ndarra
 def _hits(items: Items, min_score: float):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seeds = items.seeds[:, 0]
+        lengths, drifts, least = np.array([len(w) for w in items.words]), np.array(items.drift), np.array(items.least)
         for docs, ids, firsts in _spans(batches, items.vocabulary):
-            keys = _grams(ids)
-            place = np.nonzero(keys)[0]
-            low, high = np.searchsorted(seeds, keys[place], "left"), np.searchsorted(seeds, keys[place], "right")
-            times = high - low
-            if not times.any():
+            found = []
+            for apart in (1, 2):
+                keys = _pairs(ids, apart)
+                place = np.nonzero(keys)[0]
+                low, high = np.searchsorted(seeds, keys[place], "left"), np.searchsorted(seeds, keys[place], "right")
+                times = high - low
+                row = np.repeat(low - np.cumsum(times) + times, times) + np.arange(times.sum())
+                found.append((row, np.repeat(place, times)))
+            row, place = (np.concatenate(part) for part in zip(*found, strict=True))
+            if not len(row):
                 continue
-            row = np.repeat(low - np.concatenate([[0], np.cumsum(times)[:-1]]), times) + np.arange(times.sum())
-            place = np.repeat(place, times)
             item, start = items.seeds[row, 1].astype(np.int64), place - items.seeds[row, 2].astype(np.int64)
             doc = np.searchsorted(firsts, place, "right") - 1
-            length = np.array([len(w) for w in items.words])[item]
-            # seeds of one item within half its length of each other in where it would begin are one passage
-            order = np.lexsort((start, doc, item))
-            item, start, doc, length = item[order], start[order], doc[order], length[order]
-            new = np.ones(len(item), bool)
-            new[1:] = (item[1:] != item[:-1]) | (doc[1:] != doc[:-1]) | (start[1:] - start[:-1] > length[1:] // 2)
+            # one line for all: item, document, where the item would begin; of an item's seeds in a document, those within its drift can be of one alignment
+            wide = len(ids) + 4 * int(lengths.max() + drifts.max())
+            at = (item * len(docs) + doc) * wide + start + int(lengths.max())
+            order = np.lexsort((place, at))
+            item, start, doc, place, at = item[order], start[order], doc[order], place[order], at[order]
+            new = np.ones(len(at), bool)
+            new[1:] = (at[1:] != at[:-1]) | (place[1:] != place[:-1])
+            item, start, doc, at = item[new], start[new], doc[new], at[new]
+            behind = np.searchsorted(at, at + drifts[item], "right")
+            enough = np.nonzero(behind - np.arange(len(at)) >= least[item])[0]
+            covered = np.cumsum(np.bincount(enough, minlength=len(at) + 1) - np.bincount(behind[enough], minlength=len(at) + 1))[:-1] > 0
+            item, start, doc, at = item[covered], start[covered], doc[covered], at[covered]
+            if not len(at):
+                continue
+            new = np.ones(len(at), bool)
+            new[1:] = at[1:] - at[:-1] > drifts[item[1:]]
             group = np.nonzero(new)[0]
             last = np.concatenate([group[1:], [len(item)]]) - 1
             count = last - group + 1
-            item, first, length, doc = item[group], start[group], length[group], doc[group]
-            begin = np.maximum(first - length // 2, firsts[doc])
-            end = np.minimum(start[last] + length * 3 // 2 + 1, firsts[doc + 1] - N)
+            item, first, doc = item[group], start[group], doc[group]
+            begin = np.maximum(first - drifts[item], firsts[doc])
+            end = np.minimum(start[last] + lengths[item] + drifts[item] + 1, firsts[doc + 1] - N)
             out: dict[tuple[int, int], tuple] = {}
             for i in np.unique(item):
                 mine = np.nonzero(item == i)[0]
@@ -167,14 +186,15 @@ def _hits(items: Items, min_score: float):
 
 def _counted(items: Items):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros(len(items.all_grams), np.int64)
+        total = np.zeros(len(items.all_pairs), np.int64)
         for _, ids, _ in _spans(batches, items.vocabulary):
-            keys = _grams(ids)
-            keys = keys[keys > 0]
-            at = np.minimum(np.searchsorted(items.all_grams, keys), len(total) - 1)
-            total += np.bincount(at[items.all_grams[at] == keys], minlength=len(total))
+            for apart in (1, 2):
+                keys = _pairs(ids, apart)
+                keys = keys[keys > 0]
+                at = np.minimum(np.searchsorted(items.all_pairs, keys), len(total) - 1)
+                total += np.bincount(at[items.all_pairs[at] == keys], minlength=len(total))
         some = np.nonzero(total)[0]
-        yield pa.RecordBatch.from_arrays([pa.array(items.all_grams[some].view(np.int64)), pa.array(total[some])], names=["gram", "places"])
+        yield pa.RecordBatch.from_arrays([pa.array(items.all_pairs[some].view(np.int64)), pa.array(total[some])], names=["pair", "places"])
 
     return run
 
@@ -191,8 +211,8 @@ def contaminated(docs: DataFrame, items: DataFrame, min_score: float = MIN_SCORE
         chunk = Items(sorted(tuple(r) for r in tests.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(chunks)) == k).collect()))
         if not chunk.ids:
             continue
-        counts = given.mapInArrow(_counted(chunk), "gram bigint, places bigint").groupBy("gram").agg(F.sum("places").alias("places"))
-        chunk.seeded({r["gram"] & (2**64 - 1): r["places"] for r in counts.collect()})
+        counts = given.mapInArrow(_counted(chunk), "pair bigint, places bigint").groupBy("pair").agg(F.sum("places").alias("places"))
+        chunk.seeded({r["pair"]: r["places"] for r in counts.collect()}, min_score)
         found = given.mapInArrow(_hits(chunk, min_score), "doc_id bigint, item_id bigint, score double, first_word bigint, end_word bigint, n_seeds bigint")
         out = found if out is None else out.unionByName(found)
     return out if out is not None else spark.createDataFrame([], "doc_id bigint, item_id bigint, score double, first_word bigint, end_word bigint, n_seeds bigint")

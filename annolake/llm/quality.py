@@ -1,9 +1,9 @@
-"""Quality classification by a modified Kneser-Ney model of the characters of words, trained on trusted text.
+"""Quality classification by a modified Kneser-Ney model of the characters of running text, trained on trusted text.
 
-The words of trusted documents are counted for each language; their character n-grams (a word is read between a start and an end mark) give the
-counts of the highest order, and each lower order counts in how many different grams a gram is a suffix. Discounts come from each order's own
-counts of counts. Counts, contexts and discounts are tables sharded by (language, gram). A block of documents asks for the distinct grams of its words, each distinct
-gram is scored once by joins with those tables, and a word's and then a document's logarithms are sums over what comes back.
+A text is read from a start to an end mark with single spaces for white space, and its character n-grams, which go on across words, give for each language of the trusted documents
+the counts of the highest order; each lower order counts in how many different grams a gram is a suffix. Discounts come from each order's own
+counts of counts. Counts, contexts and discounts are tables sharded by (language, gram). A block of documents asks for its distinct grams, each distinct
+gram is scored once by joins with those tables, and a document's logarithms are sums over what comes back.
 
 A tenth of the trusted documents (by hash of the id) takes no part in the counts; for each language a quantile of their mean surprisal per
 character, and a margin, is the threshold. A document's surprisal is lowered by an allowance for its length before it is compared, so a short clean text isn't rejected by chance.
@@ -16,8 +16,8 @@ label speaks against it; empty tables give an empty result; other columns are no
 from __future__ import annotations
 
 from collections import Counter
-from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -26,54 +26,52 @@ from annolake.llm.blocks import block_of, packed, unpacked
 from annolake.llm.tables import Scratch, block_count, table, text_or_empty
 
 ORDER = 4
-#: Share of held-out trusted documents whose surprisal is at most the quantile; nats that the threshold lies above it; standard errors
-#: by which a document's own surprisal is lowered.
+#: Share of held-out trusted documents whose surprisal is at most the quantile; nats that the threshold lies above it; standard errors by which a document's own surprisal is lowered.
 QUANTILE, MARGIN, ALLOWANCE = 0.99, 0.5, 3.0
 HELD_OUT = 10
 START, END = "\x02", "\x03"
 _GRAM = "lang string, gram string"
 
 
-def _bags(batch: pa.RecordBatch) -> pa.RecordBatch:
-    """Each text as its words in order, one in a line: all that is scored, and it packs well."""
-    return batch.set_column(2, "text", pa.array(["\n".join(sorted(text.as_py().split())) for text in batch.column(2)], pa.string()))
+def _spaced(batch: pa.RecordBatch) -> pa.RecordBatch:
+    """Each text with single spaces: all that is scored."""
+    return batch.set_column(2, "text", pa.array([" ".join(text.as_py().split()) for text in batch.column(2)], pa.string()))
 
 
-def _words(bag: pa.Scalar) -> list[str]:
-    return bag.as_py().split()
+def _gram_counts(order: int):
+    """Grams of the highest order in a block's trusted documents."""
 
+    def run(chunks: pa.Table, trusted: pa.Table) -> pa.Table:
+        wanted = set(trusted.column("doc").to_pylist())
+        counts: dict[str, Counter] = {}
+        if wanted:
+            for batch in unpacked(chunks):
+                for doc, lang, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2), strict=True):
+                    if doc in wanted and (value := text.as_py()):
+                        counts.setdefault(lang, Counter()).update(grams(value, order))
+        langs = [lang for lang, own in counts.items() for _ in own]
+        found, n = [g for own in counts.values() for g in own], [n for own in counts.values() for n in own.values()]
+        return pa.table({"lang": pa.array(langs, pa.string()), "gram": pa.array(found, pa.string()), "n": pa.array(n, pa.int64())})
 
-def _word_counts(chunks: pa.Table, trusted: pa.Table) -> pa.Table:
-    """Words of a block's trusted documents."""
-    wanted = set(trusted.column("doc").to_pylist())
-    counts: dict[str, Counter] = {}
-    if wanted:
-        for batch in unpacked(chunks):
-            for doc, lang, bag in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2), strict=True):
-                if doc in wanted:
-                    counts.setdefault(lang, Counter()).update(_words(bag))
-    rows = [(lang, w, n) for lang, own in counts.items() for w, n in own.items()]
-    lang, words, n = zip(*rows, strict=True) if rows else ((), (), ())
-    return pa.table({"lang": pa.array(lang, pa.string()), "word": pa.array(words, pa.string()), "n": pa.array(n, pa.int64())})
+    return run
 
 
-def grams(word: str, order: int = ORDER) -> list[str]:
-    """For each character of the word and its end mark: it, with what stands before it, ``order`` characters at most."""
-    marked = START + word + END
-    return [marked[max(0, i - order) : i] for i in range(2, len(marked) + 1)]
+def grams(text: str, order: int = ORDER) -> list[str]:
+    """For each character of the text and its end mark: it, with what stands before it, ``order`` characters at most."""
+    marked = START + text + END
+    first = [marked[:i] for i in range(2, min(order, len(marked) + 1))]
+    return first + [marked[i : i + order] for i in range(len(marked) - order + 1)]
 
 
 def _asked(order: int):
     def run(_key: tuple[pa.Scalar, ...], chunks: pa.Table) -> pa.Table:
         found: dict[str, set] = {}
         for batch in unpacked(chunks):
-            for lang, bag in zip(batch.column(1).to_pylist(), batch.column(2), strict=True):
-                found.setdefault(lang, set()).update(_words(bag))
+            for lang, text in zip(batch.column(1).to_pylist(), batch.column(2), strict=True):
+                if value := text.as_py():
+                    found.setdefault(lang, set()).update(grams(value, order))
         langs, out = [], []
-        for lang, words in found.items():
-            own = set()
-            for w in words:
-                own.update(grams(w, order))
+        for lang, own in found.items():
             out += own
             langs += [lang] * len(own)
         return pa.table({"b": pa.array([_key[0].as_py()] * len(out), pa.int32()), "lang": pa.array(langs, pa.string()), "gram": pa.array(out, pa.string())})
@@ -82,11 +80,16 @@ def _asked(order: int):
 
 
 def model(words: DataFrame, order: int = ORDER, scratch: Scratch | None = None) -> tuple[DataFrame, DataFrame]:
-    """From (lang, word, n) the tables (lang, gram, share) and (lang, ctx, left): a gram's discounted share of its context, and what the
-    context leaves to the next lower order."""
+    """The tables of `shares_of` from whole texts (lang, word, n)."""
     marked = F.concat(F.lit(START), F.col("word"), F.lit(END))
     ends = F.sequence(F.lit(2), F.length("word") + 2)
     top = words.select("lang", "n", F.explode(F.transform(ends, lambda i: F.substring(marked, F.greatest(i - (order - 1), F.lit(1)), F.least(i, F.lit(order))))).alias("gram"))
+    return shares_of(top, order, scratch)
+
+
+def shares_of(top: DataFrame, order: int = ORDER, scratch: Scratch | None = None) -> tuple[DataFrame, DataFrame]:
+    """From counts (lang, gram, n) of the highest order the tables (lang, gram, share) and (lang, ctx, left): a gram's discounted share of its
+    context, and what the context leaves to the next lower order."""
     top = top.groupBy("lang", "gram").agg(F.sum("n").alias("n"))
     # every suffix once, with its count where it is of the highest order or starts a word
     parts = top.select("lang", "gram", "n", F.explode(F.sequence(F.lit(1), F.length("gram"))).alias("k"))
@@ -129,26 +132,16 @@ def _scored(order: int):
         table_: dict[str, dict[str, float]] = {}
         for lang, gram, nats in zip(told.column("lang").to_pylist(), told.column("gram").to_pylist(), told.column("nats").to_pylist(), strict=True):
             table_.setdefault(lang, {})[gram] = nats
-        memo: dict[str, dict[str, tuple[float, float]]] = {}
         docs, langs, nats, squares, chars = [], [], [], [], []
         for batch in unpacked(chunks):
-            for doc, lang, bag in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2), strict=True):
-                own, of = memo.setdefault(lang, {}), table_.get(lang, {})
-                total = square = 0.0
-                n = 0
-                for word, times in Counter(_words(bag)).items():
-                    got = own.get(word)
-                    if got is None:
-                        each = [of[g] for g in grams(word, order)]
-                        got = own[word] = (sum(each), sum(x * x for x in each))
-                    total += times * got[0]
-                    square += times * got[1]
-                    n += times * (len(word) + 1)
+            for doc, lang, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2), strict=True):
+                value, of = text.as_py(), table_.get(lang, {})
+                each = np.array([of[g] for g in grams(value, order)] if value else [], np.float64)
                 docs.append(doc)
                 langs.append(lang)
-                nats.append(total)
-                squares.append(square)
-                chars.append(n)
+                nats.append(float(each.sum()))
+                squares.append(float((each * each).sum()))
+                chars.append(len(each))
         return pa.table(
             {"doc": pa.array(docs, pa.int64()), "lang": pa.array(langs, pa.string()), "nats": pa.array(nats, pa.float64()), "squares": pa.array(squares, pa.float64()), "chars": pa.array(chars, pa.int64())}
         )
@@ -160,13 +153,13 @@ def scores(docs: DataFrame, labels: DataFrame, order: int, id_col: str, text: st
     """(doc, lang, nats, squares, chars) for each row, and the ids of the trusted documents that are held out."""
     scratch, count = Scratch(docs.sparkSession), block_count(docs.sparkSession, 1)
     rows = docs.select(F.col(id_col).cast("long").alias("doc"), F.coalesce(F.col(lang).cast("string"), F.lit("")).alias("lang"), text_or_empty(text).alias("text"))
-    chunks = scratch.bucketed(packed(rows, "doc", count, _bags), count, "b", "bags")
+    chunks = scratch.bucketed(packed(rows, "doc", count, _spaced), count, "b", "spaced")
     label = labels.where(F.col("doc_id").isNotNull()).groupBy(F.col("doc_id").cast("long").alias("doc"))
     trusted = label.agg(((F.min("quality") > 0) & (F.coalesce(F.max("toxic"), F.lit(0)) == 0)).alias("ok")).where("ok").select("doc")
     held = F.pmod(F.xxhash64(F.col("doc"), F.lit("held out")), F.lit(HELD_OUT)) == 0
     counted = trusted.where(~held).select("doc", block_of("doc", count).alias("b"))
-    words = chunks.groupBy("b").cogroup(counted.groupBy("b")).applyInArrow(_word_counts, "lang string, word string, n bigint").groupBy("lang", "word").agg(F.sum("n").alias("n"))
-    shares, contexts = model(words, order, scratch)
+    top = chunks.groupBy("b").cogroup(counted.groupBy("b")).applyInArrow(_gram_counts(order), f"{_GRAM}, n bigint")
+    shares, contexts = shares_of(top, order, scratch)
     asked = scratch.write(chunks.groupBy("b").applyInArrow(_asked(order), f"b int, {_GRAM}"), "asked")
     told = asked.join(surprisal(asked.select("lang", "gram").distinct(), shares, contexts), ["lang", "gram"]).select("b", "lang", "gram", "nats")
     scored = chunks.groupBy("b").cogroup(told.groupBy("b")).applyInArrow(_scored(order), "doc bigint, lang string, nats double, squares double, chars bigint")

@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 from annolake.llm.blocks import block_of, packed, unpacked
 from annolake.llm.tables import Scratch, block_count, table, text_or_empty
 
-ORDER = 4
+ORDER = 5
 #: Share of held-out trusted documents whose surprisal is at most the quantile; nats that the threshold lies above it; standard errors by which a document's own surprisal is lowered.
 QUANTILE, MARGIN, ALLOWANCE = 0.99, 0.5, 3.0
 HELD_OUT = 10

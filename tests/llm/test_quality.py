@@ -28,3 +28,8 @@ def test_word_order_and_repetition_count(spark):
     clean, salad, stutter = (got[len(trusted) + k] for k in range(3))
     assert clean["keep"] and not salad["keep"] and not stutter["keep"]
     assert salad["perplexity"] > 1.5 * clean["perplexity"]
+
+
+def test_four_characters_of_context_decide(spark):
+    got = judged(spark, ["abcdx", "zbcdy"] * 60, ["abcdx", "abcdy"])
+    assert got[121]["perplexity"] > 1.2 * got[120]["perplexity"]

@@ -6,7 +6,7 @@ counts of counts. Counts, contexts and discounts are tables sharded by (language
 gram is scored once by joins with those tables, and a document's logarithms are sums over what comes back.
 
 A tenth of the trusted documents (by hash of the id) takes no part in the counts; for each language a quantile of their mean surprisal per
-character, and a margin, is the threshold. A document's surprisal is lowered by an allowance for its length before it is compared, so a short clean text isn't rejected by chance.
+character is the threshold. A document's surprisal is lowered by an allowance for its length before it is compared, so a short clean text isn't rejected by chance.
 
 Cases: null or empty text has no surprisal and is kept, as nothing speaks against it (``perplexity`` null); a null language is one of its own (''); a language without
 trusted documents has no threshold and its documents are kept; repeated rows are judged each; a document labelled several times is trusted if no
@@ -26,8 +26,8 @@ from annolake.llm.blocks import block_of, packed, unpacked
 from annolake.llm.tables import Scratch, block_count, table, text_or_empty
 
 ORDER = 5
-#: Share of held-out trusted documents whose surprisal is at most the quantile; nats that the threshold lies above it; standard errors by which a document's own surprisal is lowered.
-QUANTILE, MARGIN, ALLOWANCE = 0.99, 0.5, 3.0
+#: Share of held-out trusted documents whose surprisal is at most the threshold; standard errors by which a document's own surprisal is lowered.
+QUANTILE, ALLOWANCE = 0.99, 3.0
 HELD_OUT = 10
 START, END = "\x02", "\x03"
 _GRAM = "lang string, gram string"
@@ -169,14 +169,14 @@ def scores(docs: DataFrame, labels: DataFrame, order: int, id_col: str, text: st
 
 
 def classify(
-    docs: DataFrame, labels: DataFrame, order: int = ORDER, quantile: float = QUANTILE, margin: float = MARGIN, allowance: float = ALLOWANCE, id_col: str = "doc_id", text: str = "text", lang: str = "lang"
+    docs: DataFrame, labels: DataFrame, order: int = ORDER, quantile: float = QUANTILE, allowance: float = ALLOWANCE, id_col: str = "doc_id", text: str = "text", lang: str = "lang"
 ) -> DataFrame:
     """(doc_id, lang, n_scored, perplexity, threshold, keep) for each row of documents; labels: (doc_id, quality, toxic)."""
     scored, held_out = scores(docs, labels, order, id_col, text, lang)
     mean, square = F.try_divide("nats", "chars"), F.try_divide("squares", "chars")  # null without characters
     error = F.sqrt(F.try_divide(F.greatest(square - mean * mean, F.lit(0.0)), F.col("chars")))
     rows = scored.withColumn("mean", mean).withColumn("low", F.col("mean") - F.lit(allowance) * error)
-    limits = rows.join(held_out, "doc", "left_semi").groupBy("lang").agg((F.percentile_approx("mean", F.lit(quantile), F.lit(100_000)) + F.lit(margin)).alias("limit"))
+    limits = rows.join(held_out, "doc", "left_semi").groupBy("lang").agg(F.percentile_approx("mean", F.lit(quantile), F.lit(100_000)).alias("limit"))
     told = rows.join(limits, "lang", "left")
     return told.select(
         F.col("doc").alias("doc_id"), "lang", F.col("chars").alias("n_scored"), F.exp("mean").alias("perplexity"), F.exp("limit").alias("threshold"),

@@ -33,3 +33,12 @@ def test_word_order_and_repetition_count(spark):
 def test_four_characters_of_context_decide(spark):
     got = judged(spark, ["abcdx", "zbcdy"] * 60, ["abcdx", "abcdy"])
     assert got[121]["perplexity"] > 1.2 * got[120]["perplexity"]
+
+
+def test_the_threshold_is_the_quantile_of_the_held_out(spark):
+    r = random.Random(6)
+    trusted = [" ".join(r.choice(("ba", "noti", "resul", "menda")) for _ in range(r.randint(5, 60))) for _ in range(300)]
+    got = judged(spark, trusted, [])
+    held = spark.range(300).where(F.pmod(F.xxhash64("id", F.lit("held out")), F.lit(quality.HELD_OUT)) == 0).collect()
+    own = sorted(got[x["id"]]["perplexity"] for x in held)
+    assert 10 < len(own) < 100 and got[0]["threshold"] == pytest.approx(own[-1])

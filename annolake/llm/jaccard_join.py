@@ -205,7 +205,8 @@ def similar(a: np.ndarray, b: np.ndarray, percent: int = PERCENT) -> bool:
 
 
 class _Sets(dict):
-    """Sets of the nodes that a worker has met lately, up to so many tokens."""
+    """Sets of the texts that a worker has met lately, up to so many tokens. A text is known by a digest of what was sent, as an id can stand for
+    several texts and for others in a later run."""
 
     def __init__(self, size: int, most: int = 12_000_000):
         super().__init__()
@@ -213,14 +214,18 @@ class _Sets(dict):
 
         self.size, self.most, self.held, self.press = size, most, 0, zstandard.ZstdDecompressor()
 
-    def of(self, node: int, body: pa.Scalar) -> np.ndarray:
-        if node not in self:
+    def of(self, body: pa.Scalar) -> np.ndarray:
+        import xxhash
+
+        sent = body.as_buffer()
+        key = xxhash.xxh3_128_digest(sent)
+        if key not in self:
             if self.held > self.most:
                 self.clear()
                 self.held = 0
-            self[node] = shingles(self.press.decompress(body.as_py()).decode("utf-8", "surrogatepass"), self.size)
-            self.held += len(self[node])
-        return self[node]
+            self[key] = shingles(self.press.decompress(sent).decode("utf-8", "surrogatepass"), self.size)
+            self.held += len(self[key])
+        return self[key]
 
 
 _SETS: dict[int, _Sets] = {}
@@ -234,8 +239,7 @@ def _verified(size: int, percent: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sets = _Sets(size)
         for batch in batches:
-            pairs = zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2), batch.column(3), strict=True)
-            keep = [similar(sets.of(x, bx), sets.of(y, by), percent) for x, y, bx, by in pairs]
+            keep = [similar(sets.of(bx), sets.of(by), percent) for bx, by in zip(batch.column(2), batch.column(3), strict=True)]
             yield batch.select(["x", "y"]).filter(pa.array(keep, pa.bool_()))
 
     return run
@@ -289,7 +293,7 @@ def _dense(size: int, percent: int):
     def run(key: tuple[pa.Scalar, ...], rows: pa.Table) -> pa.Table:
         sets, i, j = _sets(size), key[1].as_py(), key[2].as_py()
         node, label, block = (np.asarray(rows.column(c), dtype=np.int64) for c in ("node", "label", "block"))
-        own = [sets.of(n, body) for n, body in zip(node.tolist(), (x for c in rows.column("body").chunks for x in c), strict=True)]
+        own = [sets.of(body) for c in rows.column("body").chunks for body in c]
         a, b = np.nonzero(block == i)[0], np.nonzero(block == j)[0]
         n = np.array([len(s) for s in own], np.int64)
         both = overlaps([own[k] for k in a], [own[k] for k in b])
@@ -315,6 +319,12 @@ def near_duplicates(docs: DataFrame, percent: int = PERCENT, size: int = WORDS,
     members = scratch.write(rows.mapInArrow(_digests(size), "doc bigint, n bigint, digest binary"), "members", keep=True)
     nodes = members.where(F.col("digest").isNotNull() & F.col("doc").isNotNull()).groupBy("digest").agg(F.min("doc").alias("node"))
     nodes = scratch.write(nodes, "nodes", keep=True)
+    # ids with several sets: the nodes of those sets belong together
+    given = members.where(F.col("digest").isNotNull() & F.col("doc").isNotNull())
+    told_apart = F.xxhash64("digest")
+    several = given.groupBy("doc").agg(F.min(told_apart).alias("low"), F.max(told_apart).alias("high")).where(F.col("low") < F.col("high")).select("doc")
+    of = given.join(several, "doc", "left_semi").join(nodes, "digest").select("doc", F.col("node").alias("y")).distinct()
+    same = scratch.write(of.groupBy("doc").agg(F.min("y").alias("x")).join(of, "doc").where(F.col("x") < F.col("y")).select("x", "y").distinct(), "same")
     chunks = scratch.bucketed(packed(rows.where(F.col("doc").isNotNull()), "doc", count), count, "b", "texts")
 
     def step(n: int, v: DataFrame, *rest) -> DataFrame:
@@ -351,12 +361,11 @@ def near_duplicates(docs: DataFrame, percent: int = PERCENT, size: int = WORDS,
     many = open_.where(F.col("members") >= LARGE).withColumn("block", F.pmod(F.xxhash64("node"), blocks).cast("int"))
     many = many.withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1))).select("token", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "node", "label")
     dense = many.join(bodies, "node").groupBy("token", "i", "j").applyInArrow(_dense(size, percent), "x bigint, y bigint").distinct()
-    joined = _links(across, bodies, size, percent).unionByName(dense).unionByName(labels.select(F.col("node").alias("x"), F.col("label").alias("y")))
+    joined = _links(across, bodies, size, percent).unionByName(dense).unionByName(labels.select(F.col("node").alias("x"), F.col("label").alias("y"))).unionByName(same)
     final = components(joined)
     scratch.clear()
 
     named = nodes.join(final, "node", "left").select("digest", F.coalesce("label", "node").alias("label"))
-    # one id with several sets: its rows are one document
     own = members.join(named, "digest", "left").select("doc", "n", F.coalesce("label", "doc").alias("label"))
     return own.select(F.col("doc").alias("doc_id"), F.col("n").alias("n_shingles"), F.when(F.col("doc").isNotNull(), F.col("label")).alias("component_id"))
 

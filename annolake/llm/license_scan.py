@@ -1,6 +1,6 @@
 r"""License scans by ordered signature rules, with Spark expressions only.
 
-Documents without any rule's keyword stop at a substring test. In the others every rule whose keyword occurs
+Documents without any rule's keywords stop at a substring test. In the others every rule of which a keyword occurs
 is matched; the gaps and matches of a rule, in order, give its detections' places by running sums. A detection inside another of at least its priority is suppressed (of
 equal intervals the higher priority, then the earlier rule, stays), except for the base phrases, which always stay.
 
@@ -24,7 +24,7 @@ SEP = r"[^0-9A-Za-z\x{80}-\x{10FFFF}]+"
 #: Fixed by the contract of the scan: phrase and label.
 BASE = (("gnu general public license", "gpl"), ("apache license", "apache"), ("cc by", "cc-by"), ("mit license", "mit"))
 
-#: Label, name as a pattern, and a keyword that any text with that name has in lower case.
+#: Label, name as a pattern, and keywords: any text with that name has one of them in lower case. A keyword lies within a word, as names can be broken over lines.
 NAMES = (
     ("gpl-1.0", r"gnu (?:general public licen[sc]e|gpl),? v(?:ersion )?1(?:\.0)?", "gnu"),
     ("gpl-2.0", r"gnu (?:general public licen[sc]e|gpl),? v(?:ersion )?2(?:\.0)?", "gnu"),
@@ -33,7 +33,7 @@ NAMES = (
     ("lgpl-2.1", r"gnu lesser general public licen[sc]e,? v(?:ersion )?2\.1", "gnu"),
     ("lgpl-3.0", r"gnu lesser general public licen[sc]e,? v(?:ersion )?3(?:\.0)?", "gnu"),
     ("agpl-3.0", r"(?:gnu )?affero general public licen[sc]e(?:,? v(?:ersion )?3(?:\.0)?)?", "affero"),
-    ("gfdl", r"gnu free documentation licen[sc]e(?:,? v(?:ersion )?1\.[1-3])?", "gnu free"),
+    ("gfdl", r"gnu free documentation licen[sc]e(?:,? v(?:ersion )?1\.[1-3])?", "documentation"),
     ("apache-1.1", r"apache (?:software )?licen[sc]e,? v(?:ersion )?1\.1", "apache"),
     ("apache-2.0", r"apache (?:software )?licen[sc]e,? (?:v(?:ersion )?)?2(?:\.0)?", "apache"),
     ("mit", r"mit/expat licen[sc]e", "expat"),
@@ -50,48 +50,48 @@ NAMES = (
     ("epl", r"eclipse public licen[sc]e", "eclipse"),
     ("epl-1.0", r"eclipse public licen[sc]e,?(?: -)? v(?:ersion )?1(?:\.0)?", "eclipse"),
     ("epl-2.0", r"eclipse public licen[sc]e,?(?: -)? v(?:ersion )?2(?:\.0)?", "eclipse"),
-    ("cpl-1.0", r"common public licen[sc]e(?:,? v(?:ersion )?1\.0)?", "common public"),
+    ("cpl-1.0", r"common public licen[sc]e(?:,? v(?:ersion )?1\.0)?", "common"),
     ("cddl", r"common development and distribution licen[sc]e(?:,? v(?:ersion )?1\.[01])?", "distribution"),
-    ("eupl", r"european union public licen[sc]e(?:,? v(?:ersion )?\.?\s?1\.[12])?", "european union"),
+    ("eupl", r"european union public licen[sc]e(?:,? v(?:ersion )?\.?\s?1\.[12])?", "european"),
     ("artistic", r"artistic licen[sc]e(?:,? v(?:ersion )?[12]\.0)?", "artistic"),
     ("boost", r"boost software licen[sc]e(?:(?:,| -)? v(?:ersion )?1\.0)?", "boost"),
     ("zlib", r"zlib(?:/libpng)? licen[sc]e", "zlib"),
     ("unlicense", r"the unlicense|released under the unlicense", "unlicense"),
-    ("wtfpl", r"do what the f\w+ you want to public licen[sc]e|wtfpl", "wtfpl"),
+    ("wtfpl", r"do what the f\w+ you want to public licen[sc]e|wtfpl", "want wtfpl"),
     ("psf", r"python software foundation licen[sc]e|psf licen[sc]e", "licen"),
-    ("ofl", r"sil open font licen[sc]e(?:,? v(?:ersion )?1\.1)?", "open font"),
+    ("ofl", r"sil open font licen[sc]e(?:,? v(?:ersion )?1\.1)?", "font"),
     ("openssl", r"openssl licen[sc]e", "openssl"),
-    ("ms-pl", r"microsoft public licen[sc]e|ms-pl", "ms-pl"),
+    ("ms-pl", r"microsoft public licen[sc]e|ms-pl", "microsoft ms-pl"),
     ("ms-rl", r"microsoft reciprocal licen[sc]e", "reciprocal"),
     ("postgresql", r"postgresql licen[sc]e", "postgresql"),
     ("php", r"php licen[sc]e(?:,? v(?:ersion )?3\.0[01]?)?", "php"),
     ("ruby", r"ruby licen[sc]e", "ruby"),
     ("vim", r"vim licen[sc]e", "vim"),
     ("zpl", r"zope public licen[sc]e(?:,? v(?:ersion )?2\.[01])?", "zope"),
-    ("odbl", r"open (?:data commons open )?database licen[sc]e|odc-odbl|odbl", "odbl"),
+    ("odbl", r"open (?:data commons open )?database licen[sc]e|odc-odbl|odbl", "database odbl"),
     ("odc-by", r"open data commons attribution licen[sc]e", "attribution"),
-    ("cc0", r"(?:creative commons|cc)[ -]?(?:zero|0)(?: 1\.0)?(?: universal)?", "cc"),
-    ("cc-by", r"(?:creative commons|cc)[ -](?:attribution|by)(?:[ -][1-4]\.0)?(?: international| unported)?", "cc"),
-    ("cc-by", r"creative commons attribution(?: [1-4]\.0)?(?: international| unported)?", "creative commons"),
-    ("cc-by-sa", r"(?:creative commons|cc)[ -](?:attribution|by)[ -]s(?:hare)?-?a(?:like)?(?:[ -][1-4]\.0)?", "cc"),
-    ("cc-by-sa", r"creative commons attribution[ -]share-?alike(?: [1-4]\.0)?", "creative commons"),
-    ("cc-by-nd", r"(?:creative commons|cc)[ -](?:attribution|by)[ -](?:nd|noderivs|noderivatives)(?:[ -][1-4]\.0)?", "cc"),
-    ("cc-by-nc", r"(?:creative commons|cc)[ -](?:attribution|by)[ -](?:nc|noncommercial)(?:[ -][1-4]\.0)?", "cc"),
-    ("cc-by-nc-sa", r"(?:creative commons|cc)[ -](?:attribution|by)[ -](?:nc|noncommercial)[ -](?:sa|sharealike)(?:[ -][1-4]\.0)?", "cc"),
-    ("cc-by-nc-nd", r"(?:creative commons|cc)[ -](?:attribution|by)[ -](?:nc|noncommercial)[ -](?:nd|noderivs)(?:[ -][1-4]\.0)?", "cc"),
+    ("cc0", r"(?:creative commons|cc)[ -]?(?:zero|0)(?: 1\.0)?(?: universal)?", "cc commons"),
+    ("cc-by", r"(?:creative commons|cc)[ -](?:attribution|by)(?:[ -][1-4]\.0)?(?: international| unported)?", "cc commons"),
+    ("cc-by", r"creative commons attribution(?: [1-4]\.0)?(?: international| unported)?", "commons"),
+    ("cc-by-sa", r"(?:creative commons|cc)[ -](?:attribution|by)[ -]s(?:hare)?-?a(?:like)?(?:[ -][1-4]\.0)?", "cc commons"),
+    ("cc-by-sa", r"creative commons attribution[ -]share-?alike(?: [1-4]\.0)?", "commons"),
+    ("cc-by-nd", r"(?:creative commons|cc)[ -](?:attribution|by)[ -](?:nd|noderivs|noderivatives)(?:[ -][1-4]\.0)?", "cc commons"),
+    ("cc-by-nc", r"(?:creative commons|cc)[ -](?:attribution|by)[ -](?:nc|noncommercial)(?:[ -][1-4]\.0)?", "cc commons"),
+    ("cc-by-nc-sa", r"(?:creative commons|cc)[ -](?:attribution|by)[ -](?:nc|noncommercial)[ -](?:sa|sharealike)(?:[ -][1-4]\.0)?", "cc commons"),
+    ("cc-by-nc-nd", r"(?:creative commons|cc)[ -](?:attribution|by)[ -](?:nc|noncommercial)[ -](?:nd|noderivs)(?:[ -][1-4]\.0)?", "cc commons"),
 )
 
-#: Whole sentences: label, pattern, keyword.
+#: Whole sentences: label, pattern, keywords.
 NOTICES = (
-    ("mit", r"permission is hereby granted, free of charge, to any person obtaining a copy of this software", "free of charge"),
-    ("isc", r"permission to use, copy, modify, and/?(?:or)? distribute this software for any purpose with or without fee is hereby granted", "without fee"),
+    ("mit", r"permission is hereby granted, free of charge, to any person obtaining a copy of this software", "hereby"),
+    ("isc", r"permission to use, copy, modify, and/?(?:or)? distribute this software for any purpose with or without fee is hereby granted", "hereby"),
     ("bsd", r"redistribution and use in source and binary forms,? with or without modification,? are permitted", "redistribution"),
     ("bsd-3-clause", r"neither the name of .{1,80}? nor the names of (?:its|the) contributors may be used to endorse", "endorse"),
-    ("bsd-4-clause", r"all advertising materials mentioning features or use of this software must display", "advertising materials"),
-    ("gpl-2.0", r"either version 2 of the license,? or (?:\(at your option\) )?any later version", "any later version"),
-    ("gpl-3.0", r"either version 3 of the license,? or (?:\(at your option\) )?any later version", "any later version"),
-    ("gpl", r"this program is free software[:;] you can redistribute it and/or modify", "redistribute it"),
-    ("lgpl", r"this library is free software[:;] you can redistribute it and/or modify", "redistribute it"),
+    ("bsd-4-clause", r"all advertising materials mentioning features or use of this software must display", "advertising"),
+    ("gpl-2.0", r"either version 2 of the license,? or (?:\(at your option\) )?any later version", "later"),
+    ("gpl-3.0", r"either version 3 of the license,? or (?:\(at your option\) )?any later version", "later"),
+    ("gpl", r"this program is free software[:;] you can redistribute it and/or modify", "redistribute"),
+    ("lgpl", r"this library is free software[:;] you can redistribute it and/or modify", "redistribute"),
     ("mpl-2.0", r"this source code form is subject to the terms of the mozilla public license", "mozilla"),
     ("apache-2.0", r"licensed under the apache license, version 2\.0 \(the .?license.?\)", "apache"),
     ("apache-2.0", r"https?://www\.apache\.org/licenses/license-2\.0", "apache.org"),
@@ -105,13 +105,13 @@ NOTICES = (
     ("cc0", r"https?://creativecommons\.org/publicdomain/zero/1\.0", "creativecommons.org"),
     ("zlib", r"this software is provided .?as-is.?, without any express or implied warranty", "as-is"),
     ("unlicense", r"this is free and unencumbered software released into the public domain", "unencumbered"),
-    ("public-domain", r"(?:released|dedicated|placed) (?:in)?to the public domain", "public domain"),
-    ("public-domain", r"in the public domain", "public domain"),
-    ("proprietary", r"all rights reserved\.? (?:unauthorized )?(?:copying|reproduction) .{0,60}?(?:strictly )?prohibited", "all rights reserved"),
+    ("public-domain", r"(?:released|dedicated|placed) (?:in)?to the public domain", "domain"),
+    ("public-domain", r"in the public domain", "domain"),
+    ("proprietary", r"all rights reserved\.? (?:unauthorized )?(?:copying|reproduction) .{0,60}?(?:strictly )?prohibited", "prohibited"),
     ("proprietary", r"proprietary and confidential", "proprietary"),
     ("boost", r"boost software license - version 1\.0", "boost"),
-    ("ofl", r"this font software is licensed under the sil open font license", "open font"),
-    ("copyright", r"(?:copyright|\(c\)|©) (?:\(c\) )?(?:19|20)\d\d(?:[-, ]+(?:19|20)?\d\d)* \w", "copyright"),
+    ("ofl", r"this font software is licensed under the sil open font license", "font"),
+    ("copyright", r"(?:copyright|\(c\)|©) (?:\(c\) )?(?:19|20)\d\d(?:[-, ]+(?:19|20)?\d\d)* \w", "copyright (c) ©"),
 )
 
 #: Form, priority: how a name stands in a text; {} is the name.
@@ -123,7 +123,7 @@ SPDX = (
 
 
 def rules() -> list[tuple[str, str, str, int, bool]]:
-    """(label, pattern, keyword, priority, base), in order."""
+    """(label, pattern, keywords, priority, base), in order."""
     def edge(pattern: str) -> str:
         return rf"(?i)(?<!{WORD})(?:{pattern})(?!{WORD})"
 
@@ -138,12 +138,13 @@ def rules() -> list[tuple[str, str, str, int, bool]]:
     return out
 
 
-#: Every keyword of a rule contains one of these.
-ANCHORS = ("licen", "copyright", "spdx", "public domain", "free of charge", "without fee", "redistribut", "creative commons", "creativecommons", "advertising materials", "any later version", "as-is", "unencumbered", "proprietary", "odbl", "ms-pl", "wtfpl", "endorse", "prohibited", "-clause", "gnu gpl")
+#: Every text that a rule matches has one of these or what `_may_match` looks for besides.
+ANCHORS = ("licen", "copyright", "(c)", "©", "spdx", "domain", "hereby", "redistribut", "commons", "advertising", "as-is", "unencumbered", "proprietary", "odbl", "ms-pl", "wtfpl", "endorse", "prohibited", "-clause")
 
 
 def _may_match(low: Column) -> Column:
-    found = F.rlike(low, F.lit(r"cc[^0-9a-z\x{80}-\x{10FFFF}]+by|cc[ -]?(?:0|zero|by|attribution)")) & low.contains("cc")
+    found = F.rlike(low, F.lit(r"cc[^0-9a-z\x{80}-\x{10FFFF}]+by|cc[\s+-]*(?:0|zero|by|attribution)")) & low.contains("cc")
+    found = (F.rlike(low, F.lit(r"gnu\s+gpl")) & low.contains("gpl")) | found
     for anchor in ANCHORS:
         found = low.contains(anchor) | found
     return found
@@ -163,12 +164,14 @@ def scan_licenses(docs: DataFrame, text: str = "text", id_col: str = "doc_id") -
 
     table_of_rules = F.array(
         *(
-            F.struct(F.lit(i).alias("n"), F.lit(label).alias("label"), F.lit(p).alias("pattern"), F.lit(key).alias("key"), F.lit(prio).alias("priority"), F.lit(base).alias("base"))
-            for i, (label, p, key, prio, base) in enumerate(rules())
+            F.struct(F.lit(i).alias("n"), F.lit(label).alias("label"), F.lit(p).alias("pattern"), F.array(*map(F.lit, keys.split())).alias("keys"), F.lit(prio).alias("priority"), F.lit(base).alias("base"))
+            for i, (label, p, keys, prio, base) in enumerate(rules())
         )
     )
     some = rows.where("_may").withColumn("_row", F.monotonically_increasing_id()).withColumn("_low", low)
-    gated = some.withColumn("r", F.explode_outer(F.filter(table_of_rules, lambda r: F.contains(F.col("_low"), r["key"])))).drop("_low")
+    keywords = F.array(*map(F.lit, sorted({key for rule in rules() for key in rule[2].split()})))
+    some = some.withColumn("_keys", F.filter(keywords, lambda key: F.contains(F.col("_low"), key)))
+    gated = some.withColumn("r", F.explode_outer(F.filter(table_of_rules, lambda r: F.arrays_overlap(r["keys"], F.col("_keys"))))).drop("_low", "_keys")
     hits = gated.select(id_col, "n_words", "_row", "r.n", "r.label", "r.priority", "r.base", F.regexp_extract_all("_text", F.col("r.pattern"), F.lit(0)).alias("m"), F.split("_text", F.col("r.pattern"), -1).alias("g"))
     def words(text: Column) -> Column:
         return F.regexp_count(text, F.lit(WORD + "+")).cast("long")

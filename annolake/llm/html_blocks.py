@@ -50,7 +50,7 @@ def _attribute_words(attrs: str) -> str:
         elif name in ("hidden", "aria-hidden"):
             words += ["hiddenstyle"] if value.lower() in ("", "true", "hidden") else []
         else:
-            words += [w.lower() for w in _WORDS.findall(html.unescape(value))[:12]]
+            words += [w.lower() for w in _WORDS.findall(html.unescape(value))]
     return " ".join(words)
 
 

@@ -54,7 +54,7 @@ def features(page: list[Block]) -> list[list[str]]:
             own.append("last")
         if i and page[i - 1].path == b.path:
             own.append("same path")
-        if _COOKIE.search(b.text[:400]):
+        if _COOKIE.search(b.text):
             own.append("boilerplate word")
         out.append(own)
     return out

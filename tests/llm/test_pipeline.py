@@ -87,7 +87,7 @@ def test_stages_against_brute_force(spark, tmp_path):
     assert {x["doc_id"]: x["text"] for x in outputs[3].collect()} == clean and len(clean) < len(single)
 
     # encoding
-    tokens = byte_bpe.tokens(byte_bpe.vocabulary()[0])
+    tokens = byte_bpe.tokens(byte_bpe.vocabulary()[0]).to_pylist()
     rows = outputs[4].collect()
     assert {x["doc_id"]: b"".join(tokens[i] for i in struct.unpack(f"<{x['n_tokens']}I", x["token_ids"])).decode() for x in rows} == clean
     assert all(x["exact"] for x in rows)

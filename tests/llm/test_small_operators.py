@@ -10,7 +10,7 @@ from annolake.llm.html_blocks import blocks
 from annolake.llm.labelled_pages import labelled_page
 from pyspark.sql import functions as F
 
-TEXTS = [None, "", " ", "Hello  world\n\n it's 漢字 ẞ 123!!", "a" * 4000, "\t\x1c\x85 x", "é" * 300 + " \n", "<|endoftext|>", "퟿"]
+TEXTS = [None, "", " ", "Hello  world\n\n it's 漢字 ẞ 123!!", "a" * 4000, "\t\x1c\x85 x", "é" * 300 + " \n", "<|endoftext|>", "the word, " * 3000 + "end.", "퟿"]
 
 
 def test_bpe_equals_the_library_and_round_trips(spark):
@@ -20,12 +20,14 @@ def test_bpe_equals_the_library_and_round_trips(spark):
     ranks = byte_bpe.read_ranks(path)
     other = tiktoken.Encoding("own", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
     r = random.Random(5)
-    texts = [*TEXTS, *("".join(r.choice("ab  \n\t'sé漢!?tthe1 ") for _ in range(r.randint(0, 60))) for _ in range(400))]
+    texts = [*TEXTS, *("".join(r.choice("ab  \n\t'sé漢à!?tthe1 \u3000\x85\x1c\u2003") for _ in range(r.randint(0, 60))) for _ in range(400))]
     frame = spark.createDataFrame([(i, t, 1) for i, t in enumerate(texts)], "doc_id long, text string, n_tokens int")
     got = {x["doc_id"]: x for x in byte_bpe.decode(byte_bpe.encode(frame, path, pattern), path).collect()}
     for i, t in enumerate(texts):
         ids = list(struct.unpack(f"<{got[i]['n_tokens']}I", got[i]["token_ids"]))
         assert ids == other.encode_ordinary(t or "") and bytes(got[i]["decoded"]) == (t or "").encode()
+    whole = {x["doc_id"]: (x["token_ids"], x["decoded"]) for x in byte_bpe.encode(frame.unionByName(frame), path, pattern, decoded=True).collect()}
+    assert whole == {i: (x["token_ids"], x["decoded"]) for i, x in got.items()}
     assert byte_bpe.encode(spark.createDataFrame([], "doc_id long, text string"), path, pattern).count() == 0
 
 

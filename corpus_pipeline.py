@@ -11,7 +11,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from annolake.llm.byte_bpe import decode, encode, vocabulary
+from annolake.llm.byte_bpe import encode, vocabulary
 from annolake.llm.decontaminate import contaminated
 from annolake.llm.jaccard_join import near_duplicates
 from annolake.llm.line_dedup import dedup_lines
@@ -52,8 +52,7 @@ def leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def token_ids(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """(doc_id, n_tokens, token_ids, exact): ids as little-endian unsigned 32-bit integers, and whether they decode to the very text."""
     path, pattern = vocabulary()
-    hashed = docs.select("doc_id", "text")
-    ids = decode(encode(hashed, path, pattern, keep_digest=True), path)
+    ids = encode(docs.select("doc_id", "text"), path, pattern, keep_digest=True, decoded=True)
     return ids.select("doc_id", "n_tokens", "token_ids", (F.sha2("decoded", 256) == F.col("text_sha256")).alias("exact"))
 
 

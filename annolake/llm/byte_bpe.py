@@ -26,6 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from annolake.llm.columns import joined, parts, slices
 from annolake.llm.tables import table, text_or_empty
 
 #: Entries and bytes of keys of a memo before it is emptied: bound a worker's memory.
@@ -169,29 +170,12 @@ class ByteBpe:
 
     def encode(self, texts: pa.Array) -> pa.Array:
         """Packed ids of each text."""
-        data, ends = _parts(texts)
+        data, ends = parts(texts)
         bounds = _stretches(data, ends) if self.cuts else _distinct(ends)
-        found = _joined(data, bounds).dictionary_encode()
+        found = joined(data, bounds).dictionary_encode()
         own = pa.array(map(self.stretch, found.dictionary.to_pylist()), pa.binary())
-        ids, stops = _parts(own.take(found.indices))
-        return _joined(ids, stops[np.searchsorted(bounds, ends)])
-
-
-def _parts(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-    """The bytes of a column of strings or binary values without nulls, and where they end, from 0."""
-    big = pa.types.is_large_string(column.type) or pa.types.is_large_binary(column.type)
-    if not len(column):
-        return np.zeros(0, np.uint8), np.zeros(1, np.int64)
-    _, offsets, data = column.buffers()
-    ends = np.frombuffer(offsets, np.int64 if big else np.int32)[column.offset : column.offset + len(column) + 1].astype(np.int64)
-    whole = np.frombuffer(data, np.uint8) if data is not None else np.zeros(0, np.uint8)
-    return whole[ends[0] : ends[-1]], ends - ends[0]
-
-
-def _joined(data: np.ndarray, ends: np.ndarray) -> pa.Array:
-    """The reverse of `_parts`. A single text may pass the 2 GB of a plain column only in bytes of ids."""
-    kind, size = (pa.binary(), np.int32) if ends[-1] < 1 << 31 else (pa.large_binary(), np.int64)
-    return pa.Array.from_buffers(kind, len(ends) - 1, [None, pa.py_buffer(ends.astype(size)), pa.py_buffer(np.ascontiguousarray(data))])
+        ids, stops = parts(own.take(found.indices))
+        return joined(ids, stops[np.searchsorted(bounds, ends)])
 
 
 def _stretches(data: np.ndarray, ends: np.ndarray) -> np.ndarray:
@@ -239,25 +223,14 @@ def tokens(path: str) -> pa.Array:
 
 def unpacked_bytes(packed: pa.Array, token: pa.Array) -> pa.Array:
     """The bytes that packed ids stand for."""
-    ids, ends = _parts(packed)
-    out, stops = _parts(token.take(pa.array(np.frombuffer(np.ascontiguousarray(ids), "<u4"))))
-    return _joined(out, stops[ends // 4])
-
-
-def _slices(batches: Iterator[pa.RecordBatch], column: str) -> Iterator[pa.RecordBatch]:
-    """The rows in batches of about ``BATCH_BYTES`` of a column, one row at least."""
-    for batch in batches:
-        _, ends = _parts(batch.column(column))
-        at = 0
-        while at < batch.num_rows:
-            stop = max(at + 1, int(np.searchsorted(ends, ends[at] + BATCH_BYTES, side="right")) - 1)
-            yield batch.slice(at, stop - at)
-            at = stop
+    ids, ends = parts(packed)
+    out, stops = parts(token.take(pa.array(np.frombuffer(np.ascontiguousarray(ids), "<u4"))))
+    return joined(out, stops[ends // 4])
 
 
 def _with_ids(part: pa.RecordBatch, c: ByteBpe) -> pa.RecordBatch:
     ids = c.encode(part.column("_text"))
-    counts = np.diff(_parts(ids)[1]) // 4
+    counts = np.diff(parts(ids)[1]) // 4
     return part.drop_columns(["_text"]).append_column("token_ids", ids).append_column("n_tokens", pa.array(counts, pa.int64()))
 
 
@@ -273,7 +246,7 @@ def encode(docs: DataFrame, path: str, pattern: str, text: str = "text", id_col:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         c = codec(path, pattern)
-        for part in _slices(batches, "_text"):
+        for part in slices(batches, "_text", BATCH_BYTES):
             out = _with_ids(part, c)
             yield out.append_column("decoded", unpacked_bytes(out.column("token_ids"), tokens(path))) if decoded else out
         c.piece_ids.clear()
@@ -287,7 +260,7 @@ def decode(encoded: DataFrame, path: str, out: str = "decoded") -> DataFrame:
     frame = encoded.withColumn("token_ids", F.coalesce("token_ids", F.lit(b"")))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part in _slices(batches, "token_ids"):
+        for part in slices(batches, "token_ids", BATCH_BYTES):
             yield part.append_column(out, unpacked_bytes(part.column("token_ids"), tokens(path)))
 
     return frame.mapInArrow(run, f"{_fields(frame)}, `{out}` binary")

@@ -13,8 +13,9 @@ def components(links: DataFrame, left: str = "x", right: str = "y") -> DataFrame
     """(node, label): the smallest node of each component that has a link. Only counts reach the driver; each round is a table in
     the shared folder, so a lost executor costs no earlier round."""
     scratch, old = Scratch(links.sparkSession), Scratch(links.sparkSession)
-    ways = links.select(F.col(left).alias("node"), F.col(right).alias("to")).where(F.col(left) != F.col(right))
-    both = scratch.write(ways.unionByName(ways.select(F.col("to").alias("node"), F.col("node").alias("to"))).distinct(), "links")
+    # both ways in one pass, as what makes the links can cost much
+    ways = F.inline(F.array(F.struct(F.col(left).alias("node"), F.col(right).alias("to")), F.struct(F.col(right).alias("node"), F.col(left).alias("to"))))
+    both = scratch.write(links.where(F.col(left) != F.col(right)).select(ways).distinct(), "links")
     labels = old.write(both.groupBy("node").agg(F.least(F.col("node"), F.min("to")).alias("label")), "labels")
     while True:
         near = both.join(labels.withColumnRenamed("node", "to"), "to").groupBy("node").agg(F.min("label").alias("near"))

@@ -10,11 +10,13 @@ and only links that connect them leave the task.
 
 Cases: null or empty text, and text without words, has an empty set, is linked with nothing and is its own component; fewer than five words are one shingle; rows
 repeated with one id are one document: what one of them is linked with, all are; a null id takes no part and has a null component; an empty table
-gives an empty result; other columns are not read.
+gives an empty result; very long texts are taken apart whole, alone in their lot; of equal sets the smallest id is the node, and ties between tokens or centres go to the larger hash or id; other
+columns are not read.
 """
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Iterator
 
 import numpy as np
@@ -24,50 +26,79 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from annolake.llm.blocks import block_of, packed, unpacked
+from annolake.llm.columns import parts, slices
 from annolake.llm.components import components
-from annolake.llm.tables import Scratch, block_count, table, text_or_empty
+from annolake.llm.tables import Scratch, blocks_by_bytes, table, text_or_empty
 
 WORDS, PERCENT = 5, 80
 #: Tokens that two similar sets must share in the longer prefixes: one in so many of the set, and one at least.
 MORE = 7
 #: Nodes of a token from which they are compared in blocks, and the nodes of a block.
 LARGE, BLOCK = 64, 1024
-_MEMO = 400_000
+#: Bytes of text that are taken apart at once (what stays in a processor's cache is taken apart fastest), and tokens of sets that a task holds.
+LOT, HELD = 1 << 20, 4_000_000
+PLACES = 64
+#: ASCII white space.
+_BLANK = np.isin(np.arange(256), [9, 10, 11, 12, 13, 32])
 _A, _B = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93)
 
 
-class _WordHashes(dict):
-    def __missing__(self, word):
-        import xxhash
-
-        if len(self) >= _MEMO:
-            self.clear()
-        value = self[word] = xxhash.xxh3_64_intdigest(word)
-        return value
+@functools.cache
+def _word_table() -> np.ndarray:
+    """A random number for each of ``PLACES`` places in a word and each byte: a word's hash is their sum. A-Z count as a-z, white space as nothing."""
+    import xxhash
+
+    out = np.array([xxhash.xxh3_64_intdigest(bytes((place + 128,)) + bytes((byte,)).lower()) for place in range(PLACES) for byte in range(256)], np.uint64).reshape(PLACES, 256)
+    out[:, _BLANK] = 0
+    return out.ravel()
+
+
+def shingle_sets(texts: pa.Array, size: int = WORDS) -> list[np.ndarray]:
+    """Of each text the sorted distinct hashes of all runs of ``size`` words (of all words, if fewer); the hash itself is the first order."""
+    data, ends = parts(texts)
+    blank = np.concatenate([[True], _BLANK[data]])
+    before = blank[:-1].copy()
+    before[ends[:-1][ends[:-1] < len(data)]] = True
+    starts = np.nonzero(before & ~blank[1:])[0]
+    if not len(starts):
+        return [np.zeros(0, np.uint64) for _ in range(len(texts))]
+    place = np.ones(len(data) - starts[0], np.int32)
+    place[0] = 0
+    place[starts[1:] - starts[0]] = 1 - np.diff(starts)
+    np.cumsum(place, out=place)
+    numbers = _word_table().take((place & PLACES - 1) << 8 | data[starts[0] :])
+    if place.max() >= PLACES:
+        numbers *= np.uint64(2) * (place // PLACES).astype(np.uint64) * _A + np.uint64(1)
+    h = _mixed(np.add.reduceat(numbers, starts - starts[0]))
+    first = np.searchsorted(starts, ends).tolist()
+    runs = _runs(h, size) if len(h) >= size else h
+    return [_distinct(runs[a : b - size + 1] if b - a >= size else _runs(h[a:b], b - a)) for a, b in zip(first, first[1:], strict=False)]
+
+
+def _mixed(h: np.ndarray) -> np.ndarray:
+    h ^= h >> np.uint64(32)
+    h *= _B
+    h ^= h >> np.uint64(29)
+    return h
+
+
+def _runs(h: np.ndarray, n: int) -> np.ndarray:
+    """The hashes of all runs of n words."""
+    out = h[: len(h) - n + 1].copy()
+    for k in range(1, n):
+        out *= _A
+        out ^= h[k : k + len(out)]
+    return _mixed(out)
 
 
-_HASHES = _WordHashes()
+def _distinct(tokens: np.ndarray) -> np.ndarray:
+    tokens = np.sort(tokens)
+    new = tokens[1:] != tokens[:-1]
+    return tokens if new.all() else tokens[np.concatenate([[True], new])]
 
 
 def shingles(text: str, size: int = WORDS) -> np.ndarray:
-    """The sorted distinct hashes of all runs of ``size`` words (of all words, if fewer); the hash itself is the first order."""
-    words = text.encode("utf-8", "surrogatepass").lower().split()
-    if not words:
-        return np.zeros(0, np.uint64)
-    h = np.fromiter(map(_HASHES.__getitem__, words), np.uint64, len(words))
-    n = min(size, len(words))
-    out = h[: len(words) - n + 1].copy()
-    for k in range(1, n):
-        out *= _A
-        out ^= h[k : k + len(out)]
-    out ^= out >> np.uint64(32)
-    out *= _B
-    out ^= out >> np.uint64(29)
-    out.sort()
-    new = np.empty(len(out), bool)
-    new[0] = True
-    np.not_equal(out[1:], out[:-1], out=new[1:])
-    return out[new]
+    return shingle_sets(pa.array([text.encode("utf-8", "surrogatepass")]), size)[0]
 
 
 def least(n: int, percent: int) -> int:
@@ -99,20 +130,18 @@ def _digests(size: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import xxhash
 
-        for batch in batches:
-            sets = [shingles(t.as_py(), size) for t in batch.column(1)]
+        for batch in slices(batches, 1, LOT):
+            sets = shingle_sets(batch.column(1), size)
             digest = [xxhash.xxh3_128_digest(s.tobytes()) if len(s) else None for s in sets]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(map(len, sets), pa.int64()), pa.array(digest, pa.binary())], names=["doc", "n", "digest"])
 
     return run
 
 
-def _chosen(chunks: pa.Table, wanted: set[int], size: int) -> Iterator[tuple[int, str, np.ndarray]]:
-    for batch in unpacked(chunks):
-        for doc, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-            if doc in wanted:
-                value = text.as_py()
-                yield doc, value, shingles(value, size)
+def _chosen(chunks: pa.Table, wanted: np.ndarray, size: int) -> Iterator[tuple[int, pa.Scalar, np.ndarray]]:
+    for batch in slices(unpacked(chunks), 1, LOT):
+        some = batch.filter(pa.array(np.isin(np.asarray(batch.column(0)), wanted)))
+        yield from zip(some.column(0).to_pylist(), some.column(1), shingle_sets(some.column(1), size), strict=True)
 
 
 def _column(told: pa.Table, step: int, name: str) -> np.ndarray:
@@ -125,7 +154,7 @@ class Told:
     """What a block has been told: its nodes (step 0), the shared tokens of the first prefixes (1) and of the second ones (2)."""
 
     def __init__(self, told: pa.Table):
-        self.nodes = set(_column(told, 0, "v").tolist())
+        self.nodes = np.unique(_column(told, 0, "v"))
         self.first = np.sort(_column(told, 1, "v").view(np.uint64))
         tokens, times = _column(told, 2, "v").view(np.uint64), _column(told, 2, "times")
         order = np.argsort(tokens)
@@ -177,7 +206,7 @@ def _candidates(size: int, percent: int):
             order = np.lexsort((prefix, times))[: len(prefix) - need + 1]
             centre = float(np.log2(times).mean())
             rows += [(int(t), doc, len(tokens), centre, None) for t in prefix[order].view(np.int64)]
-            rows.append((None, doc, len(tokens), centre, press.compress(text.encode("utf-8", "surrogatepass"))))
+            rows.append((None, doc, len(tokens), centre, press.compress(text.as_buffer())))
         names, kinds = ("token", "node", "n", "centre", "body"), (pa.int64(), pa.int64(), pa.int64(), pa.float64(), pa.binary())
         columns = zip(*rows, strict=True) if rows else [()] * 5
         return pa.table({n: pa.array(c, k) for n, c, k in zip(names, columns, kinds, strict=True)})
@@ -205,42 +234,42 @@ def similar(a: np.ndarray, b: np.ndarray, percent: int = PERCENT) -> bool:
 
 
 class _Sets(dict):
-    """Sets of the texts that a worker has met lately, up to so many tokens. A text is known by a digest of what was sent, as an id can stand for
+    """Sets of the texts met lately, up to about so many tokens. A text is known by a digest of what was sent, as an id can stand for
     several texts and for others in a later run."""
 
-    def __init__(self, size: int, most: int = 12_000_000):
+    def __init__(self, size: int):
         super().__init__()
         import zstandard
 
-        self.size, self.most, self.held, self.press = size, most, 0, zstandard.ZstdDecompressor()
+        self.size, self.held, self.press = size, 0, zstandard.ZstdDecompressor()
 
-    def of(self, body: pa.Scalar) -> np.ndarray:
+    def of(self, bodies: pa.Array) -> list[np.ndarray]:
+        """The sets of several texts, those that are new taken apart together."""
         import xxhash
 
-        sent = body.as_buffer()
-        key = xxhash.xxh3_128_digest(sent)
-        if key not in self:
-            if self.held > self.most:
-                self.clear()
-                self.held = 0
-            self[key] = shingles(self.press.decompress(sent).decode("utf-8", "surrogatepass"), self.size)
-            self.held += len(self[key])
-        return self[key]
-
-
-_SETS: dict[int, _Sets] = {}
-
-
-def _sets(size: int) -> _Sets:
-    return _SETS.setdefault(size, _Sets(size))
+        if self.held > HELD:
+            self.clear()
+            self.held = 0
+        sent = [body.as_buffer() for body in bodies]
+        keys = [xxhash.xxh3_128_digest(b) for b in sent]
+        new = {k: b for k, b in zip(keys, sent, strict=True) if k not in self}
+        texts = pa.record_batch([pa.array([self.press.decompress(b) for b in new.values()], pa.binary())], ["text"])
+        made = (s for part in slices(iter([texts]), 0, LOT) for s in shingle_sets(part.column(0), self.size))
+        for k, tokens in zip(new, made, strict=True):
+            self[k] = tokens
+            self.held += len(tokens)
+        return [self[k] for k in keys]
 
 
 def _verified(size: int, percent: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sets = _Sets(size)
         for batch in batches:
-            keep = [similar(sets.of(bx), sets.of(by), percent) for bx, by in zip(batch.column(2), batch.column(3), strict=True)]
-            yield batch.select(["x", "y"]).filter(pa.array(keep, pa.bool_()))
+            for at in range(0, batch.num_rows, 1000):
+                part = batch.slice(at, 1000)
+                both = sets.of(pa.concat_arrays([part.column(2), part.column(3)]))
+                keep = [similar(a, b, percent) for a, b in zip(both, both[part.num_rows :], strict=False)]
+                yield part.select(["x", "y"]).filter(pa.array(keep, pa.bool_()))
 
     return run
 
@@ -291,9 +320,9 @@ def _dense(size: int, percent: int):
     """Links between different components in two blocks of one token's nodes (or within one block), as many as connect them."""
 
     def run(key: tuple[pa.Scalar, ...], rows: pa.Table) -> pa.Table:
-        sets, i, j = _sets(size), key[1].as_py(), key[2].as_py()
+        i, j = key[1].as_py(), key[2].as_py()
         node, label, block = (np.asarray(rows.column(c), dtype=np.int64) for c in ("node", "label", "block"))
-        own = [sets.of(body) for c in rows.column("body").chunks for body in c]
+        own = _Sets(size).of(rows.column("body").combine_chunks())
         a, b = np.nonzero(block == i)[0], np.nonzero(block == j)[0]
         n = np.array([len(s) for s in own], np.int64)
         both = overlaps([own[k] for k in a], [own[k] for k in b])
@@ -314,7 +343,7 @@ def _links(pairs: DataFrame, bodies: DataFrame, size: int, percent: int) -> Data
 
 def near_duplicates(docs: DataFrame, percent: int = PERCENT, size: int = WORDS, id_col: str = "doc_id", text: str = "text") -> DataFrame:
     """(doc_id, n_shingles, component_id) for each row of documents."""
-    scratch, count = Scratch(docs.sparkSession), block_count(docs.sparkSession, 2)
+    scratch, count = Scratch(docs.sparkSession), blocks_by_bytes(docs, text)
     rows = docs.select(F.col(id_col).cast("long").alias("doc"), text_or_empty(text).alias("text"))
     members = scratch.write(rows.mapInArrow(_digests(size), "doc bigint, n bigint, digest binary"), "members", keep=True)
     nodes = members.where(F.col("digest").isNotNull() & F.col("doc").isNotNull()).groupBy("digest").agg(F.min("doc").alias("node"))

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import contextlib
 import uuid
+from collections.abc import Iterator
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -22,6 +24,16 @@ def block_count(spark: SparkSession, per_partition: int = 4) -> int:
     return max(1, int(spark.conf.get("spark.sql.shuffle.partitions"))) * per_partition
 
 
+#: Bytes of text of a block, on average.
+BLOCK_BYTES = 16 << 20
+
+
+def blocks_by_bytes(docs: DataFrame, text: str = "text", each: int = BLOCK_BYTES) -> int:
+    """How many blocks a corpus is dealt into so that each holds so many bytes, whatever the number of partitions."""
+    size = docs.agg(F.sum(F.octet_length(F.col(text).cast("string")).cast("long"))).first()[0] or 0
+    return -(-size // each) or 1
+
+
 def checkpoint_dir(spark: SparkSession) -> str:
     """The shared folder named by the cluster; a local one only where the setting is missing."""
     named = spark.conf.get("spark.checkpoint.dir", None)
@@ -33,12 +45,24 @@ def checkpoint_dir(spark: SparkSession) -> str:
     return named
 
 
+@contextlib.contextmanager
+def shuffles_end(spark: SparkSession) -> Iterator[None]:
+    """What a query shuffles is deleted when it is done, not only when the driver happens to collect its garbage."""
+    name = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = spark.conf.get(name)
+    spark.conf.set(name, "true")
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
+
+
 class Scratch:
     """Tables written once to the shared folder and read back: they cut lineage, they outlive executors and, unlike cached tables, cost no
     executor memory. Those that nothing reads any more are deleted by `clear`."""
 
     def __init__(self, spark: SparkSession):
-        self.spark, self.done = spark, []
+        self.spark, self.done, self.names = spark, [], []
 
     def path(self, label: str) -> str:
         return f"{checkpoint_dir(self.spark).rstrip('/')}/{label}-{uuid.uuid4().hex}"
@@ -46,7 +70,8 @@ class Scratch:
     def write(self, df: DataFrame, label: str, keep: bool = False) -> DataFrame:
         """``keep``: what is returned is read later, so `clear` leaves it."""
         path = self.path(label)
-        df.write.option("compression", "zstd").parquet(path)
+        with shuffles_end(self.spark):
+            df.write.option("compression", "zstd").parquet(path)
         if not keep:
             self.done.append(path)
         return self.spark.read.schema(df.schema).parquet(path)
@@ -54,11 +79,16 @@ class Scratch:
     def bucketed(self, df: DataFrame, count: int, column: str, label: str) -> DataFrame:
         """A table dealt by ``column`` once; reading it by that column needs no further shuffle."""
         path, name = self.path(label), f"{label}_{uuid.uuid4().hex}"
-        df.repartition(count, column).write.bucketBy(count, column).format("parquet").option("compression", "none").option("path", path).saveAsTable(name)
+        with shuffles_end(self.spark):
+            df.repartition(count, column).write.bucketBy(count, column).format("parquet").option("compression", "none").option("path", path).saveAsTable(name)
         self.done.append(path)
+        self.names.append(name)
         return self.spark.table(name)
 
     def clear(self) -> None:
+        for name in self.names:
+            self.spark.sql(f"DROP TABLE IF EXISTS `{name}`")
+        self.names.clear()
         jvm, conf = self.spark._jvm, self.spark._jsc.hadoopConfiguration()
         for path in self.done:
             folder = jvm.org.apache.hadoop.fs.Path(path)

@@ -2,12 +2,21 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 
 
+def release() -> None:
+    """Gives memory that a worker no longer uses back to the machine: Python workers live on from stage to stage, and what one stage has touched the next would lack."""
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):  # other C libraries
+        ctypes.CDLL(None).malloc_trim(0)
+
+
 def parts(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """The bytes of a column of strings or binary values without nulls, and where they end, from 0."""
     big = pa.types.is_large_string(column.type) or pa.types.is_large_binary(column.type)

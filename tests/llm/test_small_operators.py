@@ -4,6 +4,7 @@ import random
 import re
 import struct
 
+import numpy as np
 import pytest
 from annolake.llm import byte_bpe, chat_format, decontaminate, html_extract, line_dedup, quality, voronoi_knn
 from annolake.llm.html_blocks import blocks
@@ -169,12 +170,17 @@ def test_model_is_interpolated_modified_kneser_ney(spark):
     import math
 
     words = {"banana": 5, "bandana": 2, "an": 7, "nab": 1, "é": 3}
-    frame = spark.createDataFrame([("xx", w, n) for w, n in words.items()], "lang string, word string, n long")
     asked = sorted({g for w in ("banana", "band", "zebra", "é", "") for g in quality.grams(w, 4)})
-    told = quality.surprisal(spark.createDataFrame([("xx", g) for g in asked], "lang string, gram string"), *quality.model(frame, 4))
+    key = quality.gram_key
+    rows = [("xx", n, [key(g[-k:]) for k in range(1, len(g) + 1)], [key(g[-k:-1]) for k in range(1, len(g) + 1)]) for w, n in words.items() for g in quality.grams(w, 4)]
+    told = quality.chances(*quality.shares_of(spark.createDataFrame(rows, "lang string, n long, keys array<long>, contexts array<long>")), 4).collect()
+    nan = float("nan")
+    answers = quality.Answers(*np.array([[x["gram"], nan if x["nats"] is None else x["nats"], nan if x["less"] is None else x["less"]] for x in told], object).T)
     chance = kneser_ney(words, 4)
-    got = {x["gram"]: x["nats"] for x in told.collect()}
-    assert got == pytest.approx({g: -math.log(chance(g)) for g in asked})
+    sums = np.array([key(g) for g in asked]).view(np.uint64)
+    spelled = np.array([[ord(c) + 1 for c in reversed(g)] + [0] * (4 - len(g)) for g in asked], np.uint32)
+    got = dict(zip(asked, answers.of(sums, spelled).tolist(), strict=True))
+    assert got == pytest.approx({g: -math.log(chance(g)) for g in asked}) and answers.of(sums, spelled).tolist() == list(got.values())
     letters = [chr(c) for c in range(97, 123)] + ["é", quality.END]
     assert sum(chance("an" + c) for c in letters) < 1 + 1e-9
 

@@ -5,7 +5,8 @@ maximise the conditional likelihood of labelled pages (forward-backward, batch g
 paragraphs is judged with its neighbours. The driver trains once on a bounded number of pages; each page is then a row by itself.
 
 Cases: null html counts as empty and gives an empty text; pages without blocks or without main text give an empty text; very long pages are read in
-one pass; repeated rows are repeated; an empty table gives an empty result; other columns are not read.
+one pass, with all their text (of tags nested more than 512 deep those in the middle are no features); of equally likely labellings the one that leaves out more blocks is taken; repeated rows are repeated; an
+empty table gives an empty result; other columns are not read, so clashing names do no harm.
 """
 
 from __future__ import annotations

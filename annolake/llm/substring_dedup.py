@@ -7,10 +7,10 @@ stretch. Keys are counted over the corpus: a window whose key stands in one plac
 other keys are dealt by key, equal stretches as one with their earliest place; there a suffix array over the different stretches brings equal windows
 together (common prefix of at least ``length``), and all but the earliest are repeats. What comes back to a document's block is one row for each
 different stretch, sent to where it stands first: anywhere else the whole stretch is a repeat. A key that stands in very many places is dealt by window instead of by
-stretch, so its group has no more rows than others.
+stretch, so its group has no more rows than others. Stretches that are equal as a whole are known by their bytes alone; the suffix array is what finds equal windows in different stretches.
 
 Cases: null or empty texts have no bytes; texts shorter than ``length`` stay; rows repeated with one id are the same document in the same places, so each
-keeps what the first keeps; a null id counts as larger than any other; very long texts are one row; empty tables give an empty result; other columns are not read.
+keeps what the first keeps, and there are no other ties; a null id counts as larger than any other; very long texts are one row; empty tables give an empty result; other columns are not read.
 """
 
 from __future__ import annotations

@@ -11,6 +11,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from annolake.llm.columns import release
+
 #: Of the compression; higher ones cost more time than the shuffled bytes are worth.
 LEVEL = 5
 
@@ -23,6 +25,7 @@ def packed(docs: DataFrame, id_col: str, count: int, prepare: Callable[[pa.Recor
     """(b int, chunk binary): the rows of each input batch by block, as compressed Arrow; ``prepare`` may change them first, row by row."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        release()
         options = pa.ipc.IpcWriteOptions(compression=pa.Codec("zstd", compression_level=LEVEL))
         for batch in batches:
             b = np.asarray(batch.column(0))

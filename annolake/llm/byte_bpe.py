@@ -26,13 +26,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from annolake.llm.columns import joined, parts, slices
+from annolake.llm.columns import joined, parts, release, slices
 from annolake.llm.tables import table, text_or_empty
 
 #: Entries and bytes of keys of a memo before it is emptied: bound a worker's memory.
 MEMO_ENTRIES, MEMO_BYTES = 300_000, 16 << 20
 #: Bytes of text after which an output batch is closed.
-BATCH_BYTES = 8 << 20
+BATCH_BYTES = 4 << 20
 _NEVER = 1 << 40
 #: The characters of several bytes in the pattern's white space, in UTF-8.
 _WIDE_SPACE = [
@@ -245,11 +245,13 @@ def encode(docs: DataFrame, path: str, pattern: str, text: str = "text", id_col:
     kept = docs.select(id_col, *more)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        release()
         c = codec(path, pattern)
         for part in slices(batches, "_text", BATCH_BYTES):
             out = _with_ids(part, c)
             yield out.append_column("decoded", unpacked_bytes(out.column("token_ids"), tokens(path))) if decoded else out
         c.piece_ids.clear()
+        release()
 
     fields = f"{_fields(kept)}, token_ids binary, n_tokens bigint{', decoded binary' * decoded}"
     return docs.select(id_col, *more, text_or_empty(text).alias("_text")).mapInArrow(run, fields)

@@ -26,6 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from annolake.llm.columns import release
 from annolake.llm.tables import table, text_or_empty
 
 #: Fewest words of an item; least score for a hit, as a share of the item's full score; scores of a pair of words.
@@ -120,6 +121,7 @@ def align(item: np.ndarray, passages: np.ndarray) -> tuple[np.ndarray, np.ndarra
 
 def _hits(items: Items, min_score: float):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        release()
         seeds = items.seeds[:, 0]
         lengths, drifts, least = np.array([len(w) for w in items.words]), np.array(items.drift), np.array(items.least)
         for docs, ids, firsts in _spans(batches, items.vocabulary):
@@ -186,6 +188,7 @@ def _hits(items: Items, min_score: float):
 
 def _counted(items: Items):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        release()
         total = np.zeros(len(items.all_pairs), np.int64)
         for _, ids, _ in _spans(batches, items.vocabulary):
             for apart in (1, 2):

@@ -26,7 +26,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from annolake.llm.blocks import block_of, packed, unpacked
-from annolake.llm.columns import parts, slices
+from annolake.llm.columns import parts, release, slices
 from annolake.llm.components import components
 from annolake.llm.tables import Scratch, blocks_by_bytes, table, text_or_empty
 
@@ -130,6 +130,7 @@ def _digests(size: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import xxhash
 
+        release()
         for batch in slices(batches, 1, LOT):
             sets = shingle_sets(batch.column(1), size)
             digest = [xxhash.xxh3_128_digest(s.tobytes()) if len(s) else None for s in sets]
@@ -174,6 +175,7 @@ def _tokens(step: int, size: int, percent: int):
     """Prefix tokens of a block's nodes, with the number of nodes that have each."""
 
     def run(key: tuple[pa.Scalar, ...], chunks: pa.Table, told: pa.Table) -> pa.Table:
+        release()
         state, found = Told(told), [np.zeros(0, np.uint64)]
         for _, _, tokens in _chosen(chunks, state.nodes, size):
             if step == 1:
@@ -192,6 +194,7 @@ def _candidates(size: int, percent: int):
     def run(chunks: pa.Table, told: pa.Table) -> pa.Table:
         import zstandard
 
+        release()
         press = zstandard.ZstdCompressor(level=3)
         state, rows = Told(told), []
         for doc, text, tokens in _chosen(chunks, state.nodes, size):
@@ -263,6 +266,7 @@ class _Sets(dict):
 
 def _verified(size: int, percent: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        release()
         sets = _Sets(size)
         for batch in batches:
             for at in range(0, batch.num_rows, 1000):

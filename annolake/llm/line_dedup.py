@@ -19,6 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from annolake.llm.columns import release
 from annolake.llm.tables import table
 
 MIN_CHARS = 10
@@ -39,6 +40,7 @@ def _hashed(min_chars: int):
         import numpy as np
         import xxhash
 
+        release()
         digest = xxhash.xxh3_128_digest
         for batch in batches:
             keys, docs, rows, at = [], [], [], []
@@ -78,6 +80,7 @@ def dedup_lines(docs: DataFrame, min_chars: int = MIN_CHARS, min_docs: int = 2,
     joined = docs.join(drops, (F.col(id_col) == F.col("_drop_id")) & (F.xxhash64(text) == F.col("_row")), "left").drop("_drop_id", "_row")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        release()
         for batch in batches:
             at = batch.schema.get_field_index(text)
             kept, lines, dropped = [], [], []

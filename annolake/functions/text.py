@@ -349,22 +349,30 @@ def anchor_words(quote: Column, most: int = 3) -> Column:
     return F.transform(F.slice(keyed, 1, most), lambda s: s["w"])
 
 
+def line_shape(line: Column) -> Column:
+    """A line as text rather than as bytes: quotes, dashes and white space in one form. Compose it first (`functions.python.nfc`) where it may hold combining marks."""
+    for pattern, plain in (("[‘’ʼ]", "'"), ("[“”]", '"'), ("[‐-―]", "-"), (SPACE + "+", " ")):
+        line = F.regexp_replace(line, F.lit(pattern), F.lit(plain))
+    return strip(line)
+
+
 def is_same_line(a: Column, b: Column, least: float = 0.6) -> Column:
     """Whether two readings are of one line: edit distance at most 40 % of the longer; two empty ones are."""
-    x, y = strip(a), strip(b)
+    x, y = line_shape(a), line_shape(b)
     longest = F.greatest(F.length(x), F.length(y))
     return F.when(longest == 0, F.lit(True)).otherwise(1 - F.levenshtein(x, y) / longest >= least)
 
 
-def remapped_path(path: Column, old: Column, new: Column) -> Column:
-    """A file's own new path, or its path under a renamed folder; null if the renaming is none of its business."""
+def remapped_path(kind: Column, path: Column, old: Column, new: Column) -> Column:
+    """Where a note is after a renaming: of itself, if the kind is file, or of a folder above it; null if the renaming is none of its business."""
     under = F.startswith(path, F.concat(old, F.lit("/")))
-    return F.when(path == old, new).when(under, F.concat(new, F.substring(path, F.length(old) + 1, F.length(path))))
+    return F.when((kind == "file") & (path == old), new).when((kind != "file") & under, F.concat(new, F.substring(path, F.length(old) + 1, F.length(path))))
 
 
 def paint_operands(content: Column) -> Column:
-    """Black operands put before colour operators that have none; null if there is none."""
-    fixed = F.regexp_replace(content, F.lit(r"(?m)^(\s*)(scn|SCN)\b"), F.lit("$10 $2"))
+    """Black operands put before colour operators that have neither a number nor a pattern name in front of them; null if there is none."""
+    given = r"(?<!\d\s{0,47})(?<!/[^\s/]{1,47}\s{0,46})"
+    fixed = F.regexp_replace(content, F.lit(rf"(?<![A-Za-z]){given}(scn|SCN)(?![A-Za-z])"), F.lit("0 0 0 $1"))
     return F.when(fixed != content, fixed)
 
 
@@ -373,31 +381,39 @@ def byte_size(n: Column) -> Column:
 
 
 def duration(seconds: Column) -> Column:
-    minutes = js_round(seconds / 60)
+    """A span at a resolution that widens with it: a minute, five, ten, half an hour."""
+    minutes = seconds / 60
+    step = F.when(minutes < 30, 5).otherwise(10)
+    rounded = F.greatest(js_round(minutes / step) * step, step).cast("int")
+    halves = js_round(minutes / 60 * 2)
+    hours = F.when(halves % 2 == 0, (halves / 2).cast("int").cast("string")).otherwise(F.format_string("%.1f", halves / 2))
     return (
-        F.when(seconds < 1, F.lit("under a second")).when(seconds < 90, F.concat(js_round(seconds).cast("string"), F.lit(" s")))
-        .when(minutes < 90, F.concat(minutes.cast("string"), F.lit(" min"))).otherwise(F.concat(F.format_string("%.1f", seconds / 3600), F.lit(" h")))
+        F.when(seconds < 90, F.lit("about a minute")).when(minutes < 90, F.concat(F.lit("about "), rounded.cast("string"), F.lit(" minutes")))
+        .otherwise(F.concat(F.lit("about "), hours, F.lit(" hours")))
     )
 
 
 def sanitized_transcript(text: Column) -> Column:
-    """Without a lead-in line and one outer code fence."""
-    body = strip(text)
-    body = F.regexp_replace(body, F.lit(r"(?i)^(?:here(?:'s| is)|sure|certainly|of course)[^\n]{0,120}:\s*\n+"), F.lit(""))
-    return strip(F.regexp_replace(strip(body), F.lit(r"(?s)^```[A-Za-z]*\n(.*?)\n?```$"), F.lit("$1")))
+    """Without a first line that only announces the transcript, and without a plain or Markdown fence around all the rest; nothing inside is touched."""
+    blank = r"[^\S\n]*"
+    body = F.regexp_replace(strip(text), F.lit(rf"\A(?i:here (?:is|are)(?: the)? (?:transcript|transcription)[:.]?){blank}(?:\n(?:{blank}(?:\n|\z))?|\z)"), F.lit(""))
+    return strip(F.regexp_replace(strip(body), F.lit(rf"(?s)\A```(?i:markdown|md)?{blank}\n(.*\n)?{blank}```\z"), F.lit("$1")))
 
 
-def mapping_fingerprint(mapping: Column, version: int = 1) -> Column:
+def mapping_fingerprint(mapping: Column, version: int = 3) -> Column:
+    """The version of the routing rules and the pairs of a mapping, by key."""
     pairs = F.transform(F.array_sort(F.map_entries(mapping)), lambda e: F.array(e["key"], e["value"]))
-    return F.concat(F.lit(f"v{version}:"), F.to_json(pairs))
+    return F.concat(F.lit(f"{version}:"), F.to_json(pairs))
 
 
-def error_class(message: Column) -> Column:
-    low = F.lower(message)
-    return (
-        F.when(low.rlike("offline|enotfound|network|err_internet"), F.lit("offline")).when(low.rlike("econnrefused|timeout|timed out|econnreset"), F.lit("connect"))
-        .when(low.rlike(r"\b(401|403)\b|unauthor|forbidden|rejected"), F.lit("rejected")).otherwise(F.lit("unexpected"))
-    )
+#: What errors say when the machine is offline, and when it is turned away.
+OFFLINE = r"(?i)network|failed to fetch|fetch failed|enotfound|econnrefused|eai_again|getaddrinfo|err_internet_disconnected|offline"
+REJECTED = r"(?i)\b401\b|\b403\b|unauthorized|unauthorised|forbidden|invalid[ _-]?token|token[ _-]?expired"
+
+
+def error_class(message: Column, context: Column) -> Column:
+    """offline, code (whatever else goes wrong while connecting means a stale code), rejected or unexpected."""
+    return F.when(message.rlike(OFFLINE), "offline").when(context == "connect", "code").when(message.rlike(REJECTED), "rejected").otherwise("unexpected")
 
 
 def any_matches(text: Column, patterns: list[str]) -> Column:
@@ -420,18 +436,25 @@ def drawable(text: Column) -> Column:
 
 
 def break_chunks(paragraph: Column) -> Column:
-    """Where a line may be broken: behind a run of spaces and behind a slash."""
-    return F.filter(F.split(paragraph, "(?<= )(?! )|(?<=/)"), lambda c: c != "")
+    """Where a line may be broken: each space by itself, and behind every slash of a word."""
+    words = F.transform(F.split(paragraph, " "), lambda w, i: F.concat(F.when(i > 0, F.array(F.lit(" "))).otherwise(F.array().cast("array<string>")), F.split(w, "(?<=/)")))
+    return F.filter(F.flatten(words), lambda c: c != "")
 
 
 def wrapped(paragraph: Column, width: float, widths: dict[str, float], default: float) -> Column:
-    """Greedy lines against a measured width; a chunk wider than the line has one to itself."""
-    zero = F.array().cast("array<string>")
-
-    def step(lines: Column, chunk: Column) -> Column:
-        last = F.try_element_at(lines, F.lit(-1))
-        joined = F.concat(last, chunk)
-        fits = (F.size(lines) > 0) & (measured(F.rtrim(joined), widths, default) <= width)
-        return F.when(fits, F.concat(F.slice(lines, F.lit(1), F.size(lines) - 1), F.array(joined))).otherwise(F.concat(lines, F.array(chunk)))
-
-    return F.aggregate(break_chunks(paragraph), zero, step)
+    """Greedy lines against a measured width, array of struct<text, length>: what is drawn, and how many characters the line takes, spaces at its end and
+    characters that are never drawn included. A space at the end never counts against the width; a chunk wider than the line has one to itself."""
+    line = F.struct(F.lit("").alias("text"), F.lit(0).alias("length"))
+    start = F.struct(F.array().cast("array<struct<text:string,length:int>>").alias("lines"), F.lit("").alias("line"))
+
+    def closed(text: Column) -> Column:
+        return F.struct(drawable(F.rtrim(text)).alias("text"), F.length(text).alias("length"))
+
+    def step(state: Column, chunk: Column) -> Column:
+        both = F.concat(state["line"], chunk)
+        full = (chunk != " ") & (F.rtrim(state["line"]) != "") & (measured(F.rtrim(both), widths, default) > width)
+        grown = F.when(full, F.concat(state["lines"], F.array(closed(state["line"])))).otherwise(state["lines"])
+        return F.struct(grown.alias("lines"), F.when(full, chunk).otherwise(both).alias("line"))
+
+    done = F.aggregate(break_chunks(paragraph), start, step, lambda s: F.concat(s["lines"], F.array(closed(s["line"]))))
+    return F.when(paragraph == "", F.array(line)).otherwise(done)

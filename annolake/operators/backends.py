@@ -65,41 +65,69 @@ def recognised(pages: DataFrame, recognise: Recognise) -> DataFrame:
     return pages.select("page_id").join(sent, "page_id", "left").select("page_id", F.coalesce("status", F.lit("skipped")).alias("status"), F.coalesce("text", F.lit("")).alias("text"))
 
 
-def background_blocked(running: Column, offline: Column, due: Column, connected: Column) -> Column:
+def background_blocked(enabled: Column, running: Column, connected: Column, consented: Column) -> Column:
     """The first reason not to run in the background, else null."""
-    return F.coalesce(F.when(running, "running"), F.when(~connected, "not connected"), F.when(offline, "offline"), F.when(~due, "not due"))
+    return F.coalesce(
+        F.when(~enabled, "auto-sync-off"), F.when(running, "already-running"), F.when(~connected, "not-connected"), F.when(~consented, "no-background-consent"),
+    )
 
 
 def spend_blocked(metered: Column, consented: Column) -> Column:
-    return metered & ~consented
+    """The reason why a backend that costs money does not run unasked, else null."""
+    return F.when(metered & ~consented, "no-consent-to-spend")
 
 
 def preflight(connected: Column, running: Column) -> Column:
     return connected & ~running
 
 
-def model_block(arm: Column, memory_gb: Column, least_gb: float = 16.0) -> Column:
-    return F.when(~arm, "architecture").when(memory_gb < least_gb, "memory")
+#: Platform and the memory in GB that machines for the local model are sold with at least; they report up to 1 GB less.
+MEMORY_FLOORS = {"darwin": 18, "win32": 24}
+
 
+def model_block(platform: Column, arch: Column, memory_bytes: Column) -> Column:
+    """struct<kind, floor_gb, actual_gb> of why a machine cannot run the local model, else null."""
+    gib = 1 << 30
+    floor = F.create_map(*(F.lit(x) for pair in MEMORY_FLOORS.items() for x in pair))[platform]
+    none = F.lit(None).cast("int")
+    wrong = floor.isNull() | (arch != "arm64")
+    actual = F.floor(memory_bytes / gib + 0.5).cast("int")
+    return F.when(wrong, F.struct(F.lit("architecture").alias("kind"), none.alias("floor_gb"), none.alias("actual_gb"))).when(
+        memory_bytes < (floor - 1).cast("long") * gib, F.struct(F.lit("memory").alias("kind"), floor.alias("floor_gb"), actual.alias("actual_gb"))
+    )
 
-def model_state(s: Column, model_bytes: int, projector_bytes: int, heartbeat_ms: int = 60_000) -> Column:
-    """State of a local model from a snapshot struct, the first rule that holds."""
-    complete = (s["model_bytes"] == model_bytes) & (s["mmproj_bytes"] == projector_bytes)
-    locked = s["lock_held_at_ms"].isNotNull() & (s["now_ms"] - s["lock_held_at_ms"] < heartbeat_ms)
+
+def model_state(s: Column, model_bytes: int, projector_bytes: int, stale_ms: int = 60_000) -> Column:
+    """State of a local model from a snapshot struct, the first rule that holds: a mark of corruption, an unfinished download, files missing, not yet verified, of the
+    wrong size, or without their engine."""
+    fresh = s["lock_held_at_ms"].isNotNull() & (s["now_ms"] - s["lock_held_at_ms"] < stale_ms)
     return (
-        F.when(s["corrupt"], "corrupt").when(locked, "busy").when(complete & s["verified_present"] & s["runtime_present"], "ready").when(complete, "unverified")
-        .when(s["part_present"], "partial").otherwise("absent")
+        F.when(s["corrupt"], "corrupt").when(s["part_present"], F.when(fresh, "downloading").otherwise("partial"))
+        .when(s["model_bytes"].isNull() | s["mmproj_bytes"].isNull(), "absent").when(~s["verified_present"], "verifying")
+        .when((s["model_bytes"] != model_bytes) | (s["mmproj_bytes"] != projector_bytes), "absent").when(~s["runtime_present"], "removed").otherwise("ready")
     )
 
 
-def fallback(wanted: Column, is_gated: Column, vision: Column) -> Column:
-    """The backend that stands in for a gated one."""
-    return F.when(~is_gated, wanted).when(vision, "vision").otherwise("off")
+def is_gated(requires_licence: Column, tier: Column) -> Column:
+    """A backend that needs a licence, for somebody without one."""
+    return requires_licence & (tier == "free")
+
+
+def gated_fallback(label: Column, vision: Column, silent: Column) -> Column:
+    """struct<use, notice> of what stands in for a backend without its licence; a silent run says nothing."""
+    told = F.concat(label, F.lit(" needs a licence"), F.when(vision, " — using the local reader for this run.").otherwise("."))
+    return F.struct(F.when(vision, "vision").otherwise("unavailable").alias("use"), F.when(~silent, told).alias("notice"))
+
+
+def unconfigured_fallback(label: Column, vision: Column, silent: Column) -> Column:
+    """The same for a backend that lacks its key: never one that costs money, and without a local reader no notice either."""
+    told = F.concat(F.lit("No API key set for "), label, F.lit(" — using the local reader for this run."))
+    return F.struct(F.when(vision, "vision").otherwise("unavailable").alias("use"), F.when(vision & ~silent, told).alias("notice"))
 
 
 def cleanup_plan(directories: DataFrame, pinned: str) -> DataFrame:
-    """(name, action) of (name, complete): what to delete without asking, what to offer."""
-    action = F.when(F.col("name") == pinned, "keep").when(F.col("complete"), "offer").otherwise("delete")
+    """(name, action) of (name, complete, has_part): a complete other version is offered, an unfinished one is deleted without asking; the rest is kept."""
+    action = F.when(F.col("name") == pinned, "keep").when(F.col("complete"), "offer").when(F.col("has_part"), "delete").otherwise("keep")
     return directories.select("name", action.alias("action"))
 
 

@@ -8,7 +8,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-RENDER_VERSION = 3
+RENDER_VERSION = 30
 
 
 def is_stale(version: Column, current: int = RENDER_VERSION) -> Column:
@@ -70,17 +70,59 @@ def interval_due(last: Column, hours: Column, now: Column) -> Column:
     return F.coalesce(now - then >= hours * 3_600_000, F.lit(True))
 
 
-def entitlement(revoked: Column, validated: Column, trial: Column, now: Column, stale_days: int = 7, grace_days: int = 30, trial_days: int = 14) -> Column:
-    """revoked, pro, stale, trial, expired or none, by elapsed days."""
-    since = F.datediff(now, validated)
+#: Days of a trial, between two checks of a licence, and that an unchecked one is carried.
+TRIAL_DAYS, CHECK_DAYS, CARRY_DAYS = 14, 7, 30
+_DAY = 86_400_000
+
+
+def _ms(iso: Column) -> Column:
+    """Milliseconds of a written time; null if it can't be read."""
+    return F.unix_millis(F.try_to_timestamp(iso))
+
+
+def entitlement(s: Column, now: Column) -> Column:
+    """struct<tier, reason, since, ends_at, stale> of a licence struct<key, activation_id, validated_at, revoked_at, trial_started_at> at a time in milliseconds. A time
+    that can't be read counts as missing; a key that was never confirmed unlocks nothing."""
+    since, trial = _ms(s["validated_at"]), _ms(s["trial_started_at"])
+    ends = trial + TRIAL_DAYS * _DAY
+    none, no = F.lit(None).cast("string"), F.lit(None).cast("boolean")
+
+    def told(tier: str, reason: str | None = None, since: Column = none, ends_at: Column = F.lit(None).cast("bigint"), stale: Column = no) -> Column:
+        return F.struct(F.lit(tier).alias("tier"), F.lit(reason).cast("string").alias("reason"), since.alias("since"), ends_at.alias("ends_at"), stale.alias("stale"))
+
+    return (
+        F.when(s["revoked_at"].isNotNull(), told("free", "revoked"))
+        .when(s["key"].isNotNull() & since.isNotNull(), told("pro", since=s["validated_at"], stale=now - since > CARRY_DAYS * _DAY))
+        .when(now < ends, told("trial", ends_at=ends)).when(ends.isNotNull(), told("free", "trial-ended"))
+        .when(s["key"].isNotNull(), told("free", "not-activated")).otherwise(told("free", "never-bought"))
+    )
+
+
+def next_call(s: Column, now: Column) -> Column:
+    """none, activate (a key without an activation) or validate (never done, or a week ago)."""
+    last = _ms(s["validated_at"])
     return (
-        F.when(revoked.isNotNull(), "revoked").when(since < stale_days, "pro").when(since < grace_days, "stale")
-        .when(F.datediff(now, trial) < trial_days, "trial").when(trial.isNotNull() | validated.isNotNull(), "expired").otherwise("none")
+        F.when(s["key"].isNull() | s["revoked_at"].isNotNull(), "none").when(s["activation_id"].isNull(), "activate")
+        .when(last.isNull() | (now - last >= CHECK_DAYS * _DAY), "validate").otherwise("none")
     )
 
 
-def next_call(key: Column, validated: Column, now: Column, days: int = 7) -> Column:
-    return F.when(key.isNull(), "none").when(validated.isNull(), "activate").when(F.datediff(now, validated) >= days, "validate").otherwise("none")
+def licence_after(s: Column, outcome: Column, now: Column) -> Column:
+    """The licence struct (with ended_notice_shown) after an answer: valid, unknown-key, withdrawn, unknown-activation, activation-limit or unreachable; the last two change nothing."""
+    valid, gone = outcome == "valid", outcome.isin("unknown-key", "withdrawn")
+    return F.struct(
+        s["key"].alias("key"), F.when(outcome != "unknown-activation", s["activation_id"]).alias("activation_id"), F.when(valid, now).otherwise(s["validated_at"]).alias("validated_at"),
+        F.when(gone, now).when(~valid, s["revoked_at"]).alias("revoked_at"), s["trial_started_at"].alias("trial_started_at"),
+        F.when(valid, False).otherwise(s["ended_notice_shown"]).alias("ended_notice_shown"),
+    )
+
+
+def licence_activated(s: Column, activation: Column, now: Column) -> Column:
+    """The licence struct after an activation."""
+    return F.struct(
+        s["key"].alias("key"), activation.alias("activation_id"), now.alias("validated_at"), F.lit(None).cast("string").alias("revoked_at"), s["trial_started_at"].alias("trial_started_at"),
+        F.lit(False).alias("ended_notice_shown"),
+    )
 
 
 def worst_status(status: Column) -> Column:

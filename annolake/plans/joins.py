@@ -47,14 +47,14 @@ def tag_diff_rename(spark, sf_dir):
     "folder_inheritance",
     """
     WITH RECURSIVE up AS (
-      SELECT o_orderkey AS id, o_orderkey // 2 AS at, 0 AS depth, CAST([] AS VARCHAR[]) AS tags FROM orders WHERE o_orderkey < 4000
+      SELECT o_orderkey AS id, o_orderkey // 2 AS at, 0 AS depth, CAST([] AS VARCHAR[]) AS tags FROM orders
       UNION ALL
       SELECT up.id, o.o_orderkey // 2, depth + 1, CASE WHEN o_orderkey % 3 = 0 THEN list_append(tags, o_orderpriority) ELSE tags END FROM up JOIN orders o ON o.o_orderkey = up.at WHERE up.at > 0 AND o.o_orderkey % 7 <> 0)
     SELECT id, len(l) AS n_tags, array_to_string(list_sort(l), ',') AS tags FROM (SELECT id, list_distinct(arg_max(tags, depth)) AS l FROM up GROUP BY id)
     """,
 )
 def folder_inheritance(spark, sf_dir):
-    o = table(spark, sf_dir, "orders").where("o_orderkey < 4000")
+    o = table(spark, sf_dir, "orders")
     parent = F.floor(F.col("o_orderkey") / 2).cast("long")
     tags = F.when(F.col("o_orderkey") % 3 == 0, F.array("o_orderpriority")).otherwise(F.array().cast("array<string>"))
     kind = F.when(F.col("o_orderkey") % 7 == 0, "DocumentType").otherwise("CollectionType")
@@ -84,9 +84,9 @@ def _units(spark, sf_dir, later: bool):
 
 
 _PLAN = """
-    WITH a AS (SELECT o_orderkey AS k, o_orderstatus AS folder, o_orderkey % 4 + 1 AS n, CASE WHEN o_orderkey % 17 = 0 THEN 2 ELSE 3 END AS version FROM orders WHERE o_orderkey % 13 <> 0),
+    WITH a AS (SELECT o_orderkey AS k, o_orderstatus AS folder, o_orderkey % 4 + 1 AS n, CASE WHEN o_orderkey % 17 = 0 THEN 29 ELSE 30 END AS version FROM orders WHERE o_orderkey % 13 <> 0),
     b AS (SELECT o_orderkey AS k, CASE WHEN o_orderkey % 11 = 0 THEN 'moved' ELSE o_orderstatus END AS folder, o_orderkey % 4 + o_orderkey % 3 AS n, o_orderkey % 5 = 0 AS changed FROM orders WHERE o_orderkey % 7 <> 0),
-    p AS (SELECT coalesce(a.k, b.k) AS k, CASE WHEN b.k IS NULL THEN 'orphan' WHEN a.k IS NULL THEN 'write' WHEN a.folder <> b.folder THEN 'move' WHEN changed OR version < 3 THEN 'rewrite' ELSE 'skip' END AS action,
+    p AS (SELECT coalesce(a.k, b.k) AS k, CASE WHEN b.k IS NULL THEN 'orphan' WHEN a.k IS NULL THEN 'write' WHEN a.folder <> b.folder THEN 'move' WHEN changed OR version < 30 THEN 'rewrite' ELSE 'skip' END AS action,
                  coalesce(a.k IS NOT NULL AND b.n < a.n, false) AS shrunk FROM a FULL JOIN b ON a.k = b.k)
 """
 
@@ -97,7 +97,7 @@ def incremental_plan(spark, sf_dir):
 
 
 def _state(spark, sf_dir):
-    version = F.when(F.col("sync_key").cast("long") % 17 == 0, 2).otherwise(3)
+    version = F.when(F.col("sync_key").cast("long") % 17 == 0, 29).otherwise(30)
     return _units(spark, sf_dir, False).withColumn("status", F.lit("active")).withColumn("render_version", version)
 
 
@@ -128,16 +128,43 @@ def status_precedence(spark, sf_dir):
 @query(
     "entitlement",
     """
-    WITH c AS (SELECT c_custkey, DATE '2024-03-01' AS now, CASE WHEN c_custkey % 10 = 0 THEN DATE '2024-01-01' END AS revoked, CASE WHEN c_custkey % 3 = 0 THEN DATE '2024-03-01' - (c_custkey % 50)::INT END AS validated, CASE WHEN c_custkey % 4 = 0 THEN DATE '2024-03-01' - (c_custkey % 30)::INT END AS trial FROM customer)
-    SELECT c_custkey, CASE WHEN revoked IS NOT NULL THEN 'revoked' WHEN now - validated < 7 THEN 'pro' WHEN now - validated < 30 THEN 'stale' WHEN now - trial < 14 THEN 'trial' WHEN trial IS NOT NULL OR validated IS NOT NULL THEN 'expired' ELSE 'none' END AS state,
-           CASE WHEN validated IS NULL THEN 'activate' WHEN now - validated >= 7 THEN 'validate' ELSE 'none' END AS call FROM c
+    WITH c AS (SELECT c_custkey AS k, c_custkey % 50 AS v, c_custkey % 30 AS t, 1709251200000 AS now FROM customer),
+    s AS (SELECT *, k % 5 <> 1 AS has_key, k % 10 = 0 AS revoked, k % 3 = 0 AND k % 33 <> 0 AS validated, k % 4 = 0 AS trial, now + (14 - t) * 86400000 AS ends FROM c)
+    SELECT k AS c_custkey, CASE WHEN revoked THEN 'free' WHEN has_key AND validated THEN 'pro' WHEN trial AND now < ends THEN 'trial' ELSE 'free' END AS tier,
+           CASE WHEN revoked THEN 'revoked' WHEN has_key AND validated THEN NULL WHEN trial AND now < ends THEN NULL WHEN trial THEN 'trial-ended' WHEN has_key THEN 'not-activated' ELSE 'never-bought' END AS reason,
+           CASE WHEN NOT revoked AND has_key AND validated THEN v > 30 END AS stale, CASE WHEN NOT revoked AND NOT (has_key AND validated) AND trial AND now < ends THEN ends END AS ends_at,
+           CASE WHEN NOT has_key OR revoked THEN 'none' WHEN k % 7 = 0 THEN 'activate' WHEN NOT validated OR v >= 7 THEN 'validate' ELSE 'none' END AS call FROM s
     """,
 )
 def entitlement(spark, sf_dir):
-    k, now = F.col("c_custkey"), F.to_date(F.lit("2024-03-01"))
-    revoked = F.when(k % 10 == 0, F.to_date(F.lit("2024-01-01")))
-    validated, trial = F.when(k % 3 == 0, F.date_sub(now, (k % 50).cast("int"))), F.when(k % 4 == 0, F.date_sub(now, (k % 30).cast("int")))
-    return table(spark, sf_dir, "customer").select("c_custkey", I.entitlement(revoked, validated, trial, now).alias("state"), I.next_call(F.lit("key"), validated, now).alias("call"))
+    state, now = _licences(F.col("c_custkey")), F.lit(1709251200000)
+    told = table(spark, sf_dir, "customer").select("c_custkey", I.entitlement(state, now).alias("e"), I.next_call(state, now).alias("call"))
+    return told.select("c_custkey", "e.tier", "e.reason", "e.stale", "e.ends_at", "call")
+
+
+def _licences(k):
+    """Licences in all states: some without a key, revoked, with a time that can't be read, on trial."""
+    days = lambda n: F.concat(F.date_sub(F.to_date(F.lit("2024-03-01")), n.cast("int")).cast("string"), F.lit("T00:00:00Z"))
+    return F.struct(
+        F.when(k % 5 != 1, "key").alias("key"), F.when(k % 7 != 0, "activation").alias("activation_id"), F.when(k % 33 == 0, "never").when(k % 3 == 0, days(k % 50)).alias("validated_at"),
+        F.when(k % 10 == 0, "2024-01-01T00:00:00Z").alias("revoked_at"), F.when(k % 4 == 0, days(k % 30)).alias("trial_started_at"), (k % 2 == 0).alias("ended_notice_shown"),
+    )
+
+
+@query(
+    "licence_fold",
+    """
+    WITH o AS (SELECT c_custkey AS k, c_custkey % 6 AS n, 'now' AS now FROM customer)
+    SELECT k AS c_custkey, CASE WHEN n <> 3 THEN CASE WHEN k % 7 <> 0 THEN 'activation' END END AS activation_id,
+           CASE WHEN n = 0 THEN now WHEN k % 33 = 0 THEN 'never' WHEN k % 3 = 0 THEN strftime(DATE '2024-03-01' - (k % 50)::INT, '%Y-%m-%d') || 'T00:00:00Z' END AS validated_at,
+           CASE WHEN n IN (1, 2) THEN now WHEN n = 0 THEN NULL WHEN k % 10 = 0 THEN '2024-01-01T00:00:00Z' END AS revoked_at, CASE WHEN n = 0 THEN false ELSE k % 2 = 0 END AS shown FROM o
+    """,
+)
+def licence_fold(spark, sf_dir):
+    k = F.col("c_custkey")
+    outcome = F.element_at(F.array(*map(F.lit, ("valid", "unknown-key", "withdrawn", "unknown-activation", "activation-limit", "unreachable"))), (k % 6 + 1).cast("int"))
+    after = table(spark, sf_dir, "customer").select("c_custkey", I.licence_after(_licences(k), outcome, F.lit("now")).alias("s"))
+    return after.select("c_custkey", "s.activation_id", "s.validated_at", "s.revoked_at", F.col("s.ended_notice_shown").alias("shown"))
 
 
 def _boxes(spark, sf_dir):
@@ -161,15 +188,9 @@ def nearest_anchor(spark, sf_dir):
     lines = b.where("side = 0").select("label", F.col("vec_id").alias("r_id"), F.col("x").alias("rx"), F.col("y").alias("ry"))
     dx = F.abs(F.col("x") - F.col("rx"))
     d = dx + F.abs(F.col("y") - F.col("ry"))
-    # one join for the three tiers: each is a filtered minimum over the same pairs of a page
-    pairs = notes.join(lines, "label")
-    tiers = pairs.groupBy("vec_id").agg(
-        F.min(F.when(dx <= 3, F.struct(dx.alias("d"), "r_id"))).alias("near"),
-        F.min(F.when(d <= 60, F.struct(d.alias("d"), "r_id"))).alias("middle"), F.min(F.struct(d.alias("d"), "r_id")).alias("far"),
-    )
-    out = notes.join(tiers, "vec_id", "left")
-    kind = F.when(F.col("near").isNotNull(), "heading").when(F.col("middle").isNotNull(), "highlight").when(F.col("far").isNotNull(), "line").otherwise("page")
-    return out.select("vec_id", F.coalesce("near.r_id", "middle.r_id", "far.r_id").alias("anchor"), kind.alias("kind"))
+    r = F.col("r_id")
+    tiers = [(name, N.nearest(notes, lines, ["label"], ["vec_id"], distance, r, r, "answer", limit).select("vec_id", "answer")) for name, distance, limit in (("heading", dx, 3.0), ("highlight", d, 60.0), ("line", d, None))]
+    return N.tiered(notes, ["vec_id"], tiers).select("vec_id", F.col("answer").alias("anchor"), "kind")
 
 
 @query(
@@ -194,5 +215,6 @@ def interval_match(spark, sf_dir):
 )
 def uncovered(spark, sf_dir):
     e = table(spark, sf_dir, "events")
-    a, b = e.where("event_type = 'click'").select("event_id", "user_id", "value"), e.where("event_type = 'view'").select(F.col("user_id").alias("u"), F.col("value").alias("v"))
-    return a.join(b, (F.col("user_id") == F.col("u")) & (F.abs(F.col("value") - F.col("v")) < 20), "left_anti").select("event_id")
+    a = e.where("event_type = 'click'").select("event_id", "user_id", "value")
+    b = e.where("event_type = 'view'").select(F.col("user_id").alias("user_id"), F.col("value").alias("v"))
+    return N.uncovered(a, b, ["user_id"], F.abs(F.col("value") - F.col("v")) < 20).select("event_id")

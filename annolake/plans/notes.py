@@ -9,7 +9,8 @@ from pyspark.sql import functions as F
 
 from annolake.functions import geometry as G
 from annolake.functions import text as T
-from annolake.operators import clusters, fuzzy, incremental, lines, rendering, routing
+from annolake.operators import clusters, fuzzy, incremental, lines, outline, rendering, routing
+from annolake.operators.shared import shared_folder
 from annolake.plans.catalogue import query, table
 from annolake.sources import catalog
 from annolake.streaming import sync
@@ -96,15 +97,16 @@ def stroke_clusters(spark, sf_dir):
     "stroke_style",
     """
     SELECT l_orderkey, l_linenumber, CASE WHEN l_suppkey % 24 IN (5, 18, 23) THEN CASE WHEN l_quantity > 20 THEN l_quantity / 4 ELSE 30 END WHEN l_quantity > 20 THEN (l_quantity + 10) / 2 / 4 ELSE 2.5 END AS width,
-           CASE l_linenumber WHEN 0 THEN '#000000' WHEN 1 THEN '#808080' WHEN 2 THEN '#ffffff' WHEN 3 THEN '#ffff00' WHEN 4 THEN '#00ff00' WHEN 5 THEN '#ff00ff' WHEN 6 THEN '#0000ff' WHEN 7 THEN '#ff0000' END AS colour
-    FROM lineitem WHERE l_linenumber <= 7
+           CASE l_suppkey % 14 WHEN 0 THEN '#000000' WHEN 1 THEN '#909090' WHEN 2 THEN '#ffffff' WHEN 3 THEN '#fbf719' WHEN 4 THEN '#00ff00' WHEN 5 THEN '#ffc0cb' WHEN 6 THEN '#4e69c9' WHEN 7 THEN '#b33e39' WHEN 8 THEN '#7d7d7d'
+             WHEN 10 THEN '#a1d87d' WHEN 11 THEN '#8bd0e5' WHEN 12 THEN '#b782cd' WHEN 13 THEN '#f7e851' ELSE '#010203' END AS colour
+    FROM lineitem
     """,
 )
 def stroke_style(spark, sf_dir):
     big = F.col("l_quantity") > 20
     widths = F.when(big, F.array(F.col("l_quantity"), F.lit(0.0), F.lit(10.0))).otherwise(F.array(F.lit(0.0)))
-    item = table(spark, sf_dir, "lineitem").where("l_linenumber <= 7")
-    return item.select("l_orderkey", "l_linenumber", G.stroke_width(F.col("l_suppkey") % 24, widths, F.lit(2.5)).alias("width"), G.stroke_colour(F.col("l_linenumber"), F.lit(1), F.lit(2), F.lit(3)).alias("colour"))
+    item = table(spark, sf_dir, "lineitem")
+    return item.select("l_orderkey", "l_linenumber", G.stroke_width(F.col("l_suppkey") % 24, widths, F.lit(2.5)).alias("width"), G.stroke_colour((F.col("l_suppkey") % 14).cast("int"), F.lit(1), F.lit(2), F.lit(3)).alias("colour"))
 
 
 @query("weighted_mode")
@@ -139,7 +141,7 @@ def row_banding(spark, sf_dir):
 def fitting_align(spark, sf_dir):
     """Damaged passages found again in the text they are from."""
     b = table(spark, sf_dir, "benchmark")
-    quotes = b.select(F.concat(F.lit("q"), F.col("item_id").cast("string")).alias("quote_id"), (F.col("item_id") % 8).cast("string").alias("doc_id"), F.translate(F.substring("text", 5, 60), "h", "n").alias("text"))
+    quotes = b.select(F.concat(F.lit("q"), F.col("item_id").cast("string")).alias("quote_id"), (F.col("item_id") % 8).cast("string").alias("doc_id"), F.translate("text", "h", "n").alias("text"))
     sources = b.groupBy((F.col("item_id") % 8).cast("string").alias("doc_id")).agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("item_id", "text"))), lambda s: s["text"]), " ").alias("body"))
     return fuzzy.best_alignments(quotes, sources)
 
@@ -160,10 +162,10 @@ def metadata_parse(spark, sf_dir):
     return catalog.metadata(table(spark, sf_dir, "events").select("event_id", text.alias("text"))).select("event_id", "error", F.col("meta.visibleName").alias("name"))
 
 
-@query("live_pages", "SELECT conv_id::VARCHAR AS doc_id, turn::VARCHAR AS page_id, (row_number() OVER (PARTITION BY conv_id ORDER BY left(text, 6), turn))::INT - 1 AS position, (CASE WHEN conv_id % 2 = 0 THEN CASE WHEN turn % 3 > 0 THEN turn END ELSE row_number() OVER (PARTITION BY conv_id ORDER BY left(text, 6), turn) - 1 END)::INT AS source_index FROM conversations WHERE role <> 'system'")
+@query("live_pages", "SELECT conv_id::VARCHAR AS doc_id, turn::VARCHAR AS page_id, (row_number() OVER (PARTITION BY conv_id ORDER BY text, turn))::INT - 1 AS position, (CASE WHEN conv_id % 2 = 0 THEN CASE WHEN turn % 3 > 0 THEN turn END ELSE row_number() OVER (PARTITION BY conv_id ORDER BY text, turn) - 1 END)::INT AS source_index FROM conversations WHERE role <> 'system'")
 def live_pages(spark, sf_dir):
     c = table(spark, sf_dir, "conversations").withColumn("t", F.col("turn").cast("int"))
-    page = F.struct(F.col("t").cast("string").alias("id"), F.substring("text", 1, 6).alias("idx"), F.when(F.col("role") == "system", 1).alias("deleted"), F.when((F.col("t") % 3 > 0), F.col("t")).alias("redir"))
+    page = F.struct(F.col("t").cast("string").alias("id"), F.col("text").alias("idx"), F.when(F.col("role") == "system", 1).alias("deleted"), F.when((F.col("t") % 3 > 0), F.col("t")).alias("redir"))
     docs = c.groupBy(F.col("conv_id")).agg(F.transform(F.sort_array(F.collect_list(F.struct("t", page.alias("p")))), lambda s: s["p"]).alias("c_pages"))
     content = docs.select(F.col("conv_id").cast("string").alias("doc_id"), F.when(F.col("conv_id") % 2 == 0, "pdf").otherwise("notebook").alias("file_type"), "c_pages", F.array().cast("array<string>").alias("pages"))
     return catalog.live_pages(content).drop("device_added")
@@ -179,13 +181,13 @@ def page_files(spark, sf_dir):
 @query(
     "highlight_render",
     """
-    WITH q AS (SELECT conv_id, turn + 1 AS label, string_agg('- ' || part, chr(10) ORDER BY n) AS bullets FROM (SELECT conv_id, turn, unnest(string_split(left(text, 60), ' ')) AS part, generate_subscripts(string_split(left(text, 60), ' '), 1) AS n FROM conversations WHERE role = 'user') GROUP BY conv_id, turn)
+    WITH q AS (SELECT conv_id, turn + 1 AS label, string_agg('- ' || part, chr(10) ORDER BY n) AS bullets FROM (SELECT conv_id, turn, unnest(string_split(text, ' ')) AS part, generate_subscripts(string_split(text, ' '), 1) AS n FROM conversations WHERE role = 'user') GROUP BY conv_id, turn)
     SELECT conv_id, md5(string_agg('### [[n.pdf#page=' || label || '|Page ' || label || ']]' || chr(10) || chr(10) || bullets, chr(10) || chr(10) ORDER BY label)) AS highlights_md5 FROM q GROUP BY conv_id
     """,
 )
 def highlight_render(spark, sf_dir):
     c = table(spark, sf_dir, "conversations").where("role = 'user'")
-    groups = c.select("conv_id", (F.col("turn") + 1).alias("label"), (F.col("turn") + 1).alias("embed"), F.split(F.substring("text", 1, 60), " ").alias("quotes"))
+    groups = c.select("conv_id", (F.col("turn") + 1).alias("label"), (F.col("turn") + 1).alias("embed"), F.split("text", " ").alias("quotes"))
     return rendering.highlight_sections(groups, "conv_id", F.lit("n.pdf")).select("conv_id", F.md5("highlights").alias("highlights_md5"))
 
 
@@ -195,12 +197,12 @@ _FENCE = T.FENCE_END
 @query(
     "note_assembly",
     f"""
-    WITH n AS (SELECT conv_id, turn, 'user' = role AS d, '{rendering.OWNERSHIP}' || chr(10) || chr(10) || '![[a/' || conv_id || '.pdf]]' || chr(10) AS top, left(text, 40) AS t FROM conversations)
+    WITH n AS (SELECT conv_id, turn, 'user' = role AS d, '{rendering.OWNERSHIP}' || chr(10) || chr(10) || '![[a/' || conv_id || '.pdf]]' || chr(10) AS top, text AS t FROM conversations)
     SELECT conv_id, turn, md5('---' || chr(10) || 'k: v' || chr(10) || '---' || chr(10) || top || CASE WHEN d THEN chr(10) || '## Digest' || chr(10) || t ELSE chr(10) || '## Transcript' || chr(10) || t END || chr(10) || '{_FENCE}' || chr(10) || 'mine ' || turn) AS note_md5 FROM n
     """,
 )
 def note_assembly(spark, sf_dir):
-    c, t, none = table(spark, sf_dir, "conversations"), F.substring("text", 1, 40), F.lit("")
+    c, t, none = table(spark, sf_dir, "conversations"), F.col("text"), F.lit("")
     is_digest = F.col("role") == "user"
     block = rendering.managed(F.concat(F.lit("a/"), F.col("conv_id").cast("string"), F.lit(".pdf")), F.when(is_digest, t).otherwise(none), none, F.when(is_digest, none).otherwise(t))
     old = F.concat(F.lit(f"---\nk: v\n---\nold block\n{_FENCE}\nmine "), F.col("turn").cast("string"))
@@ -220,7 +222,14 @@ def digest_render(spark, sf_dir):
     return rendering.digests(e, "user_id", ["ts", "event_id"], "h", "b").select("user_id", F.md5("digest").alias("digest_md5"))
 
 
-@query("free_paths")
+@query(
+    "free_paths",
+    """
+    WITH w AS (SELECT page_id::VARCHAR AS key, page_id, split_part(url, '/', 3) AS base, left(md5(url), 6) AS id6 FROM pages),
+    r AS (SELECT *, row_number() OVER (PARTITION BY base ORDER BY key) + CASE WHEN bool_or(page_id % 10 = 0) OVER (PARTITION BY base) THEN 1 ELSE 0 END AS n FROM w)
+    SELECT key, 'Web/' || base || CASE n WHEN 1 THEN '' WHEN 2 THEN ' (tag)' ELSE ' (' || id6 || ')' END || '.md' AS path FROM r
+    """,
+)
 def free_paths(spark, sf_dir):
     p = table(spark, sf_dir, "pages")
     wanted = p.select(F.col("page_id").cast("string").alias("key"), F.lit("Web").alias("folder"), T.file_name(F.split("url", "/")[2]).alias("base"), F.lit("tag").alias("tag"), F.md5("url").alias("doc_id"))
@@ -228,17 +237,17 @@ def free_paths(spark, sf_dir):
     return routing.free_paths(wanted, taken)
 
 
-@query("formatters", "SELECT o_orderkey, CASE WHEN o_totalprice * 20000 >= 1e9 THEN printf('%.1f GB', o_totalprice * 20000 / 1e9) ELSE floor(o_totalprice * 20000 / 1e6 + 0.5)::BIGINT || ' MB' END AS size, CASE WHEN o_orderkey % 3 = 0 THEN 'offline' WHEN o_orderkey % 3 = 1 THEN 'rejected' ELSE 'unexpected' END AS error FROM orders")
+@query("formatters", "SELECT o_orderkey, CASE WHEN o_totalprice * 20000 >= 1e9 THEN printf('%.1f GB', o_totalprice * 20000 / 1e9) ELSE floor(o_totalprice * 20000 / 1e6 + 0.5)::BIGINT || ' MB' END AS size, CASE WHEN o_orderkey % 3 = 0 THEN 'offline' WHEN o_orderkey % 5 = 0 THEN 'code' WHEN o_orderkey % 3 = 1 THEN 'rejected' ELSE 'unexpected' END AS error, CASE WHEN o_orderkey * 7 < 90 THEN 'about a minute' WHEN o_orderkey * 7 < 1800 THEN 'about ' || greatest(floor(o_orderkey * 7 / 300.0 + 0.5) * 5, 5)::INT || ' minutes' WHEN o_orderkey * 7 < 5400 THEN 'about ' || floor(o_orderkey * 7 / 600.0 + 0.5)::INT * 10 || ' minutes' WHEN floor(o_orderkey * 7 / 1800.0 + 0.5)::BIGINT % 2 = 0 THEN 'about ' || (floor(o_orderkey * 7 / 1800.0 + 0.5) / 2)::BIGINT || ' hours' ELSE 'about ' || printf('%.1f', floor(o_orderkey * 7 / 1800.0 + 0.5) / 2) || ' hours' END AS took FROM orders")
 def formatters(spark, sf_dir):
     k = F.col("o_orderkey") % 3
     message = F.when(k == 0, "getaddrinfo ENOTFOUND host").when(k == 1, "HTTP 401").otherwise("other")
-    return table(spark, sf_dir, "orders").select("o_orderkey", T.byte_size(F.col("o_totalprice") * 20000).alias("size"), T.error_class(message).alias("error"))
+    return table(spark, sf_dir, "orders").select("o_orderkey", T.byte_size(F.col("o_totalprice") * 20000).alias("size"), T.error_class(message, F.when(F.col("o_orderkey") % 5 == 0, "connect").otherwise("sync")).alias("error"), T.duration(F.col("o_orderkey") * 7).alias("took"))
 
 
 @query("path_remap", "SELECT page_id, CASE WHEN starts_with(url, regexp_extract(url, '^https?://[^/]*', 0) || '/') THEN 'New' || substr(url, length(regexp_extract(url, '^https?://[^/]*', 0)) + 1) END AS moved FROM pages")
 def path_remap(spark, sf_dir):
     host = F.regexp_extract("url", "^https?://[^/]*", 0)
-    return table(spark, sf_dir, "pages").select("page_id", T.remapped_path(F.col("url"), host, F.lit("New")).alias("moved"))
+    return table(spark, sf_dir, "pages").select("page_id", T.remapped_path(F.lit("folder"), F.col("url"), host, F.lit("New")).alias("moved"))
 
 
 @query("text_width", "SELECT item_id, list_sum(list_transform(string_split(text, ''), lambda c: CASE c WHEN 'e' THEN 5.5 WHEN ' ' THEN 2.5 ELSE 6.0 END))::DOUBLE AS width FROM benchmark")
@@ -249,7 +258,7 @@ def text_width(spark, sf_dir):
 @query("wrapped_text")
 def wrapped_text(spark, sf_dir):
     wrapped = T.wrapped(F.col("text"), 300.0, {"e": 5.5, " ": 2.5}, 6.0)
-    return table(spark, sf_dir, "benchmark").select("item_id", F.size(wrapped).alias("n_lines"), F.array_join(wrapped, "|").alias("text"))
+    return table(spark, sf_dir, "benchmark").select("item_id", F.size(wrapped).alias("n_lines"), F.array_join(wrapped["text"], "|").alias("text"), F.aggregate(wrapped["length"], F.lit(0), lambda n, x: n + x).alias("n_chars"))
 
 
 @query("interval_due", "SELECT o_orderkey, CASE WHEN o_orderkey % 9 = 0 THEN true ELSE epoch_ms(TIMESTAMP '1998-08-02') - epoch_ms(o_orderdate) >= 24 * 3600000 * (o_orderkey % 700) END AS due FROM orders")
@@ -268,27 +277,20 @@ def resume_plans(spark, sf_dir):
     "outline_order",
     """
     WITH RECURSIVE o AS (SELECT o_orderkey AS id, 1 AS depth, [o_orderkey] AS path FROM orders WHERE o_orderkey = 1
-      UNION ALL SELECT c.o_orderkey, depth + 1, list_append(path, c.o_orderkey) FROM o JOIN orders c ON c.o_orderkey // 3 = o.id WHERE c.o_orderkey < 3000 AND c.o_orderkey >= 3)
+      UNION ALL SELECT c.o_orderkey, depth + 1, list_append(path, c.o_orderkey) FROM o JOIN orders c ON c.o_orderkey // 3 = o.id WHERE c.o_orderkey >= 3)
     SELECT id, depth, row_number() OVER (ORDER BY path) AS position FROM o
     """,
 )
 def outline_order(spark, sf_dir):
-    """Pre-order of a tree: a recursion that carries each node's path, ordered by it."""
-    table(spark, sf_dir, "orders").where("o_orderkey < 3000").select(F.col("o_orderkey").alias("id"), F.floor(F.col("o_orderkey") / 3).cast("long").alias("up")).createOrReplaceTempView("_outline")
-    return spark.sql(
-        """
-        WITH RECURSIVE o AS (SELECT id, 1 AS depth, array(id) AS path FROM _outline WHERE id = 1
-          UNION ALL SELECT c.id, o.depth + 1, concat(o.path, array(c.id)) FROM o JOIN _outline c ON c.up = o.id WHERE c.id >= 3)
-        SELECT id, depth, CAST(row_number() OVER (ORDER BY path) AS BIGINT) AS position FROM o
-        """
-    )
+    key = F.col("o_orderkey")
+    nodes = table(spark, sf_dir, "orders").where("o_orderkey = 1 OR o_orderkey >= 3")
+    return outline.preorder(nodes.select(key.alias("id"), F.when(key > 1, F.floor(key / 3).cast("long")).alias("up"), key.alias("ord")))
 
 
 @query("foreach_batch_sync", "SELECT user_id::VARCHAR AS sync_key, arg_max(event_type, event_id) AS tag, max(event_id) AS page_hash FROM events GROUP BY user_id")
 def foreach_batch_sync(spark, sf_dir):
     """The events as a stream of units, applied batch by batch to the state table."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or "/tmp/annolake-checkpoints"
-    root = f"{base.rstrip('/')}/sync-{uuid.uuid4().hex}"
+    root = f"{shared_folder(spark)}/sync-{uuid.uuid4().hex}"
     schema = table(spark, sf_dir, "events").schema
     events = spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").parquet(sf_dir)
     units = events.select(

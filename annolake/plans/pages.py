@@ -42,9 +42,9 @@ def ink_bounds(spark, sf_dir):
     return canvas.ink_bounds(_points(spark, sf_dir))
 
 
-@query("device_canvas", f"WITH {_P} SELECT page_id, CASE WHEN bool_or(abs(x) > 702 AND abs(x) < 1620) THEN 1620.0::DOUBLE ELSE 1404.0::DOUBLE END AS width FROM p WHERE vec_id % 20 = 0 GROUP BY page_id")
+@query("device_canvas", f"WITH {_P} SELECT page_id, CASE WHEN bool_or(abs(x) > 702 AND abs(x) < 1620) THEN 1620.0::DOUBLE ELSE 1404.0::DOUBLE END AS width FROM p GROUP BY page_id")
 def device_canvas(spark, sf_dir):
-    return canvas.detected_canvas(_points(spark, sf_dir).where("vec_id % 20 = 0"), "page_id").select("page_id", F.col("canvas.widthPx").alias("width"))
+    return canvas.detected_canvas(_points(spark, sf_dir), "page_id").select("page_id", F.col("canvas.widthPx").alias("width"))
 
 
 _L = "l AS (SELECT label::VARCHAR AS page_id, vec_id AS ord, (vec_id % 7 * 30)::DOUBLE AS x, (vec_id * 3 % 997)::DOUBLE AS y, (60 + vec_id % 5 * 40)::DOUBLE AS w, (10 + vec_id % 3)::DOUBLE AS h FROM embeddings WHERE vec_id % 2 = 0), m AS (SELECT label::VARCHAR AS page_id, vec_id AS id, (vec_id % 11 * 20)::DOUBLE AS x, (vec_id * 7 % 997)::DOUBLE AS y, (20 + vec_id % 4 * 30)::DOUBLE AS w, (1 + vec_id % 5)::DOUBLE AS h, vec_id % 3 = 0 AS mk FROM embeddings WHERE vec_id % 2 = 1)"
@@ -84,13 +84,13 @@ def section_asof(spark, sf_dir):
 
 def _typed(spark, sf_dir):
     c = table(spark, sf_dir, "conversations")
-    run = F.struct(F.concat(F.lit("1:"), (F.col("turn") * 100000).cast("string")).alias("id"), F.concat(F.substring("text", 1, 300), F.lit("\n")).alias("text"), F.when(F.col("role") == "system", 1).otherwise(0).alias("deleted"), F.col("turn").alias("turn"))
+    run = F.struct(F.concat(F.lit("1:"), (F.col("turn") * 100000000).cast("string")).alias("id"), F.concat(F.coalesce("text", F.lit("")), F.lit("\n")).alias("text"), F.when(F.col("role") == "system", 1).otherwise(0).alias("deleted"), F.col("turn").alias("turn"))
     runs = F.transform(F.sort_array(F.collect_list(F.struct(F.col("turn").alias("t"), run.alias("r")))), lambda s: F.struct(s["r"]["id"].alias("id"), s["r"]["text"].alias("text"), s["r"]["deleted"].alias("deleted")))
     pages = c.groupBy(F.col("conv_id").cast("string").alias("page_id")).agg(runs.alias("runs"))
     return pages.select("page_id", "runs", F.create_map(F.lit("0:0"), F.lit(3)).alias("styles"), F.lit(-600.0).alias("pos_x"), F.lit(100.0).alias("pos_y"), F.lit(1200.0).alias("width"))
 
 
-@query("live_characters", "SELECT conv_id::VARCHAR AS page_id, sum(length(left(text, 300)) + 1)::BIGINT AS n FROM conversations WHERE role <> 'system' GROUP BY conv_id")
+@query("live_characters", "SELECT conv_id::VARCHAR AS page_id, sum(length(coalesce(text, '')) + 1)::BIGINT AS n FROM conversations WHERE role <> 'system' GROUP BY conv_id")
 def live_characters(spark, sf_dir):
     return typed.live_characters(_typed(spark, sf_dir)).groupBy("page_id").agg(F.count("*").alias("n"))
 
@@ -100,17 +100,17 @@ def typed_layout(spark, sf_dir):
     return typed.laid_out(_typed(spark, sf_dir), {"e": 5.5, " ": 2.5}, 6.0)
 
 
-@query("recognition", "SELECT conv_id || ':' || turn AS page_id, CASE WHEN role = 'system' THEN 'skipped' WHEN turn % 5 = 4 THEN 'failed' ELSE 'ok' END AS status, CASE WHEN role <> 'system' AND turn % 5 <> 4 THEN upper(left(text, 3)) ELSE '' END AS text FROM conversations")
+@query("recognition", "SELECT conv_id || ':' || turn AS page_id, CASE WHEN role = 'system' THEN 'skipped' WHEN turn % 5 = 4 THEN 'failed' ELSE 'ok' END AS status, CASE WHEN role <> 'system' AND turn % 5 <> 4 THEN replace(text, 'e', 'E') ELSE '' END AS text FROM conversations")
 def recognition(spark, sf_dir):
     c = table(spark, sf_dir, "conversations")
-    content = F.when(F.col("role") != "system", F.concat(F.when(F.col("turn") % 5 == 4, "!").otherwise("+"), F.substring("text", 1, 3)).cast("binary"))
+    content = F.when(F.col("role") != "system", F.concat(F.when(F.col("turn") % 5 == 4, "!").otherwise("+"), F.col("text")).cast("binary"))
     pages = c.select(F.concat_ws(":", F.col("conv_id").cast("string"), F.col("turn").cast("string")).alias("page_id"), content.alias("content"))
 
     def read(raw: bytes) -> str:
         text = bytes(raw).decode()
         if text[0] == "!":
             raise ValueError("unreadable")
-        return text[1:].upper()
+        return text[1:].replace("e", "E")
 
     return backends.recognised(pages, backends.per_page(read))
 
@@ -118,15 +118,44 @@ def recognition(spark, sf_dir):
 @query(
     "run_gates",
     """
-    SELECT o_orderkey, CASE WHEN o_orderkey % 2 = 0 THEN 'running' WHEN o_orderkey % 3 = 0 THEN 'not connected' WHEN o_orderkey % 5 = 0 THEN 'offline' WHEN o_orderkey % 7 <> 0 THEN 'not due' END AS blocked,
-           CASE WHEN o_orderkey % 11 = 0 THEN CASE WHEN o_orderkey % 4 = 0 THEN 'vision' ELSE 'off' END ELSE o_orderstatus END AS backend,
-           CASE WHEN o_orderkey % 13 <> 0 THEN 'architecture' WHEN o_orderkey % 32 < 16 THEN 'memory' END AS model FROM orders
+    WITH o AS (SELECT o_orderkey AS k, o_orderstatus AS label, (8 + o_orderkey % 24)::BIGINT * 1073741824 AS bytes, CASE o_orderkey % 3 WHEN 0 THEN 'darwin' WHEN 1 THEN 'win32' ELSE 'linux' END AS platform FROM orders)
+    SELECT k AS o_orderkey, CASE WHEN k % 17 = 0 THEN 'auto-sync-off' WHEN k % 2 = 0 THEN 'already-running' WHEN k % 3 = 0 THEN 'not-connected' WHEN k % 5 = 0 THEN 'no-background-consent' END AS blocked,
+           CASE WHEN k % 4 = 0 AND k % 3 <> 0 THEN 'no-consent-to-spend' END AS spend,
+           CASE WHEN k % 4 = 0 THEN 'vision' ELSE 'unavailable' END AS use,
+           CASE WHEN k % 7 = 0 THEN NULL WHEN k % 4 = 0 THEN label || ' needs a licence — using the local reader for this run.' ELSE label || ' needs a licence.' END AS gated_notice,
+           CASE WHEN k % 7 <> 0 AND k % 4 = 0 THEN 'No API key set for ' || label || ' — using the local reader for this run.' END AS key_notice,
+           CASE WHEN platform = 'linux' OR k % 13 = 0 THEN 'architecture' WHEN bytes < (CASE platform WHEN 'darwin' THEN 17 ELSE 23 END)::BIGINT * 1073741824 THEN 'memory' END AS model FROM o
     """,
 )
 def run_gates(spark, sf_dir):
-    k = F.col("o_orderkey")
-    blocked = backends.background_blocked(k % 2 == 0, k % 5 == 0, k % 7 == 0, k % 3 != 0)
-    return table(spark, sf_dir, "orders").select("o_orderkey", blocked.alias("blocked"), backends.fallback(F.col("o_orderstatus"), k % 11 == 0, k % 4 == 0).alias("backend"), backends.model_block(k % 13 == 0, k % 32).alias("model"))
+    k, label = F.col("o_orderkey"), F.col("o_orderstatus")
+    platform = F.when(k % 3 == 0, "darwin").when(k % 3 == 1, "win32").otherwise("linux")
+    gated, bare = backends.gated_fallback(label, k % 4 == 0, k % 7 == 0), backends.unconfigured_fallback(label, k % 4 == 0, k % 7 == 0)
+    model = backends.model_block(platform, F.when(k % 13 == 0, "x64").otherwise("arm64"), (8 + k % 24) * (1 << 30))
+    return table(spark, sf_dir, "orders").select(
+        "o_orderkey", backends.background_blocked(k % 17 != 0, k % 2 == 0, k % 3 != 0, k % 5 != 0).alias("blocked"), backends.spend_blocked(k % 4 == 0, k % 3 == 0).alias("spend"),
+        gated["use"].alias("use"), gated["notice"].alias("gated_notice"), bare["notice"].alias("key_notice"), model["kind"].alias("model"),
+    )
+
+
+@query(
+    "model_states",
+    """
+    SELECT o_orderkey, CASE WHEN o_orderkey % 11 = 0 THEN 'corrupt' WHEN o_orderkey % 5 = 0 THEN CASE WHEN o_orderkey % 2 = 0 THEN 'downloading' ELSE 'partial' END WHEN o_orderkey % 7 = 0 THEN 'absent'
+           WHEN o_orderkey % 3 = 0 THEN 'verifying' WHEN o_orderkey % 13 = 0 THEN 'absent' WHEN o_orderkey % 4 = 0 THEN 'removed' ELSE 'ready' END AS state,
+           CASE WHEN o_orderkey % 9 = 0 THEN 'keep' WHEN o_orderkey % 4 = 0 THEN 'offer' WHEN o_orderkey % 5 = 0 THEN 'delete' ELSE 'keep' END AS cleanup FROM orders
+    """,
+)
+def model_states(spark, sf_dir):
+    k, o = F.col("o_orderkey"), table(spark, sf_dir, "orders")
+    snapshot = F.struct(
+        (k % 11 == 0).alias("corrupt"), (k % 5 == 0).alias("part_present"), F.when(k % 2 == 0, 950_000).when(k % 6 == 1, 10).cast("long").alias("lock_held_at_ms"), F.lit(1_000_000).alias("now_ms"),
+        F.when(k % 7 != 0, F.when(k % 13 == 0, 99).otherwise(100)).alias("model_bytes"), F.lit(50).alias("mmproj_bytes"), (k % 3 != 0).alias("verified_present"), (k % 4 != 0).alias("runtime_present"),
+    )
+    states = o.select("o_orderkey", backends.model_state(snapshot, 100, 50).alias("state"))
+    folders = o.select(k.cast("string").alias("id"), F.when(k % 9 == 0, "pinned").otherwise(k.cast("string")).alias("name"), (k % 4 == 0).alias("complete"), (k % 5 == 0).alias("has_part"))
+    plan = backends.cleanup_plan(folders.where("name <> 'pinned'"), "pinned").select(F.col("name").cast("long").alias("o_orderkey"), F.col("action").alias("cleanup"))
+    return states.join(plan, "o_orderkey", "left").select("o_orderkey", "state", F.coalesce("cleanup", F.lit("keep")).alias("cleanup"))
 
 
 @query(

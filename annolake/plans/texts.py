@@ -155,13 +155,12 @@ def passage_lookup(spark, sf_dir):
     size = 16
     keyed = b.where(F.length("needle") >= size).withColumn("k", F.xxhash64(F.substring("needle", 1, size)))
     windows = F.array_distinct(F.transform(F.regexp_extract_all("bare", F.lit(f"(?=(.{{{size}}}))"), F.lit(1)), lambda w: F.xxhash64(w)))
-    shingled = d.select("doc_id", "bare", F.explode(windows).alias("k"))
-    hits = shingled.join(keyed, "k").where(F.contains("bare", F.col("needle")))
-    short = b.where(F.length("needle") < size)
-    found = hits.select("doc_id", "item_id", "bare", "needle")
-    if not short.isEmpty():  # passages too short for a key are looked up in every text
-        found = found.unionByName(d.join(short, F.contains("bare", F.col("needle"))).select(*found.columns))
-    return found.select("doc_id", "item_id", (F.instr("bare", F.col("needle")) - 1).cast("long").alias("at")).distinct()
+    # only ids and keys are shuffled; the texts of the few candidates come back by id
+    pairs = d.select("doc_id", F.explode(windows).alias("k")).join(keyed, "k").select("doc_id", "item_id", "needle")
+    hits = d.join(pairs, "doc_id").where(F.contains("bare", F.col("needle"))).select("doc_id", "item_id", "bare", "needle")
+    # passages too short for a key are looked up in every text
+    short = d.join(b.where(F.length("needle") < size), F.contains("bare", F.col("needle"))).select(*hits.columns)
+    return hits.unionByName(short).select("doc_id", "item_id", (F.instr("bare", F.col("needle")) - 1).cast("long").alias("at")).distinct()
 
 
 @query("folded_text", "SELECT doc_id, md5(regexp_replace(regexp_replace(regexp_replace(regexp_replace(lower(text), '[‘’‛′]', '''', 'g'), '[“”‟″]', '\"', 'g'), '[\\x{2010}-\\x{2015}\\x{2212}]', '-', 'g'), '[\\x{00A0}\\x{2007}\\x{202F}]', ' ', 'g')) AS folded_md5 FROM documents WHERE length(lower(text)) = length(text)")

@@ -90,18 +90,53 @@ def test_inherited_tags_stop_at_roots_strangers_and_cycles(spark):
     rows = [("d", "f2", "DocumentType", ["own"]), ("f2", "f1", "CollectionType", ["b", "a"]), ("f1", "", "CollectionType", ["a", "c"]), ("x", "y", "CollectionType", ["1"]), ("y", "x", "CollectionType", ["2"]), ("z", "gone", "DocumentType", None), ("t", "trash", "DocumentType", None)]
     entries = spark.createDataFrame(rows, "id string, parent string, type string, tags array<string>")
     got = {r["id"]: r["tags"] for r in routing.inherited_tags(entries).collect()}
-    assert got["d"] == ["b", "a", "c"] and got["x"] == ["2"] and got["z"] == [] and got["t"] == [] and got["f1"] == []
+    assert got["d"] == ["b", "a", "c"] and got["x"] == ["2", "1"] and got["z"] == [] and got["t"] == [] and got["f1"] == []
+
+
+def test_inherited_tags_reach_the_root_of_deep_trees(spark):
+    rows = [(str(i), str(i - 1) if i else "", "CollectionType", [f"t{i % 7}"]) for i in range(400)] + [("leaf", "399", "DocumentType", []), ("under", "leaf", "DocumentType", [])]
+    got = {r["id"]: r["tags"] for r in routing.inherited_tags(spark.createDataFrame(rows, "id string, parent string, type string, tags array<string>")).collect()}
+    assert len(got) == 402 and got["0"] == [] and got["under"] == [] and got["leaf"] == [f"t{i}" for i in (0, 6, 5, 4, 3, 2, 1)] and got["3"] == ["t2", "t1", "t0"]
+
+
+def one_after_the_other(wanted, taken):
+    used, out = set(taken), {}
+    for key, folder, base, tag, doc in sorted(wanted):
+        stem = f"{folder}/{base}" if folder else base
+        names = [f"{stem}.md", f"{stem} ({tag}).md", f"{stem} ({doc[:6]}).md", *(f"{stem} ({n}).md" for n in range(2, 99))]
+        out[key] = next(n for n in names if n not in used)
+        used.add(out[key])
+    return out
+
+
+def test_free_paths_are_those_of_one_note_after_the_other(spark):
+    import random
+
+    r, schema = random.Random(3), "key string, folder string, base string, tag string, doc_id string"
+    wanted = [(f"{i:03}", r.choice(("F", "")), r.choice("NM"), r.choice(("t", "u")), r.choice(("abcdef1", "abcdef2", "ghijkl3"))) for i in range(60)]
+    taken = ["F/N.md", "M.md", "F/N (2).md", "F/N (3).md", "F/N (6).md", "M (t).md", "N (4).md", "F/M (20).md"]
+    got = {x["key"]: x["path"] for x in routing.free_paths(spark.createDataFrame(wanted, schema), spark.createDataFrame([(t,) for t in taken], "path string")).collect()}
+    assert got == one_after_the_other(wanted, taken)
+
+
+def test_free_paths_never_collide(spark):
+    schema = "key string, folder string, base string, tag string, doc_id string"
+    wanted = [("1", "F", "a", "t", "d1"), ("2", "F", "a", "2", "d2"), ("3", "F", "a", "2", "d2"), ("4", "F", "a (2)", "t", "d4"), ("5", "F", "a (t)", "t", "d5"), ("6", "F", "a", "t", "d1"), ("7", "F", "a", "t", "d1")]
+    taken = ["F/a (3).md"]
+    got = [x["path"] for x in routing.free_paths(spark.createDataFrame(wanted, schema), spark.createDataFrame([(t,) for t in taken], "path string")).collect()]
+    assert len(got) == len(set(got)) == 7 and not set(got) & set(taken)
+    assert routing.free_paths(spark.createDataFrame([], schema), spark.createDataFrame([], "path string")).count() == 0
 
 
 def test_free_paths(spark):
     wanted = spark.createDataFrame([("1", "F", "N", "t", "abcdefgh"), ("2", "F", "N", "t", "ijklmnop"), ("3", "", "M", "t", "x")], "key string, folder string, base string, tag string, doc_id string")
     taken = spark.createDataFrame([("F/N.md",), ("M.md",)], "path string")
     got = {r["key"]: r["path"] for r in routing.free_paths(wanted, taken).collect()}
-    assert got == {"1": "F/N (t).md", "2": "F/N (t) (2).md", "3": "M (t).md"}
+    assert got == {"1": "F/N (t).md", "2": "F/N (ijklmn).md", "3": "M (t).md"}
 
 
 def test_incremental_gate_and_transitions(spark):
-    state = spark.createDataFrame([("k", "d", "active", 3, "n.md"), ("o", "e", "orphaned", None, "gone.md")], "sync_key string, doc_id string, status string, render_version int, note_path string")
+    state = spark.createDataFrame([("k", "d", "active", 30, "n.md"), ("o", "e", "orphaned", None, "gone.md")], "sync_key string, doc_id string, status string, render_version int, note_path string")
     notes = spark.createDataFrame([("n.md",)], "path string")
     assert incremental.nothing_to_do("r", "r", "f", "f", state, notes)
     assert not incremental.nothing_to_do("r", "s", "f", "f", state, notes) and not incremental.nothing_to_do("r", "r", "f", "g", state, notes)
@@ -150,21 +185,38 @@ def test_note_rewriting(spark):
 
 @pytest.mark.parametrize("stop", [False, True])
 def test_stream_commits_state_after_output(spark, tmp_path, stop):
-    schema = "sync_key string, doc_id string, tag string, folder string, page_hash long, n_items long, ord long"
+    schema = "sync_key string, doc_id string, tag string, folder string, page_hash long, n_items long, ord long, gone boolean"
     source, path, check = str(tmp_path / "in"), str(tmp_path / "state"), str(tmp_path / "check")
-    spark.createDataFrame([("a", "d", "t", "f", 1, 1, 0), ("a", "d", "t", "f", 2, 2, 1), ("b", "d", "t", "f", 1, 1, 2)], schema).coalesce(1).write.parquet(source)
+
+    def arrive(*rows):
+        spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(source)
+
+    arrive(("a", "d", "t", "f", 1, 1, 0, False), ("a", "d", "t", "f", 2, 2, 1, False), ("b", "d", "t", "f", 1, 1, 2, None), ("c", "e", "t", "f", 1, 1, 3, False), ("u", "e", "t", "f", 1, 1, 4, False))
     seen = []
 
-    def write(batch, number):
-        seen.append(batch.count())
+    def write(plan, number):
+        seen.append({r["sync_key"]: r["action"] for r in plan.collect()})
         if stop and len(seen) == 1:
             raise RuntimeError("stopped")
 
-    query = sync.sync_stream(spark.readStream.schema(schema).parquet(source), path, check, write)
+    def run():
+        return sync.sync_stream(spark.readStream.schema(schema).parquet(source), path, check, write, 4)
+
+    query = run()
     if stop:
         with pytest.raises(Exception, match="stopped"):
             query.awaitTermination()
         assert sync.state(spark, path).count() == 0
-        query = sync.sync_stream(spark.readStream.schema(schema).parquet(source), path, check, write)
+        query = run()
     query.awaitTermination()
-    assert sorted((r["sync_key"], r["page_hash"]) for r in sync.state(spark, path).collect()) == [("a", 2), ("b", 1)]
+    assert seen[-1] == {k: "write" for k in "abcu"}
+    assert sorted((r["sync_key"], r["page_hash"]) for r in sync.state(spark, path).collect()) == [("a", 2), ("b", 1), ("c", 1), ("u", 1)]
+    # a later batch: one changed, one moved, one gone, one as it was, one new; keys without a unit stay
+    arrive(("a", "d", "t", "f", 3, 1, 0, False), ("b", "d", "t", "g", 1, 1, 0, False), ("c", "e", "t", "f", 1, 1, 0, True), ("x", "e", "t", "f", 1, 1, 0, False))
+    run().awaitTermination()
+    assert seen[-1] == {"a": "rewrite", "b": "move", "c": "orphan", "x": "write"}
+    arrive(("a", "d", "t", "f", 3, 1, 0, False), ("c", "e", "t", "f", 1, 1, 0, True))
+    run().awaitTermination()
+    assert seen[-1] == {"a": "skip", "c": "keep"}
+    got = {r["sync_key"]: (r["page_hash"], r["folder"], r["status"], r["render_version"]) for r in sync.state(spark, path).collect()}
+    assert got == {"a": (3, "f", "active", 30), "b": (1, "g", "active", 30), "c": (1, "f", "orphaned", None), "u": (1, "f", "active", 30), "x": (1, "f", "active", 30)}

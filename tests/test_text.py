@@ -65,8 +65,9 @@ def test_hashes_and_names(value):
     assert value(T.is_in_folder(F.lit("a/b/c.md"), F.lit("a/b//"))) and not value(T.is_in_folder(F.lit("a/b/c.md"), F.lit("a")))
     assert value(T.is_in_folder(F.lit("c.md"), F.lit("")))
     assert [value(T.attachments_folder(F.lit(x))) for x in ("/x/y/", "a/../b", " ")] == ["x/y", "attachments", "attachments"]
-    assert value(T.remapped_path(F.lit("Notes/a.md"), F.lit("Notes"), F.lit("Archive"))) == "Archive/a.md"
-    assert value(T.remapped_path(F.lit("Notes2/a.md"), F.lit("Notes"), F.lit("Archive"))) is None
+    assert value(T.remapped_path(F.lit("folder"), F.lit("Notes/a.md"), F.lit("Notes"), F.lit("Archive"))) == "Archive/a.md"
+    assert value(T.remapped_path(F.lit("folder"), F.lit("Notes2/a.md"), F.lit("Notes"), F.lit("Archive"))) is None and value(T.remapped_path(F.lit("folder"), F.lit("a"), F.lit("a"), F.lit("b"))) is None
+    assert value(T.remapped_path(F.lit("file"), F.lit("a"), F.lit("a"), F.lit("b"))) == "b" and value(T.remapped_path(F.lit("file"), F.lit("a/x"), F.lit("a"), F.lit("b"))) is None
 
 
 def test_note_parts(value):
@@ -99,16 +100,26 @@ def test_folding_budgets_and_similarity(value):
     assert [value(T.error_budget(F.lit(n))) for n in (1, 20, 100)] == [2, 3, 15]
     assert value(T.anchor_words(F.lit("the longest words here longest wordy"))) == ["longest", "words", "wordy"]
     assert value(T.is_same_line(F.lit("hello world"), F.lit("hallo world"))) and not value(T.is_same_line(F.lit("abc"), F.lit("xyz")))
-    assert value(T.is_same_line(F.lit(" "), F.lit("")))
+    assert value(T.is_same_line(F.lit(" "), F.lit(""))) and value(T.line_shape(F.lit(" a  \n“b” – ‘c’ "))) == 'a "b" - \'c\''
 
 
 def test_formatters(value):
     assert [value(T.byte_size(F.lit(n).cast("double"))) for n in (5.5e9, 12_400_000)] == ["5.5 GB", "12 MB"]
-    assert [value(T.duration(F.lit(float(s)))) for s in (0.2, 30, 600, 9000)] == ["under a second", "30 s", "10 min", "2.5 h"]
-    assert value(T.sanitized_transcript(F.lit("Here is the text:\n```md\nline\n```"))) == "line"
-    assert value(T.mapping_fingerprint(F.create_map(F.lit("b"), F.lit("x"), F.lit("a"), F.lit("y")))) == 'v1:[["a","y"],["b","x"]]'
-    assert value(T.wrapped(F.lit("aa bb cc/dd"), 6.0, {"a": 1.0}, 1.0)) == ["aa bb ", "cc/dd"]
-    assert value(T.paint_operands(F.lit("  scn\n1 0 0 scn"))) == "  0 scn\n1 0 0 scn" and value(T.paint_operands(F.lit("1 scn"))) is None
+    told = {10: "a minute", 89: "a minute", 90: "5 minutes", 1000: "15 minutes", 3300: "60 minutes", 5399: "90 minutes", 5400: "1.5 hours", 7200: "2 hours", 8200: "2.5 hours"}
+    assert {s: value(T.duration(F.lit(float(s)))) for s in told} == {s: f"about {t}" for s, t in told.items()}
+    given = {
+        "Here is the transcript:\n\nline": "line", "here are the transcription\n```md\nline\n```": "line", "Here is the agenda:\nx": "Here is the agenda:\nx", "Sure, the agenda:\nx": "Sure, the agenda:\nx",
+        "```python\nx = 1\n```": "```python\nx = 1\n```", "```\na\n\n  b\n  ```": "a\n\n  b", "```markdown\n```": "", "before\n```\nx\n```": "before\n```\nx\n```", "Here is the transcript.": "", "```": "```",
+    }
+    assert {t: value(T.sanitized_transcript(F.lit(t))) for t in given} == given
+    errors = [("TypeError: Failed to fetch", "sync", "offline"), ("HTTP 401", "sync", "rejected"), ("HTTP 401", "connect", "code"), ("EAI_AGAIN", "connect", "offline"), ("code 4011", "sync", "unexpected"), ("Invalid-Token", "sync", "rejected")]
+    assert [value(T.error_class(F.lit(m), F.lit(c))) for m, c, _ in errors] == [e for *_, e in errors]
+    assert value(T.mapping_fingerprint(F.create_map(F.lit("b"), F.lit("x"), F.lit("a"), F.lit("y")))) == '3:[["a","y"],["b","x"]]'
+    lines = lambda text: [tuple(x) for x in value(T.wrapped(F.lit(text), 6.0, {"a": 1.0}, 1.0))]
+    assert lines("aa bb cc/dd") == [("aa bb", 6), ("cc/dd", 5)] and lines("") == [("", 0)] and lines("abcdefgh/ijk lm") == [("abcdefgh/", 9), ("ijk lm", 6)]
+    assert lines("aaaaaa   bb") == [("aaaaaa", 9), ("bb", 2)] and value(T.break_chunks(F.lit("a  b/c"))) == ["a", " ", " ", "b/", "c"]
+    fixed = {"/C cs\nscn": "/C cs\n0 0 0 scn", "q scn": "q 0 0 0 scn", "SCN f": "0 0 0 SCN f", "1 0 0 scn": None, "/P0 scn": None, "xscn scnx": None, "scn 1 scn": "0 0 0 scn 1 scn"}
+    assert {c: value(T.paint_operands(F.lit(c))) for c in fixed} == fixed
 
 
 def test_fitting_alignment_is_a_whole_text_in_a_free_stretch():

@@ -32,7 +32,7 @@ from annolake.llm.tables import Scratch, blocks_by_bytes, table, text_or_empty
 
 ORDER = 5
 #: Share of held-out trusted documents whose surprisal is at most the threshold; standard errors by which a document's own surprisal is lowered.
-QUANTILE, ALLOWANCE = 0.99, 3.0
+QUANTILE, ALLOWANCE = 0.98, 1.0
 HELD_OUT = 10
 START, END = "\x02", "\x03"
 #: Characters that are taken apart at once, and in one step of that; bytes of text of a block, and shards of the model at most.

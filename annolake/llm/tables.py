@@ -35,14 +35,8 @@ def blocks_by_bytes(docs: DataFrame, text: str = "text", each: int = BLOCK_BYTES
 
 
 def checkpoint_dir(spark: SparkSession) -> str:
-    """The shared folder named by the cluster; a local one only where the setting is missing."""
-    named = spark.conf.get("spark.checkpoint.dir", None)
-    if not named:
-        import tempfile
-
-        named = f"file://{tempfile.gettempdir()}/annolake-checkpoints"
-        spark.conf.set("spark.checkpoint.dir", named)
-    return named
+    """The shared folder named by the cluster; where it names none, the warehouse, which is shared too."""
+    return spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.sql.warehouse.dir")
 
 
 @contextlib.contextmanager

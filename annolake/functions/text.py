@@ -43,7 +43,7 @@ def one_line(text: Column) -> Column:
 def heading_title(title: Column) -> Column:
     """Without invisible characters and leading ornaments, in one line."""
     visible = F.regexp_replace(title, F.lit(r"[\p{Cc}\p{Cf}&&[^\t\n\r]]"), F.lit(""))
-    return one_line(F.regexp_replace(visible, F.lit(f"^(?:{SPACE}|\\p{{S}})+"), F.lit("")))
+    return one_line(F.regexp_replace(visible, F.lit(f"^[{SPACE[1:-1]}\\p{{S}}]+"), F.lit("")))
 
 
 #: Fixed: the named references that are decoded.
@@ -95,9 +95,10 @@ def toc_labels(xhtml: Column) -> Column:
 
 def heading_number(line: Column, title: Column) -> Column:
     """The number of a line that reads `number title`, else null."""
-    number = F.regexp_extract(line, rf"^(\d+(?:\.\d+)*\.?|[A-Z]\.?){SPACE}+(.*)$", 1)
-    rest = F.regexp_extract(line, rf"^(\d+(?:\.\d+)*\.?|[A-Z]\.?){SPACE}+(.*)$", 2)
-    return F.when((number != "") & (rest == title), number)
+    # one class for the parts: a repeated group would need a stack as deep as the number is long
+    numbered = rf"^(\d[\d.]*|[A-Z]\.?){SPACE}+(.*)$"
+    number, rest = F.regexp_extract(line, numbered, 1), F.regexp_extract(line, numbered, 2)
+    return F.when((number != "") & ~number.contains("..") & (rest == title), number)
 
 
 def joined_lines(lines: Column) -> Column:

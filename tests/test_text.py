@@ -29,6 +29,13 @@ def test_white_space_and_markup(value):
     assert value(T.heading_number(F.lit("Intro"), F.lit("Intro"))) is None
 
 
+def test_long_titles_and_numbers_need_no_deep_stack(value):
+    assert value(T.heading_title(F.concat(F.repeat(F.lit("◆ "), 100_000), F.lit("Intro")))) == "Intro"
+    many = F.concat(F.repeat(F.lit("1."), 100_000), F.lit("1"))
+    assert value(T.heading_number(F.concat(many, F.lit(" Intro")), F.lit("Intro"))) == "1." * 100_000 + "1"
+    assert [value(T.heading_number(F.lit(f"{n} Intro"), F.lit("Intro"))) for n in ("1.", "1..2", ".1", "A.", "AB", "1.2.")] == ["1.", None, None, "A.", None, "1.2."]
+
+
 def test_joined_lines(value):
     got = value(T.joined_lines(arr("exam-", "ple one", "", "two-", "3")))
     assert got["text"] == "example one two- 3"

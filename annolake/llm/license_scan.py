@@ -7,7 +7,7 @@ equal intervals the higher priority, then the earlier rule, stays), except for t
 A word is a run of ASCII letters, digits and characters from U+0080; a base phrase is its words in a row, case-insensitive in A-Z.
 
 Cases: null text counts as empty: no words, no detection; repeated rows are scanned each; a null or repeated id is passed through;
-very long texts are scanned whole, as one row; ties between equal detections go to the higher priority, then the earlier rule; an empty table gives an empty result; other
+very long texts are scanned whole, as one row, and no pattern repeats a group, so a long match needs no deep stack; ties between equal detections go to the higher priority, then the earlier rule; an empty table gives an empty result; other
 columns are not read.
 """
 
@@ -198,7 +198,7 @@ NOTICES = (
     ("proprietary", r"proprietary and confidential", "proprietary"),
     ("boost", r"boost software license - version 1\.0", "boost"),
     ("ofl", r"this font software is licensed under the sil open font license", "font"),
-    ("copyright", r"(?:copyright|\(c\)|©) (?:\(c\) )?(?:19|20)\d\d(?:[-, ]+(?:19|20)?\d\d)* \w", "copyright (c) ©"),
+    ("copyright", r"(?:copyright|\(c\)|©) (?:\(c\) )?(?:19|20)\d\d[-,\s\d]*\s\w", "copyright (c) ©"),
     ("mit", r"the above copyright notice and this permission notice shall be included in all copies or substantial portions", "substantial"),
     ("mit", r"the software is provided .?as is.?, without warranty of any kind, express or implied, including but not limited to", "warranty"),
     ("bsd", r"redistributions of source code must retain the above copyright notice", "redistributions"),

@@ -63,3 +63,27 @@ def test_tables_without_rows_and_repeated_rows(spark):
 def test_no_python_in_the_plan(spark):
     plan = L.scan_licenses(spark.createDataFrame([(1, "x")], "doc_id long, text string"))._jdf.queryExecution().toString()
     assert "Python" not in plan and "Pandas" not in plan and "Arrow" not in plan
+
+
+def test_no_repeated_part_needs_a_deep_stack(spark):
+    """Each repeatable part 100 000 times: the matcher must not go one level deeper each time."""
+    n = 100_000
+    texts = [
+        "copyright 2000" + ", 2001" * n + " Someone", "copyright 2000" + "-01" * n + " x", "gnu" + " " * n + "general public license", "mit" + "-" * n + "license", "license" + ":" * n + " mit",
+        "licensed" + "\n" * n + "under the mit license", "é" * n + " mit license", "mit license " * n, "cc" + "+ " * n + "by", "reserved font name " + "x" * n, "unauthorized copying of this file" + " " * n + "is strictly prohibited",
+    ]
+    frame = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {x["doc_id"]: (x["n_words"], x["n_base"], x["first_word"], x["last_word"], x["base_labels"]) for x in L.scan_licenses(frame).collect()}
+    assert got == {i: brute(t) for i, t in enumerate(texts)}
+
+
+def test_every_repeat_in_the_rules_is_of_a_single_class():
+    """Unbounded repeats of a group are what overflows; bounded ones of up to one are fine."""
+    assert not [p for _, p, _, _, _ in L.rules() if re.search(r"(?<!\\)\)(?:[*+]|\{\d+,)", p)]
+
+
+def test_years_of_a_notice(spark):
+    texts = ["Copyright 2001 X", "copyright 2001, 2003-05 Someone", "(c) 1999-2004 y", "© 2020", "copyright 1899 x"]
+    frame = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {x["doc_id"]: x["labels"] for x in L.scan_licenses(frame).collect()}
+    assert got == {0: "copyright", 1: "copyright", 2: "copyright", 3: "", 4: ""}

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from annolake.llm import byte_bpe, chat_format, decontaminate, html_extract, jaccard_join, license_scan, line_dedup, quality, substring_dedup, voronoi_knn
+from annolake.llm import byte_bpe, chat_format, decontaminate, html_extract, jaccard_join, license_scan, line_dedup, quality, substring_dedup, url_filter, voronoi_knn
 
 QUERIES = {
     "op1_html_extract": html_extract.op1_html_extract,
@@ -15,6 +15,7 @@ QUERIES = {
     "op8_jaccard_join": jaccard_join.op8_jaccard_join,
     "op9_decontaminate": decontaminate.op9_decontaminate,
     "op10_topk_search": voronoi_knn.op10_topk_search,
+    "op13_url_filter": url_filter.op13_url_filter,
 }
 
 ORACLE_SQL = {

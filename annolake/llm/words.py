@@ -26,17 +26,23 @@ def runs(inside: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return np.nonzero(starts)[0], np.nonzero(stops)[0]
 
 
-def words(texts: pa.Array, is_word: np.ndarray) -> tuple[pa.Array, np.ndarray, np.ndarray]:
-    """The different words of a column without nulls, and for each word in order its number among them and its text. ``is_word``: for each byte, if it belongs to words."""
+def words(texts: pa.Array, is_word: np.ndarray, is_cut: np.ndarray | None = None) -> tuple[pa.Array, np.ndarray, np.ndarray]:
+    """The different words of a column without nulls, and for each word in order its number among them and its text, or, with ``is_cut``, its piece: a number that rises from
+    piece to piece. ``is_word``, ``is_cut``: for each byte, if it belongs to words, and if it ends a piece."""
     data, ends = parts(texts)
-    chunks, owners, at = [pa.array([], pa.binary())], [np.zeros(0, np.int64)], 0
+    chunks, owners, at, cuts = [pa.array([], pa.binary())], [np.zeros(0, np.int64)], 0, 0
     while at < len(ends) - 1:
         stop = max(at + 1, int(np.searchsorted(ends, ends[at] + LOT, side="right")) - 1)
         own, own_ends = lowered(data[ends[at] : ends[stop]]), ends[at : stop + 1] - ends[at]
         inside = is_word[own]
         starts, stops = runs(inside, own_ends)
         chunks.append(joined(own[inside], np.concatenate([[0], np.cumsum(stops - starts)])))
-        owners.append(np.searchsorted(own_ends, starts, side="right") - 1 + at)
+        owner = np.searchsorted(own_ends, starts, side="right") - 1 + at
+        if is_cut is not None:
+            passed = np.cumsum(is_cut[own])
+            owner += cuts + passed[starts] if len(own) else 0
+            cuts += int(passed[-1]) if len(own) else 0
+        owners.append(owner)
         at = stop
     wide = any(pa.types.is_large_binary(c.type) for c in chunks)
     coded = pa.chunked_array([c.cast(pa.large_binary()) for c in chunks] if wide else chunks).dictionary_encode()

@@ -24,9 +24,9 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from annolake.llm import bit_slices as B
-from annolake.llm.columns import joined, release, slices
+from annolake.llm.columns import joined, parts, release, slices
 from annolake.llm.tables import Scratch, table, text_or_empty
-from annolake.llm.words import words
+from annolake.llm.words import LOT, runs, words
 
 TOP = 20
 #: Bits of an impact; bytes of text and documents of a block; items that are scored together; blocks whose rows of a term are one key of the look-up.
@@ -36,11 +36,20 @@ _IS_TERM = np.array([b >= 0x80 or chr(b).isalnum() for b in range(256)])
 _INDEX = "block bigint, term string, n int, docs binary, slices binary"
 
 
+def _tallies(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    release()
+    for batch in slices(batches, "text", LOT):
+        data, ends = parts(batch.column("text"))
+        starts, _ = runs(_IS_TERM[data], ends)
+        n = np.diff(np.searchsorted(starts, ends))
+        yield pa.RecordBatch.from_pydict({"holding": [int((n > 0).sum())], "n": [int(n.sum())]})
+
+
 def statistics(docs: DataFrame, id_col: str = "doc_id", text: str = "text") -> tuple[int, int]:
     """How many documents have terms, and how many terms they have."""
-    n = docs.where(F.col(id_col).isNotNull()).select(F.regexp_count(text_or_empty(text), F.lit(TERM)).cast("long").alias("n"))
-    row = n.agg(F.count(F.when(F.col("n") > 0, 1)), F.sum("n")).first()
-    return row[0], row[1] or 0
+    own = docs.where(F.col(id_col).isNotNull()).select(text_or_empty(text).alias("text")).mapInArrow(_tallies, "holding bigint, n bigint")
+    row = own.agg(F.sum("holding"), F.sum("n")).first()
+    return row[0] or 0, row[1] or 0
 
 
 def impacts(tf: np.ndarray, length: np.ndarray, count: int, total: int) -> np.ndarray:

@@ -3,7 +3,7 @@ r"""Phrase collocations of each language: phrases whose words stand together far
 Documents are dealt into blocks of bounded size, whatever their language or text. A block first hashes its different phrases of up to ``LONGEST`` words and sends each shard of hashes one compressed list with their counts; a
 shard sums them and tells each block which of its hashes are frequent enough. Hashes only rule phrases out: one that collides is counted too high, never too low. Then
 each block builds the generalised suffix automaton of what is left, by language, to the depth of ``LONGEST`` words, and its states give every phrase once with its count of
-end places. Those counts, by the phrases themselves, are summed over all blocks and are exact.
+end places. Those go to the shards again, one compressed list from each block, and the shards sum them by the phrases themselves: these counts are exact.
 
 A phrase's score comes from the cut of its words at which the parts are commonest. A phrase inside a longer candidate that is nearly as frequent is dropped: as counts only fall
 from a phrase to its extensions, it is enough to look along the suffix link of each candidate (the phrase without its first word) and along the transition into it (without its last).
@@ -37,6 +37,7 @@ _CUT = np.isin(np.arange(256), [ord(c) for c in ".,;:!?\x0a\x0b\x0c\x0d"])
 _IS_WORD = ~_CUT & ~np.isin(np.arange(256), [9, 32])
 _LISTS = pa.schema([("b", pa.int32()), ("shard", pa.int32()), ("hashes", pa.binary()), ("counts", pa.binary())])
 _COUNTS = pa.schema([("lang", pa.string()), ("k", pa.int32()), ("phrase", pa.binary()), ("n", pa.int64())])
+_CHUNKS = pa.schema([("shard", pa.int32()), ("chunk", pa.binary())])
 _A, _B = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93)
 
 
@@ -166,19 +167,28 @@ def _phrases(vocabulary: pa.Array, ids: np.ndarray, end: np.ndarray, k: int) ->
     return joined(out[~last], np.concatenate([[0], stops[k - 1 :: k] - np.arange(1, len(end) + 1)]))
 
 
-def _counted(longest: int, bits: int) -> Callable[[pa.Table, pa.Table], pa.Table]:
+def _counted(longest: int, bits: int, shards: int) -> Callable[[pa.Table, pa.Table], pa.Table]:
+    """A block's phrases of frequent hashes with their counts: one compressed list for each shard."""
+
     def run(chunks: pa.Table, told: pa.Table) -> pa.Table:
         release()
         known = np.sort(np.concatenate([np.zeros(0, np.uint64), *(np.cumsum(_numbers(h, np.uint64), dtype=np.uint64) for c in told.column("hashes").chunks for h in c)]))
-        out = [pa.Table.from_pylist([], _COUNTS)]
-
-        def add(lang: str, k: int, phrase: pa.Array, n: np.ndarray) -> None:
-            out.append(pa.table([pa.array([lang] * len(n), pa.string()), pa.array(np.full(len(n), k, np.int32)), phrase.cast(pa.binary()), pa.array(n.astype(np.int64))], schema=_COUNTS))
+        limits = np.array([(s << bits) // shards for s in range(1, shards)], np.uint64)
+        lots: list[list[pa.RecordBatch]] = [[] for _ in range(shards)]
+
+        def add(lang: str, k: int, phrase: pa.Array, n: np.ndarray, hashes: np.ndarray) -> None:
+            rows = pa.record_batch([pa.array([lang] * len(n), pa.string()), pa.array(np.full(len(n), k, np.int32)), phrase.cast(pa.binary()), pa.array(n.astype(np.int64))], schema=_COUNTS)
+            order = np.argsort(hashes)
+            cuts = [0, *np.searchsorted(hashes[order], limits), len(n)]
+            rows = rows.take(pa.array(order))
+            for own, start, end in zip(lots, cuts[:-1], cuts[1:], strict=True):
+                if end > start:
+                    own.append(rows.slice(start, end - start))
 
         for lang, texts in _by_lang(chunks).items():
             text = Text(lang, texts, bits)
-            add(lang, 0, pa.array([b""], pa.binary()), np.array([len(text.ids)]))
-            levels = []
+            add(lang, 0, pa.array([b""], pa.binary()), np.array([len(text.ids)]), np.zeros(1, np.uint64))
+            levels, hashes = [], []
             places, full = text.first()
             for k in range(1, longest + 1):
                 places, full = text.longer(k, places, full) if k > 1 else (places, full)
@@ -187,11 +197,34 @@ def _counted(longest: int, bits: int) -> Callable[[pa.Table, pa.Table], pa.Table
                 left = (np.append(known, np.uint64(0))[spot] == different) & (spot < len(known))
                 places, full = places[left[where]], full[left[where]]
                 levels.append(places)
+                hashes.append(full >> text.shift)
             end, length, n = automaton(text.ids, levels).substrings()
             for k in range(1, longest + 1):
                 here = length == k
-                add(lang, k, _phrases(text.vocabulary, text.ids, end[here], k), n[here])
-        return pa.concat_tables(out)
+                add(lang, k, _phrases(text.vocabulary, text.ids, end[here], k), n[here], hashes[k - 1][np.searchsorted(levels[k - 1], end[here])])
+        options = pa.ipc.IpcWriteOptions(compression=pa.Codec("zstd", compression_level=1))
+        rows = []
+        for s, own in enumerate(lots):
+            if own:
+                sink = pa.BufferOutputStream()
+                with pa.ipc.new_stream(sink, _COUNTS, options=options) as writer:
+                    writer.write_table(pa.Table.from_batches(own).combine_chunks().sort_by("phrase"))
+                rows.append({"shard": s, "chunk": sink.getvalue().to_pybytes()})
+        return pa.Table.from_pylist(rows, _CHUNKS)
+
+    return run
+
+
+def _summed(least: int) -> Callable[[pa.Table], pa.Table]:
+    """A shard's phrases, by themselves: (lang, k, phrase, f) of the frequent ones."""
+
+    def run(chunks: pa.Table) -> pa.Table:
+        import pyarrow.compute as pc
+
+        release()
+        every = pa.Table.from_batches(list(unpacked(chunks)), _COUNTS).group_by(["lang", "k", "phrase"]).aggregate([("n", "sum")])
+        often = every.filter(pc.or_(pc.greater_equal(every.column("n_sum"), least), pc.equal(every.column("k"), 0)))
+        return pa.table([often.column(c) for c in ("lang", "k", "phrase", "n_sum")], names=["lang", "k", "phrase", "f"])
 
     return run
 
@@ -206,9 +239,9 @@ def phrase_counts(docs: DataFrame, least: int = LEAST, longest: int = LONGEST, l
     chunks = scratch.bucketed(packed(rows, "row", count), count, "b", "phrases")
     lists = chunks.groupBy("b").applyInArrow(_asked(longest, bits, shards), "b int, shard int, hashes binary, counts binary")
     told = scratch.write(lists.groupBy("shard").applyInArrow(_frequent(least), "b int, hashes binary"), "frequent")
-    found = chunks.groupBy("b").cogroup(told.groupBy("b")).applyInArrow(_counted(longest, bits), "lang string, k int, phrase binary, n bigint")
-    counts = found.groupBy("lang", "k", F.col("phrase").cast("string").alias("phrase")).agg(F.sum("n").alias("f"))
-    return scratch.write(counts.where((F.col("f") >= least) | (F.col("k") == 0)), "counts")
+    found = chunks.groupBy("b").cogroup(told.groupBy("b")).applyInArrow(_counted(longest, bits, shards), "shard int, chunk binary")
+    counts = found.groupBy("shard").applyInArrow(_summed(least), "lang string, k int, phrase binary, f bigint")
+    return scratch.write(counts.select("lang", "k", F.col("phrase").cast("string").alias("phrase"), "f"), "counts")
 
 
 def _words_of(n: Column) -> Column:

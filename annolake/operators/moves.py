@@ -40,11 +40,12 @@ def move_plan(moves: DataFrame, existing: DataFrame, cut: int = CUT) -> DataFram
     """(chain, piece, step, src, dst, via) of moves (src, dst) among existing notes (path): a piece's moves in the order of ``step``; ``via``: if it goes by a temporary name. A move from a path
     without a note, or to its own path, is none. Two moves from or to one path, and one to a note that stays, are refused. The plan is a written table."""
     rounds, out = Rounds(moves.sparkSession, "moves"), Rounds(moves.sparkSession, "move-plan")
-    real = rounds.write(moves.where("src <> dst").join(existing.select(F.col("path").alias("src")).distinct(), "src", "left_semi").select("src", "dst"))
+    existing = out.write(existing.select("path").distinct())
+    real = rounds.write(moves.where("src <> dst").join(existing.select(F.col("path").alias("src")), "src", "left_semi").select("src", "dst"))
     for side in ("src", "dst"):
         if twice := real.groupBy(side).count().where("count > 1").head(1):
             raise ValueError(f"two moves with {side} {twice[0][0]!r}")
-    stays = real.join(existing.select(F.col("path").alias("dst")).distinct(), "dst", "left_semi").join(real.select(F.col("src").alias("dst")), "dst", "left_anti").head(1)
+    stays = real.join(existing.select(F.col("path").alias("dst")), "dst", "left_semi").join(real.select(F.col("src").alias("dst")), "dst", "left_anti").head(1)
     if stays:
         raise ValueError(f"a note that stays is at {stays[0]['dst']!r}")
     ranked = out.write(_ranked(real, rounds))

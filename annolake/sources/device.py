@@ -26,7 +26,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceStreamReader, EqualTo, Filter, In, InputPartition
 
-from annolake.sources.vault import Store, write_files
+from annolake.sources.vault import Store, opened, write_files
 
 BUCKETS = 64
 SCHEMA = "generation int, doc_id string, hash string, name string, type string, parent string, tags array<string>, gone boolean"
@@ -203,23 +203,9 @@ def stream_entries(spark: SparkSession, root: str, since: int = 0, each: bool =
 
 
 def fetched(rows: DataFrame, root: str, folder: str, key: str = "hash", as_: str = "content") -> DataFrame:
-    """The rows with the blob or listing that each one's hash names; null without a hash, and where there is none. Files are opened in the tasks, one for each row."""
-    field = pa.field(as_, pa.binary())
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        store = Store(root)
-
-        def content(name: str | None) -> bytes | None:
-            path = f"{folder}/{(name or '')[:2]}/{name}"
-            return store.read(path) if name and store.kind(path) == pafs.FileType.File else None
-
-        for batch in batches:
-            for at in range(0, batch.num_rows, 64):
-                own = batch.slice(at, 64)
-                yield pa.RecordBatch.from_arrays([*own.columns, pa.array([content(n) for n in own.column(key).to_pylist()], pa.binary())], schema=own.schema.append(field))
-
-    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema)
-    return rows.mapInArrow(run, f"{fields}, `{as_}` binary")
+    """The rows with the blob or listing that each one's hash names; null without a hash, and where there is none."""
+    at = F.concat(F.lit(f"{folder}/"), F.substring(key, 1, 2), F.lit("/"), F.col(key))
+    return opened(rows.withColumn("_at", at), root, "_at", as_, own=True).drop("_at")
 
 
 LISTING = "page_id string, ord int, hash string, tags array<string>"

@@ -125,8 +125,8 @@ class Part(InputPartition):
 
 
 class VaultReader(DataSourceReader):
-    def __init__(self, root: str):
-        self.root, self.known, self.prefix = root, None, ""
+    def __init__(self, root: str, names_only: bool = False):
+        self.root, self.known, self.prefix, self.names_only = root, None, "", names_only
 
     def pushFilters(self, filters: list[Filter]) -> Iterable[Filter]:
         for f in filters:
@@ -165,8 +165,8 @@ class VaultReader(DataSourceReader):
         paths, contents, size = [], [], 0
         for path in found:
             paths.append(path)
-            contents.append(store.read(path))
-            size += len(contents[-1])
+            contents.append(None if self.names_only else store.read(path))
+            size += len(contents[-1] or b"") + len(path)
             if size > BATCH:
                 yield pa.record_batch({"path": paths, "content": pa.array(contents, pa.binary())})
                 paths, contents, size = [], [], 0
@@ -182,7 +182,7 @@ class Vault(DataSource):
         return SCHEMA
 
     def reader(self, schema) -> VaultReader:
-        return VaultReader(self.options["path"])
+        return VaultReader(self.options["path"], self.options.get("names", "false") == "true")
 
     def writer(self, schema, overwrite: bool) -> VaultWriter:
         if overwrite:
@@ -201,6 +201,32 @@ def read_vault(spark: SparkSession, root: str) -> DataFrame:
     return spark.read.format("vault").load(root)
 
 
+def vault_paths(spark: SparkSession, root: str) -> DataFrame:
+    """(path) of all files, none of which is opened."""
+    register(spark)
+    return spark.read.format("vault").option("names", "true").load(root).select("path")
+
+
+def opened(rows: DataFrame, root: str, path: str = "path", as_: str = "content", own: bool = False) -> DataFrame:
+    """The rows with the content of the file at each one's path; null without a path, and where there is no file. Files are opened in the tasks, one for each row. ``own``: any path of the root's file system
+    below it, for stores that are no vaults."""
+    field = pa.field(as_, pa.binary())
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        store = Store(root)
+
+        def content(at: str | None) -> bytes | None:
+            return store.read(at) if at and (own or inside(at)) and store.kind(at) == pafs.FileType.File else None
+
+        for batch in batches:
+            for start in range(0, batch.num_rows, 64):
+                some = batch.slice(start, 64)
+                yield pa.RecordBatch.from_arrays([*some.columns, pa.array([content(p) for p in some.column(path).to_pylist()], pa.binary())], schema=some.schema.append(field))
+
+    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema)
+    return rows.mapInArrow(run, f"{fields}, `{as_}` binary")
+
+
 def write_files(files: DataFrame, root: str, path: str | Column = "path", content: str | Column = "content") -> None:
     """Puts files at their paths, in place of what is there. A path that two rows want, or that is a folder, fails the write and changes nothing."""
     spark = files.sparkSession

@@ -1,12 +1,10 @@
-"""Incremental runs over a stream of units: each micro-batch is planned against the state table, written out, and only then made the state.
+"""Incremental runs over a stream of units: each micro-batch is planned against the state, written out, and only then made the state.
 
-The state is dealt into buckets by key. A batch writes the buckets that it touches anew and leaves the others; what counts as the state is a list of buckets with their versions, which is put in
-place last, so a run that is stopped before that leaves the old state and the batch is planned again. Batches are numbered, and a batch that is already the state is not applied twice. Versions that
-two later lists no longer name are deleted."""
+The state is a `ledger.Ledger`, so a batch touches only the buckets of its keys. Batches are numbered, and a batch that is already the state is not applied twice; a run with another number of buckets than the state
+has is refused."""
 
 from __future__ import annotations
 
-import json
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -15,46 +13,15 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from annolake.operators.incremental import RENDER_VERSION, next_state, planned
+from annolake.streaming.ledger import BUCKETS, Ledger
 
 STATE = "sync_key string, doc_id string, tag string, folder string, page_hash long, status string, render_version int, n_items long"
-BUCKETS = 64
 
 
-class _Folder:
-    """The few file operations that a state needs, on whatever file system holds it."""
-
-    def __init__(self, spark: SparkSession, path: str):
-        self.spark, self.path, self.Path = spark, path, spark._jvm.org.apache.hadoop.fs.Path
-        self.fs = self.Path(path).getFileSystem(spark._jsc.hadoopConfiguration())
-
-    def lists(self) -> list[int]:
-        at = self.Path(f"{self.path}/lists")
-        return sorted(int(s.getPath().getName()) for s in self.fs.listStatus(at) if s.getPath().getName().isdigit()) if self.fs.exists(at) else []
-
-    def versions(self, number: int) -> dict[int, int]:
-        text = self.spark.read.text(f"{self.path}/lists/{number}", wholetext=True).first()[0]
-        return {int(b): v for b, v in json.loads(text).items()}
-
-    def commit(self, number: int, versions: dict[int, int]) -> None:
-        draft, final = self.Path(f"{self.path}/lists/draft-{number}"), self.Path(f"{self.path}/lists/{number}")
-        out = self.fs.create(draft, True)
-        out.write(bytearray(json.dumps(versions).encode()))
-        out.close()
-        self.fs.rename(draft, final)
-
-    def delete(self, name: str) -> None:
-        self.fs.delete(self.Path(f"{self.path}/{name}"), True)
-
-    def read(self, versions: dict[int, int], buckets: list[int] | None = None) -> DataFrame:
-        paths = [f"{self.path}/v={v}/b={b}" for b, v in versions.items() if buckets is None or b in buckets]
-        return self.spark.read.schema(STATE).parquet(*paths) if paths else self.spark.createDataFrame([], STATE)
-
-
-def state(spark: SparkSession, path: str) -> DataFrame:
+def state(spark: SparkSession, path: str, buckets: int = BUCKETS) -> DataFrame:
     """The latest committed state, empty before the first."""
-    folder = _Folder(spark, path)
-    numbers = folder.lists()
-    return folder.read(folder.versions(numbers[-1])) if numbers else spark.createDataFrame([], STATE)
+    ledger = Ledger(spark, path, STATE, "sync_key", buckets)
+    return ledger.read(ledger.latest())
 
 
 def plan_of(batch: DataFrame, old: DataFrame, render_version: int = RENDER_VERSION) -> DataFrame:
@@ -68,29 +35,18 @@ def plan_of(batch: DataFrame, old: DataFrame, render_version: int = RENDER_VERSI
 
 def sync_stream(units: DataFrame, path: str, checkpoint: str, write: Callable[[DataFrame, int], None] | None = None, buckets: int = BUCKETS) -> StreamingQuery:
     """Runs over all that is there and stops. ``write`` gets each batch's plan before its state is committed."""
-    bucket = F.pmod(F.xxhash64("sync_key"), F.lit(buckets)).cast("int")
-
     def apply(batch: DataFrame, number: int) -> None:
-        spark = batch.sparkSession
-        folder = _Folder(spark, path)
-        numbers = folder.lists()
-        if numbers and numbers[-1] >= number:
+        ledger = Ledger(batch.sparkSession, path, STATE, "sync_key", buckets)
+        before = ledger.latest()
+        if before.number >= number:
             return
-        before = folder.versions(numbers[-1]) if numbers else {}
-        touched = [r[0] for r in batch.select(bucket.alias("b")).distinct().collect()]  # at most ``buckets``
-        old = folder.read(before, touched)
+        touched = [r[0] for r in batch.select(ledger.bucket().cast("int").alias("b")).distinct().collect()]  # at most ``buckets``
+        old = ledger.read(before, touched)
         plan = plan_of(batch, old)
         if write is not None:
             write(plan, number)
         new = next_state(plan)
         whole = old.join(plan.select("sync_key"), "sync_key", "left_anti").select(*new.columns).unionByName(new)
-        whole.withColumn("b", bucket).repartition("b").write.mode("overwrite").partitionBy("b").parquet(f"{path}/v={number}")
-        held = {b: number for b in touched if folder.fs.exists(folder.Path(f"{path}/v={number}/b={b}"))}
-        folder.commit(number, {**{b: v for b, v in before.items() if b not in touched}, **held})
-        for past in numbers[:-1]:
-            for b, v in folder.versions(past).items():
-                if before.get(b) != v:
-                    folder.delete(f"v={v}/b={b}")
-            folder.delete(f"lists/{past}")
+        ledger.commit(number, before, whole, touched, {})
 
     return units.writeStream.foreachBatch(apply).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()

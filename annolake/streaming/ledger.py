@@ -23,7 +23,7 @@ class Listed:
 
 
 class Ledger:
-    def __init__(self, spark: SparkSession, path: str, schema: str, key: str, buckets: int = BUCKETS):
+    def __init__(self, spark: SparkSession, path: str, schema: str, key: str, buckets: int | None = BUCKETS):
         self.spark, self.path, self.schema, self.key, self.buckets = spark, path.rstrip("/"), schema, key, buckets
         self.Path = spark._jvm.org.apache.hadoop.fs.Path
         self.fs = self.Path(self.path).getFileSystem(spark._jsc.hadoopConfiguration())
@@ -57,6 +57,7 @@ class Ledger:
 
     def listed(self, number: int) -> Listed:
         held = json.loads(self.text(f"lists/{number}"))
+        self.buckets = self.buckets or held["buckets"]  # a reader takes what there is
         if held["buckets"] != self.buckets:
             raise ValueError(f"the state has {held['buckets']} buckets, not {self.buckets}")
         return Listed(number, {int(b): v for b, v in held["versions"].items()}, held["meta"])

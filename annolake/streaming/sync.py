@@ -18,9 +18,9 @@ from annolake.streaming.ledger import BUCKETS, Ledger
 STATE = "sync_key string, doc_id string, tag string, folder string, page_hash long, status string, render_version int, n_items long"
 
 
-def state(spark: SparkSession, path: str, buckets: int = BUCKETS) -> DataFrame:
+def state(spark: SparkSession, path: str) -> DataFrame:
     """The latest committed state, empty before the first."""
-    ledger = Ledger(spark, path, STATE, "sync_key", buckets)
+    ledger = Ledger(spark, path, STATE, "sync_key", None)
     return ledger.read(ledger.latest())
 
 

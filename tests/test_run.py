@@ -168,3 +168,36 @@ def test_the_number_of_buckets_is_part_of_the_state(spark, tmp_path):
     assert ledger.latest().meta == {"x": 1} and [tuple(r) for r in ledger.read(ledger.latest()).collect()] == [("a", 1)]
     with pytest.raises(ValueError, match="4 buckets"):
         Ledger(spark, f"file://{tmp_path}", "k string, n int", "k", 8).latest()
+
+
+def test_a_backfill_stopped_anywhere_ends_like_an_unbroken_one(desk):
+    from annolake.streaming.backfill import transcribe_again
+
+    def again(pages):
+        return pages.select("doc_id", "page_id", F.lit("ok").alias("status"), F.upper(F.col("content").cast("string")).alias("text"), F.col("content").alias("attachment"))
+
+    desk.run(ONE)
+    gamma = Path(desk.path) / "vault/Work/Gamma.md"
+    gamma.write_text(gamma.read_text() + "my own words\n")
+    before = desk.notes()
+    calls = iter([False, True])
+    assert transcribe_again(desk.spark, desk.device, desk.vault, desk.state, again, "b", 1, lambda: next(calls)) == (1, True)
+    part = desk.notes()
+    assert sum(part[n] != before[n] for n in part) == 1 and desk.run(ONE)[0] == {}
+
+    class Lost(Exception):
+        pass
+
+    def losing(pages):
+        raise Lost
+
+    with pytest.raises(Lost):
+        transcribe_again(desk.spark, desk.device, desk.vault, desk.state, losing, "b", 1)
+    assert transcribe_again(desk.spark, desk.device, desk.vault, desk.state, again, "b", 1) == (4, False)
+    assert transcribe_again(desk.spark, desk.device, desk.vault, desk.state, losing, "b", 1) == (4, False)  # all is done
+    after = desk.notes()
+    assert after["Work/Alpha.md"] == before["Work/Alpha.md"].replace("first", "FIRST").replace("second", "SECOND") and after["Work/Gamma.md"] == before["Work/Gamma.md"].replace("sea", "SEA")
+    assert all(after[n] == before[n] for n in after if n.startswith("attachments/"))
+    desk.docs["X"][3]["x1"] = ("y", [])
+    desk.put()
+    assert desk.run(ONE, render_version=31)[0] == {"A:T1": "rewrite", "A:a2:T2": "rewrite", "B:b1:T2": "rewrite", "C:T1": "rewrite"}  # nothing counts as edited

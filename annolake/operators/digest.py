@@ -3,7 +3,7 @@
 Every step is a join or an aggregate by page, so pages are independent; only headings and the final text are by document.
 
 pages: (doc_id, page_id, source_index, embed_page, appended, width, height, label): ``width`` and ``height`` of the source page in points, ``label`` null where the source has none, ``appended`` for
-pages that were added on the device. lines: (page_id, ord, text, x, y, width, height) in points from the bottom left. headings: (doc_id, page_index, ord, title, x, y).
+pages that were added on the device, and if there is one a column ``typed``: pages that the device itself laid out. lines: (page_id, ord, text, x, y, width, height) in points from the bottom left. headings: (doc_id, page_index, ord, title, x, y).
 highlights: (page_id, ord, id, text, rects array<rect> in scene pixels). strokes: (page_id, ord, id, box, rect in points, is_marker, is_loop), the box in scene pixels.
 """
 
@@ -21,6 +21,7 @@ from annolake.operators.shared import Rounds
 
 #: The height of a line where the text tells none, in points; how near headings and highlights must be to a note, in line heights.
 LINE_HEIGHT, HEADING_REACH, HIGHLIGHT_REACH = 14.0, 1.0, 3.0
+OVERHANG = 1.0
 ADDED, RECT = "added page", "struct<x:double,y:double,width:double,height:double>"
 
 
@@ -45,16 +46,39 @@ def page_geometry(pages: DataFrame, lines: DataFrame, annotated: DataFrame) -> t
     return out, silent.select("doc_id", "page_id", F.lit("no text").alias("kind"))
 
 
+def page_fits(pages: DataFrame, strokes: DataFrame) -> DataFrame:
+    """The pages with ``fit``: where the drawn page has the source page. Ink beside the paper shrinks it; typed pages are drawn as they are."""
+    reach = strokes.groupBy("page_id").agg(*(f(f"box.{k}").alias(n) for n, f, k in (("_x0", F.min, "minX"), ("_x1", F.max, "maxX"), ("_y0", F.min, "minY"), ("_y1", F.max, "maxY"))))
+    known, k = pages.join(reach, "page_id", "left"), 72 / F.col("dpi")
+    wide, high = F.col("width") / k, F.col("height") / k
+
+    def grown(amount: Column, most: Column) -> Column:
+        return F.least(F.greatest(F.coalesce(amount, F.lit(0.0)), F.lit(0.0)), most * OVERHANG) * k
+
+    left, right, above, below = grown(-F.col("_x0") - wide / 2, wide), grown(F.col("_x1") - wide / 2, wide), grown(-F.col("_y0"), high), grown(F.col("_y1") - high, high)
+    fit = G.page_fit(F.col("width"), F.col("height"), G.rect(-left, -below, F.col("width") + left + right, F.col("height") + above + below))
+    same = F.struct(F.lit(1.0).alias("scale"), F.lit(0.0).alias("dx"), F.lit(0.0).alias("dy"))
+    return known.select(*pages.columns, (F.when(F.col("typed"), same).otherwise(fit) if "typed" in pages.columns else fit).alias("fit"))
+
+
+def unmatched(handwriting: DataFrame, pages: DataFrame) -> DataFrame:
+    """(doc_id, page_id, kind, n): how many strokes of a page with a text look like marks and belong to no text."""
+    on = handwriting.join(pages.where("has_text").select("page_id", "doc_id", "line_height"), "page_id")
+    like = on.where(marks.reads_as_mark(F.col("rect.width"), F.col("rect.height"), F.col("is_loop"), F.col("line_height")))
+    return like.groupBy("doc_id", "page_id").agg(F.lit("unmatched mark").alias("kind"), F.count("*").alias("n"))
+
+
 def all_lines(printed: DataFrame, typed: DataFrame) -> DataFrame:
     """Lines of source pages and of typed pages in one form: whatever comes after does not know which it was given."""
     return printed.unionByName(typed.select(*printed.columns))
 
 
-def highlight_entries(highlights: DataFrame, lines: DataFrame, pages: DataFrame, dpi: float) -> DataFrame:
-    """(page_id, ord, id, sentence, marked, rect, top, is_ink): a highlight with the sentence of the page's text that it covers, or with the text that the device recorded."""
-    placed = highlights.join(pages.select("page_id", "width", "height", "has_text"), "page_id")
-    frame = G.page_frame(F.col("width"), F.col("height"), F.lit(dpi))
-    rects = F.transform("rects", lambda r: G.scene_rect_to_pdf(r, frame["widthPx"], frame["heightPx"], F.lit(dpi)))
+def highlight_entries(highlights: DataFrame, lines: DataFrame, pages: DataFrame) -> DataFrame:
+    """(page_id, ord, id, sentence, marked, rect, top, is_ink): a highlight with the sentence of the page's text that it covers, or with the text that the device recorded. A page that was added on
+    the device has none."""
+    placed = highlights.join(pages.where("NOT appended").select("page_id", "width", "height", "has_text", "dpi"), "page_id")
+    frame = G.page_frame(F.col("width"), F.col("height"), F.col("dpi"))
+    rects = F.transform("rects", lambda r: G.scene_rect_to_pdf(r, frame["widthPx"], frame["heightPx"], F.col("dpi")))
     top = F.coalesce(F.array_min(F.transform("rects", lambda r: r["y"])), F.lit(0.0))
     placed = placed.withColumn("_pdf", rects).withColumn("_top", top)
     found = marks.quotes(placed.where("has_text").select("page_id", "id", F.col("_pdf").alias("rects")), lines)
@@ -88,24 +112,28 @@ def merged(entries: DataFrame) -> tuple[DataFrame, DataFrame]:
     return entries.drop("sentence", "marked").join(wide, ["page_id", "id"]), groups
 
 
-def written_notes(strokes: DataFrame, pages: DataFrame, recognise: backends.Recognise, dpi: float) -> DataFrame:
-    """(page_id, id, anchor_id, text, status, rect, top): strokes that belong together, read one note at a time; what could not be read stays with an empty text. A page that was added on the
-    device is one note, whole."""
-    on = strokes.join(pages.select("page_id", "line_height", "appended", "width", "height"), "page_id")
+def written_notes(strokes: DataFrame, pages: DataFrame, lines: DataFrame, recognise: backends.Recognise) -> DataFrame:
+    """(page_id, id, anchor_id, text, status, rect, top): strokes that belong together, read one note at a time; what could not be read stays with an empty text. Notes in the margins of the page's
+    text belong together from further away. A page that was added on the device is one note, whole."""
+    k, half = F.col("dpi") / 72, F.col("width") * F.col("dpi") / 144
+    inked = lines.where(F.trim("text") != "").groupBy("page_id").agg(F.min("x").alias("_left"), F.max(F.col("x") + F.col("width")).alias("_right"))
+    own = pages.join(inked, "page_id", "left").select(
+        "page_id", "line_height", "appended", "width", "height", "dpi", *(F.when(F.col("has_text"), F.col(c) * k - half).alias(n) for c, n in (("_left", "column_left"), ("_right", "column_right")))
+    )
+    on = strokes.join(own, "page_id")
     boxes = [F.col(f"box.{k}").alias(n) for k, n in (("minX", "min_x"), ("minY", "min_y"), ("maxX", "max_x"), ("maxY", "max_y"))]
-    flat = on.select("page_id", "ord", "id", "appended", (F.col("line_height") * dpi / 72).alias("line_height"), *boxes)
+    flat = on.select("page_id", "ord", "id", "appended", (F.col("line_height") * k).alias("line_height"), "column_left", "column_right", *boxes)
     parts = clusters.clustered(flat.where(~F.col("appended")).drop("appended")).select("page_id", "anchor_id", "min_x", "min_y", "max_x", "max_y", F.col("row_top").alias("top"), "strokes")
     listed = F.transform(F.sort_array(F.collect_list(F.struct("ord", "id"))), lambda s: s["id"])
     whole = flat.where("appended").groupBy("page_id").agg(F.lit("page").alias("anchor_id"), F.min("min_x").alias("min_x"), F.min("min_y").alias("min_y"), F.max("max_x").alias("max_x"), F.max("max_y").alias("max_y"), F.lit(0.0).alias("top"), listed.alias("strokes"))
     notes = parts.unionByName(whole).withColumn("_key", F.concat_ws(":", "page_id", "anchor_id"))
     read = backends.recognised(notes.select(F.col("_key").alias("page_id"), F.array_join("strokes", ",").cast("binary").alias("content")), recognise).withColumnRenamed("page_id", "_key")
-    frame = pages.select("page_id", "width", "height", "appended")
+    frame = pages.select("page_id", "width", "height", "appended", "dpi")
     scene = G.rect(F.col("min_x"), F.col("min_y"), F.col("max_x") - F.col("min_x"), F.col("max_y") - F.col("min_y"))
-    k = dpi / 72
     rows = F.array_join(F.filter(F.transform(F.split(F.regexp_replace("text", "\r\n?", "\n"), "\n"), T.strip), lambda x: x != ""), "\n")
     return notes.join(read, "_key").join(frame, "page_id").select(
         "page_id", T.digest_id("nt", F.col("page_id"), F.col("anchor_id")).alias("id"), "anchor_id", F.when(F.col("appended"), rows).otherwise(T.one_line(F.col("text"))).alias("text"), "status",
-        G.scene_rect_to_pdf(scene, F.col("width") * k, F.col("height") * k, F.lit(dpi)).cast(RECT).alias("rect"), "top", "appended",
+        G.scene_rect_to_pdf(scene, F.col("width") * k, F.col("height") * k, F.col("dpi")).cast(RECT).alias("rect"), "top", "appended",
     )
 
 
@@ -143,16 +171,25 @@ def named_headings(headings: DataFrame, chapters: DataFrame | None) -> DataFrame
 
 def digest(
     pages: DataFrame, lines: DataFrame, headings: DataFrame, highlights: DataFrame, strokes: DataFrame, recognise: backends.Recognise, embed: Column, dpi: float = 226.0, chapters: DataFrame | None = None,
-    bodies: DataFrame | None = None,
+    bodies: DataFrame | None = None, devices: DataFrame | None = None, margin_notes: bool = True,
 ) -> tuple[DataFrame, DataFrame]:
-    """((doc_id, digest, status), warnings (doc_id, page_id, kind)). ``embed`` is the path of the drawn document, of ``doc_id``; bodies: (doc_id, body) of the book, by which quotes are corrected. Steps
-    that several others read are tables in the shared folder; they stay, as the result reads them."""
+    """((doc_id, digest, status), warnings (doc_id, page_id, kind, n)). ``embed`` is the path of the drawn document, of ``doc_id``; bodies: (doc_id, body) of the book, by which quotes are corrected;
+    devices: (doc_id, canvas) as of `canvas.declared_canvas`, where not all have ``dpi``. Without ``margin_notes`` nothing that is written by hand is read, and pen marks that no text answers to are
+    warned of. Both results are tables in the shared folder; the steps on the way to them are deleted."""
     seen = highlights.select("page_id").unionByName(strokes.select("page_id"))
-    steps = Rounds(pages.sparkSession, "digest")
-    pages, warnings = page_geometry(pages, lines, seen)
-    pages, warnings = steps.write(pages), steps.write(warnings)
+    steps, results = Rounds(pages.sparkSession, "digest"), Rounds(pages.sparkSession, "digest-result")
+    told, lost = _digest(steps, pages, lines, headings, highlights, strokes, seen, recognise, embed, dpi, chapters, bodies, devices, margin_notes)
+    told, lost = results.write(told), results.write(lost)
+    steps.forget(0)
+    return told, lost
+
+
+def _digest(steps, pages, lines, headings, highlights, strokes, seen, recognise, embed, dpi, chapters, bodies, devices, margin_notes):
+    pages = pages.withColumn("dpi", F.lit(dpi)) if devices is None else pages.join(devices.select("doc_id", F.col("canvas.dpi").alias("dpi")), "doc_id", "left").withColumn("dpi", F.coalesce("dpi", F.lit(dpi)))
+    pages, warnings = page_geometry(page_fits(pages, strokes), lines, seen)
+    pages, warnings = steps.write(pages), steps.write(warnings.withColumn("n", F.lit(1).cast("long")))
     headings = named_headings(headings, chapters) if chapters is None else steps.write(named_headings(headings, chapters))
-    recorded = highlight_entries(highlights, lines, pages, dpi)
+    recorded = highlight_entries(highlights, lines, pages)
     drawn, handwriting = mark_entries(strokes, lines, pages)
     drawn = steps.write(drawn)
     handwriting = strokes.where(~F.col("is_marker")).join(drawn.select("page_id", "id"), ["page_id", "id"], "left_anti")
@@ -163,10 +200,12 @@ def digest(
         docs = pages.select("page_id", "doc_id")
         fixed = fuzzy.corrected(one.join(docs, "page_id").select(F.concat_ws(":", "page_id", "id").alias("quote_id"), "doc_id", F.col("sentence").alias("text")), bodies)
         one = one.withColumn("quote_id", F.concat_ws(":", "page_id", "id")).join(fixed.withColumnRenamed("sentence", "_fixed"), "quote_id", "left").withColumn("sentence", F.coalesce("_fixed", "sentence")).drop("quote_id", "_fixed")
-    notes = steps.write(written_notes(handwriting, pages, recognise, dpi))
+    if not margin_notes:
+        warnings, handwriting = warnings.unionByName(steps.write(unmatched(handwriting, pages))), handwriting.where("false")
+    notes = steps.write(written_notes(handwriting, pages, lines, recognise))
     notes = steps.write(anchored(notes, pages, headings, placed, lines))
     under, alone = hosted(notes, survivors)
-    failed = notes.where(F.col("status") == "failed").join(pages.select("page_id", "doc_id"), "page_id").select("doc_id", "page_id", F.lit("not transcribed").alias("kind"))
+    failed = notes.where(F.col("status") == "failed").join(pages.select("page_id", "doc_id"), "page_id").select("doc_id", "page_id", F.lit("not transcribed").alias("kind"), F.lit(1).cast("long").alias("n"))
 
     # sections of entries and of notes that no heading is beside
     where = pages.select("page_id", "doc_id", F.col("source_index").alias("page_index"), F.col("height").alias("_h"), "appended")
@@ -176,8 +215,8 @@ def digest(
     printed = lines.join(where, "page_id").select("doc_id", "page_index", "ord", "x", "y", "width", "height")
     sections = steps.write(marks.sections(spots, headings, printed).select("entry_id", "section"))
 
-    own = pages.select("page_id", "doc_id", "source_index", "embed_page", "has_text", "height", page_label(F.col("label"), F.col("source_index"), F.col("appended")).alias("_label"), embed.alias("_embed"))
-    region = note_region(F.col("rect"), F.when(F.col("has_text"), F.struct(F.lit(1.0).alias("scale"), F.lit(0.0).alias("dx"), F.lit(0.0).alias("dy"))), F.col("height"), F.col("embed_page"))
+    own = pages.select("page_id", "doc_id", "source_index", "embed_page", "has_text", "height", "fit", page_label(F.col("label"), F.col("source_index"), F.col("appended")).alias("_label"), embed.alias("_embed"))
+    region = note_region(F.col("rect"), F.when(F.col("has_text"), F.col("fit")), F.col("height"), F.col("embed_page"))
 
     # notes under an entry carry no locator of their own
     said = rendering.note_entry(F.col("text"), F.lit(""), F.lit(""), F.col("id"), region)

@@ -22,7 +22,7 @@ def test_a_document_of_three_pages(spark):
     text = ["A first line stands here.", "The second line is marked by", "hand and goes on.", "The last line is alone."]
     lines = spark.createDataFrame([("p1", i, t, 50.0, 500.0 - 20 * i, 200.0, 12.0) for i, t in enumerate(text)], "page_id string, ord int, text string, x double, y double, width double, height double")
     headings = spark.createDataFrame([("d", 0, 0, "Beginnings", 50.0, 560.0)], "doc_id string, page_index int, ord int, title string, x double, y double")
-    highlights = spark.createDataFrame([("p1", 0, "h1", "device text", [scene(50, 480, 200, 12)]), ("p2", 0, "h2", " as the\n device told ", [scene(50, 480, 200, 12)])], f"page_id string, ord int, id string, text string, rects array<{rect}>")
+    highlights = spark.createDataFrame([("p1", 0, "h1", "device text", [scene(50, 480, 200, 12)]), ("p2", 0, "h2", " as the\n device told ", [scene(50, 480, 200, 12)]), ("p3", 0, "h3", "on an added page", [scene(50, 480, 200, 12)])], f"page_id string, ord int, id string, text string, rects array<{rect}>")
 
     def stroke(page, ord_, id_, x, y, w, h):
         sx, sy, sw, sh = scene(x, y, w, h)
@@ -51,6 +51,34 @@ def test_a_document_of_three_pages(spark):
     assert last.startswith("[[e.pdf#page=3|Added page]]\n\n> [!handwritten]\n> read 1:9,1:4\n> twice ^nt-") and "```" not in last
 
 
+    assert "added page" not in row["digest"].replace("[[e.pdf#page=3|Added page]]", "").lower()  # its highlights go nowhere
+    # without notes: no handwriting, no added page, and a warning for marks that no text answers to
+    flat = spark.createDataFrame([stroke("p1", 9, "1:8", 50, 200, 200, 1)], strokes.schema)
+    told, warnings = digest.digest(pages, lines, headings, highlights, strokes.unionByName(flat), backends.per_page(read), F.lit("e.pdf"), margin_notes=False)
+    row = told.first()
+    assert "handwritten" not in row["digest"] and "Added page" not in row["digest"] and row["digest"].count("^hl-") == 2
+    assert {(w["page_id"], w["kind"], w["n"]) for w in warnings.collect()} == {("p2", "no text", 1), ("p1", "unmatched mark", 1)}
+
+
+def test_regions_follow_the_fit_and_the_device(spark):
+    """Ink 40 points left of the paper shrinks the drawn page; the region is where the note lies on it."""
+    rect = "struct<x:double,y:double,width:double,height:double>"
+    pages = spark.createDataFrame([("d", "p", 0, 1, False, 400.0, 600.0, None)], "doc_id string, page_id string, source_index int, embed_page int, appended boolean, width double, height double, label string")
+    lines = spark.createDataFrame([("p", 0, "Words.", 50.0, 500.0, 200.0, 12.0)], "page_id string, ord int, text string, x double, y double, width double, height double")
+    headings = spark.createDataFrame([], "doc_id string, page_index int, ord int, title string, x double, y double")
+    highlights = spark.createDataFrame([], f"page_id string, ord int, id string, text string, rects array<{rect}>")
+    k = 229.0 / 72
+    box = lambda x, y, w, h: ((x - 200) * k, (600.0 - y - h) * k, (x - 200 + w) * k, (600.0 - y) * k)
+    rows = [("p", 0, "1:1", box(-40, 300, 30, 14), (-40.0, 300.0, 30.0, 14.0), False, False)]
+    strokes = spark.createDataFrame(rows, f"page_id string, ord int, id string, box struct<minX:double,minY:double,maxX:double,maxY:double>, rect {rect}, is_marker boolean, is_loop boolean")
+    devices = spark.createDataFrame([("d", 229.0)], "doc_id string, dpi double").select("doc_id", F.struct("dpi").alias("canvas"))
+    told, _ = digest.digest(pages, lines, headings, highlights, strokes, backends.per_page(lambda c: "a note"), F.lit("e.pdf"), devices=devices)
+    region = re.search(r"```[^\n]*\n(.*?)```", told.first()["digest"], re.S).group(1)
+    scale = 400 / 440
+    got = [int(x) for x in re.search(r"rect: (.*)", region).group(1).split()]
+    assert got == [round(x) for x in ((-40 + 40) * scale, 600 - ((300 + 14) * scale + 600 - 600 * scale), 30 * scale, 14 * scale)]
+
+
 def test_labels_and_regions(spark):
     def value(c):
         return spark.range(1).select(c.alias("v")).first()["v"]

@@ -1,7 +1,8 @@
 """Lines that are alike within a limit of edit distance, and lists of lines without those that are like one before.
 
 Of two texts within distance d of each other, cut the longer one into d + 1 segments: one of them stands in the shorter, moved by no more than the edits before and after it allow. So candidates come from an equi-join of segments
-with the substrings that can meet them; what differs too much is never paired. Equal texts are one, so a text that many rows share is compared once.
+with the substrings that can meet them; what differs too much is never paired. The substrings grow with the cube of the length, so this is the way of texts up to ``SHORT``; longer ones are paired by group and
+length, which suits lines of a page. Equal texts are one, so a text that many rows share is compared once.
 """
 
 from __future__ import annotations
@@ -15,6 +16,8 @@ from annolake.operators.shared import Rounds
 
 #: Fixed: from which share of equal characters two readings are of one line.
 SAME_LINE = 0.6
+#: Characters up to which texts are found by segments, and the width of a band of lengths beyond.
+SHORT, BAND = 32, 16
 
 
 def shape_of(line: Column) -> Column:
@@ -33,17 +36,18 @@ def _start(length: Column, parts: Column, i: Column) -> Column:
     return (i * short + F.greatest(F.lit(0), i - (parts - rest))).cast("int")
 
 
-def alike(texts: DataFrame, group: str, text: str, least: float = SAME_LINE) -> DataFrame:
-    """(group, a, b): pairs a < b of different texts of a group with 1 - distance / longer length of at least ``least``, which is 0.5 or more. Empty texts are like no other."""
+def alike(texts: DataFrame, group: str, text: str, least: float = SAME_LINE, short: int = SHORT) -> DataFrame:
+    """(group, a, b): pairs a < b of different texts of a group with 1 - distance / longer length of at least ``least``, which is 0.5 or more. Empty texts are like no other. ``short``: the length of the longer
+    one up to which segments find a pair."""
     if not 0.5 <= least <= 1:
         raise ValueError("segments find texts that are alike by half or more")
     t = texts.select(F.col(group).alias("_g"), F.col(text).alias("_t")).where("_t <> ''").distinct().withColumn("_n", F.length("_t"))
     n, i = F.col("_n"), F.col("_i")
-    segments = t.withColumn("_parts", _limit(n, least) + 1).withColumn("_i", F.explode(F.sequence(F.lit(0), F.col("_parts") - 1)))
+    segments = t.where(n <= short).withColumn("_parts", _limit(n, least) + 1).withColumn("_i", F.explode(F.sequence(F.lit(0), F.col("_parts") - 1)))
     begin, end = _start(n, F.col("_parts"), i), _start(n, F.col("_parts"), i + 1)
     longer = segments.select("_g", F.col("_t").alias("_long"), n.alias("_m"), "_i", F.substring("_t", begin + 1, end - begin).alias("_s"))
     # the shorter text against every length that it can be alike with
-    wide = t.withColumn("_m", F.explode(F.sequence(n, F.floor(n / least + 1e-6).cast("int")))).withColumn("_d", _limit(F.col("_m"), least)).where(F.col("_m") - n <= F.col("_d"))
+    wide = t.where(n <= short).withColumn("_m", F.explode(F.sequence(n, F.least(F.lit(short), F.floor(n / least + 1e-6).cast("int"))))).withColumn("_d", _limit(F.col("_m"), least)).where(F.col("_m") - n <= F.col("_d"))
     wide = wide.withColumn("_i", F.explode(F.sequence(F.lit(0), F.col("_d"))))
     begin, end = _start(F.col("_m"), F.col("_d") + 1, i), _start(F.col("_m"), F.col("_d") + 1, i + 1)
     size, gap = end - begin, F.col("_m") - n
@@ -53,8 +57,14 @@ def alike(texts: DataFrame, group: str, text: str, least: float = SAME_LINE) ->
     probes = wide.select("_g", "_t", "_m", "_i", F.explode(F.array_distinct(F.transform(F.sequence("_low", "_high"), lambda p: F.substring(F.col("_t"), p + 1, F.col("_size"))))).alias("_s"))
     pairs = probes.join(longer, ["_g", "_m", "_i", "_s"]).where(F.col("_t") != F.col("_long"))
     pairs = pairs.select("_g", F.least("_t", "_long").alias("a"), F.greatest("_t", "_long").alias("b")).distinct()
-    near = 1 - F.levenshtein("a", "b") / F.greatest(F.length("a"), F.length("b")) >= least
-    return pairs.where(near).select(F.col("_g").alias(group), "a", "b")
+    bands = F.sequence(F.floor((n - _limit(n, least)) / BAND).cast("int"), F.floor(n / BAND).cast("int"))
+    long = t.where(n > short).select("_g", F.col("_t").alias("_long"), n.alias("_m"), F.explode(bands).alias("_band"))
+    met = t.withColumn("_band", F.floor(n / BAND).cast("int")).join(long, ["_g", "_band"]).where(n.between(F.col("_m") - _limit(F.col("_m"), least), F.col("_m")) & ((n < F.col("_m")) | (F.col("_t") < F.col("_long"))))
+    pairs = pairs.unionByName(met.select("_g", F.least("_t", "_long").alias("a"), F.greatest("_t", "_long").alias("b")))
+    longest = F.greatest(F.length("a"), F.length("b"))
+    # with its limit the distance needs only a band of the table, and is -1 beyond
+    away = F.call_function("levenshtein", F.col("a"), F.col("b"), _limit(longest, least) + 1)
+    return pairs.where((away >= 0) & (1 - away / longest >= least)).select(F.col("_g").alias(group), "a", "b")
 
 
 def without_repeats(lines: DataFrame, page: str = "page_id", least: float = SAME_LINE) -> DataFrame:

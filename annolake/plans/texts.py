@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from annolake.functions import text as T
+from annolake.operators import similar
 from annolake.plans.catalogue import query, table
 
 _WS = r"[\s\x0B\x{00A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}\x{FEFF}]"
@@ -140,11 +141,13 @@ def anchor_words(spark, sf_dir):
     """,
 )
 def fuzzy_pairs(spark, sf_dir):
-    """Candidates share brand and size (the blocking key); the edit distance is computed on those only."""
-    p = table(spark, sf_dir, "part").select("p_partkey", "p_name", "p_brand", "p_size")
-    q = p.withColumnsRenamed({"p_partkey": "b_key", "p_name": "b_name"})
+    """Every pair that shares brand and size, and whether it is alike. The distance is computed once for each pair of different names that a segment join proposes, whatever the number of parts."""
+    p = table(spark, sf_dir, "part").select("p_partkey", "p_brand", "p_size", similar.shape_of(F.col("p_name")).alias("name"))
+    q = p.select("p_brand", "p_size", F.col("p_partkey").alias("b_key"), F.col("name").alias("b_name"))
     both = p.join(q, ["p_brand", "p_size"]).where(F.col("p_partkey") < F.col("b_key"))
-    return both.select(F.col("p_partkey").alias("a_key"), "b_key", T.is_same_line(F.col("p_name"), F.col("b_name")).alias("same"))
+    near = similar.alike(p.select(F.lit(0).alias("g"), "name"), "g", "name").select("a", "b", F.lit(True).alias("_near"))
+    told = both.withColumn("a", F.least("name", "b_name")).withColumn("b", F.greatest("name", "b_name")).join(near, ["a", "b"], "left")
+    return told.select(F.col("p_partkey").alias("a_key"), "b_key", ((F.col("a") == F.col("b")) | F.coalesce("_near", F.lit(False))).alias("same"))
 
 
 @query("passage_lookup", "SELECT doc_id, item_id, strpos(regexp_replace(d.text, '\\s+', '', 'g'), regexp_replace(b.text, '\\s+', '', 'g')) - 1 AS at FROM documents d JOIN benchmark b ON strpos(regexp_replace(d.text, '\\s+', '', 'g'), regexp_replace(b.text, '\\s+', '', 'g')) > 0")
@@ -189,3 +192,33 @@ def transcript_render(spark, sf_dir):
     status = F.when(F.col("role") == "assistant", "ok").when(F.col("role") == "user", "failed").otherwise("skipped")
     pages = c.select(F.col("conv_id"), (F.col("turn") + 1).alias("label"), (F.col("turn") + 1).alias("embed"), status.alias("status"), "text")
     return transcripts(pages, "conv_id", F.lit("note.pdf")).select("conv_id", F.md5("transcript").alias("transcript_md5"))
+
+
+_LINES = """
+    raw AS (SELECT conv_id, turn, role = 'user' AS given, string_split(regexp_replace(coalesce(text, ''), '[^ -~]', '', 'g'), '. ') AS parts FROM conversations),
+    lines AS (SELECT conv_id, given, regexp_replace(trim(regexp_replace(parts[i], '\\s+', ' ', 'g')), ' +', ' ', 'g') AS line, row_number() OVER (PARTITION BY conv_id ORDER BY NOT given, turn, i) AS n
+              FROM (SELECT *, unnest(range(1, len(parts) + 1)) AS i FROM raw))"""
+
+
+@query(
+    "lines_without_repeats",
+    f"""
+    WITH RECURSIVE {_LINES},
+    fold AS (
+      SELECT DISTINCT conv_id, 0::BIGINT AS n, []::VARCHAR[] AS kept FROM lines
+      UNION ALL
+      SELECT f.conv_id, l.n, CASE WHEN given OR len(list_filter(kept, lambda k: (k = '' AND line = '') OR 1 - levenshtein(k, line) / greatest(len(k), len(line), 1) >= 0.6 AND greatest(len(k), len(line)) > 0)) = 0 THEN list_append(kept, line) ELSE kept END
+      FROM fold f JOIN lines l ON l.conv_id = f.conv_id AND l.n = f.n + 1
+    )
+    SELECT conv_id, len(arg_max(kept, n)) AS n_kept, max(n) AS n_lines, md5(array_to_string(arg_max(kept, n), '|')) AS kept_md5 FROM fold GROUP BY conv_id
+    """,
+)
+def lines_without_repeats(spark, sf_dir):
+    """The sentences of each conversation: what the user said stays, and of the answers' sentences those that are like none that stays before them."""
+    c = table(spark, sf_dir, "conversations")
+    bare = F.regexp_replace(F.coalesce("text", F.lit("")), F.lit("[^ -~]"), F.lit(""))
+    parts = c.select("conv_id", "turn", (F.col("role") == "user").alias("given"), F.posexplode(F.split(bare, F.lit("\\. "), -1)).alias("i", "part"))
+    lines = parts.select("conv_id", "given", F.struct("turn", "i").alias("ord"), T.line_shape(F.col("part")).alias("text"))
+    kept = similar.without_repeats(lines, "conv_id").withColumn("late", ~F.col("given"))
+    told = kept.groupBy("conv_id").agg(F.count("*").alias("n_kept"), F.md5(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("late", "ord", "text"))), lambda x: x["text"]), "|")).alias("kept_md5"))
+    return lines.groupBy("conv_id").agg(F.count("*").alias("n_lines")).join(told, "conv_id")

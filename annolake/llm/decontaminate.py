@@ -10,8 +10,10 @@ in the corpus (if min_score * L is above 1; below, a seed is still asked for). W
 The items are a bounded side: they are taken in chunks of at most ``CHUNK_BYTES`` of text, whatever their number, and each chunk is one pass. Documents
 are never shuffled; a passage that a third of them share is found in each where it stands.
 
-Cases: null or empty texts, and items of fewer than ``N`` words, match nothing; a document that holds an item several times
-gives its best passage; repeated rows of documents give repeated rows, repeated items count once; empty tables give an empty result; other columns are
+An item of fewer than ``N`` words is found where its very words stand in a row: so few words in common say nothing unless they are all there.
+
+Cases: null or empty texts, and items without words, match nothing; very long texts are read whole; a document that holds an item several times
+gives its best passage, of equal ones the first; null ids of either side are passed through; columns of other names are left alone; repeated rows of documents give repeated rows, repeated items count once; empty tables give an empty result; other columns are
 not read.
 """
 
@@ -29,7 +31,7 @@ from pyspark.sql import functions as F
 from annolake.llm.columns import release
 from annolake.llm.tables import table, text_or_empty
 
-#: Fewest words of an item; least score for a hit, as a share of the item's full score; scores of a pair of words.
+#: Fewest words of an item that is aligned; least score for a hit, as a share of the item's full score; scores of a pair of words.
 N, MIN_SCORE = 4, 0.5
 MATCH, MISMATCH, GAP = 2, -1, -1
 CHUNK_BYTES = 32 << 20
@@ -50,17 +52,51 @@ def _pairs(ids: np.ndarray, apart: int) -> np.ndarray:
     return np.where((one > 0) & (two > 0), (one << np.uint64(32)) | two, np.uint64(0))
 
 
+class Runs:
+    """Items of n words, found by all their words in a row."""
+
+    def __init__(self, n: int, items: list[tuple[int, list[int]]]):
+        self.n, self.firsts = n, np.unique(np.array([own[:2] for _, own in items], np.uint64), axis=0) if n > 1 else None
+        keys = self._keys(np.array([w for _, own in items for w in (*own, 0)], np.uint64))[:: n + 1]
+        order = np.argsort(keys, kind="stable")
+        self.keys, self.items = keys[order], [items[i][0] for i in order]
+
+    def _keys(self, ids: np.ndarray) -> np.ndarray:
+        """A key of n words for each place, 0 where there can be none. For three words the first two go by their number among those of the items."""
+        if self.n == 1:
+            return ids
+        pair = np.concatenate([_pairs(ids, 1), [np.uint64(0)]])
+        if self.n == 2:
+            return pair
+        known = np.sort((self.firsts[:, 0] << np.uint64(32)) | self.firsts[:, 1])
+        at = np.minimum(np.searchsorted(known, pair), len(known) - 1)
+        third = np.concatenate([ids[2:], np.zeros(2, np.uint64)])
+        return np.where((known[at] == pair) & (third > 0), ((at.astype(np.uint64) + np.uint64(1)) << np.uint64(32)) | third, np.uint64(0))
+
+    def found(self, ids: np.ndarray) -> Iterator[tuple[int, int]]:
+        """(item, place)."""
+        keys = self._keys(ids)
+        low, high = np.searchsorted(self.keys, keys, "left"), np.searchsorted(self.keys, keys, "right")
+        for place in np.nonzero((high > low) & (keys > 0))[0].tolist():
+            for i in range(low[place], high[place]):
+                yield self.items[i], place
+
+
 class Items:
     """A chunk of test items, as ids of their words."""
 
     def __init__(self, rows: list[tuple[int, str]]):
         self.vocabulary: dict[bytes, int] = {}
         self.ids, self.words = [], []
+        short: dict[int, list[tuple[int, list[int]]]] = {}
         for item, text in rows:
             own = [self.vocabulary.setdefault(w, len(self.vocabulary) + 1) for w in words(text)]
             if len(own) >= N:
                 self.ids.append(item)
                 self.words.append(np.array(own, np.uint64))
+            elif own:
+                short.setdefault(len(own), []).append((item, own))
+        self.short = {n: Runs(n, some) for n, some in short.items()}
         self.pairs = [(_pairs(w, 1), _pairs(w, 2)) for w in self.words]
         self.all_pairs = np.unique(np.concatenate([np.zeros(0, np.uint64), *(p for both in self.pairs for p in both)]))
 
@@ -122,9 +158,21 @@ def align(item: np.ndarray, passages: np.ndarray) -> tuple[np.ndarray, np.ndarra
 def _hits(items: Items, min_score: float):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         release()
+        kinds = (pa.int64(), pa.int64(), pa.float64(), pa.int64(), pa.int64(), pa.int64())
+        names = ["doc_id", "item_id", "score", "first_word", "end_word", "n_seeds"]
         seeds = items.seeds[:, 0]
         lengths, drifts, least = np.array([len(w) for w in items.words]), np.array(items.drift), np.array(items.least)
         for docs, ids, firsts in _spans(batches, items.vocabulary):
+            whole: dict[tuple[int, int], tuple] = {}
+            for n, runs in items.short.items():
+                for i, place in runs.found(ids):
+                    doc = int(np.searchsorted(firsts, place, "right")) - 1
+                    whole.setdefault((doc, i), (1.0, place - int(firsts[doc]), place - int(firsts[doc]) + n, n - 1))
+            if whole:
+                rows = [(docs[d], i, *found) for (d, i), found in sorted(whole.items(), key=lambda x: (x[0][0], x[1][1], x[1][3]))]
+                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], names=names)
+            if not items.ids:
+                continue
             found = []
             for apart in (1, 2):
                 keys = _pairs(ids, apart)
@@ -180,8 +228,7 @@ def _hits(items: Items, min_score: float):
                                 out[key] = found
             rows = [(docs[d], items.ids[i], *found) for (d, i), found in sorted(out.items())]
             if rows:
-                kinds = (pa.int64(), pa.int64(), pa.float64(), pa.int64(), pa.int64(), pa.int64())
-                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], names=["doc_id", "item_id", "score", "first_word", "end_word", "n_seeds"])
+                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], names=names)
 
     return run
 
@@ -211,11 +258,11 @@ def contaminated(docs: DataFrame, items: DataFrame, min_score: float = MIN_SCORE
     chunks = max(1, math.ceil(size / CHUNK_BYTES))
     out = None
     for k in range(chunks):
-        chunk = Items(sorted(tuple(r) for r in tests.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(chunks)) == k).collect()))
-        if not chunk.ids:
+        chunk = Items(sorted((tuple(r) for r in tests.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(chunks)) == k).collect()), key=lambda r: (r[0] is None, r[0] or 0, r[1])))
+        if not chunk.ids and not chunk.short:
             continue
         counts = given.mapInArrow(_counted(chunk), "pair bigint, places bigint").groupBy("pair").agg(F.sum("places").alias("places"))
-        chunk.seeded({r["pair"]: r["places"] for r in counts.collect()}, min_score)
+        chunk.seeded({r["pair"]: r["places"] for r in counts.collect()} if chunk.ids else {}, min_score)
         found = given.mapInArrow(_hits(chunk, min_score), "doc_id bigint, item_id bigint, score double, first_word bigint, end_word bigint, n_seeds bigint")
         out = found if out is None else out.unionByName(found)
     return out if out is not None else spark.createDataFrame([], "doc_id bigint, item_id bigint, score double, first_word bigint, end_word bigint, n_seeds bigint")

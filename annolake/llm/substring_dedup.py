@@ -25,11 +25,13 @@ from pyspark.sql import functions as F
 
 from annolake.llm.blocks import block_of, packed, unpacked
 from annolake.llm.suffix_array import common_prefixes, suffix_array
-from annolake.llm.tables import block_count, table, text_or_empty
+from annolake.llm.tables import blocks_by_bytes, table, text_or_empty
 
 LENGTH, GRAM = 100, 32
 #: Places of a key from which it is dealt by window, and bytes of different stretches that one suffix array takes.
 HOT, ARRAY_BYTES = 8_000, 1 << 20
+#: Bytes of text of a block, on average, whatever the size of the corpus.
+BLOCK = 4 << 20
 #: Bytes of text that are hashed together; small, so that the arrays stay in a core's cache.
 _SPAN = 1 << 17
 _NO_ID = 2**63 - 1
@@ -308,7 +310,7 @@ def dedup_substrings(docs: DataFrame, length: int = LENGTH, hot: int = HOT, id_c
     """(doc_id, n_bytes, n_removed, n_spans, spans, kept binary) for each row of documents."""
     if length < GRAM:
         raise ValueError(f"length must be at least {GRAM}")
-    count = block_count(docs.sparkSession, 2)
+    count = blocks_by_bytes(docs, text, BLOCK)
     own = F.col(id_col).cast("long")
     rows = docs.select(F.coalesce(own, F.lit(_NO_ID)).alias("doc"), own.alias("own"), text_or_empty(text).alias("text"))
     chunks = packed(rows, "doc", count).repartition(count, "b")

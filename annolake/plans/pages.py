@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from annolake.functions import geometry as G
-from annolake.operators import backends, canvas, marks, typed
+from annolake.operators import backends, canvas, marks, raster, typed
 from annolake.plans.catalogue import query, table
 
 
@@ -174,3 +174,33 @@ def inserted_lines(spark, sf_dir):
     order = W.partitionBy("page_id").orderBy(F.col("center").desc(), "event_id")
     lines = e.where("event_id % 3 > 0").withColumn("ord", (F.row_number().over(order) - 1).cast("long"))
     return backends.inserted_lines(lines, e.where("event_id % 3 = 0").withColumn("ord", F.col("event_id"))).select("page_id", F.col("ord").cast("long").alias("ord"), "text")
+
+
+_INK = """
+    pts AS (SELECT user_id AS page_id, event_id // 6 AS stroke_id, event_id AS ord, (event_id * 37 % 101) / 2.0 AS x, (event_id * 53 % 67) / 2.0 AS y, greatest(least((CASE WHEN value > 0 THEN value % 24 ELSE 0 END) / 8.0, 50), 0.5) AS w8, value > 0 AND value % 24 > 0 AS own FROM events),
+    p AS (SELECT page_id, stroke_id, ord, x, y, CASE WHEN own THEN w8 ELSE 1.0 END AS r FROM pts),
+    b AS (SELECT page_id, min(x) - max(r) AS l, min(y) - max(r) AS t, least(greatest(ceil(max(x) - min(x) + 2 * max(r)), 1), 6000)::INT AS width, least(greatest(ceil(max(y) - min(y) + 2 * max(r)), 1), 6000)::INT AS height FROM p GROUP BY page_id),
+    s AS (SELECT *, lag(x) OVER w AS fx, lag(y) OVER w AS fy, lag(r) OVER w AS fr, count(*) OVER (PARTITION BY page_id, stroke_id) AS n FROM p WINDOW w AS (PARTITION BY page_id, stroke_id ORDER BY ord)),
+    seg AS (SELECT page_id, width, height, x - l AS x, y - t AS y, coalesce(fx - l, x - l) AS fx, coalesce(fy - t, y - t) AS fy, greatest(r, coalesce(fr, r)) AS r, fx IS NULL AS single FROM s JOIN b USING (page_id) WHERE fx IS NOT NULL OR n = 1),
+    st AS (SELECT *, CASE WHEN single THEN 0 ELSE greatest(1, ceil(sqrt((x - fx) * (x - fx) + (y - fy) * (y - fy)) / r))::INT END AS steps FROM seg),
+    d AS (SELECT page_id, width, height, r, fx + (x - fx) * k AS cx, fy + (y - fy) * k AS cy FROM (SELECT *, CASE WHEN steps = 0 THEN 0 ELSE unnest(range(0, steps + 1)) / steps::DOUBLE END AS k FROM st)),
+    ys AS (SELECT *, unnest(range(greatest(0, floor(cy - r)::INT), least(height - 1, ceil(cy + r)::INT) + 1)) AS py FROM d),
+    px AS (SELECT *, unnest(range(greatest(0, floor(cx - r)::INT), least(width - 1, ceil(cx + r)::INT) + 1)) AS qx FROM ys)"""
+
+
+@query(
+    "ink_rows",
+    f"""
+    WITH {_INK}, ink AS (SELECT DISTINCT page_id, py, qx FROM px WHERE (qx - cx) * (qx - cx) + (py - cy) * (py - cy) <= r * r)
+    SELECT page_id, width, height, count(*) AS n_pixels, count(DISTINCT py) AS n_rows, sum(qx * 7 + py * 13)::BIGINT AS checksum FROM ink JOIN b USING (page_id) GROUP BY page_id, width, height
+    """,
+)
+def ink_rows(spark, sf_dir):
+    """Every six events of a user as a stroke: the ink's pixels, counted from runs; the SQL draws them one by one."""
+    e, k = table(spark, sf_dir, "events"), F.col("event_id")
+    value = F.when(F.col("value") > 0, F.col("value") % 24).otherwise(F.lit(0.0))
+    points = e.select(F.col("user_id").alias("page_id"), F.floor(k / 6).alias("stroke_id"), k.alias("ord"), (k * 37 % 101 / 2).alias("x"), (k * 53 % 67 / 2).alias("y"), value.alias("width"), F.lit(False).alias("is_marker"), F.lit(2.0).alias("brush"))
+    runs, bounds = raster.rasterised(points)
+    n = (F.col("x1") - F.col("x0") + 1).cast("long")
+    sums = runs.groupBy("page_id").agg(F.sum(n).alias("n_pixels"), F.count_distinct("y").alias("n_rows"), F.sum(((F.col("x0") + F.col("x1")) * n / 2 * 7 + F.col("y") * n * 13).cast("long")).alias("checksum"))
+    return bounds.select("page_id", "width", "height").join(sums, "page_id")

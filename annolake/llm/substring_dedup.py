@@ -31,7 +31,7 @@ LENGTH, GRAM = 100, 32
 #: Places of a key from which it is dealt by window, and bytes of different stretches that one suffix array takes.
 HOT, ARRAY_BYTES = 8_000, 1 << 20
 #: Bytes of text of a block, on average, whatever the size of the corpus.
-BLOCK = 4 << 20
+BLOCK = 2 << 20
 #: Bytes of text that are hashed together; small, so that the arrays stay in a core's cache.
 _SPAN = 1 << 17
 _NO_ID = 2**63 - 1

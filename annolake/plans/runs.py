@@ -11,6 +11,7 @@ from annolake.operators.shared import Rounds, shared_folder
 from annolake.plans.catalogue import query, table
 from annolake.sources import device as D
 from annolake.sources import vault as V
+from annolake.streaming import progress as P
 from annolake.streaming import run as R
 
 
@@ -120,3 +121,22 @@ def entries_between(spark, sf_dir):
     result = out.write(D.read_entries(spark, root, since=1).select("doc_id", "gone"))
     V.Store(root).delete("")
     return result
+
+
+@query(
+    "progress",
+    """
+    WITH u AS (SELECT o_custkey AS run, o_orderkey AS line, floor(o_totalprice)::BIGINT % 4 AS pages, floor(o_totalprice)::BIGINT % 3 AS steps FROM orders),
+    e AS (SELECT run, line, 0 AS k, steps, 0 AS own FROM u UNION ALL SELECT run, line, k, steps, k FROM (SELECT *, unnest(range(1, pages + 1)) AS k FROM u) WHERE k <= steps UNION ALL SELECT run, line, 9, steps, steps FROM u),
+    b AS (SELECT e.*, coalesce((SELECT sum(steps) FROM u WHERE u.run = e.run AND u.line < e.line), 0) + own AS done, (SELECT sum(steps) FROM u WHERE u.run = e.run) AS total FROM e)
+    SELECT run, count(*) AS n_shown, max(done)::BIGINT AS done, max(total)::BIGINT AS total, md5(string_agg(done::BIGINT::VARCHAR, ',' ORDER BY line, k)) AS done_md5 FROM b WHERE total > 0 GROUP BY run
+    """,
+)
+def progress(spark, sf_dir):
+    """Customers as runs whose orders are units of some steps and some pages, more or fewer than the steps: what is shown as done after each event."""
+    q = F.floor("o_totalprice").cast("int")
+    kinds = F.concat(F.array(F.lit("start")), F.array_repeat(F.lit("page"), q % 4), F.array(F.lit("finish")))
+    events = table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("run"), "o_orderkey", (q % 3).alias("steps"), F.posexplode(kinds).alias("k", "kind"))
+    shown = P.progress(events.withColumn("ord", F.struct("o_orderkey", "k")))
+    told = F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("ord", "done"))), lambda x: x["done"].cast("string")), ",")
+    return shown.groupBy("run").agg(F.count("*").alias("n_shown"), F.max("done").alias("done"), F.max("total").alias("total"), F.md5(told).alias("done_md5"))

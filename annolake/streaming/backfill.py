@@ -18,6 +18,7 @@ from annolake.operators.rendering import transcripts, with_transcript
 from annolake.sources.device import fetched, listings, read_entries
 from annolake.sources.vault import opened, publish, write_files
 from annolake.streaming.ledger import Ledger
+from annolake.streaming.progress import Ticker
 from annolake.streaming.run import ROWS
 
 JOURNAL = "sync_key string, updated boolean, block_hash string"
@@ -45,9 +46,11 @@ def _work(spark: SparkSession, device: str, ledger: Ledger, base: str, chunk: in
 
 
 def transcribe_again(
-    spark: SparkSession, device: str, vault: str, state: str, read: Callable[[DataFrame], DataFrame], name: str, chunk: int = CHUNK, stop: Callable[[], bool] = lambda: False, buckets: int | None = None
+    spark: SparkSession, device: str, vault: str, state: str, read: Callable[[DataFrame], DataFrame], name: str, chunk: int = CHUNK, stop: Callable[[], bool] = lambda: False, buckets: int | None = None,
+    report: Callable[[int, int], None] = lambda done, total: None,
 ) -> tuple[int, bool]:
-    """How many notes got a new transcript, in all starts of the backfill of that name together, and whether it was stopped. ``read`` as of `run.run`. A note whose block has no transcript to replace, a digest, or that is gone is left alone."""
+    """How many notes got a new transcript, in all starts of the backfill of that name together, and whether it was stopped. ``read`` as of `run.run`. A note whose block has no transcript to replace, a digest, or that is gone is left alone. ``report`` gets how many of the
+    pages are done, and of how many, after each chunk; what an earlier start did counts as done."""
     publish(spark, vault)
     ledger = Ledger(spark, state, ROWS, "doc_id", buckets)
     before, base = ledger.latest(), f"backfills/{name}"
@@ -55,15 +58,18 @@ def transcribe_again(
         _work(spark, device, ledger, base, chunk)
     parts = json.loads(ledger.text(f"{base}/made"))["parts"]
     rows, pages = spark.read.parquet(f"{ledger.path}/{base}/rows") if parts else None, spark.read.parquet(f"{ledger.path}/{base}/pages")
-    stopped = False
+    steps = _steps(rows, pages) if parts else {}
+    stopped, ticker = False, Ticker(sum(steps.values()), report)
     for part in range(parts):
         if ledger.exists(f"{base}/journal/part={part}/_SUCCESS"):
+            ticker.finish(steps.get(part, 0))
             continue
         if stop():
             stopped = True
             break
         own = rows.where(F.col("part") == part)
-        _chunk(own, pages, device, vault, read).write.mode("overwrite").parquet(f"{ledger.path}/{base}/journal/part={part}")
+        ticker.watched(_chunk(own, pages, device, vault, read).join(_shown(own, pages).groupBy("sync_key").agg(F.count("*").alias("_steps")), "sync_key", "left"), F.col("_steps")).select(*(f.split(" ")[0] for f in JOURNAL.split(", "))).write.mode("overwrite").parquet(f"{ledger.path}/{base}/journal/part={part}")
+        ticker.finish(steps.get(part, 0))
     done = [p for p in range(parts) if ledger.exists(f"{base}/journal/part={p}/_SUCCESS")]
     journal = spark.read.schema(JOURNAL).parquet(*(f"{ledger.path}/{base}/journal/part={p}" for p in done)) if done else spark.createDataFrame([], JOURNAL)
     if not ledger.exists(f"{base}/over"):
@@ -73,10 +79,21 @@ def transcribe_again(
     return journal.where("updated").count(), stopped
 
 
+def _shown(rows: DataFrame, pages: DataFrame) -> DataFrame:
+    """The pages of each row: all of its document's, or its own."""
+    shown = rows.where("page_id IS NOT NULL").join(pages, ["doc_id", "page_id"]).select("sync_key", "doc_id", "page_id", "ord", "page_hash", F.lit(True).alias("single"))
+    return shown.unionByName(rows.where("page_id IS NULL").select("sync_key", "doc_id").join(pages, "doc_id").select("sync_key", "doc_id", "page_id", "ord", "page_hash", F.lit(False).alias("single")))
+
+
+def _steps(rows: DataFrame, pages: DataFrame) -> dict[int, int]:
+    """Pages of each chunk: one number a chunk."""
+    counted = _shown(rows, pages).groupBy("sync_key").agg(F.count("*").alias("n")).join(rows.select("sync_key", "part"), "sync_key")
+    return {r["part"]: r["n"] for r in counted.groupBy("part").agg(F.sum("n").alias("n")).collect()}
+
+
 def _chunk(rows: DataFrame, pages: DataFrame, device: str, vault: str, read: Callable[[DataFrame], DataFrame]) -> DataFrame:
     """Rewrites a chunk's transcripts; its rows of the journal."""
-    shown = rows.where("page_id IS NOT NULL").join(pages, ["doc_id", "page_id"]).select("sync_key", "doc_id", "page_id", "ord", "page_hash", F.lit(True).alias("single"))
-    shown = shown.unionByName(rows.where("page_id IS NULL").select("sync_key", "doc_id").join(pages, "doc_id").select("sync_key", "doc_id", "page_id", "ord", "page_hash", F.lit(False).alias("single")))
+    shown = _shown(rows, pages)
     told = read(fetched(shown.select("doc_id", "page_id", "page_hash").distinct(), device, "blobs", "page_hash"))
     old = opened(rows.select("sync_key", "note_path"), vault, "note_path", "_old").withColumn("old", F.col("_old").cast("string")).drop("_old").where("old IS NOT NULL")
     # headings link into the note's own embed, which only the note knows; without one the text stands alone

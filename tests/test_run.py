@@ -193,7 +193,9 @@ def test_a_backfill_stopped_anywhere_ends_like_an_unbroken_one(desk):
 
     with pytest.raises(Lost):
         transcribe_again(desk.spark, desk.device, desk.vault, desk.state, losing, "b", 1)
-    assert transcribe_again(desk.spark, desk.device, desk.vault, desk.state, again, "b", 1) == (4, False)
+    shown = []
+    assert transcribe_again(desk.spark, desk.device, desk.vault, desk.state, again, "b", 1, report=lambda done, total: shown.append((done, total))) == (4, False)
+    assert shown == sorted(shown) and shown[-1] == (5, 5) and len({total for _, total in shown}) == 1
     assert transcribe_again(desk.spark, desk.device, desk.vault, desk.state, losing, "b", 1) == (4, False)  # all is done
     after = desk.notes()
     assert after["Work/Alpha.md"] == before["Work/Alpha.md"].replace("first", "FIRST").replace("second", "SECOND") and after["Work/Gamma.md"] == before["Work/Gamma.md"].replace("sea", "SEA")
@@ -201,3 +203,35 @@ def test_a_backfill_stopped_anywhere_ends_like_an_unbroken_one(desk):
     desk.docs["X"][3]["x1"] = ("y", [])
     desk.put()
     assert desk.run(ONE, render_version=31)[0] == {"A:T1": "rewrite", "A:a2:T2": "rewrite", "B:b1:T2": "rewrite", "C:T1": "rewrite"}  # nothing counts as edited
+
+
+def test_progress_after_a_failed_and_repeated_task(tmp_path):
+    import os
+    import subprocess
+    import sys
+    import textwrap
+
+    script = """
+        from pyspark import TaskContext
+        from pyspark.sql import SparkSession, functions as F
+        from annolake.streaming.progress import Ticker
+        spark = SparkSession.builder.master("local[2,4]").config("spark.ui.enabled", "false").getOrCreate()
+
+        def shaky(batches):
+            yield from batches
+            if TaskContext.get().attemptNumber() < 2 and TaskContext.get().partitionId() == 1:
+                raise RuntimeError("lost")
+
+        shown = []
+        ticker = Ticker(40, lambda done, total: shown.append((done, total)))
+        rows = spark.range(0, 20, 1, 4).mapInArrow(shaky, "id long")
+        ticker.watched(rows, F.lit(1)).write.format("noop").mode("overwrite").save()
+        ticker.finish(20)
+        ticker.watched(spark.range(5), F.lit(1)).write.format("noop").mode("overwrite").save()
+        ticker.finish(20)
+        print(shown)
+        """
+    env = os.environ | {"PYTHONPATH": os.pathsep.join([str(Path(V.__file__).resolve().parents[2]), os.environ.get("PYTHONPATH", "")])}
+    done = subprocess.run([sys.executable, "-c", textwrap.dedent(script)], env=env, capture_output=True, text=True, timeout=300)
+    assert done.returncode == 0 and "lost" in done.stderr, done.stderr[-2000:]
+    assert done.stdout.strip().splitlines()[-1] == "[(20, 40), (25, 40), (40, 40)]"

@@ -136,8 +136,10 @@ def inserted_lines(lines: DataFrame, extra: DataFrame, page: str = "page_id") ->
     center, text); extra: (page_id, ord, center, text)."""
     from pyspark.sql import Window as W
 
-    first_lower = extra.alias("e").join(lines.alias("l"), (F.col(f"e.{page}") == F.col(f"l.{page}")) & (F.col("l.center") < F.col("e.center")), "left")
-    spot = first_lower.groupBy(F.col(f"e.{page}").alias(page), F.col("e.ord").alias("n"), F.col("e.center").alias("center"), F.col("e.text").alias("text")).agg(F.min("l.ord").alias("at"))
-    put = spot.select(page, F.coalesce("at", F.lit(2**31 - 1)).alias("at"), F.lit(0).alias("own"), (-F.col("center")).alias("c"), "n", "text")
+    # by centre, extra ones before lines of the same: the first line, by its place, of those that have gone before is the spot
+    both = extra.select(page, "center", F.lit(0).alias("own"), F.col("ord").alias("n"), "text").unionByName(lines.select(page, "center", F.lit(1).alias("own"), F.col("ord").alias("n"), "text"))
+    lower = W.partitionBy(page).orderBy("center", "own").rowsBetween(W.unboundedPreceding, -1)
+    spot = both.withColumn("at", F.min(F.when(F.col("own") == 1, F.col("n"))).over(lower)).where("own = 0")
+    put = spot.select(page, F.coalesce("at", F.lit(2**31 - 1)).alias("at"), "own", (-F.col("center")).alias("c"), "n", "text")
     whole = lines.select(page, F.col("ord").alias("at"), F.lit(1).alias("own"), F.lit(0.0).alias("c"), F.col("ord").alias("n"), "text").unionByName(put)
     return whole.select(page, (F.row_number().over(W.partitionBy(page).orderBy("at", "own", "c", "n")) - 1).alias("ord"), "text")

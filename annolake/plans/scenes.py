@@ -1,4 +1,4 @@
-"""Queries on binary page scenes: rows written as scenes, put away as files, and read again."""
+"""Queries on binary page scenes (rows written as scenes, put away as files, and read again) and on page content streams."""
 
 from __future__ import annotations
 
@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from annolake.operators.shared import Rounds, shared_folder
 from annolake.plans.catalogue import query, table
+from annolake.sources import content
 from annolake.sources import scene_writer as E
 from annolake.sources import scenes as S
 from annolake.sources import vault as V
@@ -110,3 +111,29 @@ def scene_parts(spark, sf_dir):
         return whole.fillna({"n_images": 0, "n_unnamed": 0, "boxes": 0.0})
 
     return _scanned(pages, results)
+
+
+@query(
+    "stream_text",
+    """
+    WITH p AS (SELECT page_id, page_id % 97 AS k, split_part(url, '/', 3) AS host, split_part(url, '/', 4) AS lang FROM pages WHERE url IS NOT NULL),
+    i AS (
+      SELECT page_id, 1 AS n, host AS text, 10.0 + 2 * (5 + k) AS x, 20.0 + 2 * 700 AS y, 12.0 * length(host) AS width, 24.0 AS height FROM p UNION ALL
+      SELECT page_id, 2, lang, 10.0 + 2 * (5 + k + 6 * length(host) + 3.6), 20.0 + 2 * 700, 12.0 * length(lang), 24.0 FROM p UNION ALL
+      SELECT page_id, 3, lang || '.', 10.0 + 2 * (5 + k), 20.0 + 2 * (700 - 14), 12.0 * (length(lang) + 1), 24.0 FROM p UNION ALL
+      SELECT page_id, 4, 'tail', 10.0 + 2 * 3, 20.0 + 2 * k, 4 * 0.5 * 10 * 2, 20.0 FROM p
+    )
+    SELECT page_id::VARCHAR AS page_id, n::BIGINT AS n, text, round(x::DOUBLE, 3) AS x, round(y::DOUBLE, 3) AS y, round(width::DOUBLE, 3) AS width, round(height::DOUBLE, 3) AS height FROM i
+    """,
+)
+def stream_text(spark, sf_dir):
+    """Every web page's address as a content stream with nested states: where its parts stand."""
+    p = table(spark, sf_dir, "pages").where("url IS NOT NULL").select("page_id", F.split("url", "/")[2].alias("host"), F.split("url", "/")[3].alias("lang"), (F.col("page_id") % 97).cast("string").alias("k"))
+    source = F.concat(
+        F.lit("q 2 0 0 2 10 20 cm /F2 10 Tf q 1 0 0 1 5 0 cm\nBT /F1 12 Tf 14 TL 1 0 0 1 "), "k", F.lit(" 700 Tm [("), "host", F.lit(") -300 ("), "lang", F.lit(")] TJ ("), "lang", F.lit(".) ' ET Q % back\nBT 3 "), "k", F.lit(" Td (tail) Tj ET Q")
+    )
+    items, _ = content.text_items(p.select(F.col("page_id").cast("string").alias("page_id"), source.cast("binary").alias("content")))
+    from pyspark.sql import Window as W
+
+    n = F.row_number().over(W.partitionBy("page_id").orderBy("ord")).cast("long")
+    return items.select("page_id", n.alias("n"), "text", *(F.round(c, 3).alias(c) for c in ("x", "y", "width", "height")))

@@ -3,12 +3,13 @@
 Vectors are quantised to integers. Equal vectors are one class: of its rows only the k + 1 smallest ids can be in any answer,
 so a vector that a third of the rows share is k + 1 rows from each task before anything is shuffled. A bounded sample of classes gives the pivots;
 each class and each query vector belongs to its nearest pivot. The summaries hold, for each pivot, the few classes nearest to it:
-the (k + 1)-th best score of a query among all of them bounds its answer from below. A group of queries with pivot p, radius r and
-lowest bound b needs a class x only if <x, p> + |x| r >= b, and only such classes are replicated to it. Each group is
+the (k + 1)-th best score of a query among all of them bounds its answer from below, and so does that among one part of its own pivot's classes, the higher counts. Queries are grouped by
+as many of the pivots as their number asks for. A group with pivot p, radius r and
+lowest bound b needs a class x only if <x, p> + |x| r >= b, and only such classes are replicated to it, so never to more groups than there are. Each group is
 solved locally, in as many parts as its share of the data asks for, and the parts are merged by score.
 
 Cases: vectors that are null or hold a null or non-finite component take no part; shorter vectors are padded by zeros to the longest;
-ties go to the smaller id; a row repeated as it is counts once; null ids take no part; with fewer than k
+ties go to the smaller id; components of 2^62 and more and scores that 64 bits do not hold raise an error; a row repeated as it is counts once; null ids take no part; with fewer than k
 candidates all are returned; an empty table gives an empty result; other columns are not read.
 """
 
@@ -34,7 +35,9 @@ _SLACK = 1e-6
 def quantised(vectors: DataFrame, id_col: str, vector: str, scale: int) -> DataFrame:
     x = F.col(vector).cast("array<double>")
     whole = x.isNotNull() & F.forall(x, lambda v: v.isNotNull() & ~F.isnan(v) & (F.abs(v) != float("inf")))
-    scaled = F.transform(x, lambda v: F.floor(v * F.lit(float(scale))).cast("long"))
+    # what is no number takes no part, wherever the plan puts the test for it
+    fits = lambda v: F.when(F.abs(v * scale) < float(2**62), v).when(v.isNull() | F.isnan(v) | (F.abs(v) == float("inf")), F.lit(0.0)).otherwise(F.raise_error(F.lit("a component beyond 64 bits")).cast("double"))
+    scaled = F.transform(x, lambda v: F.floor(fits(v) * F.lit(float(scale))).cast("long"))
     return vectors.where(F.col(id_col).isNotNull() & whole).select(F.col(id_col).cast("long").alias("id"), scaled.alias("q"))
 
 
@@ -53,7 +56,9 @@ def _scores(data, queries, dim: int):
     if most < 2**53:
         return np.rint(queries.astype(np.float64) @ data.astype(np.float64).T).astype(np.int64)
     exact = queries.astype(object) @ data.astype(object).T
-    return np.clip(exact, -(2**63), 2**63 - 1).astype(np.int64)
+    if any(not -(2**63) <= v < 2**63 for v in exact.ravel()):
+        raise OverflowError("a score beyond 64 bits")
+    return exact.astype(np.int64)
 
 
 def top_k(vectors: DataFrame, is_query, k: int = 5, scale: int = 256, id_col: str = "vec_id", vector: str = "embedding") -> DataFrame:
@@ -93,21 +98,40 @@ def top_k(vectors: DataFrame, is_query, k: int = 5, scale: int = 256, id_col: st
     summary = data.withColumn("n", F.row_number().over(close)).where(F.col("n") <= k + 1).select("q", F.size("ids").alias("times")).collect()
     near = np.repeat(np.array([r["q"] for r in summary], dtype=np.float64).reshape(-1, dim), [r["times"] for r in summary], axis=0)
     n_data, n_queries = data.count(), wanted.count()
-    chunks, parts = max(1, math.ceil(n_queries / (PIVOTS * GROUP_QUERIES))), max(1, math.ceil(n_data / PART_ROWS))
+    several = min(len(pivots), max(1, math.ceil(n_queries / GROUP_QUERIES)))
+    chunks, parts = max(1, math.ceil(n_queries / (several * GROUP_QUERIES))), max(1, math.ceil(n_data / PART_ROWS))
+
+    def kth(scores):
+        """Of each row the (k + 1)-th highest, as the query itself can be among them."""
+        return np.partition(scores, scores.shape[1] - k - 1, axis=1)[:, scores.shape[1] - k - 1] if scores.shape[1] > k else np.full(len(scores), -np.inf)
 
     def bounded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             if not batch.num_rows:
                 continue
-            scores = _matrix(batch.column(0), dim) @ near.T
-            if scores.shape[1] > k:
-                low = np.partition(scores, scores.shape[1] - k - 1, axis=1)[:, scores.shape[1] - k - 1]
-            else:
-                low = np.full(len(scores), -np.inf)
-            yield batch.append_column("low", pa.array(low))
-
-    chunk = (F.col("g") * chunks + F.pmod(F.xxhash64("q"), F.lit(chunks))).cast("int")
-    bounds = wanted.withColumn("c", chunk).mapInArrow(bounded, "q array<bigint>, g int, d double, c int, low double")
+            x = _matrix(batch.column(0), dim)
+            away = np.sqrt(np.maximum((x**2).sum(1)[:, None] - 2 * x @ pivots[:several].T + squares[:several], 0))
+            group = away.argmin(1)
+            columns = [batch.column(0), pa.array(group.astype(np.int32)), pa.array(away[np.arange(len(x)), group]), pa.array(kth(x @ near.T))]
+            yield pa.RecordBatch.from_arrays(columns, names=["q", "h", "d", "low"])
+
+    def own_part(_key, left: pa.Table, right: pa.Table) -> pa.Table:
+        asked_q = left.column("q").combine_chunks()
+        low = np.full(left.num_rows, -np.inf)
+        if left.num_rows and right.num_rows:
+            times = np.diff(np.asarray(right.column("ids").combine_chunks().offsets))
+            x = np.repeat(_matrix(right.column("q").combine_chunks(), dim), times, axis=0)
+            q = _matrix(asked_q, dim)
+            low = np.concatenate([kth(q[at : at + 256] @ x.T) for at in range(0, len(q), 256)])
+        return pa.table({"q": asked_q, "own": pa.array(low)})
+
+    dealt = F.pmod(F.xxhash64("q", F.lit(1)), F.lit(parts)).cast("int")
+    own_low = wanted.select("q", "g", dealt.alias("s")).groupBy("g", "s").cogroup(data.select("q", "ids", "g", dealt.alias("s")).groupBy("g", "s")).applyInArrow(own_part, "q array<bigint>, own double")
+    chunk = (F.col("h") * chunks + F.pmod(F.xxhash64("q"), F.lit(chunks))).cast("int")
+    placed = wanted.select("q").mapInArrow(bounded, "q array<bigint>, h int, d double, low double").join(own_low, "q")
+    # a hair lower, as these scores are sums in doubles
+    best = F.greatest("low", "own")
+    bounds = materialise(placed.select("q", "d", chunk.alias("c"), (best - _SLACK * (F.abs(best) + 1)).alias("low")), "voronoi-bounds")
     groups = bounds.groupBy("c").agg(F.max("d").alias("r"), F.min("low").alias("low")).collect()
     if not groups:
         return spark.createDataFrame([], out)
@@ -126,7 +150,7 @@ def top_k(vectors: DataFrame, is_query, k: int = 5, scale: int = 256, id_col: st
                     yield pa.RecordBatch.from_arrays([some.column(0).take(take), some.column(1).take(take), pa.array(codes[group[part : part + 4096]])], names=["q", "ids", "c"])
 
     sent = data.select("q", "ids").mapInArrow(replicated, "q array<bigint>, ids array<bigint>, c int").withColumn("s", F.pmod(F.xxhash64("q"), F.lit(parts)).cast("int"))
-    asking = wanted.select("q", chunk.alias("c")).withColumn("s", F.explode(F.sequence(F.lit(0), F.lit(parts - 1))))
+    asking = bounds.select("q", "c").withColumn("s", F.explode(F.sequence(F.lit(0), F.lit(parts - 1))))
 
     def solve(_key, left: pa.Table, right: pa.Table) -> pa.Table:
         queries, ids, scores = [], [], []

@@ -197,3 +197,30 @@ def test_quality_rejects_junk_and_keeps_clean_documents(spark):
     assert len(got) == 325
     assert all(x["keep"] for x in got if x["doc_id"] < 1000) and not any(x["keep"] for x in got if 1000 <= x["doc_id"] < 2000)
     assert all(x["keep"] and (x["perplexity"] is None or x["doc_id"] == 2002) for x in got if x["doc_id"] >= 2000)
+
+
+def test_values_beyond_64_bits_raise_an_error(spark):
+    big = spark.createDataFrame([(0, [1e18, 0.0]), (1, [1.0, 0.0])], "vec_id long, embedding array<double>")
+    with pytest.raises(Exception, match="beyond 64 bits"):
+        voronoi_knn.top_k(big, lambda i: i % 50 == 0).collect()
+    wide = spark.createDataFrame([(0, [1e10, 1e10]), (1, [1e10, 1e10])], "vec_id long, embedding array<double>")
+    with pytest.raises(Exception, match="beyond 64 bits"):
+        voronoi_knn.top_k(wide, lambda i: i % 50 == 0).collect()
+
+
+def test_clusters_are_pruned_and_found(spark):
+    """Far apart clusters of other lengths: every answer is exact, with ties and copies."""
+    r = random.Random(12)
+    rows = []
+    for i in range(1500):
+        c = i % 7
+        rows.append((i, [r.randint(-2, 2) + (40 * (c + 1) if j == c else 0) for j in range(8)]))
+    rows += [(5000 + i, rows[3][1]) for i in range(40)]
+    frame = spark.createDataFrame([(i, [float(v) for v in q]) for i, q in rows], "vec_id long, embedding array<double>")
+    got = sorted(tuple(x) for x in voronoi_knn.top_k(frame, lambda i: i % 50 == 0, scale=1).collect())
+    want = []
+    for i, q in rows:
+        if i % 50 == 0:
+            scored = sorted((-sum(a * b for a, b in zip(q, p, strict=True)), j) for j, p in rows if j != i)[:5]
+            want += [(i, n, j, -s) for n, (s, j) in enumerate(scored, 1)]
+    assert got == sorted(want)

@@ -35,8 +35,11 @@ def blocks_by_bytes(docs: DataFrame, text: str = "text", each: int = BLOCK_BYTES
 
 
 def checkpoint_dir(spark: SparkSession) -> str:
-    """The shared folder named by the cluster; where it names none, the warehouse, which is shared too."""
-    return spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.sql.warehouse.dir")
+    """The shared folder named by the cluster; where it names none, the warehouse, which must be one that all machines see: one that was never set is the driver's own, and is only taken on one machine."""
+    named = spark.conf.get("spark.checkpoint.dir", None)
+    if not named and not spark.sparkContext.master.startswith("local") and not spark.sparkContext.getConf().contains("spark.sql.warehouse.dir"):
+        raise ValueError("set spark.checkpoint.dir to a folder that all machines share")
+    return named or spark.conf.get("spark.sql.warehouse.dir")
 
 
 @contextlib.contextmanager

@@ -8,6 +8,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 
 from annolake.functions import geometry as G
+from annolake.operators.shared import by_group
 
 CLUSTER = "cluster int, anchor_id string, min_x double, min_y double, max_x double, max_y double, row_top double, strokes array<string>"
 
@@ -70,11 +71,16 @@ def _first_id(ids: list[str]) -> str:
 
 def page_clusters(strokes: pd.DataFrame, line: float, column: tuple[float, float] | None = None) -> pd.DataFrame:
     """Notes of one page from (id, min_x, min_y, max_x, max_y) in drawing order; strokes without points have null boxes and no part."""
-    inked = strokes.dropna(subset=["min_x"]).reset_index(drop=True)
     names = ["cluster", "anchor_id", "min_x", "min_y", "max_x", "max_y", "row_top", "strokes"]
-    if inked.empty:
-        return pd.DataFrame(columns=names)
-    box, ids = inked[["min_x", "min_y", "max_x", "max_y"]].to_numpy(float), inked.id.tolist()
+    return pd.DataFrame(_note_rows(strokes, line, column), columns=names)
+
+
+def _note_rows(strokes: pd.DataFrame, line: float, column: tuple[float, float] | None) -> list[tuple]:
+    box, ids = np.stack([strokes[c].to_numpy(float) for c in ("min_x", "min_y", "max_x", "max_y")], 1), strokes["id"].to_numpy()
+    inked = ~np.isnan(box[:, 0])
+    box, ids = box[inked], ids[inked].tolist()
+    if not ids:
+        return []
     parts = linked(len(box), _pairs(joined(box, line)))
     outline = np.stack([_union(box[p]) for p in parts])
     width, height = outline[:, 2] - outline[:, 0], outline[:, 3] - outline[:, 1]
@@ -105,21 +111,18 @@ def page_clusters(strokes: pd.DataFrame, line: float, column: tuple[float, float
             top, row = r[2], row + 1
         out.append((row, r[1], top, r))
     out.sort(key=lambda t: t[:2])
-    return pd.DataFrame([(i, r[0], *r[1:5], top, r[5]) for i, (_, _, top, r) in enumerate(out)], columns=names)
+    return [(i, r[0], *r[1:5], top, r[5]) for i, (_, _, top, r) in enumerate(out)]
 
 
 def clustered(strokes: DataFrame, line: str = "line_height", page: str = "page_id") -> DataFrame:
     """Notes of every page of (page_id, ord, id, min_x, min_y, max_x, max_y, line_height[, column_left, column_right])."""
     with_column = {"column_left", "column_right"} <= set(strokes.columns)
 
-    def run(key, frame: pd.DataFrame) -> pd.DataFrame:
-        ordered = frame.sort_values("ord")
+    def run(ordered: pd.DataFrame):
         column = (float(ordered.column_left.iloc[0]), float(ordered.column_right.iloc[0])) if with_column and ordered.column_left.notna().all() else None
-        out = page_clusters(ordered, float(ordered[line].iloc[0]), column)
-        out.insert(0, page, key[0])
-        return out
+        return ((ordered[page].iloc[0], *row) for row in _note_rows(ordered, float(ordered[line].iloc[0]), column))
 
-    return strokes.groupBy(page).applyInPandas(run, f"{page} string, {CLUSTER}")
+    return by_group(strokes, page, ["ord"], run, f"{page} string, {CLUSTER}")
 
 
 def merged_by_text(rows: pd.DataFrame) -> pd.DataFrame:
@@ -137,9 +140,8 @@ def merged_by_text(rows: pd.DataFrame) -> pd.DataFrame:
 def merged_highlights(rows: DataFrame, page: str = "page_id") -> DataFrame:
     """(page_id, id, survivor_id) of (page_id, ord, id, sentence, top, is_ink)."""
 
-    def run(key, frame: pd.DataFrame) -> pd.DataFrame:
-        out = merged_by_text(frame.sort_values("ord").reset_index(drop=True))
-        out.insert(0, page, key[0])
-        return out
+    def run(ordered: pd.DataFrame):
+        out = merged_by_text(ordered)
+        return ((ordered[page].iloc[0], *row) for row in out.itertuples(index=False))
 
-    return rows.groupBy(page).applyInPandas(run, f"{page} string, id string, survivor_id string")
+    return by_group(rows, page, ["ord"], run, f"{page} string, id string, survivor_id string")

@@ -36,14 +36,19 @@ def note_region(rect: Column, fit: Column, height: Column, page: Column) -> Colu
     return F.when(fit.isNotNull(), F.struct(page.alias("page"), *(scaled[k].alias(k) for k in ("x", "y", "width", "height"))))
 
 
-def page_geometry(pages: DataFrame, lines: DataFrame, annotated: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(pages with has_text and line_height, warnings): pages without readable text keep going, with a warning where there is something on them. annotated: (page_id)."""
+def page_geometry(pages: DataFrame, lines: DataFrame) -> DataFrame:
+    """The pages with has_text and line_height: pages without readable text keep going."""
     measured = page_measures(lines).select("page_id", F.col("line_spacing").alias("_spacing"))
     there = lines.select("page_id").distinct().withColumn("_there", F.lit(True))
     known = pages.join(there, "page_id", "left").join(measured, "page_id", "left")
     out = known.select(*pages.columns, (F.coalesce("_there", F.lit(False)) & ~F.col("appended")).alias("has_text"), F.coalesce("_spacing", F.lit(LINE_HEIGHT)).alias("line_height"))
-    silent = out.where(~F.col("has_text") & ~F.col("appended")).join(annotated.select("page_id").distinct(), "page_id", "left_semi")
-    return out, silent.select("doc_id", "page_id", F.lit("no text").alias("kind"))
+    return out
+
+
+def silent_pages(pages: DataFrame, annotated: DataFrame) -> DataFrame:
+    """(doc_id, page_id, kind, n): pages that have something on them and no text to put it beside. annotated: (page_id)."""
+    silent = pages.where(~F.col("has_text") & ~F.col("appended")).join(annotated.select("page_id").distinct(), "page_id", "left_semi")
+    return silent.select("doc_id", "page_id", F.lit("no text").alias("kind"), F.lit(1).cast("long").alias("n"))
 
 
 def page_fits(pages: DataFrame, strokes: DataFrame) -> DataFrame:
@@ -101,15 +106,13 @@ def mark_entries(strokes: DataFrame, lines: DataFrame, pages: DataFrame) -> tupl
     return entries, rest
 
 
-def merged(entries: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(entries with one for each sentence, survivors (page_id, id, survivor_id)): of entries whose sentences hold one another the topmost recorded one stays, with the longest sentence and the
-    marks of all."""
-    groups = clusters.merged_highlights(entries.select("page_id", "ord", "id", "sentence", "top", "is_ink"))
+def merged(entries: DataFrame, groups: DataFrame) -> DataFrame:
+    """Entries with one for each sentence: of entries whose sentences hold one another the topmost recorded one stays (groups: (page_id, id, survivor_id)), with the longest sentence and the marks of all."""
     listed = F.flatten(F.transform(F.sort_array(F.collect_list(F.struct("ord", "marked"))), lambda s: s["marked"]))
     wide = entries.join(groups, ["page_id", "id"]).groupBy("page_id", F.col("survivor_id").alias("id")).agg(
         F.max_by("sentence", F.struct(F.length("sentence").alias("n"), (-F.col("ord")).alias("o"))).alias("sentence"), listed.alias("marked")
     )
-    return entries.drop("sentence", "marked").join(wide, ["page_id", "id"]), groups
+    return entries.drop("sentence", "marked").join(wide, ["page_id", "id"])
 
 
 def written_notes(strokes: DataFrame, pages: DataFrame, lines: DataFrame, recognise: backends.Recognise) -> DataFrame:
@@ -186,16 +189,16 @@ def digest(
 
 def _digest(steps, pages, lines, headings, highlights, strokes, seen, recognise, embed, dpi, chapters, bodies, devices, margin_notes):
     pages = pages.withColumn("dpi", F.lit(dpi)) if devices is None else pages.join(devices.select("doc_id", F.col("canvas.dpi").alias("dpi")), "doc_id", "left").withColumn("dpi", F.coalesce("dpi", F.lit(dpi)))
-    pages, warnings = page_geometry(page_fits(pages, strokes), lines, seen)
-    pages, warnings = steps.write(pages), steps.write(warnings.withColumn("n", F.lit(1).cast("long")))
+    pages = steps.write(page_geometry(page_fits(pages, strokes), lines))
+    warnings = silent_pages(pages, seen)
     headings = named_headings(headings, chapters) if chapters is None else steps.write(named_headings(headings, chapters))
     recorded = highlight_entries(highlights, lines, pages)
     drawn, handwriting = mark_entries(strokes, lines, pages)
     drawn = steps.write(drawn)
     handwriting = strokes.where(~F.col("is_marker")).join(drawn.select("page_id", "id"), ["page_id", "id"], "left_anti")
     placed = steps.write(recorded.unionByName(drawn))
-    one, survivors = merged(placed)
-    one, survivors = steps.write(one), steps.write(survivors)
+    survivors = steps.write(clusters.merged_highlights(placed.select("page_id", "ord", "id", "sentence", "top", "is_ink")))
+    one = steps.write(merged(placed, survivors))
     if bodies is not None:
         docs = pages.select("page_id", "doc_id")
         fixed = fuzzy.corrected(one.join(docs, "page_id").select(F.concat_ws(":", "page_id", "id").alias("quote_id"), "doc_id", F.col("sentence").alias("text")), bodies)

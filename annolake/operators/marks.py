@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from annolake.functions import geometry as G
 from annolake.operators.lines import line_spacing, quote
+from annolake.operators.shared import by_group
 
 # Fixed values, in line heights.
 MIN_MARK_WIDTH, MAX_UNDERLINE_HEIGHT = 2.5, 0.4
@@ -49,16 +50,22 @@ def quotes(rects: DataFrame, lines: DataFrame, page: str = "page_id") -> DataFra
     hits = rects.join(own, page).withColumn("range", G.marked_range(line, F.col("rects"))).where(F.col("range").isNotNull())
     hit = hits.select(page, "id", "ord", F.col("range.start").alias("start"), F.col("range.end").alias("end"))
 
-    def run(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-        right = right.sort_values("ord").reset_index(drop=True)
-        place, spacing = {o: i for i, o in enumerate(right.ord)}, line_spacing(right)
-        rows = []
-        for key, group in left.groupby("id", sort=True):
-            sentence, runs = quote(right, [(place[o], a, b) for o, a, b in zip(group.ord, group.start, group.end, strict=True)], spacing)
-            rows.append((group[page].iloc[0], key, sentence, runs))
-        return pd.DataFrame(rows, columns=[page, "id", "sentence", "marked"])
-
-    return hit.groupBy(page).cogroup(lines.groupBy(page)).applyInPandas(run, f"{page} string, id string, sentence string, marked array<string>")
+    # a page's hits, then its lines
+    none = lambda *fields: [F.lit(None).cast(kind).alias(name) for name, kind in fields]
+    kinds = dict(own.dtypes)
+    lined = lines.select(page, F.lit(1).alias("kind"), "ord", "text", "y", "height", *none(("id", "string"), ("start", "int"), ("end", "int")))
+    asked = hit.select(page, F.lit(0).alias("kind"), "ord", *none(*((c, kinds[c]) for c in ("text", "y", "height"))), "id", "start", "end")
+
+    def run(rows: pd.DataFrame):
+        hits, right = rows[rows.kind == 0], rows[rows.kind == 1].reset_index(drop=True)
+        if hits.empty:
+            return []
+        place, spacing, wanted = {o: i for i, o in enumerate(right.ord)}, line_spacing(right), {}
+        for i, o, a, b in zip(hits.id, hits.ord, hits.start, hits.end, strict=True):
+            wanted.setdefault(i, []).append((place[o], int(a), int(b)))
+        return [(rows[page].iloc[0], i, *quote(right, own_hits, spacing)) for i, own_hits in sorted(wanted.items())]
+
+    return by_group(asked.unionByName(lined), page, ["kind", "ord"], run, f"{page} string, id string, sentence string, marked array<string>")
 
 
 def sections(entries: DataFrame, headings: DataFrame, lines: DataFrame, page: str = "page_index", doc: str = "doc_id") -> DataFrame:

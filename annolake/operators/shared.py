@@ -1,10 +1,41 @@
-"""Tables that a loop writes between its rounds, in the folder that all machines share."""
+"""Tables that a loop writes between its rounds, in the folder that all machines share, and groups that pass through tasks in batches."""
 
 from __future__ import annotations
 
 import uuid
+from collections.abc import Callable, Iterable, Iterator
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql.types import StructType
+
+
+def by_group(rows: DataFrame, key: str, order: list[str], run: Callable[[pd.DataFrame], Iterable[tuple]], schema: str) -> DataFrame:
+    """The tuples that ``run`` makes of each group's rows, in order. Groups pass through a task one after another in whole batches, so many small ones cost little more than their rows; a task holds a batch
+    and one group."""
+    names = StructType.fromDDL(schema).names
+
+    def told(frame: pd.DataFrame, cuts: np.ndarray) -> pd.DataFrame:
+        edges = [0, *cuts.tolist(), len(frame)]
+        return pd.DataFrame([row for a, b in zip(edges, edges[1:], strict=False) for row in run(frame.iloc[a:b].reset_index(drop=True))], columns=names)
+
+    def batches(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        rest = None
+        for frame in frames:
+            frame = frame if rest is None else pd.concat([rest, frame], ignore_index=True)
+            if not len(frame):
+                continue
+            keys = frame[key].to_numpy()
+            cuts = np.nonzero(keys[1:] != keys[:-1])[0] + 1
+            rest = frame
+            if len(cuts):
+                rest = frame.iloc[cuts[-1] :]
+                yield told(frame.iloc[: cuts[-1]], cuts[:-1])
+        if rest is not None and len(rest):
+            yield told(rest, np.zeros(0, int))
+
+    return rows.repartition(key).sortWithinPartitions(key, *order).mapInPandas(batches, schema)
 
 
 def shared_folder(spark: SparkSession) -> str:

@@ -1,4 +1,4 @@
-"""Positions in an outline, level by level: no task ever sees more than the children of one node together."""
+"""Positions in an outline by list ranking, so a tree of any depth takes as many joins as its number of nodes has binary digits."""
 
 from __future__ import annotations
 
@@ -12,23 +12,28 @@ from annolake.operators.shared import Rounds
 def preorder(nodes: DataFrame) -> DataFrame:
     """(id, depth, position) of (id, up, ord): roots (``up`` null) and children in their order, each node before those below it, positions from 1. What hangs on no root is left out.
 
-    Down once for the levels, up for how many nodes each one holds, down again for the places: three joins for each level."""
-    rounds = Rounds(nodes.sparkSession, "outline")
-    levels = [rounds.write(nodes.where(F.col("up").isNull()))]
-    while not levels[-1].isEmpty():
-        levels.append(rounds.write(nodes.join(levels[-1].select(F.col("id").alias("up")), "up").select(*nodes.columns)))
-    levels.pop()
-    sizes: list[DataFrame] = []
-    below = None
-    for level in reversed(levels):
-        held = level if below is None else level.join(below.groupBy(F.col("up").alias("id")).agg(F.sum("size").alias("_below")), "id", "left")
-        below = rounds.write(held.select(*nodes.columns, (F.lit(1).cast("long") + (F.lit(0) if below is None else F.coalesce("_below", F.lit(0)))).alias("size")))
-        sizes.insert(0, below)
-    out, above = None, None
-    for depth, level in enumerate(sizes, 1):
-        earlier = F.coalesce(F.sum("size").over(W.partitionBy("up").orderBy("ord", "id").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
-        placed = level.withColumn("_earlier", earlier)
-        placed = placed.withColumn("_above", F.lit(0)) if above is None else placed.join(above.select(F.col("id").alias("up"), F.col("position").alias("_above")), "up")
-        above = rounds.write(placed.select("id", F.lit(depth).alias("depth"), (F.col("_above") + 1 + F.col("_earlier")).cast("long").alias("position")))
-        out = above if out is None else out.unionByName(above)
-    return out if out is not None else nodes.select("id", F.lit(0).alias("depth"), F.lit(0).cast("long").alias("position")).where("false")
+    A walk around the tree enters each node and leaves it; each of these steps knows the next one. By pointer doubling a step learns how many nodes are entered from it on, and how far the walk goes up from it; the
+    end that it comes to tells whether it began below a root."""
+    rounds, out = Rounds(nodes.sparkSession, "outline"), Rounds(nodes.sparkSession, "outline-order")
+    siblings = W.partitionBy("up").orderBy("ord", "id")
+    known = rounds.write(nodes.select("id", "up", F.lead("id").over(siblings).alias("after"), (F.row_number().over(siblings) == 1).alias("_first")))
+    first = known.where("_first AND up IS NOT NULL").select(F.col("up").alias("id"), F.col("id").alias("child"))
+    both = known.join(first, "id", "left")
+    zero, one = F.lit(0).cast("long"), F.lit(1).cast("long")
+    entering = both.select("id", F.lit(0).alias("side"), F.coalesce("child", "id").alias("to"), F.when(F.col("child").isNull(), 1).otherwise(0).alias("to_side"), one.alias("n"), one.alias("rise"), F.lit(False).alias("ends"))
+    last = F.col("after").isNull() & F.col("up").isNull()
+    leaving = both.select("id", F.lit(1).alias("side"), F.coalesce("after", "up").alias("to"), F.when(F.col("after").isNull(), 1).otherwise(0).alias("to_side"), zero.alias("n"), (-one).alias("rise"), last.alias("ends"))
+    walk = rounds.write(entering.unionByName(leaving))
+    for _ in range(walk.count().bit_length()):  # a walk around one tree is as long as all its steps, so none of the rounds can be saved
+        open_ = walk.where("to IS NOT NULL")
+        beyond = walk.select(F.col("id").alias("to"), F.col("side").alias("to_side"), F.col("to").alias("_to"), F.col("to_side").alias("_side"), F.col("n").alias("_n"), F.col("rise").alias("_rise"), F.col("ends").alias("_ends"))
+        far = open_.join(beyond, ["to", "to_side"], "left").select(
+            "id", "side", F.col("_to").alias("to"), F.col("_side").alias("to_side"), (F.col("n") + F.coalesce("_n", zero)).alias("n"), (F.col("rise") + F.coalesce("_rise", zero)).alias("rise"), F.coalesce("_ends", F.lit(False)).alias("ends")
+        )
+        walk = rounds.write(walk.where("to IS NULL").unionByName(far))
+        rounds.forget()
+    done = walk.where("to IS NULL AND ends AND side = 0")
+    total = done.agg(F.max("n").alias("total"))  # one number
+    result = out.write(done.crossJoin(total).select("id", (1 - F.col("rise")).cast("int").alias("depth"), (F.col("total") - F.col("n") + 1).alias("position")))
+    rounds.forget(0)
+    return result

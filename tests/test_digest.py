@@ -96,3 +96,23 @@ def test_preorder(spark):
     got = {(r["id"], r["depth"], r["position"]) for r in outline.preorder(spark.createDataFrame(rows, "id long, up long, ord int")).collect()}
     assert got == {(1, 1, 1), (3, 2, 2), (4, 3, 3), (5, 3, 4), (2, 2, 5), (6, 3, 6), (7, 1, 7)}
     assert outline.preorder(spark.createDataFrame([], "id long, up long, ord int")).count() == 0
+
+
+def test_preorder_of_deep_and_broken_trees(spark):
+    import random
+
+    r = random.Random(7)
+    path = [(i, i - 1 if i else None, 0) for i in range(300)]
+    tree = [(1000 + i, 1000 + r.randrange(i) if i and r.random() < 0.97 else None, r.randrange(3)) for i in range(400)]
+    ring = [(5000, 5002, 0), (5001, 5000, 0), (5002, 5001, 0), (5003, 5001, 1), (6000, 9999, 0), (6001, 6000, 0)]
+    rows = path + tree + ring
+    got = {(x["id"], x["depth"], x["position"]) for x in outline.preorder(spark.createDataFrame(rows, "id long, up long, ord int")).collect()}
+    below = {}
+    for i, up, o in sorted(rows, key=lambda x: (x[2], x[0])):
+        below.setdefault(up, []).append(i)
+    want, stack = set(), [(i, 1) for i in reversed(below[None])]
+    while stack:
+        i, depth = stack.pop()
+        want.add((i, depth, len(want) + 1))
+        stack += [(c, depth + 1) for c in reversed(below.get(i, []))]
+    assert got == want

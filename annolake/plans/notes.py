@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from annolake.functions import geometry as G
 from annolake.functions import text as T
 from annolake.operators import clusters, fuzzy, incremental, lines, outline, rendering, routing
-from annolake.operators.shared import shared_folder
+from annolake.operators.shared import by_group, shared_folder
 from annolake.plans.catalogue import query, table
 from annolake.sources import catalog
 from annolake.streaming import sync
@@ -127,14 +127,22 @@ def text_lines(spark, sf_dir):
     return lines.text_lines(items)
 
 
-@query("row_banding")
+@query(
+    "row_banding",
+    """
+    WITH RECURSIVE s AS (
+      SELECT user_id, min(value) AS start, 0 AS band FROM events GROUP BY user_id
+      UNION ALL SELECT s.user_id, min(e.value), band + 1 FROM s JOIN events e ON e.user_id = s.user_id AND e.value >= s.start + 10 GROUP BY s.user_id, band
+    )
+    SELECT event_id, max(band)::INT AS band FROM events e JOIN s ON s.user_id = e.user_id AND s.start <= e.value GROUP BY event_id
+    """,
+)
 def row_banding(spark, sf_dir):
     """Bands measured from each band's first row (a session window measures from the last)."""
-    def run(frame: pd.DataFrame) -> pd.DataFrame:
-        frame = frame.sort_values(["value", "event_id"])
-        return pd.DataFrame({"event_id": frame.event_id, "band": lines.greedy_bands(frame.value.tolist(), lambda a, b: b < a + 10)})
+    def run(frame: pd.DataFrame):
+        return zip(frame.event_id.tolist(), lines.greedy_bands(frame.value.tolist(), lambda a, b: b < a + 10), strict=True)
 
-    return table(spark, sf_dir, "events").select("event_id", "user_id", "value").groupBy("user_id").applyInPandas(run, "event_id bigint, band int")
+    return by_group(table(spark, sf_dir, "events").select("event_id", "user_id", "value"), "user_id", ["value", "event_id"], run, "event_id bigint, band int")
 
 
 @query("fitting_align")

@@ -71,9 +71,22 @@ def underline_match(spark, sf_dir):
     return marks.mark_rects(own, lines).select("page_id", "mark_id", F.col("rect.y").alias("y"), F.col("rect.height").alias("height"))
 
 
-@query("section_asof")
+@query(
+    "section_asof",
+    """
+    WITH b AS (SELECT label::VARCHAR AS doc_id, vec_id % 5 AS page, vec_id AS ord, (vec_id % 7 * 30)::DOUBLE AS x, (vec_id * 3 % 997)::DOUBLE AS y FROM embeddings),
+    r AS (
+      SELECT p.*, l.ord AS rank FROM b p JOIN b l ON l.doc_id = p.doc_id AND l.page = p.page WHERE p.ord % 4 = 1 OR p.ord % 9 = 0
+      QUALIFY row_number() OVER (PARTITION BY p.ord ORDER BY sqrt(greatest(l.x - p.x, p.x - l.x - 100, 0) ** 2 + greatest(l.y - p.y, p.y - l.y - 10, 0) ** 2), l.ord) = 1
+    ),
+    e AS (SELECT * FROM r WHERE ord % 4 = 1), h AS (SELECT *, 'H' || ord AS title FROM r WHERE ord % 9 = 0),
+    here AS (SELECT e.ord, h.title FROM e JOIN h ON h.doc_id = e.doc_id AND h.page = e.page AND (h.rank < e.rank OR (h.rank = e.rank AND h.y >= e.y)) QUALIFY row_number() OVER (PARTITION BY e.ord ORDER BY h.rank DESC, h.ord DESC) = 1),
+    carried AS (SELECT e.ord, h.title FROM e JOIN h ON h.doc_id = e.doc_id AND h.page < e.page QUALIFY row_number() OVER (PARTITION BY e.ord ORDER BY h.page DESC, h.y, h.ord DESC) = 1)
+    SELECT e.doc_id, e.ord::VARCHAR AS entry_id, coalesce(here.title, carried.title) AS section FROM e LEFT JOIN here USING (ord) LEFT JOIN carried USING (ord)
+    """,
+)
 def section_asof(spark, sf_dir):
-    """Entries under headings in reading order; checked case by case in the tests."""
+    """Entries under headings in reading order."""
     e, v = table(spark, sf_dir, "embeddings"), F.col("vec_id")
     base = e.select(F.col("label").cast("string").alias("doc_id"), (v % 5).cast("int").alias("page_index"), v.cast("int").alias("ord"), (v % 7 * 30).cast("double").alias("x"), (v * 3 % 997).cast("double").alias("y"))
     lines = base.withColumn("width", F.lit(100.0)).withColumn("height", F.lit(10.0))

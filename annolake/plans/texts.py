@@ -128,7 +128,14 @@ def escape_text(spark, sf_dir):
     return table(spark, sf_dir, "pages").select("page_id", F.md5(T.escaped(F.col("html"))).alias("escaped_md5"))
 
 
-@query("anchor_words", None)
+@query(
+    "anchor_words",
+    r"""
+    WITH l AS (SELECT item_id, regexp_extract_all(lower(text), '\p{L}{4,}') AS l FROM benchmark), w AS (SELECT item_id, unnest(l) AS word, generate_subscripts(l, 1) AS i FROM l),
+    d AS (SELECT item_id, word, min(i) AS i FROM w GROUP BY item_id, word), t AS (SELECT * FROM d QUALIFY row_number() OVER (PARTITION BY item_id ORDER BY length(word) DESC, i) <= 3)
+    SELECT b.item_id, coalesce(string_agg(word, ',' ORDER BY length(word) DESC, i), '') AS words FROM benchmark b LEFT JOIN t USING (item_id) GROUP BY b.item_id
+    """,
+)
 def anchor_words(spark, sf_dir):
     return table(spark, sf_dir, "benchmark").select("item_id", F.array_join(T.anchor_words(T.folded(F.col("text"))), ",").alias("words"))
 

@@ -306,3 +306,63 @@ def foreach_batch_sync(spark, sf_dir):
     )
     sync.sync_stream(units, f"{root}/state", f"{root}/offsets").awaitTermination()
     return sync.state(spark, f"{root}/state").select("sync_key", "tag", "page_hash")
+
+
+_NOTE = f"""
+    n AS (SELECT conv_id, turn, coalesce(text, '') AS said, 'a/' || conv_id || '-' || turn || '.pdf' AS embed, CASE WHEN turn % 2 = 0 THEN '---' || chr(10) || 'key: ' || turn || chr(10) || '---' || chr(10) ELSE '' END AS front,
+                 CASE WHEN turn % 3 = 0 THEN chr(10) || 'own words' || chr(10) ELSE chr(10) END AS free FROM conversations),
+    b AS (SELECT *, '{rendering.OWNERSHIP}' || chr(10) || chr(10) || '![[' || embed || ']]' || chr(10) AS top, CASE WHEN said = '' THEN '' ELSE chr(10) || '## Transcript' || chr(10) || said END AS part, chr(10) || '{T.FENCE_END}' AS fence FROM n)"""
+
+
+@query(
+    "note_parts",
+    f"""
+    WITH {_NOTE}
+    SELECT conv_id, turn, front, md5(top || part || fence) AS block_md5, free, md5(CASE WHEN said <> '' THEN said END) AS transcript_md5, embed, md5(front || top || chr(10) || '## Transcript' || chr(10) || 'read again' || fence || free) AS again_md5,
+           md5(front || top || chr(10) || '## Transcript' || chr(10) || 'new' || fence || free) AS rewritten_md5 FROM b
+    """,
+)
+def note_parts(spark, sf_dir):
+    """A note for each turn, with and without front matter and own words: its parts, with another transcript, and written anew over itself."""
+    c = table(spark, sf_dir, "conversations")
+    turn = F.col("turn").cast("string")
+    embed = F.concat(F.lit("a/"), F.col("conv_id").cast("string"), F.lit("-"), turn, F.lit(".pdf"))
+    front = F.when(F.col("turn") % 2 == 0, F.concat(F.lit("---\nkey: "), turn, F.lit("\n---\n"))).otherwise(F.lit(""))
+    nothing = F.lit("")
+    block = rendering.managed(embed, nothing, nothing, F.coalesce("text", nothing))
+    note = F.concat(front, block, F.when(F.col("turn") % 3 == 0, F.lit("\nown words\n")).otherwise(F.lit("\n")))
+    rows = c.select("conv_id", "turn", note.alias("note"), embed.alias("_embed"))
+    content = F.col("note")
+    return rows.select(
+        "conv_id", "turn", T.front_matter(content).alias("front"), F.md5(T.managed_block(content)).alias("block_md5"), T.free_area(content).alias("free"), F.md5(T.transcript_of(content)).alias("transcript_md5"), T.embed_of(content).alias("embed"),
+        F.md5(rendering.with_transcript(content, F.lit("read again"))).alias("again_md5"), F.md5(rendering.note(rendering.managed(F.col("_embed"), nothing, nothing, F.lit("new")), content)).alias("rewritten_md5"),
+    )
+
+
+@query(
+    "rect_measures",
+    """
+    WITH b AS (SELECT vec_id, floor((embedding[1] + 1)::DOUBLE * 4000)::DOUBLE AS x, floor((embedding[2] + 1)::DOUBLE * 4000)::DOUBLE AS y, floor((embedding[3] + 1)::DOUBLE * 60)::DOUBLE AS w, floor((embedding[4] + 1)::DOUBLE * 30)::DOUBLE AS h FROM embeddings)
+    SELECT vec_id, least(y, y + 40) AS top, least(x, x - 25) AS left, x - 25 AS union_x, y AS union_y, w + 25 AS union_width, greatest(y + h, y + 40 + 8) - y AS union_height,
+           round(sqrt(greatest(0, x - (x - 25 + w), x - 25 - (x + w)) ** 2 + greatest(0, y - (y + 48), y + 40 - (y + h)) ** 2), 6) AS apart,
+           round((x + 702) * 72 / 226, 6) AS pdf_x, round((1872 - (y + h)) * 72 / 226, 6) AS pdf_y, round(w * 72 / 226, 6) AS pdf_width, round((x - 100) / 8000, 9) AS unit_x, round(1 - (y + h + 100) / 9000, 9) AS unit_y,
+           greatest(0, y - 8) AS band_y, least(5000, y + h + 8) - greatest(0, y - 8) AS band_height, x < 4000 AND x + w > 0 AND y < 5000 AND y + h > 0 AS on_page, h < 20 * 0.4 OR (w < 20 * 0.3 AND h <= 20 * 0.7) AS fragment,
+           sqrt(w * w + h * h) > 0 AND sqrt((w / 2) ** 2 + (h / 4) ** 2) <= 0.4 * sqrt(w * w + h * h) AS loop
+    FROM b
+    """,
+)
+def rect_measures(spark, sf_dir):
+    """Boxes and rects of vectors: anchors, unions, gaps, places on paper and in units, bands, and whether they read as loops or fragments."""
+    b = _boxes(spark, sf_dir)
+    n = lambda v: F.lit(float(v))
+    r, other = G.rect(F.col("x0"), F.col("y0"), F.col("w"), F.col("h")), G.rect(F.col("x0") - 25, F.col("y0") + 40, F.col("w"), n(8))
+    both, x, y, w, h = F.array(r, other), F.col("x0"), F.col("y0"), F.col("w"), F.col("h")
+    point = lambda px, py: F.struct(px.alias("x"), py.alias("y"))
+    points = F.array(point(x, y), point(x + w, y + h), point(x + w / 2, y + h / 4))
+    anchor, union, pdf = G.rect_anchor(both), G.union_rect(both), G.scene_rect_to_pdf(r, n(1404), n(1872), n(226))
+    unit, band = G.unit_box(F.col("box"), G.box(n(100), n(-100), n(8100), n(8900))), G.drawn_band(r, n(4000), n(5000))
+    return b.select(
+        "vec_id", anchor["top"].alias("top"), anchor["left"].alias("left"), *(union[c].alias(f"union_{c}") for c in ("x", "y", "width", "height")), F.round(G.rect_distance(r, other), 6).alias("apart"),
+        F.round(pdf["x"], 6).alias("pdf_x"), F.round(pdf["y"], 6).alias("pdf_y"), F.round(pdf["width"], 6).alias("pdf_width"), F.round(unit["x"], 9).alias("unit_x"), F.round(unit["y"], 9).alias("unit_y"),
+        band["y"].alias("band_y"), band["height"].alias("band_height"), G.lies_on_page(r, n(4000), n(5000)).alias("on_page"), G.is_fragment(F.col("box"), n(20)).alias("fragment"), G.is_loop(points).alias("loop"),
+    )

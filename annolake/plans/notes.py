@@ -366,3 +366,27 @@ def rect_measures(spark, sf_dir):
         F.round(pdf["x"], 6).alias("pdf_x"), F.round(pdf["y"], 6).alias("pdf_y"), F.round(pdf["width"], 6).alias("pdf_width"), F.round(unit["x"], 9).alias("unit_x"), F.round(unit["y"], 9).alias("unit_y"),
         band["y"].alias("band_y"), band["height"].alias("band_height"), G.lies_on_page(r, n(4000), n(5000)).alias("on_page"), G.is_fragment(F.col("box"), n(20)).alias("fragment"), G.is_loop(points).alias("loop"),
     )
+
+
+@query(
+    "path_measures",
+    """
+    WITH p AS (SELECT page_id, coalesce(split_part(url, '/', 3), '') AS host, split_part(coalesce(url, ''), '/', 4) AS tag, length(coalesce(url, '')) AS n FROM pages),
+    g AS (SELECT *, CASE page_id % 6 WHEN 0 THEN '' WHEN 1 THEN '/' || host || '/x//' WHEN 2 THEN '  ' || host || ' ' WHEN 3 THEN '../' || host WHEN 4 THEN 'a/./b' ELSE '//' END AS given FROM p),
+    b AS (SELECT *, regexp_replace(trim(given), '^/+|/+$', '', 'g') AS bare FROM g),
+    f AS (SELECT *, CASE WHEN bare = '' OR list_contains(string_split(bare, '/'), '.') OR list_contains(string_split(bare, '/'), '..') THEN 'attachments' ELSE bare END AS folder FROM b)
+    SELECT page_id, folder, folder || '/' || page_id || CASE WHEN page_id % 2 = 0 THEN '-' || tag ELSE '' END || '.pdf' AS attachment, page_id || CASE WHEN page_id % 2 = 0 THEN ':' || tag ELSE '' END || ':' || host AS sync_key,
+           CASE WHEN page_id % 3 = 0 THEN host || '.md' ELSE tag || '/' || host || '.md' END AS path, page_id % 3 <> 0 AS inside, greatest(2, floor(n * 0.15))::INT AS budget, greatest(least(n, 60), 45) AS clamped FROM f
+    """,
+)
+def path_measures(spark, sf_dir):
+    """Folders and paths of web pages as notes: attachment folders from what somebody typed, attachment paths, keys, and whether a note lies in its folder."""
+    p = table(spark, sf_dir, "pages").select("page_id", F.coalesce(F.split("url", "/")[2], F.lit("")).alias("host"), F.coalesce(F.try_element_at(F.split("url", "/"), F.lit(4)), F.lit("")).alias("tag"), F.length(F.coalesce("url", F.lit(""))).alias("n"))
+    k, host = F.col("page_id"), F.col("host")
+    given = F.when(k % 6 == 0, "").when(k % 6 == 1, F.concat(F.lit("/"), host, F.lit("/x//"))).when(k % 6 == 2, F.concat(F.lit("  "), host, F.lit(" "))).when(k % 6 == 3, F.concat(F.lit("../"), host)).when(k % 6 == 4, "a/./b").otherwise("//")
+    page = F.when(k % 2 == 0, F.col("tag"))
+    rows = p.withColumn("folder", T.attachments_folder(given)).withColumn("path", T.in_folder(F.when(k % 3 == 0, F.lit("")).otherwise(F.col("tag")), F.concat(host, F.lit(".md"))))
+    return rows.select(
+        "page_id", "folder", T.attachment_path(F.concat("folder", F.lit("//")), k.cast("string"), page).alias("attachment"), T.sync_key(k.cast("string"), page, host).alias("sync_key"), "path",
+        T.is_in_folder(F.col("path"), F.concat("tag", F.lit("/"))).alias("inside"), T.error_budget(F.col("n")).alias("budget"), T.clamp(F.col("n").cast("long"), 45, 60).alias("clamped"),
+    )

@@ -205,3 +205,20 @@ def on_day(iso: Column) -> Column:
 def stale_rows(rows: DataFrame, version: int = RENDER_VERSION) -> DataFrame:
     """Active rows whose render is out of date."""
     return rows.where((F.col("status") == "active") & is_stale(F.col("render_version"), version))
+
+
+def source_error(content: Column, n_pages: Column) -> Column:
+    """What is wrong with a document's source before anything is drawn on it, else null: an empty or pageless one is a failure of its document and no empty note."""
+    return F.when(F.coalesce(F.length(content), F.lit(0)) == 0, "the source is empty").when(F.coalesce(n_pages, F.lit(0)) == 0, "the source has no pages")
+
+
+def guarded(documents: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(documents (doc_id, content, n_pages) with a usable source, (doc_id, error) of the others)."""
+    error = source_error(F.col("content"), F.col("n_pages"))
+    return documents.where(error.isNull()), documents.where(error.isNotNull()).select("doc_id", error.alias("error"))
+
+
+def source_pages(pages: DataFrame) -> DataFrame:
+    """(doc_id, source_pages): which pages of the source a document's pages (doc_id, source_index, appended) show, each once, in order; pages that were added on the device show none."""
+    own = F.when(~F.coalesce("appended", F.lit(False)), F.col("source_index"))
+    return pages.groupBy("doc_id").agg(F.array_sort(F.collect_set(own)).alias("source_pages"))

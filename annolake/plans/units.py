@@ -250,3 +250,25 @@ def entry_tags(spark, sf_dir):
     )
     tags = U.all_tags(entries).select("id", F.array_join(F.sort_array("tags"), ",").alias("tags"))
     return U.with_parents(entries).select("id", F.col("parent_tags")[0].alias("parent_tag")).join(tags, "id")
+
+
+@query(
+    "source_guard",
+    """
+    SELECT doc_id::VARCHAR AS doc_id, CASE WHEN length(coalesce(text, '')) = 0 THEN 'the source is empty' ELSE 'the source has no pages' END AS error FROM documents WHERE length(coalesce(text, '')) = 0 OR NOT contains(text, chr(10))
+    """,
+)
+def source_guard(spark, sf_dir):
+    """Documents as sources, whose line ends are their pages: those that nothing can be drawn on."""
+    d = table(spark, sf_dir, "documents").select(F.col("doc_id").cast("string").alias("doc_id"), F.col("text").alias("content"), F.regexp_count("text", F.lit("\n")).alias("n_pages"))
+    return U.guarded(d)[1]
+
+
+@query(
+    "source_pages",
+    "SELECT l_orderkey AS doc_id, coalesce(array_to_string(list_sort(list(DISTINCT l_linenumber) FILTER (l_returnflag <> 'R')), ','), '') AS source_pages FROM lineitem GROUP BY l_orderkey",
+)
+def source_pages(spark, sf_dir):
+    """Orders as documents whose lines show pages of the source, more than once; returned ones were added on the device."""
+    lines = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("doc_id"), F.col("l_linenumber").cast("int").alias("source_index"), (F.col("l_returnflag") == "R").alias("appended"))
+    return U.source_pages(lines).select("doc_id", F.array_join("source_pages", ",").alias("source_pages"))

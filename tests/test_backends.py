@@ -84,3 +84,14 @@ def test_licences(spark):
     frame = spark.createDataFrame([rows[-1][0]], schema)
     after = {o: tuple(frame.select(incremental.licence_after(F.struct("*"), F.lit(o), F.lit("now")).alias("s")).first()["s"]) for o in ("valid", "withdrawn", "unknown-activation", "unreachable")}
     assert after["valid"] == ("k", "a", "now", None, None, False) and after["withdrawn"][3] == "now" and after["unknown-activation"][1] is None and after["unreachable"] == rows[-1][0]
+
+
+def test_sources_that_nothing_can_be_drawn_on(spark):
+    from annolake.operators import units
+
+    rows = [("a", b"x", 2), ("b", b"", 2), ("c", None, 2), ("d", b"x", 0), ("e", b"x", None)]
+    good, bad = units.guarded(spark.createDataFrame(rows, "doc_id string, content binary, n_pages int"))
+    assert [r["doc_id"] for r in good.collect()] == ["a"]
+    assert {r["doc_id"]: r["error"] for r in bad.collect()} == {"b": "the source is empty", "c": "the source is empty", "d": "the source has no pages", "e": "the source has no pages"}
+    pages = spark.createDataFrame([("a", 3, False), ("a", 1, None), ("a", 3, False), ("a", 2, True), ("b", None, False)], "doc_id string, source_index int, appended boolean")
+    assert {r["doc_id"]: r["source_pages"] for r in units.source_pages(pages).collect()} == {"a": [1, 3], "b": []}

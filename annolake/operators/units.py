@@ -20,7 +20,7 @@ FREE_TAGS, CHOOSE, MISSING = 1, "", " (missing)"
 
 def tag_names(tags: Column) -> Column:
     """Names from a JSON array of names or of objects with a name; missing tags are none."""
-    named = F.transform(F.from_json(tags, "array<string>"), lambda t: F.when(F.startswith(t, F.lit("{")), F.get_json_object(t, "$.name")).otherwise(t))
+    named = F.transform(F.from_json(tags, "array<variant>"), lambda t: F.when(F.schema_of_variant(t) == "STRING", F.try_variant_get(t, "$", "string")).otherwise(F.try_variant_get(t, "$.name", "string")))
     return F.coalesce(named, F.array().cast("array<string>"))
 
 

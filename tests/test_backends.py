@@ -95,3 +95,12 @@ def test_sources_that_nothing_can_be_drawn_on(spark):
     assert {r["doc_id"]: r["error"] for r in bad.collect()} == {"b": "the source is empty", "c": "the source is empty", "d": "the source has no pages", "e": "the source has no pages"}
     pages = spark.createDataFrame([("a", 3, False), ("a", 1, None), ("a", 3, False), ("a", 2, True), ("b", None, False)], "doc_id string, source_index int, appended boolean")
     assert {r["doc_id"]: r["source_pages"] for r in units.source_pages(pages).collect()} == {"a": [1, 3], "b": []}
+
+
+def test_tag_names_of_names_and_objects(spark):
+    from annolake.operators import units
+
+    given = ['["a", "{b", "{\\"name\\":\\"c\\"}"]', '[{"name": "d", "timestamp": 1}, {"name": "{e}"}]', "[]", None, "no list"]
+    rows = spark.createDataFrame(list(enumerate(given)), "n int, tags string")
+    got = {r["n"]: r["names"] for r in rows.select("n", units.tag_names(rows.tags).alias("names")).collect()}
+    assert got == {0: ["a", "{b", '{"name":"c"}'], 1: ["d", "{e}"], 2: [], 3: [], 4: []}

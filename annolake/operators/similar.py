@@ -67,15 +67,15 @@ def alike(texts: DataFrame, group: str, text: str, least: float = SAME_LINE, sho
     return pairs.where((away >= 0) & (1 - away / longest >= least)).select(F.col("_g").alias(group), "a", "b")
 
 
-def without_repeats(lines: DataFrame, page: str = "page_id", least: float = SAME_LINE) -> DataFrame:
+def without_repeats(lines: DataFrame, page: str = "page_id", least: float = SAME_LINE, short: int = 0) -> DataFrame:
     """The lines (page, ord, text, given) of a page that stay when each, in order, is dropped if it is like a line that stays before it; lines that are ``given`` stay whatever they are like, and go before all others. An
     empty line is like an empty one.
 
     The lines that stay are the first independent set of the graph of alike lines, and are found in rounds: a line with no line before it that is alike and undecided stays, and those after it that are like it
-    go. A round decides at least the first undecided line of every page, and mostly far more."""
+    go. A round decides at least the first undecided line of every page, and mostly far more. ``short`` as of `alike`: the lines of a page are few enough to be paired by length, which costs less than their segments."""
     rounds = Rounds(lines.sparkSession, "repeats")
     own = rounds.write(lines.select(page, "ord", "text", "given", shape_of(F.col("text")).alias("_s")).withColumn("_at", F.struct((~F.col("given")).cast("int").alias("late"), "ord")))
-    pairs = alike(own, page, "_s", least)
+    pairs = alike(own, page, "_s", least, short)
     both = pairs.select(page, F.col("a").alias("_s"), F.col("b").alias("_other")).unionByName(pairs.select(page, F.col("b").alias("_s"), F.col("a").alias("_other")))
     # of lines with one shape only the first can stay; so the graph is one of shapes, each at the place of its first line
     first = rounds.write(own.groupBy(page, "_s").agg(F.min("_at").alias("_at")))

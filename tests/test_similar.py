@@ -80,7 +80,9 @@ def test_lines_in_order_equal_the_fold(spark):
     words = ["tea", "ten", "teen", "tent", "bent", "best", "rest", "", "it’s", "it's", "é", "é", "  "]
     pages = {p: [(i, " ".join(r.choice(words) for _ in range(r.randint(0, 4))), r.random() < 0.2) for i in range(r.randint(0, 25))] for p in range(25)}
     rows = [(p, *x) for p, own in pages.items() for x in own]
-    got = S.without_repeats(spark.createDataFrame(rows, "page_id int, ord int, text string, given boolean")).collect()
+    frame = spark.createDataFrame(rows, "page_id int, ord int, text string, given boolean")
+    got = S.without_repeats(frame).collect()
+    assert sorted(map(tuple, got)) == sorted(map(tuple, S.without_repeats(frame, short=S.SHORT).collect()))
     want = {(p, o, t) for p, own in pages.items() for o, t in fold(own)}
     assert {(x["page_id"], x["ord"], x["text"]) for x in got} == want and len(got) == len(want)
 

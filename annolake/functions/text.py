@@ -378,7 +378,8 @@ def paint_operands(content: Column) -> Column:
 
 
 def byte_size(n: Column) -> Column:
-    return F.when(n >= 1e9, F.format_string("%.1f GB", n / 1e9)).otherwise(F.concat(js_round(n / 1e6).cast("string"), F.lit(" MB")))
+    """Gigabytes are rounded by their exact binary value, ties to even, as C does (``format_string`` rounds the shortest decimal up)."""
+    return F.when(n >= 1e9, F.concat(F.call_function("format_number", n / 1e9, F.lit("0.0")), F.lit(" GB"))).otherwise(F.concat(js_round(n / 1e6).cast("string"), F.lit(" MB")))
 
 
 def duration(seconds: Column) -> Column:

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from annolake.operators import incremental as I
 from annolake.operators import nearest as N
 from annolake.operators import routing as R
-from annolake.plans.catalogue import query, table
+from annolake.plans.catalogue import query, shifted, table
 
 _FOLDERS = {"AUTOMOBILE": "Cars", "BUILDING": "Sites/2024", "MACHINERY": "Tools"}
 
@@ -168,8 +168,7 @@ def licence_fold(spark, sf_dir):
 
 
 def _boxes(spark, sf_dir):
-    e = F.col("embedding")
-    return table(spark, sf_dir, "embeddings").select("vec_id", "label", *((F.floor((e[i] + 1).cast("double") * 1000)).cast("long").alias(n) for i, n in enumerate(("x", "y"))), (F.col("vec_id") % 2).alias("side"))
+    return table(spark, sf_dir, "embeddings").select("vec_id", "label", *((F.floor(shifted(i) * 1000)).cast("long").alias(n) for i, n in enumerate(("x", "y"))), (F.col("vec_id") % 2).alias("side"))
 
 
 @query(

@@ -1,11 +1,14 @@
-"""Handwriting: strokes to notes. A page's strokes are one bounded group; links between them are found by numpy over pairs of boxes,
-components by union-find, fragments go to the nearest host, lines in the margin become one note, and rows give the reading order."""
+"""Handwriting: strokes to notes. A page's strokes are one group; links between them are found by numpy over blocks of pairs of boxes that
+stand near each other, components by minima, fragments go to the nearest host, lines in the margin become one note, and rows give the reading order."""
 
 from __future__ import annotations
 
+from collections.abc import Iterable, Iterator
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from annolake.functions import geometry as G
 from annolake.operators.shared import by_group
@@ -13,7 +16,7 @@ from annolake.operators.shared import by_group
 CLUSTER = "cluster int, anchor_id string, min_x double, min_y double, max_x double, max_y double, row_top double, strokes array<string>"
 
 
-def linked(n: int, pairs: np.ndarray) -> list[list[int]]:
+def linked(n: int, pairs: Iterable[tuple[int, int]]) -> list[list[int]]:
     """Components of 0..n-1, each in order and in the order of its first member."""
     up = list(range(n))
 
@@ -23,7 +26,7 @@ def linked(n: int, pairs: np.ndarray) -> list[list[int]]:
             i = up[i]
         return i
 
-    for a, b in pairs.tolist():
+    for a, b in pairs:
         a, b = top(a), top(b)
         up[max(a, b)] = min(a, b)
     groups: dict[int, list[int]] = {}
@@ -32,33 +35,66 @@ def linked(n: int, pairs: np.ndarray) -> list[list[int]]:
     return list(groups.values())
 
 
-def _pairs(holds: np.ndarray) -> np.ndarray:
-    return np.argwhere(np.triu(holds, 1))
+def components(n: int, blocks: Iterable[tuple[np.ndarray, np.ndarray]]) -> list[list[int]]:
+    """As ``linked``, over pairs that come in blocks: of each block only those count that join two components, so no more than a block is held."""
+    root = np.arange(n)
+    for a, b in blocks:
+        a, b = root[a], root[b]
+        apart = a != b
+        while apart.any():
+            a, b = a[apart], b[apart]
+            np.minimum.at(root, np.maximum(a, b), np.minimum(a, b))
+            while (root[root] != root).any():
+                root = root[root]
+            a, b = root[a], root[b]
+            apart = a != b
+    groups: dict[int, list[int]] = {}
+    for i, top in enumerate(root.tolist()):
+        groups.setdefault(top, []).append(i)
+    return list(groups.values())
+
+
+def _near(at: np.ndarray, reach: float, block: int = 1 << 18) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """All pairs whose values are at most ``reach`` apart, in blocks of about ``block`` pairs; what is over the reach by rounding may be among them."""
+    order = np.argsort(at, kind="stable")
+    ranked = at[order]
+    after = np.searchsorted(ranked, ranked + reach * (1 + 1e-9) + 1e-6, "right") - np.arange(len(at)) - 1
+    ends, a = np.cumsum(after), 0
+    while a < len(at):
+        b = max(a + 1, int(np.searchsorted(ends, (ends[a - 1] if a else 0) + block, "right")))
+        many = after[a:b]
+        left = np.repeat(np.arange(a, b), many)
+        right = left + 1 + np.arange(len(left)) - np.repeat(np.cumsum(many) - many, many)
+        yield order[left], order[right]
+        a = b
 
 
-def _between(low: np.ndarray, high: np.ndarray) -> np.ndarray:
-    """Gap of intervals, 0 where they meet, for all pairs."""
-    return np.maximum(0, np.maximum(low[:, None] - high[None, :], low[None, :] - high[:, None]))
+def _gap(low: np.ndarray, high: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Gap of intervals, 0 where they meet."""
+    return np.maximum(0, np.maximum(low[a] - high[b], low[b] - high[a]))
 
 
-def joined(box: np.ndarray, line: float) -> np.ndarray:
-    """Whether two boxes (min x, min y, max x, max y) are on one line and near each other."""
+def joined(box: np.ndarray, line: float) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Pairs of boxes (min x, min y, max x, max y) that are on one line and near each other. Their middles are never further apart than the tallest strokes of a line that overlap enough."""
     x0, y0, x1, y1 = box.T
     centre, tall = (y0 + y1) / 2, y1 - y0
-    level = np.abs(centre[:, None] - centre[None, :]) <= line * G.VERTICAL_TOLERANCE
-    overlap = np.minimum(y1[:, None], y1[None, :]) - np.maximum(y0[:, None], y0[None, :])
-    level |= (np.maximum(tall[:, None], tall[None, :]) <= line * G.MAX_LINE_STROKE) & (overlap >= line * G.VERTICAL_OVERLAP)
-    return level & (_between(x0, x1) <= line * G.HORIZONTAL_TOLERANCE)
+    for a, b in _near(centre, line * max(G.VERTICAL_TOLERANCE, G.MAX_LINE_STROKE - G.VERTICAL_OVERLAP)):
+        level = np.abs(centre[a] - centre[b]) <= line * G.VERTICAL_TOLERANCE
+        overlap = np.minimum(y1[a], y1[b]) - np.maximum(y0[a], y0[b])
+        level |= (np.maximum(tall[a], tall[b]) <= line * G.MAX_LINE_STROKE) & (overlap >= line * G.VERTICAL_OVERLAP)
+        good = level & (_gap(x0, x1, a, b) <= line * G.HORIZONTAL_TOLERANCE)
+        yield a[good], b[good]
 
 
-def stacked(box: np.ndarray, line: float, left: float, right: float) -> np.ndarray:
-    """Whether two lines of handwriting stand one below the other in the margin."""
-    x0, y0, x1, y1 = box.T
-    outside = (x1 > right) | (x0 < left)
-    tall = np.maximum((y1 - y0)[:, None], (y1 - y0)[None, :])
-    near = (_between(y0, y1) <= tall * G.MARGIN_GAP) & (np.abs(x0[:, None] - x0[None, :]) <= line * G.MARGIN_LEFT)
-    shared = np.minimum(x1[:, None], x1[None, :]) > np.maximum(x0[:, None], x0[None, :])
-    return outside[:, None] & outside[None, :] & (tall <= line * G.MAX_LINE_STROKE) & near & shared
+def stacked(box: np.ndarray, line: float, left: float, right: float) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Pairs of lines of handwriting that stand one below the other in the margin."""
+    able = np.nonzero(((box[:, 2] > right) | (box[:, 0] < left)) & (box[:, 3] - box[:, 1] <= line * G.MAX_LINE_STROKE))[0]
+    x0, y0, x1, y1 = box[able].T
+    for a, b in _near(y0, line * G.MAX_LINE_STROKE * (1 + G.MARGIN_GAP)):
+        tall = np.maximum(y1[a] - y0[a], y1[b] - y0[b])
+        near = (_gap(y0, y1, a, b) <= tall * G.MARGIN_GAP) & (np.abs(x0[a] - x0[b]) <= line * G.MARGIN_LEFT)
+        good = near & (np.minimum(x1[a], x1[b]) > np.maximum(x0[a], x0[b]))
+        yield able[a[good]], able[b[good]]
 
 
 def _union(box: np.ndarray) -> np.ndarray:
@@ -81,7 +117,7 @@ def _note_rows(strokes: pd.DataFrame, line: float, column: tuple[float, float] |
     box, ids = box[inked], ids[inked].tolist()
     if not ids:
         return []
-    parts = linked(len(box), _pairs(joined(box, line)))
+    parts = components(len(box), joined(box, line))
     outline = np.stack([_union(box[p]) for p in parts])
     width, height = outline[:, 2] - outline[:, 0], outline[:, 3] - outline[:, 1]
     small = (height < line * G.FRAGMENT_HEIGHT) | (width < line * G.FRAGMENT_WIDTH) & (height <= line * G.SLIVER_HEIGHT)
@@ -99,8 +135,8 @@ def _note_rows(strokes: pd.DataFrame, line: float, column: tuple[float, float] |
                 notes.append([list(parts[f]), _first_id([ids[i] for i in parts[f]])])
     if column is not None:
         outline = np.stack([_union(box[m]) for m, _ in notes])
-        groups = linked(len(notes), _pairs(stacked(outline, line, *column)))
-        notes = [[sum((notes[i][0] for i in g), []), _first_id([notes[i][1] for i in g])] for g in groups]
+        groups = components(len(notes), stacked(outline, line, *column))
+        notes = [[[m for i in g for m in notes[i][0]], _first_id([notes[i][1] for i in g])] for g in groups]
     rows = []
     for members, anchor in notes:
         rows.append((anchor, *_union(box[members]), [ids[i] for i in sorted(members)]))
@@ -127,21 +163,36 @@ def clustered(strokes: DataFrame, line: str = "line_height", page: str = "page_i
 
 def merged_by_text(rows: pd.DataFrame) -> pd.DataFrame:
     """Highlights of a page whose sentences hold one another as one: (id, survivor_id). The topmost recorded one survives, an ink mark only where none is recorded."""
-    texts = rows.sentence.tolist()
-    holds = np.array([[bool(a and b) and (a in b or b in a) for b in texts] for a in texts]).reshape(len(texts), len(texts))
-    out = []
-    for group in linked(len(texts), _pairs(holds)):
-        recorded = [i for i in group if not rows.is_ink.iloc[i]] or group
+    texts, places = rows.sentence.tolist(), {}
+    for i, text in enumerate(texts):
+        places.setdefault(text or ("", i), []).append(i)  # without a sentence, alone
+    own, out = list(places.values()), []
+    for group in _held([t if isinstance(t, str) else "" for t in places]):
+        members = sorted(i for k in group for i in own[k])
+        recorded = [i for i in members if not rows.is_ink.iloc[i]] or members
         best = min(recorded, key=lambda i: (rows.top.iloc[i], i))
-        out += [(rows.id.iloc[i], rows.id.iloc[best]) for i in group]
+        out += [(rows.id.iloc[i], rows.id.iloc[best]) for i in members]
     return pd.DataFrame(out, columns=["id", "survivor_id"])
 
 
-def merged_highlights(rows: DataFrame, page: str = "page_id") -> DataFrame:
-    """(page_id, id, survivor_id) of (page_id, ord, id, sentence, top, is_ink)."""
+def _held(texts: list[str]) -> list[list[int]]:
+    """Groups of different texts of which one holds another, each in order; memory for the texts alone."""
+    by = sorted(range(len(texts)), key=lambda i: len(texts[i]))
+    return linked(len(texts), ((a, b) for k, a in enumerate(by) if texts[a] for b in by[k + 1 :] if texts[a] in texts[b]))
 
-    def run(ordered: pd.DataFrame):
-        out = merged_by_text(ordered)
-        return ((ordered[page].iloc[0], *row) for row in out.itertuples(index=False))
 
-    return by_group(rows, page, ["ord"], run, f"{page} string, id string, survivor_id string")
+def merged_highlights(rows: DataFrame, page: str = "page_id") -> DataFrame:
+    """(page_id, id, survivor_id) of (page_id, ord, id, sentence, top, is_ink). Equal sentences are one row with its best highlight before a page's different sentences are compared."""
+    known = F.coalesce("sentence", F.lit("")) != ""
+    rank = F.struct(F.coalesce("is_ink", F.lit(False)).alias("ink"), F.col("top").isNull().alias("no_top"), F.coalesce(F.col("top").cast("double"), F.lit(0.0)).alias("top"), F.col("ord").cast("long").alias("ord"), F.col("id").cast("string").alias("id"))
+    best = rows.where(known).groupBy(page, "sentence").agg(F.min(rank).alias("best")).select(page, "sentence", "best.*")
+
+    def run(frame: pd.DataFrame):
+        texts, ranks, ids = frame.sentence.tolist(), frame[["ink", "no_top", "top", "ord"]].to_numpy().tolist(), frame.id.tolist()
+        for group in _held(texts):
+            first = min(group, key=lambda i: ranks[i])
+            yield from ((frame[page].iloc[0], texts[i], ids[first]) for i in group)
+
+    survivors = by_group(best, page, ["sentence"], run, f"{page} string, sentence string, survivor_id string")
+    whole = rows.select(page, F.col("id").cast("string").alias("id"), F.when(known, F.col("sentence")).alias("sentence")).join(survivors, [page, "sentence"], "left")
+    return whole.select(page, "id", F.coalesce("survivor_id", "id").alias("survivor_id"))

@@ -203,9 +203,10 @@ def interval_match(spark, sf_dir):
     day = 86_400_000_000
     us = lambda c: F.unix_micros(F.col(c).cast("timestamp"))
     lines = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", F.col("l_linestatus").alias("k"), (F.col("l_suppkey") % 50).alias("m"), us("l_shipdate").alias("at"))
-    spans = table(spark, sf_dir, "orders").select("o_orderkey", F.col("o_orderstatus").alias("k"), (F.col("o_custkey") % 50).alias("m"), us("o_orderdate").alias("a"), (us("o_orderdate") + 10 * day).alias("b"))
-    pairs = N.bucketed_range_join(lines, spans, ["k", "m"], "at", "a", "b", 10.0 * day)
-    return pairs.groupBy("l_orderkey", "l_linenumber").agg(F.min_by("o_orderkey", F.struct(F.abs(F.col("at") - F.col("a")), "o_orderkey")).alias("matched"))
+    spans = table(spark, sf_dir, "orders").select("o_orderkey", F.col("o_orderstatus").alias("k"), (F.col("o_custkey") % 50).alias("m"), us("o_orderdate").alias("a")).where("k IS NOT NULL AND m IS NOT NULL AND a IS NOT NULL")
+    # all spans are of one length, so the nearest start is the latest one
+    found = N.latest_start(lines.where("k IS NOT NULL AND m IS NOT NULL"), spans, ["k", "m"], "at", "a", "o_orderkey", 10 * day)
+    return found.groupBy("l_orderkey", "l_linenumber").agg(F.min_by("o_orderkey", F.struct(F.abs(F.col("at") - F.col("a")), "o_orderkey")).alias("matched"))
 
 
 @query(

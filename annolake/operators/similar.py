@@ -36,6 +36,14 @@ def _start(length: Column, parts: Column, i: Column) -> Column:
     return (i * short + F.greatest(F.lit(0), i - (parts - rest))).cast("int")
 
 
+def same_line(a: Column, b: Column, least: float = SAME_LINE) -> Column:
+    """If two texts are equal or alike; null if one is."""
+    longest = F.greatest(F.length(a), F.length(b))
+    # with its limit the distance needs only a band of the table, and is -1 beyond
+    away = F.call_function("levenshtein", a, b, _limit(longest, least) + 1)
+    return F.when(a == b, True).otherwise((away >= 0) & (1 - away / longest >= least))
+
+
 def alike(texts: DataFrame, group: str, text: str, least: float = SAME_LINE, short: int = SHORT) -> DataFrame:
     """(group, a, b): pairs a < b of different texts of a group with 1 - distance / longer length of at least ``least``, which is 0.5 or more. Empty texts are like no other. ``short``: the length of the longer
     one up to which segments find a pair."""
@@ -61,10 +69,7 @@ def alike(texts: DataFrame, group: str, text: str, least: float = SAME_LINE, sho
     long = t.where(n > short).select("_g", F.col("_t").alias("_long"), n.alias("_m"), F.explode(bands).alias("_band"))
     met = t.withColumn("_band", F.floor(n / BAND).cast("int")).join(long, ["_g", "_band"]).where(n.between(F.col("_m") - _limit(F.col("_m"), least), F.col("_m")) & ((n < F.col("_m")) | (F.col("_t") < F.col("_long"))))
     pairs = pairs.unionByName(met.select("_g", F.least("_t", "_long").alias("a"), F.greatest("_t", "_long").alias("b")))
-    longest = F.greatest(F.length("a"), F.length("b"))
-    # with its limit the distance needs only a band of the table, and is -1 beyond
-    away = F.call_function("levenshtein", F.col("a"), F.col("b"), _limit(longest, least) + 1)
-    return pairs.where((away >= 0) & (1 - away / longest >= least)).select(F.col("_g").alias(group), "a", "b")
+    return pairs.where(same_line(F.col("a"), F.col("b"), least)).select(F.col("_g").alias(group), "a", "b")
 
 
 def without_repeats(lines: DataFrame, page: str = "page_id", least: float = SAME_LINE, short: int = 0) -> DataFrame:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from annolake.functions import text as T
-from annolake.operators import similar
+from annolake.operators import nearest, similar
 from annolake.plans.catalogue import query, table
 
 _WS = r"[\s\x0B\x{00A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}\x{FEFF}]"
@@ -148,13 +148,10 @@ def anchor_words(spark, sf_dir):
     """,
 )
 def fuzzy_pairs(spark, sf_dir):
-    """Every pair that shares brand and size, and whether it is alike. The distance is computed once for each pair of different names that a segment join proposes, whatever the number of parts."""
+    """Every pair that shares brand and size, and whether it is alike. There are as many rows as pairs, so the names are compared where a pair is made and no pair is shuffled."""
     p = table(spark, sf_dir, "part").select("p_partkey", "p_brand", "p_size", similar.shape_of(F.col("p_name")).alias("name"))
-    q = p.select("p_brand", "p_size", F.col("p_partkey").alias("b_key"), F.col("name").alias("b_name"))
-    both = p.join(q, ["p_brand", "p_size"]).where(F.col("p_partkey") < F.col("b_key"))
-    near = similar.alike(p.select(F.lit(0).alias("g"), "name"), "g", "name").select("a", "b", F.lit(True).alias("_near"))
-    told = both.withColumn("a", F.least("name", "b_name")).withColumn("b", F.greatest("name", "b_name")).join(near, ["a", "b"], "left")
-    return told.select(F.col("p_partkey").alias("a_key"), "b_key", ((F.col("a") == F.col("b")) | F.coalesce("_near", F.lit(False))).alias("same"))
+    pairs = nearest.all_pairs(p, ["p_brand", "p_size"], "p_partkey")
+    return pairs.select(F.col("a.p_partkey").alias("a_key"), F.col("b.p_partkey").alias("b_key"), similar.same_line(F.col("a.name"), F.col("b.name")).alias("same"))
 
 
 @query("passage_lookup", "SELECT doc_id, item_id, strpos(regexp_replace(d.text, '\\s+', '', 'g'), regexp_replace(b.text, '\\s+', '', 'g')) - 1 AS at FROM documents d JOIN benchmark b ON strpos(regexp_replace(d.text, '\\s+', '', 'g'), regexp_replace(b.text, '\\s+', '', 'g')) > 0")

@@ -259,14 +259,15 @@ def scored(counts: DataFrame, covered: int = COVERED) -> DataFrame:
     parts_ = F.array(_words_of(F.col("cut")), _words_of(F.col("cut") - F.col("k")))
     cuts = cuts.select("*", F.posexplode(parts_).alias("side", "part"))
     known = counts.where("k > 0").select("lang", F.col("phrase").alias("part"), "f", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"))
-    both = cuts.join(known, ["lang", "part", "salt"]).groupBy("lang", "phrase", "a", "cut").agg(F.max(F.when(F.col("side") == 0, F.col("f"))).alias("l"), F.max(F.when(F.col("side") == 1, F.col("f"))).alias("r"))
+    # merged, not broadcast: the table is some MB as compressed files, of which its salted rows in the driver's memory would be hundreds of times as much
+    both = cuts.join(known.hint("merge"), ["lang", "part", "salt"]).groupBy("lang", "phrase", "a", "cut").agg(F.max(F.when(F.col("side") == 0, F.col("f"))).alias("l"), F.max(F.when(F.col("side") == 1, F.col("f"))).alias("r"))
     score = F.expr("cast(2000000 * cast(a as decimal(20, 0)) div (cast(l as decimal(20, 0)) + r) as bigint)")
     worst = F.min(F.struct(score.alias("score"), "cut", "l", "r"))
     best = both.groupBy("lang", "phrase", "a").agg(worst.alias("w")).select("lang", "phrase", "a", "w.l", "w.r", "w.score")
     longer = candidates.where("k > 2")
     link, prefix = _words_of(1 - F.col("k")), _words_of(F.col("k") - 1)
     over = longer.select("lang", F.explode(F.array_distinct(F.array(link, prefix))).alias("phrase"), "a").groupBy("lang", "phrase").agg(F.max("a").alias("over"))
-    return best.join(over, ["lang", "phrase"], "left").where("over IS NULL OR 100 * cast(over as decimal(20, 0)) < %d * cast(a as decimal(20, 0))" % covered).drop("over")
+    return best.join(over.hint("merge"), ["lang", "phrase"], "left").where("over IS NULL OR 100 * cast(over as decimal(20, 0)) < %d * cast(a as decimal(20, 0))" % covered).drop("over")
 
 
 def collocations(docs: DataFrame, top: int = TOP, least: int = LEAST, longest: int = LONGEST, covered: int = COVERED, lang: str = "lang", text: str = "text", size: int = BLOCK) -> DataFrame:

@@ -113,3 +113,14 @@ def test_automaton_of_many_sequences(sequences, depth):
         assert (link == -1) == (not suffix)
         if suffix:
             assert tuple(numbers[own.end[link] - own.longest[link] + 1 : own.end[link] + 1]) == suffix
+
+
+def test_counts_are_not_broadcast_by_the_size_of_their_files(spark):
+    docs = spark.createDataFrame([("en", "one two three four five. " * 40)], "lang string, text string")
+    scratch = C.Scratch(spark)
+    counts = C.phrase_counts(scratch.write(docs, "few"), scratch=scratch)
+    found = C.scored(counts)
+    assert found.count() > 0
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" in plan and "BroadcastHashJoin" not in plan
+    scratch.clear()

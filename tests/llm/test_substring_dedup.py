@@ -61,3 +61,21 @@ def test_hot_keys_are_dealt_by_window_with_the_same_result(spark):
 def test_other_lengths_and_an_empty_table(spark):
     check(spark, rows_of(4), length=40)
     assert S.dedup_substrings(spark.createDataFrame([], "doc_id long, text string")).count() == 0
+
+
+def test_copies_are_told_by_digests_and_fetched_nowhere(spark):
+    r = random.Random(6)
+    text, other = ("".join(r.choice("abcdefgh ") for _ in range(3000)) for _ in range(2))
+    scratch = S.Scratch(spark)
+    made = S.dedup_substrings(spark.createDataFrame([(i, text) for i in range(30)] + [(30, other), (31, None)], "doc_id long, text string"), scratch=scratch)
+    assert {x["doc_id"]: x["n_removed"] for x in made.collect()} == {0: 0, 30: 0, 31: 0} | dict.fromkeys(range(1, 30), 3000)
+    at = {label: next(p for p in scratch.done if f"/{label}-" in p) for label in ("stretches", "solved")}
+    stretches = spark.read.parquet(at["stretches"])
+    assert 30 < stretches.count() < 200 and stretches.where("open").count() == 0 and spark.read.parquet(at["solved"]).count() == 0
+    scratch.clear()
+
+
+def test_rows_of_one_id_with_other_texts_are_told_apart(spark):
+    r = random.Random(7)
+    base = "".join(r.choice("abcdefgh ") for _ in range(400))
+    check(spark, [(1, "z" * 120), (2, base[:90] + "!" + base[91:]), (3, base[:200]), (4, base + base[:50]), (5, base[100:])])

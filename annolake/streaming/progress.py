@@ -13,16 +13,18 @@ from pyspark.sql import functions as F
 def progress(events: DataFrame, run: str = "run") -> DataFrame:
     """(run, ord, done, total, unit_done, unit_total) of events (run, ord, kind start | step | page | finish, steps), one unit after another: what is shown after each. A page beyond its unit's steps shows nothing, and a run
     without steps nothing at all."""
-    w = W.partitionBy(run).orderBy("ord").rowsBetween(W.unboundedPreceding, W.currentRow)
+    # every value is a running one of the run, or such a one since the unit's start: all windows have one order, so a task sorts its rows once
+    ordered = W.partitionBy(run).orderBy("ord")
+    w = ordered.rowsBetween(W.unboundedPreceding, W.currentRow)
     is_ = lambda kind: F.col("kind") == kind
-    numbered = events.withColumn("_unit", F.count(F.when(is_("start"), 1)).over(w)).withColumn("total", F.sum(F.when(is_("start"), F.col("steps")).otherwise(0)).over(W.partitionBy(run)))
-    unit = W.partitionBy(run, "_unit")
-    in_unit = unit.orderBy("ord").rowsBetween(W.unboundedPreceding, W.currentRow)
-    rows = numbered.withColumn("unit_total", F.coalesce(F.max(F.when(is_("start"), F.col("steps"))).over(unit), F.lit(0))).withColumn("_pages", F.count(F.when(is_("page"), 1)).over(in_unit))
-    over = F.max(F.when(is_("finish"), 1).otherwise(0)).over(in_unit) == 1
-    rows = rows.withColumn("unit_done", F.when(over, F.col("unit_total")).otherwise(F.least("_pages", "unit_total")).cast("long"))
-    grown = F.col("unit_done") - F.coalesce(F.lag("unit_done").over(unit.orderBy("ord")), F.lit(0))
-    rows = rows.withColumn("done", F.sum(grown).over(w))
+    rows = events.withColumn("_p", F.count(F.when(is_("page"), 1)).over(w)).withColumn("_f", F.count(F.when(is_("finish"), 1)).over(w))
+    began = F.last(F.when(is_("start"), F.struct("steps", "_p", "_f")), ignorenulls=True).over(w)
+    rows = rows.withColumn("_began", began).withColumn("unit_total", F.coalesce("_began.steps", F.lit(0)))
+    zero = F.lit(0).cast("long")
+    rows = rows.withColumn("_pages", F.col("_p") - F.coalesce("_began._p", zero)).withColumn("_over", F.col("_f") > F.coalesce("_began._f", zero))
+    rows = rows.withColumn("unit_done", F.when(F.col("_over"), F.col("unit_total")).otherwise(F.least("_pages", "unit_total")).cast("long"))
+    before = F.when(is_("start"), zero).otherwise(F.coalesce(F.lag("unit_done").over(ordered), zero))
+    rows = rows.withColumn("done", F.sum(F.col("unit_done") - before).over(w)).withColumn("total", F.sum(F.when(is_("start"), F.col("steps")).otherwise(0)).over(W.partitionBy(run)))
     shown = (F.col("total") > 0) & (~is_("page") | (F.col("_pages") <= F.col("unit_total")))
     return rows.where(shown).select(run, "ord", "done", "total", "unit_done", "unit_total")
 

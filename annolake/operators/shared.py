@@ -21,19 +21,22 @@ def by_group(rows: DataFrame, key: str, order: list[str], run: Callable[[pd.Data
         return pd.DataFrame([row for a, b in zip(edges, edges[1:], strict=False) for row in run(frame.iloc[a:b].reset_index(drop=True))], columns=names)
 
     def batches(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        rest = None
+        rest: list[pd.DataFrame] = []  # of the group that is still open: put together once, when it ends
         for frame in frames:
-            frame = frame if rest is None else pd.concat([rest, frame], ignore_index=True)
             if not len(frame):
                 continue
+            if rest and frame[key].iloc[-1] == rest[-1][key].iloc[-1]:
+                rest.append(frame)
+                continue
+            frame = pd.concat([*rest, frame], ignore_index=True) if rest else frame
             keys = frame[key].to_numpy()
             cuts = np.nonzero(keys[1:] != keys[:-1])[0] + 1
-            rest = frame
+            rest = [frame]
             if len(cuts):
-                rest = frame.iloc[cuts[-1] :]
+                rest = [frame.iloc[cuts[-1] :].copy()]
                 yield told(frame.iloc[: cuts[-1]], cuts[:-1])
-        if rest is not None and len(rest):
-            yield told(rest, np.zeros(0, int))
+        if rest:
+            yield told(pd.concat(rest, ignore_index=True) if len(rest) > 1 else rest[0], np.zeros(0, int))
 
     return rows.repartition(key).sortWithinPartitions(key, *order).mapInPandas(batches, schema)
 

@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from annolake.operators.shared import Rounds
-from annolake.sources.vault import OWN, Store, checked
+from annolake.sources.vault import OWN, Store, checked, dealt
 
 CUT = 512
 
@@ -38,7 +38,7 @@ def _ranked(edges: DataFrame, rounds: Rounds) -> DataFrame:
 
 def move_plan(moves: DataFrame, existing: DataFrame, cut: int = CUT) -> DataFrame:
     """(chain, piece, step, src, dst, via) of moves (src, dst) among existing notes (path): a piece's moves in the order of ``step``; ``via``: if it goes by a temporary name. A move from a path
-    without a note, or to its own path, is none. Two moves from or to one path, and one to a note that stays, are refused. The plan is a written table."""
+    without a note, or to its own path, is none. Two moves from or to one path, and one to a note that stays, are refused. The plan is a written table, dealt by pieces."""
     rounds, out = Rounds(moves.sparkSession, "moves"), Rounds(moves.sparkSession, "move-plan")
     existing = out.write(existing.select("path").distinct())
     real = rounds.write(moves.where("src <> dst").join(existing.select(F.col("path").alias("src")), "src", "left_semi").select("src", "dst"))
@@ -60,7 +60,7 @@ def move_plan(moves: DataFrame, existing: DataFrame, cut: int = CUT) -> DataFram
     plan = out.write(every.select("chain", F.floor(F.col("step") / cut).cast("long").alias("piece"), "step", "src", "dst", via.alias("via")))
     rounds.forget(0)
     out.forget()
-    return plan
+    return dealt(plan, "chain", "piece")
 
 
 def move_notes(plan: DataFrame, root: str, run: str) -> None:
@@ -95,9 +95,8 @@ def move_notes(plan: DataFrame, root: str, run: str) -> None:
         return pa.table({"n": [len(chain)]})
 
     apart = plan.where("via").select("src", "dst")
-    steps = (
-        apart.mapInArrow(renamed(True), "n long"), plan.select("chain", "piece", "step", "src", "dst", "via").groupBy("chain", "piece").applyInArrow(piece, "n long"), apart.mapInArrow(renamed(False), "n long"),
-    )
+    pieces = plan.select("chain", "piece", "step", "src", "dst", "via").groupBy("chain", "piece").applyInArrow(piece, "n long")
+    steps = apart.mapInArrow(renamed(True), "n long"), pieces, apart.mapInArrow(renamed(False), "n long")
     store = Store(root)
     for i, step in enumerate(steps):
         if not store.exists(f"{own}/done-{i}"):  # a step that is over must not be looked at again: its paths have other notes now

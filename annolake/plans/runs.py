@@ -94,7 +94,7 @@ def note_moves(spark, sf_dir):
     root, out = _folder(spark, "vault"), Rounds(spark, "note-moves")
     path = F.concat(F.lit("Notes/"), "c_nationkey", F.lit("/"), "c_name", F.lit(".md"))
     notes = table(spark, sf_dir, "customer").select("c_custkey", "c_nationkey", path.alias("path"), F.concat_ws(" ", "c_name", "c_mktsegment").alias("content"))
-    V.write_files(notes, root)
+    V.write_files(V.dealt(notes, "path"), root)
     w = W.partitionBy("c_nationkey").orderBy("c_custkey")
     whole = w.rowsBetween(W.unboundedPreceding, W.unboundedFollowing)
     end = F.when(F.col("c_nationkey") % 2 == 0, F.first("path").over(whole)).otherwise(F.concat(F.lit("Notes/"), "c_nationkey", F.lit("/free.md")))

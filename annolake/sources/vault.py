@@ -66,8 +66,11 @@ class Store:
         self.fs.move(self.at(draft), self.at(path))
 
     def move(self, source: str, target: str) -> None:
-        self.fs.create_dir(posixpath.dirname(self.at(target)))
-        self.fs.move(self.at(source), self.at(target))
+        try:
+            self.fs.move(self.at(source), self.at(target))
+        except OSError:  # mostly the folder is there already; a second failure is a real one
+            self.fs.create_dir(posixpath.dirname(self.at(target)))
+            self.fs.move(self.at(source), self.at(target))
 
     def delete(self, folder: str) -> None:
         if self.exists(folder):
@@ -195,6 +198,11 @@ def register(spark: SparkSession) -> None:
     spark.conf.set("spark.sql.python.filterPushdown.enabled", "true")
 
 
+def dealt(rows: DataFrame, *keys: str) -> DataFrame:
+    """The rows in as many tasks as a shuffle has: each is a file to be opened or renamed, which its few bytes do not tell, so adaptive execution would leave them to a few tasks."""
+    return rows.repartition(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), *keys)
+
+
 def read_vault(spark: SparkSession, root: str) -> DataFrame:
     """(path, content) of all files."""
     register(spark)
@@ -266,7 +274,7 @@ def publish(spark: SparkSession, root: str) -> int:
                             moved += 1
                 yield pa.record_batch({"moved": [moved]})
 
-            files.select("path", "staged").mapInArrow(put, "moved long").agg(F.sum("moved")).collect()
+            dealt(files.select("path", "staged"), "path").mapInArrow(put, "moved long").agg(F.sum("moved")).collect()
         store.delete(f"{OWN}/{run}")
         done += 1
     return done

@@ -61,9 +61,9 @@ class Rounds:
         self.paths.append(path)
         return self.spark.read.schema(df.schema).parquet(path)
 
-    def forget(self, keep: int = 1) -> None:
-        """Deletes all but the latest ``keep`` tables."""
+    def forget(self, keep: int = 1, first: int = 0) -> None:
+        """Deletes all but the latest ``keep`` tables and the ``first`` ones."""
         jvm, conf = self.spark._jvm, self.spark._jsc.hadoopConfiguration()
-        while len(self.paths) > keep:
-            folder = jvm.org.apache.hadoop.fs.Path(self.paths.pop(0))
+        while len(self.paths) > first + keep:
+            folder = jvm.org.apache.hadoop.fs.Path(self.paths.pop(first))
             folder.getFileSystem(conf).delete(folder, True)

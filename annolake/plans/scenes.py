@@ -16,11 +16,12 @@ from annolake.sources import vault as V
 
 
 def _scanned(pages, results):
-    """Pages (page_id, content) as files, their scenes, and what ``results`` makes of them, written; the files are deleted."""
+    """Pages (page_id, content) as files, their scenes, and what ``results`` makes of them, written; the files are deleted. Every file is read and parsed once, as ``results`` asks for several kinds of rows."""
     spark = pages.sparkSession
-    root, out = f"{shared_folder(spark)}/scenes-{uuid.uuid4().hex}", Rounds(spark, "scene-result")
+    root, out, parsed = f"{shared_folder(spark)}/scenes-{uuid.uuid4().hex}", Rounds(spark, "scene-result"), Rounds(spark, "scene")
     V.write_files(pages, root, F.concat(F.substring("page_id", 1, 2), F.lit("/"), F.col("page_id"), F.lit(".rm")))
-    result = out.write(results(S.scan(spark, root)))
+    result = out.write(results(parsed.write(S.scan(spark, root))))
+    parsed.forget(0)
     V.Store(root).delete("")
     return result
 

@@ -3,11 +3,12 @@
 from __future__ import annotations
 
 import uuid
+from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.sql import functions as F
 
-from annolake.operators.shared import Rounds, shared_folder
+from annolake.operators.shared import Rounds, by_group, shared_folder
 from annolake.plans.catalogue import query, table
 from annolake.sources import content
 from annolake.sources import scene_writer as E
@@ -16,26 +17,27 @@ from annolake.sources import vault as V
 
 
 def _scanned(pages, results):
-    """Pages (page_id, content) as files, their scenes, and what ``results`` makes of them, written; the files are deleted. Every file is read and parsed once, as ``results`` asks for several kinds of rows."""
+    """Pages (page_id, content) as files, their scenes, and what ``results`` makes of them, written; the files are deleted. Every file is read and parsed once, as ``results`` asks for several kinds of rows. The
+    files are dealt over 256 folders by a hash, as ids mostly begin alike, and a task reads a folder."""
     spark = pages.sparkSession
     root, out, parsed = f"{shared_folder(spark)}/scenes-{uuid.uuid4().hex}", Rounds(spark, "scene-result"), Rounds(spark, "scene")
-    V.write_files(pages, root, F.concat(F.substring("page_id", 1, 2), F.lit("/"), F.col("page_id"), F.lit(".rm")))
-    result = out.write(results(parsed.write(S.scan(spark, root))))
+    V.write_files(pages, root, F.concat(F.substring(F.md5("page_id"), 1, 2), F.lit("/"), F.col("page_id"), F.lit(".rm")))
+    result = out.write(results(parsed.write(S.stored(spark, root))))
     parsed.forget(0)
     V.Store(root).delete("")
     return result
 
 
-def _drawn(key, rows: pd.DataFrame) -> pd.DataFrame:
+def _drawn(rows: pd.DataFrame) -> Iterator[tuple]:
     """A user's events as strokes on two layers."""
-    blocks = [E.layer((0, 11), f"Layer of {key[0]}", True, (1, 5), -5.0), E.layer((0, 12), "é")]
-    for e in rows.sort_values("event_id").itertuples():
-        n = int(e.event_id)
+    user = int(rows.user_id.iloc[0])
+    blocks = [E.layer((0, 11), f"Layer of {user}", True, (1, 5), -5.0), E.layer((0, 12), "é")]
+    for n, value in zip(rows.event_id.tolist(), rows.value.tolist(), strict=True):
         points = [(n % 50 + k / 2, n % 70 - k, n % 9, n % 31 + k, n % 255, n % 251) for k in range(1 + n % 3)]
-        blocks.append(E.stroke((1, n), (0, 11 + n % 2), n % 24, n % 13, float(e.value), points, 0xFF000000 | n % 65536 if n % 3 == 0 else None, n % 11 == 0, 1 + n % 2))
+        blocks.append(E.stroke((1, n), (0, 11 + n % 2), n % 24, n % 13, value, points, 0xFF000000 | n % 65536 if n % 3 == 0 else None, n % 11 == 0, 1 + n % 2))
         if n % 17 == 0:
             blocks += [E.block(S.LINE, b"\xff\xff"), E.block(0x42, b"unknown")]
-    return pd.DataFrame({"page_id": [str(key[0])], "content": [E.page(blocks)]})
+    yield str(user), E.page(blocks)
 
 
 @query(
@@ -52,8 +54,8 @@ def _drawn(key, rows: pd.DataFrame) -> pd.DataFrame:
 )
 def scene_strokes(spark, sf_dir):
     """The events as pen strokes of both versions, some deleted and some blocks broken: layers with their strokes, by sums over the points."""
-    events = table(spark, sf_dir, "events").select("user_id", "event_id", "value")
-    pages = events.groupBy("user_id").applyInPandas(_drawn, "page_id string, content binary")
+    events = table(spark, sf_dir, "events").where("user_id IS NOT NULL").select("user_id", "event_id", "value")
+    pages = by_group(events, "user_id", ["event_id"], _drawn, "page_id string, content binary")
 
     def results(scene):
         total = lambda field: F.aggregate("strokes", F.lit(0.0), lambda a, s: a + F.aggregate(s["points"], F.lit(0.0), lambda b, p: b + p[field].cast("double")))
@@ -69,18 +71,17 @@ def scene_strokes(spark, sf_dir):
     return _scanned(pages, results)
 
 
-def _written(key, rows: pd.DataFrame) -> pd.DataFrame:
+def _written(rows: pd.DataFrame) -> Iterator[tuple]:
     """A conversation as a page: turns as typed runs and as highlights, every turn an image of which every second has a name."""
-    blocks, runs, styles, names, conv = [E.layer((0, 11), "one"), E.paper(1620, 2160)], [], [], [], int(key[0])
-    for e in rows.sort_values("turn").itertuples():
-        n, text = int(e.turn), e.text or ""
+    blocks, runs, styles, names, conv = [E.layer((0, 11), "one"), E.paper(1620, 2160)], [], [], [], int(rows.conv_id.iloc[0])
+    for n, text in zip(rows.turn.tolist(), rows.text.fillna("").tolist(), strict=True):
         runs.append(((1, 100_000 * (n + 1)), text, 0))
         styles.append(((1, 100_000 * (n + 1)), 1 + n % 7))
         blocks.append(E.highlight((2, n + 1), (0, 11), text[:50], 3 + n % 4, [(n, 2.0 * n, 10.0, 4.5)] * (1 + n % 2), 0xFF112233 if n % 2 else None))
         picture = conv.to_bytes(8, "big") + n.to_bytes(8, "big")
         blocks.append(E.image((3, n + 1), (0, 11), picture, [(n, 1), (n + 3, 1), (n + 3, 6 + n)]))
         names += [(picture, f"{conv}-{n}.png")] if n % 2 == 0 else []
-    return pd.DataFrame({"page_id": [f"c{conv}"], "content": [E.page([*blocks, E.image_names(names), E.typed(runs, styles, -10.0, 20.0, 900.0)])]})
+    yield f"c{conv}", E.page([*blocks, E.image_names(names), E.typed(runs, styles, -10.0, 20.0, 900.0)])
 
 
 @query(
@@ -96,7 +97,7 @@ def _written(key, rows: pd.DataFrame) -> pd.DataFrame:
 def scene_parts(spark, sf_dir):
     """Conversations as pages of typed text, highlights and images: what is read of each kind."""
     c = table(spark, sf_dir, "conversations").where("conv_id IS NOT NULL").select("conv_id", "turn", "text")
-    pages = c.groupBy("conv_id").applyInPandas(_written, "page_id string, content binary")
+    pages = by_group(c, "conv_id", ["turn"], _written, "page_id string, content binary")
 
     def results(scene):
         joined = lambda column: F.md5(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("ord", column))), lambda x: x[column]), "|"))

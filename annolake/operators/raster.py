@@ -16,6 +16,8 @@ from annolake.functions.text import clamp
 # Fixed values of drawing: the unit of a recorded width, limits of a radius, the width of a stroke that records none, the page in pixels, how far from it a point counts, and the largest raster.
 WIDTH_UNITS, MIN_RADIUS, MAX_RADIUS, PLAIN_WIDTH = 4, 0.5, 50.0, 2.0
 PAGE, MARGIN, MAX_RASTER = (1404, 1872), 4000, 6000
+#: Points of a task, about: each makes tens of spans, which a task holds to unite them.
+POINTS = 1 << 16
 
 
 def radius_of(width: Column, is_marker: Column, brush: Column) -> Column:
@@ -82,8 +84,10 @@ def united(spans: DataFrame) -> DataFrame:
 
 
 def rasterised(points: DataFrame, padding: int = 0) -> tuple[DataFrame, DataFrame]:
-    """(runs of ink (page_id, y, x0, x1), bounds as of `raster_bounds`) of each page that has any."""
-    placed = placed_points(points)
+    """(runs of ink (page_id, y, x0, x1), bounds as of `raster_bounds`) of each page that has any. The points are counted first: pages are dealt to more tasks where there are more of them, so what a task holds does
+    not grow with the table."""
+    least = int(points.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    placed = placed_points(points).repartition(max(least, -(-points.count() // POINTS)), "page_id")
     bounds = raster_bounds(placed, padding)
     return united(spans_of(discs(placed, bounds))), bounds
 

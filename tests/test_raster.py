@@ -75,3 +75,12 @@ def test_pages_as_one_value(spark):
     assert (got["width"], got["height"]) == (4, 4) and [(y, [tuple(x) for x in own]) for y, own in got["rows"]] == [(0, [(2, 2)]), (1, [(1, 3)]), (2, [(0, 3)]), (3, [(1, 3)])]
     empty, none = R.rasterised(spark.createDataFrame([], SCHEMA))
     assert empty.count() == 0 and none.count() == 0 and R.run_lengths(empty, none).select(F.count("*")).first()[0] == 0
+
+
+def test_more_points_are_dealt_to_more_tasks(spark, monkeypatch):
+    points = spark.range(400).selectExpr("cast(id % 40 AS string) AS page_id", "'s' AS stroke_id", "cast(id AS int) AS ord", "double(id % 7) AS x", "double(id % 5) AS y", "8.0D AS width", "false AS is_marker", "2.0D AS brush")
+    few = sorted(map(tuple, R.rasterised(points)[0].collect()))
+    monkeypatch.setattr(R, "POINTS", 16, raising=False)
+    runs, bounds = R.rasterised(points)
+    assert runs.rdd.getNumPartitions() == 25 and bounds.rdd.getNumPartitions() == 25
+    assert sorted(map(tuple, runs.collect())) == few and few

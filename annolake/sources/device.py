@@ -72,8 +72,8 @@ def put_generation(entries: DataFrame, root: str, buckets: int = BUCKETS) -> int
 
 
 def put_files(files: DataFrame, root: str, folder: str) -> None:
-    """Blobs or listings of (hash, content) at their places."""
-    write_files(files, root, F.concat(F.lit(f"{folder}/"), F.substring("hash", 1, 2), F.lit("/"), F.col("hash")))
+    """Blobs or listings of (hash, content) at their places; those that an earlier generation has put there are not written again, as their names tell what they hold."""
+    write_files(files, root, F.concat(F.lit(f"{folder}/"), F.substring("hash", 1, 2), F.lit("/"), F.col("hash")), keep=True)
 
 
 class Bucket(InputPartition):

@@ -96,8 +96,8 @@ class Listed(WriterCommitMessage):
 
 
 class VaultWriter(DataSourceArrowWriter):
-    def __init__(self, root: str, run: str):
-        self.root, self.run = root, run
+    def __init__(self, root: str, run: str, keep: bool = False):
+        self.root, self.run, self.keep = root, run, keep
 
     def write(self, iterator: Iterator[pa.RecordBatch]) -> Listed:
         store, attempt, rows = Store(self.root), uuid.uuid4().hex, []
@@ -105,6 +105,8 @@ class VaultWriter(DataSourceArrowWriter):
         store.fs.create_dir(store.at(folder))
         for batch in iterator:
             for path, content in zip(batch.column("path").to_pylist(), batch.column("content"), strict=True):
+                if self.keep and store.kind(checked(path)) == pafs.FileType.File:
+                    continue
                 staged, data = f"{folder}/{len(rows)}", content.as_buffer() or pa.py_buffer(b"")
                 with store.fs.open_output_stream(store.at(staged)) as f:
                     f.write(data)
@@ -190,7 +192,7 @@ class Vault(DataSource):
     def writer(self, schema, overwrite: bool) -> VaultWriter:
         if overwrite:
             raise ValueError("a vault holds other people's files: append to it")
-        return VaultWriter(self.options["path"], self.options["run"])
+        return VaultWriter(self.options["path"], self.options["run"], self.options.get("keep", "false") == "true")
 
 
 def register(spark: SparkSession) -> None:
@@ -235,15 +237,16 @@ def opened(rows: DataFrame, root: str, path: str = "path", as_: str = "content",
     return rows.mapInArrow(run, f"{fields}, `{as_}` binary")
 
 
-def write_files(files: DataFrame, root: str, path: str | Column = "path", content: str | Column = "content") -> None:
-    """Puts files at their paths, in place of what is there. A path that two rows want, or that is a folder, fails the write and changes nothing."""
+def write_files(files: DataFrame, root: str, path: str | Column = "path", content: str | Column = "content", keep: bool = False) -> None:
+    """Puts files at their paths, in place of what is there. A path that two rows want, or that is a folder, fails the write and changes nothing. ``keep``: files that are there already stay as they are and are not
+    written again, for paths that tell what a file holds."""
     spark = files.sparkSession
     register(spark)
     publish(spark, root)
     column = content if isinstance(content, Column) else F.col(content)
     run = f"run-{time.time_ns():020d}-{uuid.uuid4().hex}"
     rows = files.select((path if isinstance(path, Column) else F.col(path)).alias("path"), column.cast("binary").alias("content"))
-    rows.write.format("vault").mode("append").option("path", root).option("run", run).save()
+    rows.write.format("vault").mode("append").option("path", root).option("run", run).option("keep", str(keep).lower()).save()
     publish(spark, root)
 
 

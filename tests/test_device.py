@@ -94,3 +94,16 @@ def test_blobs_and_listings(spark, tmp_path):
     found = sorted(map(str, (tuple(r) for r in D.listings(docs, root).collect())))
     assert found == sorted(map(str, [("d1", "p1", 0, "ab1", ["t"], False), ("d1", "p2", 1, None, [], False), ("d3", None, None, None, [], True)]))
     assert D.read_entries(spark, root).count() == 0
+
+
+def test_blobs_of_an_earlier_generation_are_not_written_again(spark, tmp_path):
+    root, kinds = f"file://{tmp_path}", "hash string, content binary"
+    D.put_files(spark.createDataFrame([("ab1", b"one"), ("cd2", b"")], kinds), root, "blobs")
+    before = (tmp_path / "blobs/ab/ab1").stat()
+    D.put_files(spark.createDataFrame([("ab1", b"one"), ("ef3", b"three")], kinds), root, "blobs")
+    after = (tmp_path / "blobs/ab/ab1").stat()
+    assert (after.st_ino, after.st_mtime_ns) == (before.st_ino, before.st_mtime_ns)
+    assert sorted((p.name, p.read_bytes()) for p in tmp_path.glob("blobs/*/*")) == [("ab1", b"one"), ("cd2", b""), ("ef3", b"three")]
+    (tmp_path / "blobs/99/99x").mkdir(parents=True)
+    with pytest.raises(Exception, match="99x"):  # a folder is no blob
+        D.put_files(spark.createDataFrame([("99x", b"?")], kinds), root, "blobs")

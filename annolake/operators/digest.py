@@ -115,7 +115,7 @@ def merged(entries: DataFrame, groups: DataFrame) -> DataFrame:
     return entries.drop("sentence", "marked").join(wide, ["page_id", "id"])
 
 
-def written_notes(strokes: DataFrame, pages: DataFrame, lines: DataFrame, recognise: backends.Recognise) -> DataFrame:
+def written_notes(strokes: DataFrame, pages: DataFrame, lines: DataFrame, recognise: backends.Recognise, steps: Rounds) -> DataFrame:
     """(page_id, id, anchor_id, text, status, rect, top): strokes that belong together, read one note at a time; what could not be read stays with an empty text. Notes in the margins of the page's
     text belong together from further away. A page that was added on the device is one note, whole."""
     k, half = F.col("dpi") / 72, F.col("width") * F.col("dpi") / 144
@@ -129,7 +129,7 @@ def written_notes(strokes: DataFrame, pages: DataFrame, lines: DataFrame, recogn
     parts = clusters.clustered(flat.where(~F.col("appended")).drop("appended")).select("page_id", "anchor_id", "min_x", "min_y", "max_x", "max_y", F.col("row_top").alias("top"), "strokes")
     listed = F.transform(F.sort_array(F.collect_list(F.struct("ord", "id"))), lambda s: s["id"])
     whole = flat.where("appended").groupBy("page_id").agg(F.lit("page").alias("anchor_id"), F.min("min_x").alias("min_x"), F.min("min_y").alias("min_y"), F.max("max_x").alias("max_x"), F.max("max_y").alias("max_y"), F.lit(0.0).alias("top"), listed.alias("strokes"))
-    notes = parts.unionByName(whole).withColumn("_key", F.concat_ws(":", "page_id", "anchor_id"))
+    notes = steps.write(parts.unionByName(whole).withColumn("_key", F.concat_ws(":", "page_id", "anchor_id")))  # asked for three times below
     read = backends.recognised(notes.select(F.col("_key").alias("page_id"), F.array_join("strokes", ",").cast("binary").alias("content")), recognise).withColumnRenamed("page_id", "_key")
     frame = pages.select("page_id", "width", "height", "appended", "dpi")
     scene = G.rect(F.col("min_x"), F.col("min_y"), F.col("max_x") - F.col("min_x"), F.col("max_y") - F.col("min_y"))
@@ -205,7 +205,7 @@ def _digest(steps, pages, lines, headings, highlights, strokes, seen, recognise,
         one = one.withColumn("quote_id", F.concat_ws(":", "page_id", "id")).join(fixed.withColumnRenamed("sentence", "_fixed"), "quote_id", "left").withColumn("sentence", F.coalesce("_fixed", "sentence")).drop("quote_id", "_fixed")
     if not margin_notes:
         warnings, handwriting = warnings.unionByName(steps.write(unmatched(handwriting, pages))), handwriting.where("false")
-    notes = steps.write(written_notes(handwriting, pages, lines, recognise))
+    notes = steps.write(written_notes(handwriting, pages, lines, recognise, steps))
     notes = steps.write(anchored(notes, pages, headings, placed, lines))
     under, alone = hosted(notes, survivors)
     failed = notes.where(F.col("status") == "failed").join(pages.select("page_id", "doc_id"), "page_id").select("doc_id", "page_id", F.lit("not transcribed").alias("kind"), F.lit(1).cast("long").alias("n"))

@@ -13,7 +13,8 @@ from pyspark.sql.types import StructType
 
 def by_group(rows: DataFrame, key: str, order: list[str], run: Callable[[pd.DataFrame], Iterable[tuple]], schema: str) -> DataFrame:
     """The tuples that ``run`` makes of each group's rows, in order. Groups pass through a task one after another in whole batches, so many small ones cost little more than their rows; a task holds a batch
-    and one group."""
+    and one group. There are twice as many tasks as a shuffle has: what a group costs is not told by its few bytes, by which adaptive execution would leave all groups to one or two tasks. (The very number
+    of a shuffle would be left out where a join has dealt the rows by the same key, and its tasks are put together then.)"""
     names = StructType.fromDDL(schema).names
 
     def told(frame: pd.DataFrame, cuts: np.ndarray) -> pd.DataFrame:
@@ -38,7 +39,8 @@ def by_group(rows: DataFrame, key: str, order: list[str], run: Callable[[pd.Data
         if rest:
             yield told(pd.concat(rest, ignore_index=True) if len(rest) > 1 else rest[0], np.zeros(0, int))
 
-    return rows.repartition(key).sortWithinPartitions(key, *order).mapInPandas(batches, schema)
+    tasks = 2 * int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return rows.repartition(tasks, key).sortWithinPartitions(key, *order).mapInPandas(batches, schema)
 
 
 def shared_folder(spark: SparkSession) -> str:

@@ -31,3 +31,19 @@ def test_measures_of_a_page_read_no_texts(spark):
     assert "MapInPandas" in plan and "text#" not in plan.split("RepartitionByExpression")[0]
     frame = pd.DataFrame(rows, columns=["page_id", "ord", "text", "x", "y", "width", "height"])
     assert lines.body_size(frame) == 10.0
+
+
+def test_groups_of_few_bytes_are_dealt_to_many_tasks(spark):
+    """Also where a join has dealt the rows by the same key before."""
+    from pyspark import TaskContext
+
+    rows = spark.range(400).selectExpr("concat('k', id % 100) AS k", "id")
+    joined = rows.hint("merge").join(spark.range(100).selectExpr("concat('k', id) AS k", "id AS n"), "k")
+
+    def run(frame):
+        yield frame.k.iloc[0], len(frame), TaskContext.get().partitionId()
+
+    for frame in (rows, joined):
+        got = by_group(frame, "k", ["id"], run, "k string, n long, task int").collect()
+        assert len(got) == 100 and {x.n for x in got} == {4}
+        assert len({x.task for x in got}) >= 8

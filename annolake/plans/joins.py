@@ -182,14 +182,18 @@ def _boxes(spark, sf_dir):
     """,
 )
 def nearest_anchor(spark, sf_dir):
+    """A line beside the note, else the nearest one. The highlight is the nearest line where that is near enough, so one search serves both tiers, and only for notes without a heading."""
     b = _boxes(spark, sf_dir)
     notes = b.where("side = 1").select("vec_id", "label", "x", "y")
     lines = b.where("side = 0").select("label", F.col("vec_id").alias("r_id"), F.col("x").alias("rx"), F.col("y").alias("ry"))
-    dx = F.abs(F.col("x") - F.col("rx"))
-    d = dx + F.abs(F.col("y") - F.col("ry"))
-    r = F.col("r_id")
-    tiers = [(name, N.nearest(notes, lines, ["label"], ["vec_id"], distance, r, r, "answer", limit).select("vec_id", "answer")) for name, distance, limit in (("heading", dx, 3.0), ("highlight", d, 60.0), ("line", d, None))]
-    return N.tiered(notes, ["vec_id"], tiers).select("vec_id", F.col("answer").alias("anchor"), "kind")
+    beside = N.nearest_step(notes, lines, ["label"], "x", "rx", "r_id", 3, "heading")
+    found = N.nearest_in_plane(beside.where("heading IS NULL"), lines, ["label"], ["vec_id"], ("x", "y"), ("rx", "ry"), "r_id")
+    # where no distance is known the SQL takes the label's first line
+    first = lines.groupBy("label").agg(F.min("r_id").alias("first"))
+    tiers = beside.join(found, "vec_id", "left").join(first, "label", "left")
+    anchor = F.coalesce("heading", "value", "first")
+    kind = F.when(F.col("heading").isNotNull(), "heading").when(F.col("away") <= 60, "highlight").when(anchor.isNotNull(), "line").otherwise("page")
+    return tiers.select("vec_id", anchor.alias("anchor"), kind.alias("kind"))
 
 
 @query(

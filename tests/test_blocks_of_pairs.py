@@ -1,10 +1,10 @@
-"""Blocks of a group: rows are copied a few times only."""
+"""Blocks of a group: rows are copied a few times only, and names are compared once for all rows that have them."""
 
 import random
 
 import numpy as np
 from annolake.operators import nearest
-from annolake.plans import notes
+from annolake.plans import notes, texts
 from pyspark.sql import functions as F
 
 
@@ -16,6 +16,8 @@ def test_pairs_of_growing_blocks_equal_a_loop(spark, monkeypatch):
         d = spark.createDataFrame(rows, "i long, k string, t string")
         want = sorted((i, j) for i, k, _ in rows for j, m, _ in rows if None not in (i, j, k) and k == m and i < j)
         assert sorted((x.a.i, x.b.i) for x in nearest.all_pairs(d, ["k"], "i", block=block).collect()) == want
+        same = sorted((i, j, str(None if None in (t, u) else t == u)) for i, k, t in rows for j, m, u in rows if None not in (i, j, k) and k == m and i < j)
+        assert sorted((x.a, x.b, str(x.same)) for x in nearest.all_pairs_by_text(d, ["k"], "i", "t", lambda a, b: a == b, "same", block=block).collect()) == same
 
 
 def test_copies_of_a_row_do_not_grow_with_its_group(spark):
@@ -29,6 +31,15 @@ def test_copies_of_a_row_do_not_grow_with_its_group(spark):
     assert copies.count("Generate explode") == 2
 
 
+def test_names_are_compared_once_for_all_rows_that_have_them(spark, tmp_path):
+    n = 6000
+    spark.range(n).selectExpr("id AS p_partkey", "concat('bolt ', id % 3) AS p_name", "'B' AS p_brand", "1 AS p_size").write.parquet(str(tmp_path / "part.parquet"))
+    pairs = texts.fuzzy_pairs(spark, str(tmp_path))
+    plan = pairs._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.index("Generate explode") < plan.index("levenshtein")  # above it in the plan, so after it
+    assert pairs.groupBy("same").count().collect() == [(True, n * (n - 1) // 2)]
+
+
 def test_measures_are_rounded_as_the_sql_rounds(spark, tmp_path):
     rows = [(1, [0.0, 0.0, 0.0, 0.0], 0), (2, [0.25, 0.3, -0.5, 0.1], 0), (3, [0.011, -0.9, 0.75, 0.9], 0), (4, [0.001, 0.0, -1.0, 0.0], 0), (5, None, 0), (6, [0.1, 0.2, 0.3, 0.4], 1)]
     spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int").write.parquet(str(tmp_path / "embeddings.parquet"))
